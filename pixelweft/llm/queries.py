@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, token_counts, token_output
+from . import jaccard_join, mixing, packing, token_counts, token_output
 from .tokens import default_vocabulary
 
 
@@ -27,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.apply_edits(trees, edits, vocabulary)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_output.write_tokens(_read(spark, sf_dir, "documents"), default_vocabulary())
     return token_output.read_tokens(manifest)
@@ -64,5 +68,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(_read(spark, sf_dir, "documents"), default_vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op7_token_files, op8_source_mix, op9_packing)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_jaccard_join, op7_token_files, op8_source_mix, op9_packing)}
 ORACLE_SQL = {"op8_source_mix": OP8_SQL}
