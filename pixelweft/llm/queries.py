@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, packing, token_counts, token_output
+from . import embedding_dedup, jaccard_join, mixing, packing, token_counts, token_output
 from .tokens import default_vocabulary
 
 
@@ -13,6 +13,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document before and after three edits: a new beginning, a replaced third, a deletion."""
     vocabulary = default_vocabulary()
@@ -68,5 +72,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(_read(spark, sf_dir, "documents"), default_vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_jaccard_join, op7_token_files, op8_source_mix, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_token_counts, op4_jaccard_join, op7_token_files, op8_source_mix, op9_packing)}
 ORACLE_SQL = {"op8_source_mix": OP8_SQL}
