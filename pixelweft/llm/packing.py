@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
-from .tokens import encoder
+from .tokens import encoder, slices
 
 #: Pieces of one length that are ranked in one task.
 RANK_ROWS = 50_000
@@ -29,11 +29,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
     def cut(batches):
         import pyarrow as pa
 
-        ids_of, end = encoder(vocabulary).ids, end_id.to_bytes(4, "little")
-        for batch in batches:
+        ids_of, end = encoder(vocabulary).many, end_id.to_bytes(4, "little")
+        for batch in slices(batches):
             rows = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = ids_of(text or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of([t or "" for t in batch.column(1).to_pylist()])):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at: at + 4 * capacity]
                     for row, v in zip(rows, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):

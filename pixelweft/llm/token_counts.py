@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WordEncoder, encoder
+from .tokens import WordEncoder, encoder, slices
 
 BLANK = " "
 
@@ -24,21 +24,30 @@ class SegmentTree:
         self.size = len(chars) // 2
         self.chars, self.tokens = chars, tokens
 
+    @classmethod
+    def of_all(cls, texts: list[str], enc: WordEncoder, leaf_chars: int = 400) -> list[SegmentTree]:
+        cut = []
+        for text in texts:
+            # where tokens may cross blanks, one leaf is encoded whole
+            step, blocks, at = leaf_chars if enc.by_word else len(text) + 1, [], 0
+            while at < len(text):
+                end = text.find(BLANK, at + step) + 1 or len(text)
+                blocks.append(text[at:end])
+                at = end
+            cut.append(blocks)
+        counts, trees = iter(enc.counts([b for blocks in cut for b in blocks])), []
+        for blocks in cut:
+            size = 1 << max(0, len(blocks) - 1).bit_length()
+            empty = [0] * (size - len(blocks))
+            tree = cls([0] * size + [len(b) for b in blocks] + empty, [0] * size + [next(counts) for _ in blocks] + empty)
+            for node in range(size - 1, 0, -1):
+                tree._sum(node)
+            trees.append(tree)
+        return trees
+
     @classmethod
     def of(cls, text: str, enc: WordEncoder, leaf_chars: int = 400) -> SegmentTree:
-        if not enc.by_word:
-            leaf_chars = len(text) + 1  # tokens may cross blanks: one leaf, encoded whole
-        blocks, at = [], 0
-        while at < len(text):
-            end = text.find(BLANK, at + leaf_chars) + 1 or len(text)
-            blocks.append(text[at:end])
-            at = end
-        size = 1 << max(0, len(blocks) - 1).bit_length()
-        empty = [0] * (size - len(blocks))
-        tree = cls([0] * size + [len(b) for b in blocks] + empty, [0] * size + [enc.count(b) for b in blocks] + empty)
-        for node in range(size - 1, 0, -1):
-            tree._sum(node)
-        return tree
+        return cls.of_all([text], enc, leaf_chars)[0]
 
     def _sum(self, node: int) -> None:
         for values in (self.chars, self.tokens):
@@ -87,9 +96,9 @@ def build_trees(docs: DataFrame, vocabulary: str, leaf_chars: int = 400) -> Data
         import pyarrow as pa
 
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            trees = [SegmentTree.of(t, enc, leaf_chars) for t in texts]
+            trees = SegmentTree.of_all(texts, enc, leaf_chars)
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array([t.count() for t in trees], pa.int64()),
@@ -114,7 +123,7 @@ def apply_edits(trees: DataFrame, edits: Column, vocabulary: str, keep_text: boo
         import pyarrow as pa
 
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text, n, chars, tokens, todo in zip(*(c.to_pylist() for c in batch.columns)):
                 tree, done = SegmentTree(chars, tokens), 0

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, shared_root, stage
-from .tokens import encoder
+from .tokens import encoder, slices
 
 MANIFEST = "part long, seq int, path string, docs long, ids long"
 
@@ -53,7 +53,7 @@ def write_tokens(
         part, attempt = context.partitionId(), context.taskAttemptId()
         store, top = _filesystem(folder)
         store.create_dir(top, recursive=True)
-        ids_of, end = encoder(vocabulary).ids, np.array([end_id], "<u4").tobytes()
+        ids_of, end = encoder(vocabulary).many, np.array([end_id], "<u4").tobytes()
         id_type = pa.uint16() if id_bits == 16 else pa.uint32()
         schema = pa.schema([("ids", pa.list_(id_type, length)), ("mask", pa.list_(pa.bool_(), length))])
         block = length * rows_per_batch
@@ -103,13 +103,13 @@ def write_tokens(
                 found, (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "seq", "path", "docs", "ids"])
 
         now = None
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for batch in slices(batches):
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of([t or "" for t in batch.column(1).to_pylist()])):
                 if now is None or now.ids >= file_ids:
                     if now is not None:
                         yield rows(now.close())
                     now = File(0 if now is None else now.seq + 1)
-                ids = np.frombuffer(ids_of(text or "") + end, "<u4")
+                ids = np.frombuffer(ids + end, "<u4")
                 if id_bits == 16 and len(ids) and ids.max() > 65535:
                     raise ValueError("id_bits=16 is too few for this vocabulary")
                 now.add(doc, ids.astype(kind))
