@@ -12,10 +12,11 @@ agree on one of them. Sets are dealt to size bands so narrow that a partner is a
 - a set with too few non-empty segments for that gives all it has, empty segments included, which completes it against
   partners in the same position; every other partner's own choice suffices.
 
-Sets that share a signature are candidates and are verified exactly. Of the sets under one signature only those next
-to its smallest are candidates at first (a star, not all pairs): within a batch they are verified at once and leave one
-signature behind, so a signature costs a shuffled entry per batch at most. Where a star turns out not to hold together,
-its members are compared with each other afterwards, so no link is lost.
+Sets that share a signature are candidates. Every shuffled set carries a small sketch, the number of its elements in each
+of 64 ranges of the hash; the sum of the smaller counts bounds the intersection from above, so unrelated sets that only
+share a passage are ruled out where they meet. What remains is verified exactly, one pair per set first and the rest only
+between sets that are not connected yet. Under a signature with many sets, stars around the smallest ones stand for all
+pairs; where a star turns out not to hold together, its members are compared with each other afterwards. No link is lost.
 
 Nodes are sets, named by a 64-bit hash: documents with equal sets are one node.
 """
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import chunks, components, mix64, partitions, shingle_sets, stage, text_bytes
 
 _U = np.uint64
-_PAIR, _OPEN, _DOC = 1, 2, 3  # kinds of shuffled rows besides signatures (0)
+_STAR, _OPEN, _DOC = 1, 2, 3  # kinds of rows: part of a star, other candidate pair, document (0: signatures)
+#: Sets under one signature of which all pairs are candidates; with more, stars.
+_FEW = 12
 
 
 def set_name(s: np.ndarray) -> int:
@@ -120,12 +123,40 @@ class Bands:
         return mix64(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Five words: size and unit, and the counts by range of hash in these units, rounded up, four bits each."""
+    count = np.bincount((s >> _U(58)).astype(np.int64), minlength=64)
+    unit = max(1, -(-int(count.max(initial=0)) // 15))
+    nibble = (-(-count // unit)).astype(np.uint8)
+    return np.concatenate((np.array([len(s) | unit << 40], np.int64), (nibble[::2] | nibble[1::2] << 4).view(np.int64)))
+
+
+def _unpacked(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and upper bounds of the counts, of rows of sketches."""
+    packed = np.ascontiguousarray(sketches[:, 1:]).view(np.uint8)
+    count = np.empty((len(sketches), 64), np.int32)
+    count[:, ::2], count[:, 1::2] = packed & 15, packed >> 4
+    return sketches[:, 0] & (1 << 40) - 1, count * (sketches[:, :1] >> 40).astype(np.int32)
+
+
+def _may_link(size, count, i, j, percent: int) -> np.ndarray:
+    """Whether sets i and j can be similar as far as their sketches tell."""
+    keep = np.zeros(len(j), bool)
+    i = np.broadcast_to(i, j.shape)
+    for at in range(0, len(j), 1 << 14):
+        some = slice(at, at + (1 << 14))
+        a, b = size[i[some]], size[j[some]]
+        both = np.minimum(np.minimum(count[i[some]], count[j[some]]).sum(1), np.minimum(a, b))
+        keep[some] = 100 * both >= percent * (a + b - both)
+    return keep
+
+
 def _first_of_runs(x: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, bool)
 
 
 def _deal(percent: int, width: int, parts: int):
-    """Batches of (doc_id, text) -> blobs by part: documents, locally verified pairs, and signatures with their sets."""
+    """Batches of (doc_id, text) -> blobs by part: documents, and signatures with the names and sketches of their sets."""
     def deal(batches):
         import pyarrow as pa
 
@@ -139,73 +170,100 @@ def _deal(percent: int, width: int, parts: int):
             names = np.array([set_name(s) for s in sets], np.int64)
             size = np.array([len(s) for s in sets], np.int64)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
-            rows = [(_DOC, np.stack([ids.fill_null(0).to_numpy().astype(np.int64), known.astype(np.int64), size, names], 1))]
-
-            name, at = np.unique(names[known & (size > 0)], return_index=True)
+            part, kind, blob = [], [], []
+            rows = np.stack([ids.fill_null(0).to_numpy().astype(np.int64), known.astype(np.int64), size, names], 1)
+            for some in np.array_split(rows, max(1, len(rows) // 4096)):
+                if len(some):
+                    part.append(int(mix64(some[:1, 3].astype(np.uint64))[0] % _U(parts)))
+                    kind.append(_DOC)
+                    blob.append(np.ascontiguousarray(some).tobytes())
+
+            name, at = np.unique(names[known & (size > 0)], return_index=True)  # equal sets go once
             at = np.flatnonzero(known & (size > 0))[at]
             keys = [bands.signatures(sets[i]) for i in at]
-            owner = np.repeat(np.arange(len(at)), [len(k) for k in keys])
+            about = np.array([sketch(sets[i]) for i in at], np.int64).reshape(-1, 5)
+            owner = np.repeat(np.arange(len(at), dtype=np.int32), [len(k) for k in keys])
             key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            order = np.argsort(key, kind="stable")  # owners are in the order of their names, so the smallest leads
-            key, owner = key[order], owner[order]
-            first = _first_of_runs(key)
-            leader = owner[first][np.cumsum(first) - 1] if len(key) else owner
-            pair = np.unique((leader * len(at) + owner)[leader != owner]) if len(key) else owner
-            a, b = pair // max(1, len(at)), pair % max(1, len(at))
-            linked = [similar(sets[at[i]], sets[at[j]], percent) for i, j in zip(a.tolist(), b.tolist())]
-            rows.append((_PAIR, np.stack([name[a], name[b], np.array(linked, np.int64)], 1) if len(a) else np.zeros((0, 3), np.int64)))
-
-            part, kind, blob = [], [], []
-            for what, table in rows:
-                for p, some in enumerate(np.array_split(table, max(1, len(table) // 4096))):
-                    if len(some):
-                        part.append(int(mix64(some[:1, 0].astype(np.uint64))[0] % _U(parts)))
-                        kind.append(what)
-                        blob.append(np.ascontiguousarray(some).tobytes())
-            key, owner = key[first], owner[first]
-            to = (key >> _U(20)) % _U(parts)
-            order = np.lexsort((owner, to))
+            to = ((key >> _U(20)) % _U(parts)).astype(np.int32)
+            order = np.argsort(to, kind="stable")  # within a part by owner
             key, owner, to = key[order], owner[order], to[order]
             cut = np.flatnonzero(_first_of_runs(to))
             for lo, hi in zip(cut, np.append(cut[1:], len(to))):
-                who, start = np.unique(owner[lo:hi], return_index=True)
+                first = np.flatnonzero(_first_of_runs(owner[lo:hi]))
+                who = owner[lo:hi][first]
                 part.append(int(to[lo]))
                 kind.append(0)
-                blob.append(np.concatenate(([len(who)], name[who], np.diff(np.append(start, hi - lo)), key[lo:hi].view(np.int64))).astype(np.int64).tobytes())
+                blob.append(np.concatenate(([len(who)], name[who], np.diff(np.append(first, hi - lo)), about[who].reshape(-1), key[lo:hi].view(np.int64))).astype(np.int64).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["part", "kind", "data"])
 
     return deal
 
 
-def _meet(table):
-    """All blobs of a part -> rows (kind, a, b, c): documents and verified pairs as they came, and candidate pairs."""
-    import pyarrow as pa
+def _meet(percent: int):
+    """All blobs of a part -> rows (kind, a, b, c, d): documents as they came, and candidate pairs a < b of sets."""
+    def meet(table):
+        import pyarrow as pa
 
-    out, keys, nodes = [], [], []
-    for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
-        x = np.frombuffer(data, np.int64)
-        if kind == _DOC:
-            x = x.reshape(-1, 4)
-            out.append((np.full(len(x), _DOC), x[:, 0], x[:, 1], x[:, 2], x[:, 3]))
-        elif kind == _PAIR:
-            x = x.reshape(-1, 3)
-            out.append((np.full(len(x), _PAIR), x[:, 0], x[:, 1], x[:, 2], x[:, 2]))
-        else:
-            n = int(x[0])
-            nodes.append(np.repeat(x[1: n + 1], x[n + 1: 2 * n + 1]))
-            keys.append(x[2 * n + 1:])
-    if keys:
-        key, node = np.concatenate(keys), np.concatenate(nodes)
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        first = _first_of_runs(key)
-        leader = node[first][np.cumsum(first) - 1]
-        pair = np.unique(np.stack([leader, node], 1)[leader != node], axis=0)
-        zero = np.zeros(len(pair), np.int64)
-        out.append((np.full(len(pair), _OPEN), pair[:, 0], pair[:, 1], zero, zero))
-    columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*out) if out else [[]] * 5)]
-    return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("kind", "a", "b", "c", "d"), columns)})
+        out, keys, nodes, abouts, counts = [], [], [], [], []
+        for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
+            x = np.frombuffer(data, np.int64)
+            if kind == _DOC:
+                out.append((np.full(len(x) // 4, _DOC), *x.reshape(-1, 4).T))
+            else:
+                n = int(x[0])
+                nodes.append(x[1: n + 1])
+                counts.append(x[n + 1: 2 * n + 1])
+                abouts.append(x[2 * n + 1: 7 * n + 1].reshape(n, 5))
+                keys.append(x[7 * n + 1:])
+        if keys:
+            name, first, inverse = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
+            size, count = _unpacked(np.concatenate(abouts)[first])
+            node = np.repeat(inverse, np.concatenate(counts)).astype(np.int64)
+            key = np.concatenate(keys)
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            key, node = key[fresh], node[fresh]
+            start = np.flatnonzero(_first_of_runs(key))
+            length = np.diff(np.append(start, len(key)))
+            group = np.repeat(np.arange(len(start)), length)
+            few = length[group] <= _FEW
+            pairs = [np.zeros(0, np.int64)]
+            for d in range(1, _FEW):  # all pairs of small groups, d places apart
+                same = np.flatnonzero((group[:-d] == group[d:]) & few[:-d]) if d < len(group) else group[:0]
+                if not len(same):
+                    break
+                pairs.append(np.unique(node[same] * len(name) + node[same + d]))
+            pair = np.unique(np.concatenate(pairs))
+            i, j = pair // len(name), pair % len(name)
+            keep = _may_link(size, count, i, j, percent)
+            stars, others = [], [np.stack((i[keep], j[keep]), 1)]
+            seen = set()
+            for g in np.flatnonzero(length > _FEW):
+                rest = node[start[g]: start[g] + length[g]]
+                if (what := rest.tobytes()) in seen:  # the same sets under another signature
+                    continue
+                seen.add(what)
+                while len(rest) > 1:
+                    lead, rest = rest[0], rest[1:]
+                    near = _may_link(size, count, lead, rest, percent)
+                    members, rest = rest[near], rest[~near]
+                    if len(members):
+                        stars.append(np.stack((np.full(len(members), lead), members), 1))
+                        if len(rest):  # pairs that cross from the star to what is left of the group
+                            for m in members if len(members) <= len(rest) else rest:
+                                other = rest if len(members) <= len(rest) else members
+                                hit = other[_may_link(size, count, m, other, percent)]
+                                others.append(np.stack((np.minimum(m, hit), np.maximum(m, hit)), 1))
+            for kind, found in ((_STAR, stars), (_OPEN, others)):
+                found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                zero = np.zeros(len(found), np.int64)
+                out.append((np.full(len(found), kind), name[found[:, 0]], name[found[:, 1]], zero, zero))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
+        return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("kind", "a", "b", "c", "d"), columns)})
+
+    return meet
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -274,62 +332,47 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = 4 * partitions(spark)
+    parts = partitions(spark)
     dealt = docs.mapInArrow(_deal(percent, width, parts), "part int, kind int, data binary")
-    met = stage(dealt.repartition(partitions(spark), "part").groupBy("part").applyInArrow(_meet, "kind long, a long, b long, c long, d long"), "jaccard")
+    met = stage(dealt.groupBy("part").applyInArrow(_meet(percent), "kind long, a long, b long, c long, d long"), "jaccard")
     rows = met.where(F.col("kind") == _DOC).select(
         F.when(F.col("b") == 1, F.col("a")).alias("doc_id"), F.col("c").alias("n_shingles"), F.col("d").alias("node"))
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "node")
-    local = met.where(F.col("kind") == _PAIR).select("a", "b", "c").distinct()
-    open_ = met.where(F.col("kind") == _OPEN).select("a", "b").distinct().join(local, ["a", "b"], "left_anti")
-    open_ = stage(open_, "open")
-    links = local.where("c = 1").select("a", "b")
+    star = met.where(F.col("kind") == _STAR).select("a", "b").distinct()
+    open_ = stage(met.where(F.col("kind").isin(_STAR, _OPEN)).select("a", "b").distinct(), "open")
     found = None
-    if not open_.isEmpty() or not local.isEmpty():
+    if not open_.isEmpty():
         nodes = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = stage(_texts(docs, named, nodes, width), "texts")
-        star = open_.groupBy("b").agg(F.min("a").alias("a"))
-        links = stage(links.unionByName(_verified(star, texts, percent, width)), "links")
+        links = stage(_verified(open_.groupBy("b").agg(F.min("a").alias("a")), texts, percent, width), "links")
         found = stage(components(links), "found")
 
-        def apart(pairs, held):
-            """Pairs whose ends are not connected yet, smaller name first."""
-            c = held.select(F.col("node"), "component")
+        def apart(pairs):
+            """Pairs whose ends are not connected yet."""
             return (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                    .join(c.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-                    .join(c.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+                    .join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+                    .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
                     .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
 
         def more(pairs, label):
-            """Verify pairs; the links that come with them join the others."""
+            """Verify pairs that aren't connected yet; new links join the others."""
             nonlocal links, found
-            pairs = stage(pairs, label)
+            pairs = stage(apart(pairs), label)
             if not pairs.isEmpty():
-                missing = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts, "node", "left_anti")
-                have = texts if missing.isEmpty() else texts.unionByName(stage(_texts(docs, named, missing, width), "texts"))
-                new = stage(_verified(pairs, have, percent, width), "links")
+                new = stage(_verified(pairs, texts, percent, width), "links")
                 if not new.isEmpty():
                     links = links.unionByName(new)
                     found = stage(components(links), "found")
 
-        more(apart(open_, found), "rest")
-        # Stars that don't hold together: members of a signature's two-level star that aren't connected with its leader
-        # are compared with all others of it.
-        pairs = local.select("a", "b").unionByName(open_)
-        broken = apart(pairs, found)
-        if not broken.isEmpty():
-            lower = pairs.select(F.col("a").alias("middle"), "b")
-            group = stage(
-                pairs.unionByName(pairs.select("a", F.col("b").alias("middle")).join(lower, "middle").select("a", "b"))
-                .unionByName(pairs.select("a", F.col("a").alias("b"))).distinct(), "group")
-            c = found
-            with_c = (group.join(c.select(F.col("node").alias("b"), "component"), "b", "left")
-                      .join(c.select(F.col("node").alias("a"), F.col("component").alias("top")), "a", "left")
-                      .select("a", "b", F.coalesce("component", "b").alias("component"), F.coalesce("top", "a").alias("top")))
-            suspects = with_c.where("component != top").select("a", F.col("b").alias("x"), F.col("component").alias("cx"))
-            cross = suspects.join(with_c.select("a", "b", "component"), "a").where("component != cx").select(F.col("x").alias("a"), "b")
-            known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            more(apart(cross, found).join(known, ["a", "b"], "left_anti"), "cross")
+        more(open_, "rest")
+        # Stars that don't hold together: members that aren't connected with the middle meet all the others.
+        if not star.isEmpty():
+            held = found.select(F.col("node").alias("b"), "component")
+            group = (star.join(held, "b", "left").join(found.select(F.col("node").alias("a"), F.col("component").alias("top")), "a", "left")
+                     .select("a", "b", F.coalesce("component", "b").alias("component"), F.coalesce("top", "a").alias("top")))
+            suspects = group.where("component != top").select("a", F.col("b").alias("x"), F.col("component").alias("cx"))
+            cross = suspects.join(group, "a").where("component != cx").select(F.col("x").alias("a"), "b")
+            more(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(open_, ["a", "b"], "left_anti"), "cross")
 
     by_set = named.groupBy("node").agg(F.min("doc_id").alias("least"))
     if found is not None:
