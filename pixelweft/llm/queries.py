@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, jaccard_join, mixing, packing, token_counts, token_output
+from . import embedding_dedup, fingerprints, jaccard_join, language_id, mixing, packing, token_counts, token_output
 from .tokens import default_vocabulary
 
 
@@ -35,6 +35,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_read(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -76,5 +80,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(_read(spark, sf_dir, "documents"), default_vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_token_counts, op4_jaccard_join, op6_fingerprints, op7_token_files, op8_source_mix, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_token_counts, op4_jaccard_join, op5_language_id, op6_fingerprints, op7_token_files, op8_source_mix, op9_packing)}
 ORACLE_SQL = {"op8_source_mix": OP8_SQL}
