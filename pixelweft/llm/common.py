@@ -80,6 +80,44 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def connect(open_: DataFrame, star: DataFrame, verified) -> DataFrame | None:
+    """Components over the verified ones of candidate pairs, with few verifications; None where there are no candidates.
+
+    open_(a, b), a < b, are candidates; verified(pairs) returns those that are links. Candidates that are in star(a, b) too
+    stand for all pairs among the b of one a. One pair per b is verified first, then the others whose ends are not
+    connected yet; members that aren't connected with the middle of their star are at last compared with all its others.
+    """
+    open_ = stage(open_, "open")
+    if open_.isEmpty():
+        return None
+    links = stage(verified(open_.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
+    found = stage(components(links), "found")
+
+    def more(pairs, label):
+        nonlocal links, found
+        apart = stage(
+            pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            .join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+            .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), label)
+        if not apart.isEmpty():
+            new = stage(verified(apart), "links")
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                found = stage(components(links), "found")
+
+    more(open_, "rest")
+    if not star.isEmpty():
+        group = (star.select("a", "b").distinct()
+                 .join(found.select(F.col("node").alias("b"), "component"), "b", "left")
+                 .join(found.select(F.col("node").alias("a"), F.col("component").alias("top")), "a", "left")
+                 .select("a", "b", F.coalesce("component", "b").alias("component"), F.coalesce("top", "a").alias("top")))
+        suspects = group.where("component != top").select("a", F.col("b").alias("x"), F.col("component").alias("cx"))
+        cross = suspects.join(group, "a").where("component != cx").select(F.col("x").alias("a"), "b")
+        more(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(open_, ["a", "b"], "left_anti"), "cross")
+    return found
+
+
 # ---------------------------------------------------------------- words and hashes over a batch of UTF-8 texts
 
 _RNG = np.random.Generator(np.random.PCG64(20240611))
@@ -130,12 +168,15 @@ def chunks(offsets: np.ndarray, most: int = 1 << 20):
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^ \\t-\\r]+ (A-Z lower-cased) of some texts, and the first word's index of each text."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z lower-cased) of some texts, and the first word's index of each text.
+
+    space: which bytes part words, by default those of [ \\t-\\r].
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(word & (edge[:-1] | np.concatenate(([True], ~word[:-1]))))

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, mix64, partitions, shingle_sets, stage, text_bytes
+from .common import chunks, connect, mix64, partitions, shingle_sets, stage, text_bytes
 
 _U = np.uint64
 _STAR, _OPEN, _DOC = 1, 2, 3  # kinds of rows: part of a star, other candidate pair, document (0: signatures)
@@ -339,41 +339,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
         F.when(F.col("b") == 1, F.col("a")).alias("doc_id"), F.col("c").alias("n_shingles"), F.col("d").alias("node"))
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "node")
     star = met.where(F.col("kind") == _STAR).select("a", "b").distinct()
-    open_ = stage(met.where(F.col("kind").isin(_STAR, _OPEN)).select("a", "b").distinct(), "open")
-    found = None
-    if not open_.isEmpty():
-        nodes = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = stage(_texts(docs, named, nodes, width), "texts")
-        links = stage(_verified(open_.groupBy("b").agg(F.min("a").alias("a")), texts, percent, width), "links")
-        found = stage(components(links), "found")
-
-        def apart(pairs):
-            """Pairs whose ends are not connected yet."""
-            return (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                    .join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-                    .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-                    .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-
-        def more(pairs, label):
-            """Verify pairs that aren't connected yet; new links join the others."""
-            nonlocal links, found
-            pairs = stage(apart(pairs), label)
-            if not pairs.isEmpty():
-                new = stage(_verified(pairs, texts, percent, width), "links")
-                if not new.isEmpty():
-                    links = links.unionByName(new)
-                    found = stage(components(links), "found")
-
-        more(open_, "rest")
-        # Stars that don't hold together: members that aren't connected with the middle meet all the others.
-        if not star.isEmpty():
-            held = found.select(F.col("node").alias("b"), "component")
-            group = (star.join(held, "b", "left").join(found.select(F.col("node").alias("a"), F.col("component").alias("top")), "a", "left")
-                     .select("a", "b", F.coalesce("component", "b").alias("component"), F.coalesce("top", "a").alias("top")))
-            suspects = group.where("component != top").select("a", F.col("b").alias("x"), F.col("component").alias("cx"))
-            cross = suspects.join(group, "a").where("component != cx").select(F.col("x").alias("a"), "b")
-            more(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(open_, ["a", "b"], "left_anti"), "cross")
+    open_ = stage(met.where(F.col("kind").isin(_STAR, _OPEN)).select("a", "b").distinct(), "candidates")
+    nodes = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = None
 
+    def verified(pairs):
+        nonlocal texts
+        texts = texts if texts is not None else stage(_texts(docs, named, nodes, width), "texts")
+        return _verified(pairs, texts, percent, width)
+
+    found = connect(open_, star, verified)
     by_set = named.groupBy("node").agg(F.min("doc_id").alias("least"))
     if found is not None:
         by_set = by_set.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, jaccard_join, language_id, mixing, packing, token_counts, token_output
+from . import embedding_dedup, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, token_counts, token_output
 from .tokens import default_vocabulary
 
 
@@ -17,6 +17,12 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text without repeated lines, and how many lines it had and lost."""
+    done = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document before and after three edits: a new beginning, a replaced third, a deletion."""
     vocabulary = default_vocabulary()
@@ -80,5 +86,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(_read(spark, sf_dir, "documents"), default_vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_token_counts, op4_jaccard_join, op5_language_id, op6_fingerprints, op7_token_files, op8_source_mix, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_line_dedup, op3_token_counts, op4_jaccard_join, op5_language_id, op6_fingerprints, op7_token_files, op8_source_mix, op9_packing)}
 ORACLE_SQL = {"op8_source_mix": OP8_SQL}
