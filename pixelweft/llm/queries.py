@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, token_counts, token_output
+from . import embedding_dedup, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, quality, token_counts, token_output
 from .tokens import default_vocabulary
 
 
@@ -86,5 +86,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(_read(spark, sf_dir, "documents"), default_vocabulary()))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_line_dedup, op3_token_counts, op4_jaccard_join, op5_language_id, op6_fingerprints, op7_token_files, op8_source_mix, op9_packing)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_line_dedup, op3_token_counts, op4_jaccard_join, op5_language_id, op6_fingerprints, op7_token_files, op8_source_mix, op9_packing, op10_quality)}
 ORACLE_SQL = {"op8_source_mix": OP8_SQL}
