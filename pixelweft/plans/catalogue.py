@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import analysis as an
+from ..operators import arrays as ar
 from ..operators import bands as ba
 from ..operators import colour as co
 from ..operators import create as cr
@@ -313,8 +314,36 @@ def _query(node: Node, form: str):
     return run
 
 
+def _whole(kind: str, function):
+    """A query of an operator on whole arrays, which SQL can't express; tests compare these with brute force."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(raster(spark, sf_dir, kind) if kind else None, spark, sf_dir)
+
+    return run
+
+
+def _mask(spark, sf_dir):
+    return pw.threshold(raster(spark, sf_dir, "stack"), value=150)
+
+
+WHOLE = {
+    "fw_fft": _whole("stack", lambda r, *_: ar.fw_fft(r)),
+    "inv_fft": _whole("stack", lambda r, *_: ar.inv_fft(ar.fw_fft(r))),
+    "spectrum": _whole("stack", lambda r, *_: ar.spectrum(r)),
+    "phasecor": _whole("stack", lambda r, *_: ar.phasecor(as_image(r), as_image(r, source=1))),
+    "label_regions": _whole("", lambda r, *at: ar.label_regions(_mask(*at))),
+    "nearest": _whole("", lambda r, *at: ar.nearest(_mask(*at))),
+    "draw_flood": _whole("", lambda r, *at: ar.draw_flood(_mask(*at), 5, 5, (99,))),
+    "canny": _whole("grey", lambda r, *_: ar.canny(st.gauss_blur(r, sigma=1.4))),
+    "hist_local": _whole("rgb", lambda r, *_: ar.clahe(r)),
+    "entropy_crop": _whole("rgb", lambda r, *_: ar.entropy_crop(r, 12, 40)),
+    "quantize": _whole("rgb", lambda r, *_: ar.quantize(r, 16)),
+    **{f"dither_{m}": _whole("rgb", lambda r, *_, m=m: ar.dither(r, m)) for m in ar.DIFFUSION},
+}
+
+
 def queries() -> dict:
-    return {name: _query(*what) for name, what in QUERIES.items()}
+    return {name: _query(*what) for name, what in QUERIES.items()} | WHOLE
 
 
 def oracle_sql() -> dict[str, str]:
