@@ -93,40 +93,50 @@ def likeness(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(F.get(a, 0) == F.get(b, 0), F.lit(1.0)).otherwise(same / used), F.lit(0.0))
 
 
-#: Documents whose ids fall in one stretch of so many are put in order by one task.
-STRETCH = 1024
+#: Documents whose ids fall in one stretch of so many are put in order by one task; null ids are the last stretch.
+STRETCH, LAST = 1024, 1 << 62
+#: First documents of stretches up to which a join with them is a broadcast (16 bytes each).
+FEW_FIRSTS = 1_000_000
 
 
-def with_next(df: DataFrame, carried: list[str], key: str = "doc_id") -> DataFrame:
-    """df with next_<column> of the following row in ascending order of key, ties by the first carried column, nulls last;
-    the first row follows the last.
+def _stretch() -> Column:
+    return F.coalesce(F.floor(F.col("doc_id") / STRETCH), F.lit(LAST))
 
-    Rows are hashed by stretch of ids, so each is shuffled once; the first row of each stretch is fetched for the last of
-    the one before. The order of the stretches is found on two levels, so that no task sorts more than a small part.
+
+def followers(docs: DataFrame) -> DataFrame:
+    """(before, first): for each stretch of ids the smallest id of the next one that has documents; the first follows the last.
+
+    The order is found on two levels, so that no task sorts more than 4096 stretches or a four-millionth of the documents.
+    """
+    firsts = stage(docs.groupBy(_stretch().alias("stretch")).agg(F.min("doc_id").alias("first")), "firsts")
+    wide = firsts.withColumn("wide", F.floor(F.col("stretch") / 4096))
+    heads = wide.groupBy("wide").agg(F.min(F.struct("stretch", "first")).alias("head"))
+    order = Window.orderBy("wide")
+    heads = heads.select(F.col("wide").alias("w"), F.coalesce(F.lead("head").over(order), F.first("head").over(
+        order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
+    inner = F.lead(F.struct("stretch", "first")).over(Window.partitionBy("wide").orderBy("stretch"))
+    return wide.withColumn("inner", inner).join(heads, F.col("wide") == F.col("w")).select(
+        F.col("stretch").alias("before"), F.coalesce("inner", "after").getField("first").alias("first"))
+
+
+def with_next(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """docs(doc_id, text, fp) with next_text and next_fp of the following row: ascending doc_id, nulls last, ties by text; the
+    first row follows the last.
+
+    Rows are hashed by stretch of ids, so each text is shuffled once; of each stretch the first row is fetched for the last
+    row of the one before.
     """
-    df = df.withColumn("__stretch", F.floor(F.col(key) / STRETCH))
-    order = [F.col(key).asc_nulls_last(), F.col(carried[0]).asc_nulls_first()]
-    within = Window.partitionBy("__stretch").orderBy(*order)
-    nxt = F.lead(F.struct(*carried)).over(within)
-    placed = df.withColumn("__next", nxt)
-
-    firsts = df.groupBy("__stretch").agg(F.min(key).alias("__first"))
-    wide = firsts.withColumn("__wide", F.floor(F.col("__stretch") / 4096))
-    inner = Window.partitionBy("__wide").orderBy(F.col("__stretch").asc_nulls_last())
-    outer = Window.orderBy(F.col("__wide").asc_nulls_last())
-    heads = wide.groupBy("__wide").agg(F.min("__stretch").alias("__head"))
-    everything = Window.orderBy(F.col("__wide").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.withColumn("__turn", F.struct(F.first("__head").over(everything).alias("s"))).withColumn(
-        "__after", F.coalesce(F.lead(F.struct(F.col("__head").alias("s"))).over(outer), F.col("__turn"))).select(F.col("__wide").alias("__w"), "__after")
-    follow = wide.withColumn("__in", F.lead(F.struct(F.col("__stretch").alias("s"))).over(inner)) \
-        .join(heads, F.col("__wide").eqNullSafe(F.col("__w"))) \
-        .select(F.col("__stretch").alias("__from"), F.coalesce("__in", "__after").getField("s").alias("__to"))
-    head_rows = df.join(firsts.select(F.col("__stretch").alias("__s"), "__first"), F.col("__stretch").eqNullSafe(F.col("__s")) & F.col(key).eqNullSafe(F.col("__first")))
-    head_rows = head_rows.groupBy("__s").agg(F.min_by(F.struct(*carried), F.struct(F.col(carried[0]))).alias("__head_row"))
-    follow = follow.join(head_rows, F.col("__to").eqNullSafe(F.col("__s"))).select("__from", "__head_row")
-    joined = placed.join(follow, F.col("__stretch").eqNullSafe(F.col("__from")), "left")
-    out = F.coalesce("__next", "__head_row")
-    return joined.select(*[c for c in df.columns if c != "__stretch"], *[out.getField(c).alias(f"next_{c}") for c in carried])
+    plain = docs.select("doc_id", "text")
+    follow = stage(followers(plain), "followers")
+    few = F.broadcast(follow) if follow.count() <= FEW_FIRSTS else follow
+    heads = plain.join(few, F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("before").agg(F.min("text").alias("head_text"))
+    heads = stage(with_fingerprint(heads, table, "head_text", "head_fp"), "heads")
+    within = Window.partitionBy("stretch").orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    placed = docs.withColumn("stretch", _stretch()).select(
+        "*", F.lead("text").over(within).alias("next_text"), F.lead("fp").over(within).alias("next_fp"), F.lead(F.lit(True)).over(within).alias("inside"))
+    joined = placed.join(heads, F.col("stretch") == F.col("before"), "left")
+    return joined.select("doc_id", "text", "fp", F.when(F.col("inside"), F.col("next_text")).otherwise(F.col("head_text")).alias("next_text"),
+                         F.when(F.col("inside"), F.col("next_fp")).otherwise(F.col("head_fp")).alias("next_fp"))
 
 
 def edited_fingerprints(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> DataFrame:
@@ -139,7 +149,7 @@ def edited_fingerprints(docs: DataFrame, least_share: float = LEAST_SHARE, most_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     table = lexicon_table(stage(lexicon(docs, least_share, most_share), "lexicon"))
     own = with_fingerprint(docs, table, "text", "fp")
-    paired = with_next(own, ["text", "fp"])
+    paired = with_next(own, table)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
