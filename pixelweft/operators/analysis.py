@@ -228,3 +228,18 @@ def cross_phase(d, a, b):
     """Argument of the first times the conjugate of the second."""
     e = "atan2(l.im * q.re - l.re * q.im, l.re * q.re + l.im * q.im)"
     return f"SELECT l.image_id, l.x, l.y, l.band, {e} AS v FROM {a} l JOIN {b} q ON l.image_id = q.image_id AND l.x = q.x AND l.y = q.y AND l.band = q.band"
+
+
+@operator(1)
+def page_bounds(d, r, bright: int = 160, dark: int = 60, fraction: float = 0.3, gap: int = 3, width: int = 64, height: int = 500):
+    """Longest runs of rows and of columns of which a share is bright or dark, gaps bridged: (image_id, axis, first, last)."""
+    hit = f"(SELECT image_id, x, y FROM {r} WHERE band = 0 AND (v > {bright} OR v < {dark}))"
+    parts = []
+    for axis, along, across in (("x", "x", height), ("y", "y", width)):
+        lines = f"(SELECT image_id, {along} AS p FROM {hit} h GROUP BY image_id, {along} HAVING count(*) >= {d.num(fraction * across)})"
+        starts = f"(SELECT image_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY image_id ORDER BY p) <= {gap + 1} THEN 0 ELSE 1 END AS s FROM {lines} l)"
+        runs = f"(SELECT image_id, p, sum(s) OVER (PARTITION BY image_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM {starts} t)"
+        spans = f"(SELECT image_id, run, min(p) AS a, max(p) AS b FROM {runs} u GROUP BY image_id, run)"
+        ranked = f"(SELECT image_id, a, b, row_number() OVER (PARTITION BY image_id ORDER BY b - a DESC, a) AS k FROM {spans} w)"
+        parts.append(f"SELECT image_id, '{axis}' AS axis, a AS first, b AS last FROM {ranked} z WHERE k = 1")
+    return " UNION ALL ".join(parts)

@@ -352,3 +352,65 @@ def dither_bayer(d, levels: int = 2, size: int = 4):
     biased = f"(v + ((CASE (y % {size}) * {size} + x % {size} {cells} END) / {size * size}e0 - 5e-1) * {d.num(step)})"
     level = d.rint(f"greatest(0e0, least(255e0, {biased})) * {levels - 1} / 255e0")
     return d.u8_trunc(f"{level} * 255 / {d.num(levels - 1)}")
+
+
+# Matrices of the film and colour-blindness presets.
+KODACHROME = ((0.7297023, 0.4567681, -0.1530), (-0.0250, 0.8794651, 0.0512), (0.0270, 0.0972, 0.7406))
+LOMOGRAPH = ((1.5, 0.0, 0.0), (0.0, 1.45, 0.0), (0.0, 0.0, 1.09))
+COLOR_BLINDNESS = {
+    "protanopia": ((0.567, 0.433, 0.000), (0.558, 0.442, 0.000), (0.000, 0.242, 0.758)),
+    "protanomaly": ((0.817, 0.183, 0.000), (0.333, 0.667, 0.000), (0.000, 0.125, 0.875)),
+    "deuteranopia": ((0.625, 0.375, 0.000), (0.700, 0.300, 0.000), (0.000, 0.300, 0.700)),
+    "deuteranomaly": ((0.800, 0.200, 0.000), (0.258, 0.742, 0.000), (0.000, 0.142, 0.858)),
+    "tritanopia": ((0.950, 0.050, 0.000), (0.000, 0.433, 0.567), (0.000, 0.475, 0.525)),
+}
+
+
+@cross_band(3)
+def kodachrome(d):
+    return recomb_values(d, KODACHROME)
+
+
+@cross_band(3)
+def lomograph(d):
+    return recomb_values(d, LOMOGRAPH)
+
+
+@cross_band(3)
+def color_blindness(d, mode: str = "protanopia"):
+    return recomb_values(d, COLOR_BLINDNESS[mode])
+
+
+@operator(1)
+def lightness(d, r, amount: float = 0.1):
+    """Shift the L of HSL; hue and saturation stay."""
+    top, low = "greatest(r, g, b)", "least(r, g, b)"
+    rgb = unpel_pel(r, d, [f"{v} / 255e0" for v in V])
+    named = f"(SELECT image_id, x, y, v0 AS r, v1 AS g, v2 AS b FROM {rgb} p1)"
+    hsl = (f"(SELECT image_id, x, y, {_hue_sextant('r', 'g', 'b')} / 6e0 AS h, CASE WHEN {top} = {low} THEN 0e0 WHEN ({top} + {low}) / 2 > 5e-1 "
+           f"THEN ({top} - {low}) / (2 - {top} - {low} + CASE WHEN {top} = {low} THEN 1e0 ELSE 0e0 END) ELSE ({top} - {low}) / (CASE WHEN {top} + {low} = 0 THEN 1e0 ELSE {top} + {low} END) END AS s, "
+           f"greatest(0e0, least(1e0, ({top} + {low}) / 2 + {d.num(amount)})) AS l FROM {named} p2)")
+    q = "(CASE WHEN l < 5e-1 THEN l * (1 + s) ELSE l + s - l * s END)"
+    pq = f"(SELECT image_id, x, y, h, s, l, {q} AS q, 2 * l - {q} AS p FROM {hsl} p3)"
+
+    def channel(shift: float) -> str:
+        t = f"(h + {d.num(shift)} + CASE WHEN h + {d.num(shift)} < 0 THEN 1 WHEN h + {d.num(shift)} > 1 THEN -1 ELSE 0 END)"
+        e = f"CASE WHEN s = 0 THEN l WHEN {t} < {1 / 6!r}e0 THEN p + (q - p) * 6 * {t} WHEN {t} < 5e-1 THEN q WHEN {t} < {2 / 3!r}e0 THEN p + (q - p) * ({2 / 3!r}e0 - {t}) * 6 ELSE p END"
+        return d.u8_trunc(f"round(({e}) * 255 + 5e-1, 9)")
+
+    return unpel(pq, [channel(1 / 3), channel(0.0), channel(-1 / 3)])
+
+
+@cross_band(3)
+def lab2labq(d):
+    """10, 11 and 11 bits in four bytes; the second and third are the signed high parts, as bytes."""
+    whole = [d.long(f"greatest({lo}e0, least({hi}e0, {d.rint(f'{v} * {k}')}))") for v, k, lo, hi in (("v0", "1023e0 / 100e0", 0, 1023), ("v1", "8e0", -1024, 1023), ("v2", "8e0", -1024, 1023))]
+    high = [f"floor({w} / {n}e0)" for w, n in zip(whole, (4, 8, 8))]
+    return [high[0], f"({high[1]} + 256) % 256", f"({high[2]} + 256) % 256",
+            f"({whole[0]} - 4 * {high[0]}) * 64 + ({whole[1]} - 8 * {high[1]}) * 8 + ({whole[2]} - 8 * {high[2]})"]
+
+
+@cross_band(4)
+def labq2lab(d):
+    signed = lambda v: f"(CASE WHEN {v} > 127 THEN {v} - 256 ELSE {v} END)"
+    return ["(v0 * 4 + floor(v3 / 64e0)) * 100 / 1023e0", f"({signed('v1')} * 8 + floor(v3 / 8e0) % 8) / 8e0", f"({signed('v2')} * 8 + v3 % 8) / 8e0"]

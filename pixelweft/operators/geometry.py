@@ -175,3 +175,52 @@ def vignette(d, r, strength: float = 0.5, width: int = 21, height: int = 100):
     cx, cy = width / 2, height / 2
     reach = cx * cx + cy * cy
     return f"SELECT {KEY}, {d.u8_trunc(f'v * (1 - {d.num(strength)} * least(1e0, ((x - {d.num(cx)}) * (x - {d.num(cx)}) + (y - {d.num(cy)}) * (y - {d.num(cy)})) / {d.num(reach)}))')} AS v FROM {r}"
+
+
+@operator(1)
+def similarity(d, r, scale: float = 1.2, angle: float = 10.0, dx: float = 0.0, dy: float = 0.0, width: int = 21, height: int = 100):
+    """Scale, turn and shift by one affine map of the same size."""
+    import math
+    c, s = scale * math.cos(math.radians(angle)), scale * math.sin(math.radians(angle))
+    return affine.write(d, r, matrix=(c, -s, s, c), shift=(dx, dy), width=width, height=height)
+
+
+@operator(1)
+def skew(d, r, degrees_x: float = 5.0, degrees_y: float = 2.0, width: int = 21, height: int = 100):
+    """Shear; a degenerate one returns the input."""
+    import math
+    tx, ty = math.tan(math.radians(degrees_x)), math.tan(math.radians(degrees_y))
+    if abs(1 - tx * ty) < 1e-12:
+        return f"SELECT {KEY}, v FROM {r}"
+    return affine.write(d, r, matrix=(1.0, tx, ty, 1.0), width=width, height=height)
+
+
+@operator(1)
+def quadratic(d, r, coefficients=(0.5, 0.9, 0.02, 0.001, 0.0, 0.0, -1.0, 0.05, 0.98, 0.0, 0.001, 0.0), width: int = 21, height: int = 100, background: float = 0.0):
+    """Second-degree warp with bilinear sampling: six coefficients of (1, x, y, xx, xy, yy) for each source coordinate."""
+    sx, sy = (" + ".join(f"{d.num(c)} * {t}" for c, t in zip(part, ("1", "x", "y", "x * x", "x * y", "y * y"))) for part in (coefficients[:6], coefficients[6:]))
+    return mapim.write(d, r, f"(SELECT image_id, x, y, {sx} AS sx, {sy} AS sy FROM {r} WHERE band = 0)", background=background, width=width, height=height)
+
+
+@operator(1)
+def resize(d, r, scale: float = 0.4, vscale: float | None = None, width: int = 21, height: int = 100):
+    """Whole-block means first where a scale is below a half, then linear resampling along x and along y."""
+    from .stencil import resize1d
+    vscale = vscale or scale
+    w, h = width, height
+    if min(scale, vscale) < 0.5:
+        across, down = max(1, int(1 / scale)), max(1, int(1 / vscale))
+        r, w, h = f"({shrink.write(d, r, across=across, down=down, width=width, height=height)}) s1", width // across, height // down
+    sx, sy = scale * width / w, vscale * height / h
+    if sx != 1:
+        r = f"({resize1d.write(d, r, scale=sx, length=w)}) s2"
+    if sy != 1:
+        r = f"({resize1d.write(d, r, scale=sy, vertical=True, length=h)}) s3"
+    return f"SELECT {KEY}, v FROM {r}"
+
+
+@operator(1)
+def thumbnail(d, r, size: int = 10, out_height: int = 0, width: int = 21, height: int = 100):
+    """Within size x out_height (a square, if 0) at the image's own proportions."""
+    ratio = min(size / width, (out_height or size) / height)
+    return resize.write(d, r, scale=ratio, width=width, height=height)

@@ -217,3 +217,37 @@ def resize1d(d, r, scale: float = 0.7, vertical: bool = False, length: int = 64)
     places = f"{other}, o" if not vertical else f"{other}, o"
     e = d.u8_trunc("round(sum(round(v * w, 9)), 6)")
     return (f"SELECT image_id, {'o AS x, y' if not vertical else 'x, o AS y'}, band, {e} AS v FROM {r} JOIN (VALUES {', '.join(rows)}) AS t(o, k, w) ON t.k = {along} GROUP BY image_id, band, {places}")
+
+
+def hexagon(radius: int) -> list[list[float]]:
+    """A flat-topped hexagon's cells, summing to 1."""
+    side = math.sqrt(3) / 2
+    inside = [[float(abs(y) <= radius * side and abs(x) * side + abs(y) / 2 <= radius * side) for x in range(-radius, radius + 1)] for y in range(-radius, radius + 1)]
+    total = sum(map(sum, inside))
+    return [[v / total for v in row] for row in inside]
+
+
+@operator(1)
+def bokeh_blur(d, r, radius: int = 2, width: int = 64, height: int = 500):
+    kernel = hexagon(radius)
+    n = round(1 / max(map(max, kernel)))
+    return conv.write(d, r, mask=[[1 if v else 0 for v in row] for row in kernel], divisor=float(n), width=width, height=height)
+
+
+@operator(1)
+def sharpen(d, r, sigma: float = 0.5, m1: float = 1.0, m2: float = 1.0, x1: int = 2):
+    """Add to a one-band image what it has over its Gaussian, edges repeated: beyond a dead band, by one gain up and one down."""
+    reach = max(1, math.ceil(3 * sigma))
+    k = [math.exp(-(i - reach) ** 2 / (2 * sigma * sigma)) for i in range(2 * reach + 1)]
+    k = [w / sum(k) for w in k]
+
+    def blurred(t: str, over) -> str:
+        first = f"first_value(v) OVER {over(' ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}"
+        last = f"last_value(v) OVER {over(' ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING')}"
+        terms = [f"{d.num(w)} * " + ("v" if i == reach else f"coalesce(lag(v, {reach - i}) OVER {over()}, {first})" if i < reach else f"coalesce(lead(v, {i - reach}) OVER {over()}, {last})") for i, w in enumerate(k)]
+        return f"(SELECT {KEY}, {' + '.join(terms)} AS v FROM {t} b)"
+
+    blur = blurred(blurred(r, _row), _column)
+    diff = "(l.v - q.v)"
+    e = f"l.v + CASE WHEN abs{diff} < {x1} THEN 0e0 WHEN {diff} > 0 THEN {d.num(m1)} * {diff} ELSE {d.num(m2)} * {diff} END"
+    return (f"SELECT l.image_id, l.x, l.y, l.band, {d.u8_trunc(f'round({e}, 9)')} AS v FROM {r} l JOIN {blur} q ON l.image_id = q.image_id AND l.x = q.x AND l.y = q.y AND l.band = q.band")

@@ -193,6 +193,13 @@ def _register() -> None:
     _add("dither_bayer4", of(co.dither_bayer, "rgb", levels=4, size=4))
     _add("dither_bayer8", of(co.dither_bayer, "grey", levels=2, size=8))
 
+    for op in (co.kodachrome, co.lomograph, co.lightness):
+        _add(op.__name__, of(op, "rgb"))
+    for m in co.COLOR_BLINDNESS:
+        _add(f"color_blindness_{m}", of(co.color_blindness, "rgb", mode=m))
+    _add("lab2labq", of(co.lab2labq, lab))
+    _add("labq2lab", of(co.labq2lab, of(co.lab2labq, lab)))
+
     _add("stats", of(an.stats, "bag"), "image_id:i band:i lo hi total squares mean deviation")
     for name, op in (("avg", an.avg), ("min", an.minimum), ("max", an.maximum), ("deviate", an.deviate)):
         _add(name, of(op, "rgb"), "image_id:i band:i v")
@@ -250,6 +257,12 @@ def _register() -> None:
     _add("insert_expand", of(ge.insert_expand, A, B))
     _add("vignette", of(ge.vignette, "rgb"))
 
+    for op in (ge.similarity, ge.skew, ge.quadratic, ge.resize, ge.thumbnail):
+        _add(op.__name__, of(op, A))
+    _add("bokeh_blur", of(st.bokeh_blur, "grey"))
+    _add("sharpen", of(st.sharpen, "grey"))
+    _add("page_bounds", of(an.page_bounds, "grey", bright=145, dark=110), "image_id:i axis:s first:i last:i")
+
     _add("conv_3x3", of(st.conv, "grey"))
     _add("conv1d", of(st.conv1d, "grey"))
     _add("conv1d_vertical", of(st.conv1d, "grey", vertical=True))
