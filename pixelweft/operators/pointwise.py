@@ -66,12 +66,13 @@ def max_image(d, r):
     return f"SELECT 0 AS image_id, x, y, band, max(v) AS v FROM {r} GROUP BY x, y, band"
 
 
-#: Function -> (8-bit form of u = v / 255, before scaling to 255; form for real values)
+#: Function -> (8-bit form of u = v / 255 before scaling to 255, or None where 8-bit values stay; form for real values)
 MATH = {
-    "abs": ("u", "abs(v)"), "sin": ("(sin(u * {tau}) + 1) / 2", "sin(v)"), "cos": ("(cos(u * {tau}) + 1) / 2", "cos(v)"), "tan": ("(tan(u * {tau}) + 1) / 2", "tan(v)"),
-    "log": ("ln(1 + u * ({e} - 1))", "ln(v)"), "log10": ("log10(1 + 9 * u)", "log10(v)"), "exp": ("(exp(u) - 1) / ({e} - 1)", "exp(v)"),
-    "exp10": ("(pow(10e0, u) - 1) / 9", "pow(10e0, v)"), "sqrt": ("sqrt(u)", "sqrt(v)"), "sign": ("CASE WHEN u > 0 THEN 1e0 ELSE 0e0 END", "CAST(sign(v) AS DOUBLE)"),
-    "floor": ("u", "floor(v)"), "ceil": ("u", "ceil(v)"), "rint": ("u", None), "atan": ("atan(u) / ({pi} / 4)", "atan(v)"), "pow": ("pow(u, {p})", "pow(v, {p})"),
+    "abs": (None, "abs(v)"), "sin": ("(sin({u} * {tau}) + 1) * 5e-1", "sin(v)"), "cos": ("(cos({u} * {tau}) + 1) * 5e-1", "cos(v)"),
+    "tan": ("(tan({u} * {tau}) + 1) * 5e-1", "tan(v)"), "log": ("ln(1 + {u} * ({e} - 1))", "ln(v)"), "log10": ("log10(1 + 9 * {u})", "log10(v)"),
+    "exp": ("(exp({u}) - 1) / ({e} - 1)", "exp(v)"), "exp10": ("(pow(10e0, {u}) - 1) / 9", "pow(10e0, v)"), "sqrt": ("sqrt({u})", "sqrt(v)"),
+    "sign": ("CASE WHEN {u} > 0 THEN 1e0 ELSE 0e0 END", "CAST(sign(v) AS DOUBLE)"), "floor": (None, "floor(v)"), "ceil": (None, "ceil(v)"),
+    "rint": (None, "{rint}"), "atan": ("atan({u}) / ({pi} / 4)", "atan(v)"), "pow": ("pow({u}, {p})", "pow(v, {p})"),
 }
 
 
@@ -79,14 +80,10 @@ MATH = {
 def math_op(d, function: str = "sin", operand: float = 1.0, real: bool = False):
     """One of MATH; 8-bit values are read as v / 255 and scaled back, clamped and truncated."""
     small, raw = MATH[function]
-    names = {"tau": d.num(2 * math.pi), "pi": d.num(math.pi), "e": d.num(math.e), "p": d.num(operand)}
+    names = {"u": "(v / 255e0)", "tau": d.num(2 * math.pi), "pi": d.num(math.pi), "e": d.num(math.e), "p": d.num(operand), "rint": d.rint("v")}
     if real:
-        return d.rint("v") if raw is None else raw.format(**names)
-    if function in ("floor", "ceil", "rint", "abs"):
-        return "v"
-    if function in ("sin", "cos", "tan"):
-        return d.u8_trunc(f"({function}(v / 255e0 * {names['tau']}) + 1) * 127.5e0")
-    return d.u8_trunc(f"({small.format(**names).replace('u', '(v / 255e0)') if function not in () else ''}) * 255")
+        return raw.format(**names)
+    return "v" if small is None else d.u8_trunc(f"({small.format(**names)}) * 255")
 
 
 @pair
