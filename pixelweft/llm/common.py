@@ -26,9 +26,18 @@ def shared_root(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_root(df.sparkSession)}/pixelweft/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/pixelweft/{label}-{uuid.uuid4().hex}"
+    # The table replaces its lineage, so the shuffle files that led to it may go as soon as it is written.
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    try:
+        before = spark.conf.get(key)
+        spark.conf.set(key, "true")
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unstage(df: DataFrame) -> None:
@@ -44,48 +53,76 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Edges up to which one task finds the components (16 bytes each); beyond it they are found by joins.
+SMALL_EDGES = 1_000_000
+
+
+def _union_find(batches):
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            p, q = top(u), top(v)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "component"])
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches of at most `rows` rows, so that what Python makes of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): one row (node, component) per node of an edge, component the smallest node.
 
-    Alternates large-star and small-star steps over DataFrames until the edges are stars around the smallest
-    nodes. Only minima are grouped, so a hub is combined before the shuffle. Self-links give a component of one.
+    Few edges, by a count, go to one task. Otherwise large-star and small-star steps over DataFrames alternate until the edges
+    are stars around the smallest nodes; only minima are grouped, so a hub is combined before the shuffle. Self-links are left
+    out.
     """
-    now = stage(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    before = None
+    now = stage(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if now.count() <= SMALL_EDGES:
+        return now.coalesce(1).mapInArrow(_union_find, "node long, component long")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(now.where("u = v"))
-        )
-        large = large.distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
-        )).alias("e")).select("e.u", "e.v").where("u >= v").distinct()
+        )).alias("e")).select("e.u", "e.v").where("u > v").distinct()
         after = stage(small, "edges")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         unstage(now)
         now = after
-        if before == state:
+        # Done when every node has one root and no root has another.
+        children = now.groupBy("u").agg(F.count("*").alias("n"))
+        if children.where("n > 1").isEmpty() and now.join(children.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        before = state
-    return (
-        now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")))
-        .groupBy("node").agg(F.min("component").alias("component"))
-    )
+    return now.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component"))
+    )).alias("e")).select("e.*").distinct()
 
 
-def connect(open_: DataFrame, star: DataFrame, verified) -> DataFrame | None:
+def connect(open_: DataFrame, star: DataFrame, verified, about: DataFrame, near) -> DataFrame | None:
     """Components over the verified ones of candidate pairs, with few verifications; None where there are no candidates.
 
-    open_(a, b), a < b, are candidates; verified(pairs) returns those that are links. Candidates that are in star(a, b) too
-    stand for all pairs among the b of one a. One pair per b is verified first, then the others whose ends are not
-    connected yet; members that aren't connected with the middle of their star are at last compared with all its others.
+    open_(a, b), a < b, are candidates; verified(pairs) returns those that are links. Rows of star(a, b) stand for all pairs
+    among the b of one a. One pair per b is verified first, then the others whose ends are not
+    connected yet. Members that aren't connected with the middle of their star are at last held against all its others: by
+    what about(node, about) says of them, near(list of about) makes a function of i and an array j that tells which pairs
+    can be links, and these are verified.
     """
     open_ = stage(open_, "open")
     if open_.isEmpty():
@@ -112,9 +149,23 @@ def connect(open_: DataFrame, star: DataFrame, verified) -> DataFrame | None:
                  .join(found.select(F.col("node").alias("b"), "component"), "b", "left")
                  .join(found.select(F.col("node").alias("a"), F.col("component").alias("top")), "a", "left")
                  .select("a", "b", F.coalesce("component", "b").alias("component"), F.coalesce("top", "a").alias("top")))
-        suspects = group.where("component != top").select("a", F.col("b").alias("x"), F.col("component").alias("cx"))
-        cross = suspects.join(group, "a").where("component != cx").select(F.col("x").alias("a"), "b")
-        more(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(open_, ["a", "b"], "left_anti"), "cross")
+
+        def cross(table):
+            import pyarrow as pa
+
+            node, own, top = (table.column(n).to_numpy() for n in ("b", "component", "top"))
+            may, out = near(table.column("about").to_pylist()), [np.zeros((0, 2), np.int64)]
+            for i in np.flatnonzero(own != top):
+                j = np.flatnonzero(own != own[i])
+                j = j[may(i, j)] if len(j) else j
+                out.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), 1))
+            pairs = np.unique(np.concatenate(out), axis=0)
+            return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+        broken = group.where("component != top").select("a").distinct()
+        group = group.join(broken, "a", "left_semi").join(about.select(F.col("node").alias("b"), "about"), "b")
+        crossing = group.select("a", "b", "component", "top", "about").groupBy("a").applyInArrow(cross, "a long, b long").distinct()
+        more(crossing.join(open_, ["a", "b"], "left_anti"), "cross")
     return found
 
 
@@ -168,14 +219,14 @@ def chunks(offsets: np.ndarray, most: int = 1 << 20):
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, sizes: bool = False) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words (A-Z lower-cased) of some texts, and the first word's index of each text.
 
-    space: which bytes part words, by default those of [ \\t-\\r].
+    space: which bytes part words, by default those of [ \\t-\\r]. sizes: also return the words' lengths in bytes.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64))[: 2 + sizes]
     word = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -185,7 +236,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_LOWER[data] * up[:n], out=total[1:])
     hashes = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets)
+    return (hashes, np.searchsorted(starts, offsets), ends - starts)[: 2 + sizes]
 
 
 _TURN = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)

@@ -27,12 +27,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, connect, mix64, partitions, shingle_sets, stage, text_bytes
+from .common import chunks, connect, mix64, partitions, shingle_sets, slices, stage, text_bytes
 
 _U = np.uint64
-_STAR, _OPEN, _DOC = 1, 2, 3  # kinds of rows: part of a star, other candidate pair, document (0: signatures)
+#: Kinds of rows: part of a star, other candidate pair, document, mere member of a star (0: signatures).
+_STAR, _OPEN, _DOC, _MEMBER = 1, 2, 3, 4
 #: Sets under one signature of which all pairs are candidates; with more, stars.
 _FEW = 12
+#: Sets of more elements carry a finer sketch as well.
+LARGE = 512
 
 
 def set_name(s: np.ndarray) -> int:
@@ -131,6 +134,33 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.concatenate((np.array([len(s) | unit << 40], np.int64), (nibble[::2] | nibble[1::2] << 4).view(np.int64)))
 
 
+def fine_sketch(s: np.ndarray, each: int = 4) -> bytes:
+    """Counts in a power of two of hash ranges, about `each` elements to each: the same bound for large sets, nearly as tight."""
+    k = min(20, max(6, (len(s) // each).bit_length()))
+    count = np.bincount((s >> _U(64 - k)).astype(np.int64), minlength=1 << k)
+    unit = max(1, -(-int(count.max(initial=0)) // 15))
+    nibble = (-(-count // unit)).astype(np.uint8)
+    return np.array([k, unit, len(s)], "<u4").tobytes() + (nibble[::2] | nibble[1::2] << 4).tobytes()
+
+
+def _fine_counts(data: bytes) -> tuple[int, int, np.ndarray]:
+    k, unit, n = np.frombuffer(data, "<u4", 3).tolist()
+    packed = np.frombuffer(data, np.uint8, offset=12)
+    count = np.empty(1 << k, np.int32)
+    count[::2], count[1::2] = packed & 15, packed >> 4
+    return k, n, count * unit
+
+
+def fine_may_link(a: bytes, b: bytes, percent: int) -> bool:
+    (k, n, x), (j, m, y) = _fine_counts(a), _fine_counts(b)
+    if k > j:
+        x = x.reshape(1 << j, -1).sum(1)
+    elif j > k:
+        y = y.reshape(1 << k, -1).sum(1)
+    both = min(int(np.minimum(x, y).sum()), n, m)
+    return 100 * both >= percent * (n + m - both)
+
+
 def _unpacked(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and upper bounds of the counts, of rows of sketches."""
     packed = np.ascontiguousarray(sketches[:, 1:]).view(np.uint8)
@@ -161,7 +191,7 @@ def _deal(percent: int, width: int, parts: int):
         import pyarrow as pa
 
         bands = Bands(percent)
-        for batch in batches:
+        for batch in slices(batches, 3000):
             ids = batch.column(0)
             data, offsets = text_bytes(batch.column(1))
             sets: list[np.ndarray] = []
@@ -172,16 +202,18 @@ def _deal(percent: int, width: int, parts: int):
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             part, kind, blob = [], [], []
             rows = np.stack([ids.fill_null(0).to_numpy().astype(np.int64), known.astype(np.int64), size, names], 1)
-            for some in np.array_split(rows, max(1, len(rows) // 4096)):
+            for some in np.array_split(np.arange(len(rows)), max(1, len(rows) // 1024)):
                 if len(some):
-                    part.append(int(mix64(some[:1, 3].astype(np.uint64))[0] % _U(parts)))
+                    fine = [fine_sketch(sets[i]) for i in some]
+                    part.append(int(mix64(rows[some[:1], 3].astype(np.uint64))[0] % _U(parts)))
                     kind.append(_DOC)
-                    blob.append(np.ascontiguousarray(some).tobytes())
+                    blob.append(np.concatenate(([len(some)], rows[some].reshape(-1), [len(f) for f in fine])).astype(np.int64).tobytes() + b"".join(fine))
 
             name, at = np.unique(names[known & (size > 0)], return_index=True)  # equal sets go once
             at = np.flatnonzero(known & (size > 0))[at]
             keys = [bands.signatures(sets[i]) for i in at]
             about = np.array([sketch(sets[i]) for i in at], np.int64).reshape(-1, 5)
+            more = [fine_sketch(sets[i], 8) if size[i] > LARGE else b"" for i in at]
             owner = np.repeat(np.arange(len(at), dtype=np.int32), [len(k) for k in keys])
             key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             to = ((key >> _U(20)) % _U(parts)).astype(np.int32)
@@ -193,7 +225,10 @@ def _deal(percent: int, width: int, parts: int):
                 who = owner[lo:hi][first]
                 part.append(int(to[lo]))
                 kind.append(0)
-                blob.append(np.concatenate(([len(who)], name[who], np.diff(np.append(first, hi - lo)), about[who].reshape(-1), key[lo:hi].view(np.int64))).astype(np.int64).tobytes())
+                # 40 bits of a signature are enough among those of a part: a chance agreement is only one candidate more.
+                extra = [more[i] for i in who]
+                blob.append(np.concatenate(([len(who)], name[who], np.diff(np.append(first, hi - lo)), about[who].reshape(-1), [len(e) for e in extra])).astype(np.int64).tobytes()
+                            + b"".join(extra) + (key[lo:hi] >> _U(32)).astype(np.uint32).tobytes() + (key[lo:hi] >> _U(24)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["part", "kind", "data"])
 
@@ -205,20 +240,36 @@ def _meet(percent: int):
     def meet(table):
         import pyarrow as pa
 
-        out, keys, nodes, abouts, counts = [], [], [], [], []
+        out, fine, keys, nodes, abouts, extras, counts = [], [], [], [], [], [], []
         for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
-            x = np.frombuffer(data, np.int64)
+            x = np.frombuffer(data, np.int64, len(data) // 8)
             if kind == _DOC:
-                out.append((np.full(len(x) // 4, _DOC), *x.reshape(-1, 4).T))
+                n = int(x[0])
+                out.append((np.full(n, _DOC), *x[1: 4 * n + 1].reshape(n, 4).T))
+                end = 8 * (5 * n + 1) + np.cumsum(x[4 * n + 1: 5 * n + 1])
+                fine += [data[a:b] for a, b in zip([8 * (5 * n + 1), *end[:-1].tolist()], end.tolist())]
             else:
                 n = int(x[0])
                 nodes.append(x[1: n + 1])
                 counts.append(x[n + 1: 2 * n + 1])
                 abouts.append(x[2 * n + 1: 7 * n + 1].reshape(n, 5))
-                keys.append(x[7 * n + 1:])
+                end = 8 * (8 * n + 1) + np.cumsum(x[7 * n + 1: 8 * n + 1])
+                extras += [data[a:b] for a, b in zip([8 * (8 * n + 1), *end[:-1].tolist()], end.tolist())]
+                total, at = int(counts[-1].sum()), int(end[-1])
+                high, low = np.frombuffer(data, np.uint32, total, at), np.frombuffer(data, np.uint8, total, at + 4 * total)
+                keys.append(high.astype(np.int64) << 8 | low)
         if keys:
             name, first, inverse = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
             size, count = _unpacked(np.concatenate(abouts)[first])
+            extra = [extras[i] for i in first]
+
+            def may_link(i, j):
+                keep = _may_link(size, count, i, j, percent)
+                i = np.broadcast_to(i, j.shape)
+                for at in np.flatnonzero(keep & (size[i] > LARGE) & (size[j] > LARGE)):
+                    keep[at] = fine_may_link(extra[i[at]], extra[j[at]], percent)
+                return keep
+
             node = np.repeat(inverse, np.concatenate(counts)).astype(np.int64)
             key = np.concatenate(keys)
             order = np.lexsort((node, key))
@@ -237,8 +288,8 @@ def _meet(percent: int):
                 pairs.append(np.unique(node[same] * len(name) + node[same + d]))
             pair = np.unique(np.concatenate(pairs))
             i, j = pair // len(name), pair % len(name)
-            keep = _may_link(size, count, i, j, percent)
-            stars, others = [], [np.stack((i[keep], j[keep]), 1)]
+            keep = may_link(i, j)
+            stars, only, others = [], [], [np.stack((i[keep], j[keep]), 1)]
             seen = set()
             for g in np.flatnonzero(length > _FEW):
                 rest = node[start[g]: start[g] + length[g]]
@@ -247,21 +298,25 @@ def _meet(percent: int):
                 seen.add(what)
                 while len(rest) > 1:
                     lead, rest = rest[0], rest[1:]
-                    near = _may_link(size, count, lead, rest, percent)
+                    near = may_link(lead, rest)
                     members, rest = rest[near], rest[~near]
-                    if len(members):
-                        stars.append(np.stack((np.full(len(members), lead), members), 1))
-                        if len(rest):  # pairs that cross from the star to what is left of the group
-                            for m in members if len(members) <= len(rest) else rest:
-                                other = rest if len(members) <= len(rest) else members
-                                hit = other[_may_link(size, count, m, other, percent)]
-                                others.append(np.stack((np.minimum(m, hit), np.maximum(m, hit)), 1))
-            for kind, found in ((_STAR, stars), (_OPEN, others)):
+                    if not len(members):
+                        continue
+                    stars.append(np.stack((np.full(len(members), lead), members), 1))
+                    # Of what is left, sets near some member: a pair with the likeliest, and a place in the star.
+                    for x in rest:
+                        hit = members[may_link(x, members)]
+                        if len(hit):
+                            m = hit[np.minimum(count[hit], count[x]).sum(1).argmax()]
+                            others.append(np.array([[min(m, x), max(m, x)]]))
+                            only.append(np.array([[lead, x]]))
+            for kind, found in ((_STAR, stars), (_OPEN, others), (_MEMBER, only)):
                 found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
                 zero = np.zeros(len(found), np.int64)
                 out.append((np.full(len(found), kind), name[found[:, 0]], name[found[:, 1]], zero, zero))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
-        return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("kind", "a", "b", "c", "d"), columns)})
+        table = {n: pa.array(c.astype(np.int64)) for n, c in zip(("kind", "a", "b", "c", "d"), columns)}
+        return pa.table(table | {"fine": pa.array(fine + [None] * (len(columns[0]) - len(fine)), pa.binary())})
 
     return meet
 
@@ -304,6 +359,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     )
 
 
+def _possible(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their fine sketches do not rule out; fine(node, fine)."""
+    def judge(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = pa.array([fine_may_link(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return (pairs.join(fine.select(F.col("node").alias("b"), F.col("fine").alias("fb")), "b")
+            .join(fine.select(F.col("node").alias("a"), F.col("fine").alias("fa")), "a")
+            .select("a", "b", "fa", "fb").mapInArrow(judge, "a long, b long"))
+
+
 def _texts(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, text): a text of each wanted set, read again from docs by its smallest document."""
     def check(batches):
@@ -320,7 +389,7 @@ def _texts(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int) -> D
 
     chosen = named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     return (docs.select("doc_id", "text").join(chosen, "doc_id").select("node", "text")
-            .mapInArrow(check, "node long, text string").dropDuplicates(["node"]))
+            .mapInArrow(check, "node long, text string"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -332,23 +401,31 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = partitions(spark)
+    parts = max(8, partitions(spark) // 2)  # each part repeats the sketches of its sets
     dealt = docs.mapInArrow(_deal(percent, width, parts), "part int, kind int, data binary")
-    met = stage(dealt.groupBy("part").applyInArrow(_meet(percent), "kind long, a long, b long, c long, d long"), "jaccard")
+    met = stage(dealt.groupBy("part").applyInArrow(_meet(percent), "kind long, a long, b long, c long, d long, fine binary"), "jaccard")
     rows = met.where(F.col("kind") == _DOC).select(
         F.when(F.col("b") == 1, F.col("a")).alias("doc_id"), F.col("c").alias("n_shingles"), F.col("d").alias("node"))
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "node")
-    star = met.where(F.col("kind") == _STAR).select("a", "b").distinct()
+    star = met.where(F.col("kind").isin(_STAR, _MEMBER)).select("a", "b").distinct()
     open_ = stage(met.where(F.col("kind").isin(_STAR, _OPEN)).select("a", "b").distinct(), "candidates")
     nodes = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    fine = met.where((F.col("kind") == _DOC) & (F.col("b") == 1)).groupBy(F.col("d").alias("node")).agg(F.min("fine").alias("fine"))
     texts = None
 
     def verified(pairs):
         nonlocal texts
+        pairs = stage(_possible(pairs, fine, percent), "possible")
         texts = texts if texts is not None else stage(_texts(docs, named, nodes, width), "texts")
         return _verified(pairs, texts, percent, width)
 
-    found = connect(open_, star, verified)
+    def near(what):
+        """By the fine sketches, brought to 64 counts."""
+        parts = [_fine_counts(w) for w in what]
+        size, count = np.array([n for _, n, _ in parts]), np.stack([c.reshape(64, -1).sum(1) for _, _, c in parts]).astype(np.int32)
+        return lambda i, j: _may_link(size, count, np.int64(i), j, percent)
+
+    found = connect(open_, star, verified, fine.withColumnRenamed("fine", "about"), near)
     by_set = named.groupBy("node").agg(F.min("doc_id").alias("least"))
     if found is not None:
         by_set = by_set.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -7,6 +7,7 @@ their word sequences, and of each connected group the occurrence with the smalle
 
 SimHash is a filter: one changed word in forty moves some 5 of the 64 bits, one in ten some 9, so that part of the less
 similar pairs is not met (the tests measure it); chains of variants connect many of them. Equal lines are always found.
+Words of up to three bytes, which all lines of a language share, take no part in it where a line has longer ones.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import _INVERSE, _BASE, chunks, connect, mix64, partitions, stage, text_bytes, word_hashes
 
-RADIUS = 10
+RADIUS = 8
 _CUTS = (0, 11, 22, 33, 43, 54, 64)
 _TABLES = tuple(itertools.combinations(range(6), 2))
 #: Nodes under one pair of blocks of which all pairs are compared; with more, stars.
@@ -31,14 +32,14 @@ for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _SIGNS[_c] = False
 
 
-def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of lower-cased texts, first word of each line, and first line of each text (lines are parted by \\n)."""
+def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of lower-cased texts, first word of each line, first line of each text (lines are parted by \\n), word sizes."""
     breaks = np.flatnonzero(data == 10) + 1
     starts = np.sort(np.concatenate((offsets[:-1], breaks)), kind="stable")
     first_line = np.searchsorted(breaks, offsets[:-1], "right") + np.arange(len(offsets) - 1)
     # A break in front of a text's first byte can't be its own: texts begin a line of their own.
-    words, first_word = word_hashes(data, np.append(starts, len(data)), _SIGNS)
-    return words, first_word, np.append(first_line, len(starts))
+    words, first_word, size = word_hashes(data, np.append(starts, len(data)), _SIGNS, sizes=True)
+    return words, first_word, np.append(first_line, len(starts)), size
 
 
 def line_names(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -53,13 +54,30 @@ def line_names(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(count > 0, names, np.uint64(0)).view(np.int64)
 
 
-def simhashes(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SimHash of each line over its words, each occurrence counted; 0 for lines without words."""
+#: Byte -> its bits, each in a byte of a 64-bit word.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
+
+
+def simhashes(words: np.ndarray, first: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """SimHash of each line over its words (those of over 3 bytes, where there are any), each occurrence counted; 0 without words."""
+    if size is not None:
+        long = size > 3
+        has = np.add.reduceat(np.append(long, False), first[:-1], dtype=np.int64) * (np.diff(first) > 0) if len(first) > 1 else first[:0]
+        keep = long | ~np.repeat(has > 0, np.diff(first))
+        words, first = words[keep], np.concatenate(([0], np.cumsum(keep)))[first]
     count = np.diff(first)
     out, some = np.zeros(len(count), np.uint64), np.flatnonzero(count)
     if len(some):
-        bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, first[:-1][some], axis=0, dtype=np.int32)
+        # Eight counters of a byte each are added at a time, over stretches of at most 255 words.
+        stretches = -(-count[some] // 255)
+        line = np.repeat(np.arange(len(some)), stretches)
+        begin = np.cumsum(stretches) - stretches
+        start = first[:-1][some][line] + 255 * (np.arange(len(line)) - begin[line])
+        columns = words.view(np.uint8).reshape(-1, 8)
+        ones = np.empty((len(some), 64), np.int64)
+        for k in range(8):
+            part = np.add.reduceat(_LANES[columns[:, k]], start).view(np.uint8).reshape(-1, 8)
+            ones[:, 8 * k: 8 * k + 8] = np.add.reduceat(part, begin, axis=0, dtype=np.int64)
         out[some] = np.packbits(2 * ones > count[some, None], axis=1).view(np.uint64)[:, 0]
     return out.view(np.int64)
 
@@ -87,31 +105,36 @@ def word_edit_distance(a: list, b: list) -> int:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line (name), simhash, n_words of every line with words."""
+    """doc_id, text_hash, line_no, line (name), simhash, n_words of every line with words."""
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids = part.column(0).to_numpy()
+                ids, hashes = part.column(0).to_numpy(), part.column(2).to_numpy()
                 lower = pa.array([t.lower() if t else "" for t in part.column(1).to_pylist()], pa.large_string())
                 data, offsets = text_bytes(lower)
                 for i, j in chunks(offsets):
-                    words, first, lines = line_words(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
+                    words, first, lines, size = line_words(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
                     owner = np.repeat(np.arange(i, j), np.diff(lines))
                     keep = np.diff(first) > 0
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x[keep]) for x in (ids[owner], (np.arange(len(owner)) - lines[:-1][owner - i]).astype(np.int32),
-                                                     line_names(words, first), simhashes(words, first), np.diff(first).astype(np.int32))],
-                        ["doc_id", "line_no", "line", "simhash", "n_words"])
+                        [pa.array(x[keep]) for x in (ids[owner], hashes[owner], (np.arange(len(owner)) - lines[:-1][owner - i]).astype(np.int32),
+                                                     line_names(words, first), simhashes(words, first, size), np.diff(first).astype(np.int32))],
+                        ["doc_id", "text_hash", "line_no", "line", "simhash", "n_words"])
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        cut, "doc_id long, line_no int, line long, simhash long, n_words int")
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        cut, "doc_id long, text_hash long, line_no int, line long, simhash long, n_words int")
 
 
 def _near(hashes: DataFrame) -> DataFrame:
-    """(star, a, b), a < b: pairs of hashes(simhash) within RADIUS; of large groups only stars and what crosses them."""
+    """(kind, a, b): pairs of hashes(simhash), a < b, within RADIUS.
+
+    Large groups are covered by stars of what is near their smallest hash; of what is near a member of a star but not its
+    middle, only the nearest pair is given. kind 0 is a pair, 1 a pair that is part of a star around a, 2 a mere member b of the
+    star around a, near one of the others. Members of a star stand for all pairs among them.
+    """
     spark = hashes.sparkSession
     parts = partitions(spark)
     blocks = [(np.uint64(lo), np.uint64((1 << hi - lo) - 1)) for lo, hi in zip(_CUTS, _CUTS[1:])]
@@ -139,7 +162,8 @@ def _near(hashes: DataFrame) -> DataFrame:
     def meet(rows):
         import pyarrow as pa
 
-        stars, others = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        none = np.zeros((0, 2), np.int64)
+        others, stars, members_only = [none], [none], [none]
         held: dict[int, list] = {}
         for table, data in zip(rows.column("table").to_pylist(), rows.column("data").to_pylist()):
             held.setdefault(table, []).append(np.frombuffer(data, np.uint64))
@@ -164,18 +188,23 @@ def _near(hashes: DataFrame) -> DataFrame:
                     lead, rest = rest[0], rest[1:]
                     near = np.bitwise_count(rest ^ lead) <= RADIUS
                     members, rest = rest[near], rest[~near]
-                    if len(members):
-                        stars.append(np.stack((np.full(len(members), lead), members), 1).view(np.int64))
-                        few, many = (members, rest) if len(members) <= len(rest) else (rest, members)
-                        for m in few if len(many) else ():
-                            hit = many[np.bitwise_count(many ^ m) <= RADIUS].view(np.int64)
-                            m = np.full(len(hit), m).view(np.int64)
-                            others.append(np.stack((np.minimum(m, hit), np.maximum(m, hit)), 1))
-        stars, others = (np.unique(np.concatenate(x), axis=0) for x in (stars, others))
-        both = np.concatenate((stars, others))
-        return pa.table({"star": pa.array(np.arange(len(both)) < len(stars)), "a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
-
-    return hashes.mapInArrow(deal, "part int, table int, data binary").groupBy("part").applyInArrow(meet, "star boolean, a long, b long").distinct()
+                    if not len(members):
+                        continue
+                    stars.append(np.stack((np.full(len(members), lead), members), 1).view(np.int64))
+                    best, least = np.zeros(len(rest), np.uint64), np.full(len(rest), 65, np.uint8)
+                    for m in members if len(rest) else ():
+                        far = np.bitwise_count(rest ^ m)
+                        best, least = np.where(far < least, m, best), np.minimum(far, least)
+                    close = least <= RADIUS
+                    x, m = rest[close].view(np.int64), best[close].view(np.int64)
+                    others.append(np.stack((np.minimum(m, x), np.maximum(m, x)), 1))
+                    members_only.append(np.stack((np.full(len(x), lead).view(np.int64), x), 1))
+        found = [np.unique(np.concatenate(x), axis=0) for x in (others, stars, members_only)]
+        both = np.concatenate(found)
+        kind = np.repeat(np.arange(3, dtype=np.int32), [len(x) for x in found])
+        return pa.table({"kind": pa.array(kind), "a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+    return hashes.mapInArrow(deal, "part int, table int, data binary").groupBy("part").applyInArrow(meet, "kind int, a long, b long").distinct()
 
 
 def _verifier(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: int):
@@ -189,7 +218,7 @@ def _verifier(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: int
             lines, held = [], []
             for text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data, offsets = text_bytes(pa.array([(text or "").lower()], pa.large_string()))
-                words, first, _ = line_words(data, offsets)
+                words, first, _, _ = line_words(data, offsets)
                 names = line_names(words, first)
                 for a in at:
                     k = a["line_no"]
@@ -221,8 +250,13 @@ def _verifier(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: int
     return verified
 
 
+def _close(hashes: list[int]):
+    h = np.array(hashes, np.int64).view(np.uint64)
+    return lambda i, j: np.bitwise_count(h[i] ^ h[j]) <= RADIUS
+
+
 def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4) -> DataFrame:
-    """doc_id, dropped (array of line_no and line name): occurrences that are not the first of their group.
+    """doc_id, text_hash, dropped (array of line numbers): occurrences that are not the first of their group.
 
     Lines of fewer than least_words words are no candidates: they repeat by chance.
     """
@@ -235,19 +269,21 @@ def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4) -> D
     heads = nodes.groupBy("simhash").agg(F.min("line").alias("head"), F.count("*").alias("k"))
     heads = stage(heads.join(near.select(F.explode(F.array("a", "b")).alias("simhash")).distinct().withColumn("met", F.lit(True)), "simhash", "left")
                   .where("met OR k > 1"), "heads")
-    same = nodes.join(heads, "simhash").where("line != head").select(F.col("head").alias("x"), F.col("line").alias("y"), F.lit(True).alias("star"))
+    same = nodes.join(heads, "simhash").where("line != head").select(F.col("head").alias("x"), F.col("line").alias("y"), F.lit(1).alias("kind"))
     across = near.join(heads.select(F.col("simhash").alias("a"), F.col("head").alias("x")), "a") \
-        .join(heads.select(F.col("simhash").alias("b"), F.col("head").alias("y")), "b").select("x", "y", "star")
-    pairs = stage(same.unionByName(across).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "star"), "pairs")
+        .join(heads.select(F.col("simhash").alias("b"), F.col("head").alias("y")), "b").select("x", "y", "kind")
+    pairs = stage(same.unionByName(across), "pairs")
     verifier = None
 
     def verified(some):
         nonlocal verifier
         if verifier is None:
-            verifier = _verifier(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), percent)
+            verifier = _verifier(docs, nodes, pairs.select(F.explode(F.array("x", "y")).alias("line")).distinct(), percent)
         return verifier(some)
 
-    found = connect(pairs.select("a", "b").distinct(), pairs.where("star").select("a", "b"), verified)
+    candidates = pairs.where("kind < 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = connect(candidates, pairs.where("kind > 0").select(F.col("x").alias("a"), F.col("y").alias("b")), verified,
+                    nodes.select(F.col("line").alias("node"), F.col("simhash").alias("about")), _close)
     if found is None:
         group = nodes.withColumn("component", F.col("line"))
     else:
@@ -255,7 +291,7 @@ def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4) -> D
     first = group.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.sum("n").alias("copies")).where("copies > 1")
     affected = group.join(first, "component").select("line", "first")
     return (lines.join(affected, "line").where(F.struct("doc_id", "line_no") != F.col("first"))
-            .groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line")).alias("dropped")))
+            .groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("dropped")))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 75, least_words: int = 4) -> DataFrame:
@@ -265,33 +301,12 @@ def dedup_lines(docs: DataFrame, percent: int = 75, least_words: int = 4) -> Dat
     are and do not count as occurrences; rows of equal doc_id count as one document. Other columns stay, clashing ones
     (n_lines, n_dropped) are replaced.
     """
-    dropped = stage(dropped_lines(docs, percent, least_words), "dropped")
+    dropped = stage(dropped_lines(docs, percent, least_words), "dropped").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
-    joined = docs.join(dropped.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
-
-    @F.pandas_udf("text string, n_dropped int")
-    def without(text, dropped):
-        import pandas as pd
-        import pyarrow as pa
-
-        out, count = [], []
-        for t, at in zip(text, dropped):
-            if t is None or at is None or not len(at):
-                out.append(t)
-                count.append(0)
-                continue
-            data, offsets = text_bytes(pa.array([t.lower()], pa.large_string()))
-            words, first, _ = line_words(data, offsets)
-            has = line_names(words, first)
-            parts = t.split("\n")
-            go = {a["line_no"] for a in at if len(has) == len(parts) and has[a["line_no"]] == a["line"]} if len(has) == len(parts) else set()
-            out.append("\n".join(p for k, p in enumerate(parts) if k not in go))
-            count.append(len(go))
-        return pd.DataFrame({"text": out, "n_dropped": count})
-
-    touched = joined.where("dropped IS NOT NULL").withColumn("__new", without("text", "dropped"))
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_lines).alias("n_lines")
-    done = touched.select(*[F.col("__new.text").alias("text") if c == "text" else F.col(c) for c in names], n_lines, F.col("__new.n_dropped").alias("n_dropped"))
-    return done.unionByName(joined.where("dropped IS NULL").select(*names, n_lines, F.lit(0).alias("n_dropped")))
+    joined = docs.join(dropped, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    lines = F.split("text", "\n")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
+    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text")
+    return joined.select(*[text if c == "text" else F.col(c) for c in names], F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+                         F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"))

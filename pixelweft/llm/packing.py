@@ -14,8 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
-from .tokens import encoder, slices
+from .common import slices, stage
+from .tokens import encoder
 
 #: Pieces of one length that are ranked in one task.
 RANK_ROWS = 50_000

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WordEncoder, encoder, slices
+from .common import slices
+from .tokens import WordEncoder, encoder
 
 BLANK = " "
 

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_root, stage
-from .tokens import encoder, slices
+from .common import partitions, shared_root, slices, stage
+from .tokens import encoder
 
 MANIFEST = "part long, seq int, path string, docs long, ids long"
 
@@ -117,7 +117,7 @@ def write_tokens(
             yield rows(now.close())
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) \
-        .repartitionByRange(partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+        .repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = stage(ordered.mapInArrow(write, MANIFEST), "manifest")
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("folder", F.lit(folder)).withColumn("start", F.coalesce(F.sum("ids").over(order), F.lit(0)))

@@ -131,10 +131,3 @@ def default_vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
-
-
-def slices(batches, rows: int = 1000):
-    """Arrow batches of at most `rows` rows, so that what Python makes of them stays small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
