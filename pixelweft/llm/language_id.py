@@ -79,11 +79,13 @@ def fit_presence(found: np.ndarray, labels: list[str], landmark: np.ndarray, rid
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((PLACES, 0), np.float32))
-    unit = (found / np.sqrt(np.maximum(found.sum(1, keepdims=True), 1))).astype(np.float64)
-    z = unit[landmark]
+    norm = np.sqrt(np.maximum(found.sum(1, keepdims=True, dtype=np.int64), 1))
+    z = found[landmark] / norm[landmark]
     value, vector = np.linalg.eigh(z @ z.T)
     root = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T  # K_zz^(-1/2)
-    features = unit @ z.T @ root
+    z32 = z.T.astype(np.float32)
+    kernel = np.concatenate([found[a: a + 128].astype(np.float32) @ z32 / norm[a: a + 128] for a in range(0, len(found), 128)])
+    features = kernel @ root
     y = np.array(labels)[:, None] == np.array(languages)[None, :]
     gram = features.T @ features + ridge * len(labels) * np.eye(len(z))
     return Model(languages, (z.T @ (root @ np.linalg.solve(gram, features.T @ y))).astype(np.float32))
@@ -115,7 +117,7 @@ def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 48, languages
 
     rows = sorted(sample.select("lang", F.col("rank").cast("int").alias("rank"), "text").mapInArrow(bits, "lang string, rank int, bits binary").collect(),
                   key=lambda r: (r.lang, r.rank))
-    found = np.unpackbits(np.array([np.frombuffer(r.bits, np.uint8) for r in rows], np.uint8).reshape(len(rows), PLACES // 8), axis=1).astype(np.float32)
+    found = np.unpackbits(np.array([np.frombuffer(r.bits, np.uint8) for r in rows], np.uint8).reshape(len(rows), PLACES // 8), axis=1)
     seen: dict[str, int] = {}
     first = np.zeros(len(rows), bool)
     for i, r in enumerate(rows):
