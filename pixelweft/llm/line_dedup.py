@@ -1,30 +1,29 @@
 """Fuzzy line deduplication.
 
-Lines are normalised to their words (runs of letters and digits, lower case). Equal lines are one node. A node's SimHash
-(64 bits over its words) is cut in six blocks; nodes that agree on two of them, as all within a distance of 4 must and most
-within RADIUS do, meet under that pair of blocks, and those within RADIUS are candidates. Candidates are verified by the edit similarity of
-their word sequences, and of each connected group the occurrence with the smallest (doc_id, line number) stays.
-
-SimHash is a filter: one changed word in forty moves some 5 of the 64 bits, one in ten some 9, so that part of the less
-similar pairs is not met (the tests measure it); chains of variants connect many of them. Equal lines are always found.
-Words of up to three bytes, which all lines of a language share, take no part in it where a line has longer ones.
+Lines are normalised to their words (runs of letters and digits, lower case). Equal lines are one node. Two nodes of n <= m
+words with edit similarity p or more are at most (1-p)m edits apart. An edit breaks at most two of a line's bigrams, so in
+either line at most 2(1-p) of its number of words are broken, and the rest is in both. Of each line the bigrams that are
+first in one order of all are taken, one more than can be broken: the first common one is among them in both lines, and the
+lines meet under it (below p = 0.75 the same is done with words). The order is by frequency in a sample; which order it is
+decides on the work only. What meets and can be similar by the numbers of words and the parities of words by hash range is a
+candidate, so that no pair is lost. Candidates are verified by the edit similarity of their word sequences, and of each
+connected group the occurrence with the smallest (doc_id, line number) stays.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, _BASE, chunks, connect, mix64, partitions, stage, text_bytes, word_hashes
+from .common import _INVERSE, _BASE, chunks, connect, mix64, partitions, slices, stage, text_bytes, word_hashes
 
-RADIUS = 8
-_CUTS = (0, 11, 22, 33, 43, 54, 64)
-_TABLES = tuple(itertools.combinations(range(6), 2))
-#: Nodes under one pair of blocks of which all pairs are compared; with more, stars.
+#: Lines under one gram of which all pairs are compared; with more, stars.
 _FEW = 24
+#: Places of the table of gram frequencies (bits), and documents of the sample that it is made of.
+_TABLE_BITS, _SAMPLE = 20, 5000
+#: 64-bit words of the parities that candidates are held against before their words are.
+_WIDE = 4
 
 _SIGNS = np.ones(256, bool)  # ASCII signs and blanks part words; bytes from 128 on belong to letters
 _SIGNS[128:] = False
@@ -82,6 +81,44 @@ def simhashes(words: np.ndarray, first: np.ndarray, size: np.ndarray | None = No
     return out.view(np.int64)
 
 
+def parities(words: np.ndarray, first: np.ndarray, wide: int = 1) -> np.ndarray:
+    """For each line `wide` words of 64 bits: whether the number of its words in each range of the mixed hash is odd."""
+    bits = np.zeros((len(words) + 1, wide), np.uint64)
+    h = mix64(words)
+    bits[np.arange(len(words)), (h & np.uint64(0xFF)).astype(np.int64) % wide] = np.uint64(1) << (h >> np.uint64(58))
+    bits = np.bitwise_xor.reduceat(bits, first[:-1], axis=0) if len(first) > 1 else bits[:0]
+    bits[np.diff(first) == 0] = 0
+    return bits.view(np.int64)
+
+
+def may_link(n, x, m, y, percent: int):
+    """Whether lines of n and m words with parities x and y can be similar: an edit changes two words' parities, a deletion one."""
+    short, long = np.minimum(n, m), np.maximum(n, m)
+    return (100 * short >= percent * long) & (np.bitwise_count((x ^ y).view(np.uint64)).sum(-1, dtype=np.int64) <= 2 * ((100 - percent) * long // 100) - (long - short))
+
+
+def _grams(words: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Line and hash of the grams of lines: bigrams from 75 % on, words below."""
+    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    if percent < 75:
+        return line, mix64(words)
+    inside = np.flatnonzero(line[:-1] == line[1:])
+    return line[inside], mix64(mix64(words[inside]) + words[inside + 1])
+
+
+def leading_grams(words: np.ndarray, first: np.ndarray, percent: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line and hash of the distinct grams under which lines meet; order: rank by the hash's upper bits."""
+    line, gram = _grams(words, first, percent)
+    at = np.lexsort((gram, order[(gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)], line))
+    line, gram = line[at], gram[at]
+    rank = np.arange(len(line)) - np.searchsorted(line, line)
+    keep = rank <= (np.diff(first) * (100 - percent) // (50 if percent >= 75 else 100))[line]
+    line, gram = line[keep], gram[keep]
+    fresh = np.ones(len(line), bool)
+    fresh[1:] = (line[1:] != line[:-1]) | (gram[1:] != gram[:-1])
+    return line[fresh], gram[fresh]
+
+
 def word_edit_distance(a: list, b: list) -> int:
     """Levenshtein distance of two sequences, by Myers' bit vectors in one integer."""
     if not a or not b:
@@ -105,7 +142,7 @@ def word_edit_distance(a: list, b: list) -> int:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, line (name), simhash, n_words of every line with words."""
+    """doc_id, text_hash, line_no, line (name), parity, n_words of every line with words."""
     def cut(batches):
         import pyarrow as pa
 
@@ -116,95 +153,139 @@ def _lines(docs: DataFrame) -> DataFrame:
                 lower = pa.array([t.lower() if t else "" for t in part.column(1).to_pylist()], pa.large_string())
                 data, offsets = text_bytes(lower)
                 for i, j in chunks(offsets):
-                    words, first, lines, size = line_words(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
+                    words, first, lines, _ = line_words(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
                     owner = np.repeat(np.arange(i, j), np.diff(lines))
                     keep = np.diff(first) > 0
+                    parity = pa.array([x.tobytes() for x in parities(words, first, _WIDE)[keep]], pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x[keep]) for x in (ids[owner], hashes[owner], (np.arange(len(owner)) - lines[:-1][owner - i]).astype(np.int32),
-                                                     line_names(words, first), simhashes(words, first, size), np.diff(first).astype(np.int32))],
-                        ["doc_id", "text_hash", "line_no", "line", "simhash", "n_words"])
+                                                     line_names(words, first), np.diff(first).astype(np.int32))] + [parity],
+                        ["doc_id", "text_hash", "line_no", "line", "n_words", "parity"])
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        cut, "doc_id long, text_hash long, line_no int, line long, simhash long, n_words int")
+        cut, "doc_id long, text_hash long, line_no int, line long, n_words int, parity binary")
+
+
+def _chunks_of_words(batch, least_words: int):
+    """Words and first words of the distinct lines of least_words words or more in a batch of (text,), by chunk."""
+    import pyarrow as pa
+
+    lower = pa.array([t.lower() if t else "" for t in batch.column(0).to_pylist()], pa.large_string())
+    data, offsets = text_bytes(lower)
+    for i, j in chunks(offsets):
+        words, first, _, _ = line_words(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
+        count = np.diff(first)
+        names, at = np.unique(line_names(words, first), return_index=True)
+        keep = count[at] >= least_words
+        names, at = names[keep], at[keep]
+        count = count[at]
+        start = np.concatenate(([0], np.cumsum(count)))
+        yield names, words[np.repeat(first[at] - start[:-1], count) + np.arange(start[-1])], start
+
+
+def _order(docs: DataFrame, percent: int, least_words: int) -> np.ndarray:
+    """How often grams are in a sample of docs, by the upper bits of their hashes."""
+    share = min(1.0, _SAMPLE / max(1, docs.count()))
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros(1 << _TABLE_BITS, np.int64)
+        for batch in slices(batches, 2000):
+            for _, words, first in _chunks_of_words(batch, least_words):
+                _, gram = _grams(words, first, percent)
+                total += np.bincount((gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * share)).select("text")
+    rows = sample.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    order = np.zeros(1 << _TABLE_BITS, np.int32)
+    order[rows.column("place").to_numpy()] = np.minimum(rows.column("n").to_numpy(), 2**31 - 1)
+    return order
 
 
-def _near(hashes: DataFrame) -> DataFrame:
-    """(kind, a, b): pairs of hashes(simhash), a < b, within RADIUS.
+def _near(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
+    """(kind, a, b): candidate pairs of lines, a < b.
 
-    Large groups are covered by stars of what is near their smallest hash; of what is near a member of a star but not its
-    middle, only the nearest pair is given. kind 0 is a pair, 1 a pair that is part of a star around a, 2 a mere member b of the
-    star around a, near one of the others. Members of a star stand for all pairs among them.
+    Large groups are covered by stars around their lines: kind 0 is a pair, 1 a pair that is part of a star around a, 2 a mere
+    member b of the star around a. Members of a star stand for all pairs among them.
     """
-    spark = hashes.sparkSession
+    spark = docs.sparkSession
     parts = partitions(spark)
-    blocks = [(np.uint64(lo), np.uint64((1 << hi - lo) - 1)) for lo, hi in zip(_CUTS, _CUTS[1:])]
-
-    def key_of(h, table):
-        (s, m), (t, n) = (blocks[k] for k in _TABLES[table])
-        return mix64((h >> s & m) << np.uint64(16) | (h >> t & n) | np.uint64(table + 1) << np.uint64(48))
+    docs = docs.where("doc_id IS NOT NULL")
+    held = spark.sparkContext.broadcast(_order(docs, percent, least_words))
 
     def deal(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            h = np.unique(batch.column(0).to_numpy()).view(np.uint64)
-            part, blob, tables = [], [], []
-            for table in range(len(_TABLES)):
-                to = (key_of(h, table) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(to, kind="stable")
-                cut = np.searchsorted(to[order], np.arange(parts + 1))
+        for batch in slices(batches, 2000):
+            part, blob = [], []
+            for names, words, first in _chunks_of_words(batch, least_words):
+                line, gram = leading_grams(words, first, percent, held.value)
+                rows = np.stack((gram.view(np.int64), names[line], parities(words, first)[line, 0], np.diff(first)[line]), 1)
+                to = (gram % np.uint64(parts)).astype(np.int32)
+                at = np.argsort(to, kind="stable")
+                cut = np.searchsorted(to[at], np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(cut)):
+                    some = rows[at[cut[p]: cut[p + 1]]]
                     part.append(int(p))
-                    tables.append(table)
-                    blob.append(h[order[cut[p]: cut[p + 1]]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(tables, pa.int32()), pa.array(blob, pa.binary())], ["part", "table", "data"])
+                    blob.append(some[:, :3].tobytes() + some[:, 3].astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["part", "data"])
 
-    def meet(rows):
+    def meet(table):
         import pyarrow as pa
 
+        long, short = [], []
+        for data in table.column("data").to_pylist():
+            n = len(data) // 28
+            long.append(np.frombuffer(data, np.int64, 3 * n).reshape(n, 3))
+            short.append(np.frombuffer(data, np.uint32, n, 24 * n))
+        rows, size = np.concatenate(long), np.concatenate(short).astype(np.int64)
+        del long, short
+        key, name = rows[:, 0], rows[:, 1]
+        at = np.lexsort((name, key))
+        at = at[np.concatenate(([True], (key[at][1:] != key[at][:-1]) | (name[at][1:] != name[at][:-1])))]
+        key, name, parity, size = key[at], name[at], rows[at, 2:], size[at]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        length = np.diff(np.append(start, len(key)))
+        within = np.repeat(length, length)
         none = np.zeros((0, 2), np.int64)
-        others, stars, members_only = [none], [none], [none]
-        held: dict[int, list] = {}
-        for table, data in zip(rows.column("table").to_pylist(), rows.column("data").to_pylist()):
-            held.setdefault(table, []).append(np.frombuffer(data, np.uint64))
-        for table, found in held.items():
-            h = np.unique(np.concatenate(found))
-            h = h[np.argsort(h.view(np.int64), kind="stable")]
-            key = key_of(h, table)
-            order = np.argsort(key, kind="stable")  # in each group ascending as signed numbers
-            key, h = key[order], h[order]
-            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            length = np.diff(np.append(start, len(key)))
-            size = np.repeat(length, length)
-            for d in range(1, _FEW):
-                same = np.flatnonzero((key[:-d] == key[d:]) & (size[:-d] <= _FEW)) if d < len(key) else start[:0]
-                if not len(same):
-                    break
-                near = same[np.bitwise_count(h[same] ^ h[same + d]) <= RADIUS]
-                others.append(np.stack((h[near], h[near + d]), 1).view(np.int64))
-            for g in np.flatnonzero(length > _FEW):
-                rest = h[start[g]: start[g] + length[g]]
-                while len(rest) > 1:
-                    lead, rest = rest[0], rest[1:]
-                    near = np.bitwise_count(rest ^ lead) <= RADIUS
-                    members, rest = rest[near], rest[~near]
-                    if not len(members):
-                        continue
-                    stars.append(np.stack((np.full(len(members), lead), members), 1).view(np.int64))
-                    best, least = np.zeros(len(rest), np.uint64), np.full(len(rest), 65, np.uint8)
-                    for m in members if len(rest) else ():
-                        far = np.bitwise_count(rest ^ m)
-                        best, least = np.where(far < least, m, best), np.minimum(far, least)
-                    close = least <= RADIUS
-                    x, m = rest[close].view(np.int64), best[close].view(np.int64)
-                    others.append(np.stack((np.minimum(m, x), np.maximum(m, x)), 1))
-                    members_only.append(np.stack((np.full(len(x), lead).view(np.int64), x), 1))
-        found = [np.unique(np.concatenate(x), axis=0) for x in (others, stars, members_only)]
+        pairs, stars, only, seen = [none], [none], [none], set()
+        for d in range(1, _FEW):
+            same = np.flatnonzero((key[:-d] == key[d:]) & (within[:-d] <= _FEW)) if d < len(key) else start[:0]
+            if not len(same):
+                break
+            same = same[may_link(size[same], parity[same], size[same + d], parity[same + d], percent)]
+            pairs.append(np.stack((name[same], name[same + d]), 1))
+        for g in np.flatnonzero(length > _FEW):
+            rest = np.arange(start[g], start[g] + length[g])
+            if (what := name[rest].tobytes()) in seen:  # the same lines under another gram
+                continue
+            seen.add(what)
+            while len(rest) > 1:
+                lead, rest = rest[0], rest[1:]
+                near = may_link(size[lead], parity[lead], size[rest], parity[rest], percent)
+                members, rest = rest[near], rest[~near]
+                if not len(members):
+                    continue
+                stars.append(np.stack((np.full(len(members), name[lead]), name[members]), 1))
+                # Of what is left, lines near some member: a pair with the likeliest, and a place in the star.
+                best, least = np.zeros(len(rest), np.int64), np.full(len(rest), 255, np.uint8)
+                for m in members if len(rest) else ():
+                    may = may_link(size[m], parity[m], size[rest], parity[rest], percent)
+                    far = np.where(may, np.bitwise_count((parity[m] ^ parity[rest]).view(np.uint64))[:, 0], 255)
+                    best, least = np.where(far < least, name[m], best), np.minimum(far, least)
+                close = least < 255
+                x, m = name[rest[close]], best[close]
+                pairs.append(np.stack((np.minimum(m, x), np.maximum(m, x)), 1))
+                only.append(np.stack((np.full(len(x), name[lead]), x), 1))
+        found = [np.unique(np.concatenate(x), axis=0) for x in (pairs, stars, only)]
         both = np.concatenate(found)
         kind = np.repeat(np.arange(3, dtype=np.int32), [len(x) for x in found])
         return pa.table({"kind": pa.array(kind), "a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
-    return hashes.mapInArrow(deal, "part int, table int, data binary").groupBy("part").applyInArrow(meet, "kind int, a long, b long").distinct()
+    return docs.select("text").mapInArrow(deal, "part int, data binary").groupBy("part").applyInArrow(meet, "kind int, a long, b long").distinct()
 
 
 def _verifier(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: int):
@@ -250,9 +331,32 @@ def _verifier(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: int
     return verified
 
 
-def _close(hashes: list[int]):
-    h = np.array(hashes, np.int64).view(np.uint64)
-    return lambda i, j: np.bitwise_count(h[i] ^ h[j]) <= RADIUS
+def _close(percent: int):
+    def near(about):
+        n = np.array([x["n_words"] for x in about], np.int64)
+        parity = np.frombuffer(b"".join(x["parity"] for x in about), np.int64).reshape(-1, _WIDE)
+        return lambda i, j: may_link(n[i], parity[i], n[j], parity[j], percent)
+
+    return near
+
+
+def _possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """pairs(kind, x, y) without those that the wide parities of about(line, n_words, parity) rule out; members of stars stay as such."""
+    def judge(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 5))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.int64).reshape(-1, _WIDE) for k in (4, 6))
+            kind = batch.column(0).to_numpy()
+            may = may_link(n, x, m, y, percent)
+            kind = np.where(may | (kind == 0), kind, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), batch.column(1), batch.column(2)], ["kind", "x", "y"]).filter(pa.array(may | (kind == 2)))
+
+    def side(c):
+        return about.select(F.col("line").alias(c), F.col("n_words").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("kind", "x", "y", "nx", "px", "ny", "py").mapInArrow(judge, "kind int, x long, y long")
 
 
 def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4) -> DataFrame:
@@ -262,17 +366,11 @@ def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4) -> D
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = stage(_lines(docs).where(F.col("n_words") >= least_words), "lines")
-    nodes = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("simhash").alias("simhash"), F.count("*").alias("n"))
-                  .select("line", "simhash", "at.doc_id", "at.line_no", "n"), "nodes")
-    near = stage(_near(nodes.select("simhash")), "near")
-    # A SimHash stands for its smallest line, and that for the other lines of the same SimHash.
-    heads = nodes.groupBy("simhash").agg(F.min("line").alias("head"), F.count("*").alias("k"))
-    heads = stage(heads.join(near.select(F.explode(F.array("a", "b")).alias("simhash")).distinct().withColumn("met", F.lit(True)), "simhash", "left")
-                  .where("met OR k > 1"), "heads")
-    same = nodes.join(heads, "simhash").where("line != head").select(F.col("head").alias("x"), F.col("line").alias("y"), F.lit(1).alias("kind"))
-    across = near.join(heads.select(F.col("simhash").alias("a"), F.col("head").alias("x")), "a") \
-        .join(heads.select(F.col("simhash").alias("b"), F.col("head").alias("y")), "b").select("x", "y", "kind")
-    pairs = stage(same.unionByName(across), "pairs")
+    nodes = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("parity").alias("parity"),
+                                            F.min("n_words").alias("n_words"), F.count("*").alias("n"))
+                  .select("line", "parity", "n_words", "at.doc_id", "at.line_no", "n"), "nodes")
+    near = stage(_near(docs, percent, least_words).select("kind", F.col("a").alias("x"), F.col("b").alias("y")), "near")
+    pairs = stage(_possible(near, nodes.select("line", "n_words", "parity"), percent), "pairs")
     verifier = None
 
     def verified(some):
@@ -283,7 +381,7 @@ def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4) -> D
 
     candidates = pairs.where("kind < 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     found = connect(candidates, pairs.where("kind > 0").select(F.col("x").alias("a"), F.col("y").alias("b")), verified,
-                    nodes.select(F.col("line").alias("node"), F.col("simhash").alias("about")), _close)
+                    nodes.select(F.col("line").alias("node"), F.struct("n_words", "parity").alias("about")), _close(percent))
     if found is None:
         group = nodes.withColumn("component", F.col("line"))
     else:

@@ -114,3 +114,34 @@ def test_simhash_counts_words():
         some = words[a:b][size[a:b] > 3] if (size[a:b] > 3).any() else words[a:b]
         ones = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=int)
         assert got[k] == (np.packbits(2 * ones > len(some)).view(np.uint64)[0] if len(some) else 0)
+
+
+def test_all_fuzzy_links_by_brute_force(spark):
+    docs = corpus(5)
+    assert got_drops(spark, docs) == brute(docs, False)
+
+
+def test_every_similarity_band_meets():
+    """Lines that are similar to any allowed degree share a leading gram, whatever the order, and pass the filter."""
+    r, rng = random.Random(8), np.random.default_rng(8)
+    order = rng.integers(0, 9, 1 << D._TABLE_BITS).astype(np.int32)
+    for percent in (75, 90, 60):
+        met, all_ = {}, {}
+        while sum(all_.values()) < 1500:
+            a = [r.randrange(1, 1 << 62) if r.random() < .7 else r.randrange(1, 6) for _ in range(r.randrange(4, 70))]
+            b = list(a)
+            for _ in range(r.randrange(1, len(a) // 3 + 2)):
+                k, what = r.randrange(len(b)), r.randrange(4)
+                b[k: k + (what != 1)] = [] if what == 0 and len(b) > 1 else [r.randrange(1, 1 << 62)]
+            n, m = sorted((len(a), len(b)))
+            similar = 100 * (m - levenshtein(a, b)) // m
+            if n < 4 or similar < percent:
+                continue
+            words, first = np.array(a + b, np.uint64), np.array([0, len(a), len(a) + len(b)])
+            line, gram = D.leading_grams(words, first, percent, order)
+            parity, wide = D.parities(words, first), D.parities(words, first, 4)
+            ok = set(gram[line == 0].tolist()) & set(gram[line == 1].tolist()) and D.may_link(len(a), parity[0], len(b), parity[1], percent)
+            ok = ok and D.may_link(len(a), wide[0], len(b), wide[1], percent)
+            all_[similar // 5] = all_.get(similar // 5, 0) + 1
+            met[similar // 5] = met.get(similar // 5, 0) + bool(ok)
+        assert met == all_
