@@ -1,6 +1,6 @@
 """Fuzzy line deduplication.
 
-Lines are normalised to their words (runs of letters and digits, lower case). Equal lines are one node. Two nodes of n <= m
+Lines are normalised to their words (runs of letters and digits, lower case; in scripts without blanks each character). Equal lines are one node. Two nodes of n <= m
 words with edit similarity p or more are at most (1-p)m edits apart. An edit breaks at most two of a line's bigrams, so in
 either line at most 2(1-p) of its number of words are broken, and the rest is in both. Of each line the bigrams that are
 first in one order of all are taken, one more than can be broken: the first common one is among them in both lines, and the
@@ -25,19 +25,40 @@ _TABLE_BITS, _SAMPLE = 20, 5000
 #: 64-bit words of the parities that candidates are held against before their words are.
 _WIDE = 4
 
+#: Code points of scripts that are written without blanks between words.
+_BLANKLESS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+              (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
 _SIGNS = np.ones(256, bool)  # ASCII signs and blanks part words; bytes from 128 on belong to letters
 _SIGNS[128:] = False
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _SIGNS[_c] = False
 
 
+def _alone(data: np.ndarray) -> np.ndarray:
+    """Edges of the characters of scripts without blanks, each a word: Thai, Lao, Myanmar, Khmer, kana, Bopomofo, Han, Yi."""
+    lead = np.flatnonzero((data >= 0xE0) & (data < 0xF5))
+    four = data[lead] >= 0xF0
+    size = np.where(four, 4, 3)
+    padded = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64)
+    cp = np.where(four, (padded[lead] & 7) << 18 | (padded[lead + 1] & 63) << 12 | (padded[lead + 2] & 63) << 6 | padded[lead + 3] & 63,
+                  (padded[lead] & 15) << 12 | (padded[lead + 1] & 63) << 6 | padded[lead + 2] & 63)
+    some = np.zeros(len(lead), bool)
+    for lo, hi in _BLANKLESS:
+        some |= (cp >= lo) & (cp <= hi)
+    return np.concatenate((lead[some], lead[some] + size[some]))
+
+
 def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of lower-cased texts, first word of each line, first line of each text (lines are parted by \\n), word sizes."""
     breaks = np.flatnonzero(data == 10) + 1
     starts = np.sort(np.concatenate((offsets[:-1], breaks)), kind="stable")
     first_line = np.searchsorted(breaks, offsets[:-1], "right") + np.arange(len(offsets) - 1)
     # A break in front of a text's first byte can't be its own: texts begin a line of their own.
-    words, first_word, size = word_hashes(data, np.append(starts, len(data)), _SIGNS, sizes=True)
+    ends = np.append(starts, len(data))
+    edges = np.unique(np.concatenate((ends, _alone(data))))
+    words, first_word, size = word_hashes(data, edges, _SIGNS, sizes=True)
+    first_word = first_word[np.searchsorted(edges, ends)]
     return words, first_word, np.append(first_line, len(starts)), size
 
 
@@ -359,13 +380,14 @@ def _possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("x"), "x").join(side("y"), "y").select("kind", "x", "y", "nx", "px", "ny", "py").mapInArrow(judge, "kind int, x long, y long")
 
 
-def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4) -> DataFrame:
+def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4, least_exact: int | None = None) -> DataFrame:
     """doc_id, text_hash, dropped (array of line numbers): occurrences that are not the first of their group.
 
-    Lines of fewer than least_words words are no candidates: they repeat by chance.
+    Lines of fewer than least_words words are no candidates for near copies. Those of least_exact words (by default
+    least_words) or more are compared for equality.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = stage(_lines(docs).where(F.col("n_words") >= least_words), "lines")
+    lines = stage(_lines(docs).where(F.col("n_words") >= (least_words if least_exact is None else least_exact)), "lines")
     nodes = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("parity").alias("parity"),
                                             F.min("n_words").alias("n_words"), F.count("*").alias("n"))
                   .select("line", "parity", "n_words", "at.doc_id", "at.line_no", "n"), "nodes")
@@ -392,14 +414,14 @@ def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4) -> D
             .groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("dropped")))
 
 
-def dedup_lines(docs: DataFrame, percent: int = 75, least_words: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 75, least_words: int = 4, least_exact: int | None = None) -> DataFrame:
     """docs with n_lines, n_dropped and text without the lines that are near copies of an earlier one.
 
     Order is that of (doc_id, line number); lines are parted by \\n, and null text has none. Rows with null doc_id stay as they
     are and do not count as occurrences; rows of equal doc_id count as one document. Other columns stay, clashing ones
     (n_lines, n_dropped) are replaced.
     """
-    dropped = stage(dropped_lines(docs, percent, least_words), "dropped").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    dropped = stage(dropped_lines(docs, percent, least_words, least_exact), "dropped").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
     joined = docs.join(dropped, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")

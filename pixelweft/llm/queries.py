@@ -19,7 +19,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text without repeated lines, and how many lines it had and lost."""
-    done = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    done = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"), least_exact=1)
     return done.select("doc_id", "n_lines", "n_dropped", "text")
 
 

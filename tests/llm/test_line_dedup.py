@@ -145,3 +145,17 @@ def test_every_similarity_band_meets():
             all_[similar // 5] = all_.get(similar // 5, 0) + 1
             met[similar // 5] = met.get(similar // 5, 0) + bool(ok)
         assert met == all_
+
+
+def test_short_lines_and_scripts_without_blanks(spark, tmp_path):
+    from pixelweft.llm import queries
+
+    thai, han = "สวัสดีครับยินดีต้อนรับ", "今天天气很好我们去公园散步吧"
+    texts = ["Read more\n" + han + "\nOK", "read more!\n" + han[:-1] + "呢\n一", thai + "\nok\n--", thai + "\nRead less\nmore read"]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in queries.op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: texts[0], 1: "一", 2: thai + "\n--", 3: "Read less\nmore read"}
+    data = np.frombuffer(f"ab{han[:2]}c d\n{thai[0]}".encode(), np.uint8)
+    words, first, lines, size = D.line_words(data, np.array([0, len(data)]))
+    assert first.tolist() == [0, 5, 6] and size.tolist() == [2, 3, 3, 1, 1, 3] and lines.tolist() == [0, 2]
