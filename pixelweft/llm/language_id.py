@@ -97,12 +97,14 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 48, languages: int = 64, folds: int = 5) -> Model:
-    """Learn from text and lang of docs that are not held out. At most `languages` languages, the commonest, are learned."""
+    """Learn from text and lang of docs that are not held out. Every label is learned; where there are more than `languages`,
+    rows and landmarks per label are fewer, so that their sums stay (one of each at least)."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds))
     usable = usable.select("lang", "text", F.xxhash64("text").alias("h"))
-    common = [r.lang for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
+    labels = max(languages, usable.select("lang").distinct().count())
+    per_language, landmarks = (max(1, k * languages // labels) for k in (per_language, landmarks))
     order = Window.partitionBy("lang").orderBy("h")
-    sample = usable.where(F.col("lang").isin(common)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    sample = usable.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
 
     def bits(batches):
         import pyarrow as pa

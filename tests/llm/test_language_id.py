@@ -50,3 +50,17 @@ def test_nulls_and_empty(spark):
     assert kept.columns == df.columns
     assert not {r.doc_id for r in kept.collect()} & {3, 5, 6}
     assert L.identify(df.limit(0)).count() == 0
+
+
+def test_more_labels_than_languages_are_all_learned(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(70):
+        words = ["".join(chr(0x4E00 + 40 * k + c) for c in rng.integers(0, 20, 3)) for _ in range(30)]
+        for _ in range(12 if k < 64 else 8):
+            rows.append((len(rows), " ".join(rng.choice(words, 20)), f"l{k:02d}", "s", "x", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert L.fit(docs).languages == [f"l{k:02d}" for k in range(70)]
+    got = {r.doc_id: r.lang_pred for r in L.identify(docs).collect()}
+    assert all(got[d] == lang for d, _, lang, *_ in rows)
+    assert len(L.fit(docs, languages=1, per_language=70, landmarks=7).languages) == 70
