@@ -1,6 +1,6 @@
 """I-Match document fingerprints, in DataFrame operations only.
 
-The lexicon is the set of terms whose document frequency lies in a band: rarer terms are typing errors and names, commoner
+The lexicon is the set of terms whose document frequency lies in a band (of distinct texts): rarer terms are typing errors and names, commoner
 ones say nothing. A fingerprint hashes the sorted distinct lexicon terms of a document, and those of several randomised
 subsets of the lexicon, each of a fixed part of it: a small edit changes the hash of the whole, but leaves those subsets
 as they were of which it touches no term. Parts from 1/16 to 1/1024 serve short and long documents.
@@ -31,9 +31,14 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> DataFrame:
-    """(term, df): hashes of the terms that at least max(1, least_share) and at most most_share of all documents have."""
-    counted = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count("*").alias("n"))
+    """(term, df): hashes of the terms that at least max(1, least_share) and at most most_share of all distinct texts have.
+
+    Copies count once, or a large group of them would take its own terms out of the band.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    distinct = docs.groupBy(F.xxhash64(text).alias("hash")).agg(F.min(text).alias("text"))
+    counted = distinct.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = docs.select(F.xxhash64(text).alias("hash")).distinct().agg(F.count("*").alias("n"))
     return counted.crossJoin(F.broadcast(n)).where(
         (F.col("df") >= F.col("n") * least_share) & (F.col("df") <= F.greatest(F.lit(2.0), F.col("n") * most_share))).select("term", "df")
 

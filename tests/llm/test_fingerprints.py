@@ -40,3 +40,21 @@ def test_nulls_repeats_and_empty(spark):
     rows = P.edited_fingerprints(df).collect()
     assert len(rows) == 4
     assert P.edited_fingerprints(df.limit(0)).count() == 0
+
+
+def test_large_group_of_copies_keeps_its_terms(spark):
+    import random
+
+    r = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    copy = r.sample(vocabulary, 80)
+    near = copy[:40] + ["changed"] + copy[41:]
+    others = [" ".join(r.sample(vocabulary, 60)) for _ in range(198)]
+    rows = [(k, t, "x", 1) for k, t in enumerate([" ".join(copy)] * 100 + [" ".join(near)] * 2 + others)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    df = {x.term: x.df for x in P.lexicon(docs).collect()}
+    apart = {x.term: x.df for x in P.lexicon(docs.dropDuplicates(["text"])).collect()}
+    assert df == apart
+    got = {x.doc_id: x.fingerprint for x in P.edited_fingerprints(docs).collect()}
+    a, b = ([f[k: k + 8] for k in range(0, len(f), 8)] for f in (got[0], got[100]))
+    assert any(x == y != "0" * 8 for x, y in zip(a, b))
