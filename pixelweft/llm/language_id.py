@@ -161,7 +161,11 @@ def identify(docs: DataFrame, **how) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.1, **how) -> DataFrame:
-    """The rows of docs whose text is in a learned language: prediction not `und` and a score of `least` or more."""
+def keep_known(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
+    """The rows of docs whose text is in a learned language: prediction not `und` and a score of `least` or more.
+
+    At sf0.1 nine of 10,000 documents of the learned languages score below 0.32; Polish, Finnish, Turkish and random letters
+    score 0.16 to 0.28.
+    """
     names = docs.columns
     return predict(docs, fit(docs, **how)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)

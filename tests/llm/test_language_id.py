@@ -64,3 +64,17 @@ def test_more_labels_than_languages_are_all_learned(spark):
     got = {r.doc_id: r.lang_pred for r in L.identify(docs).collect()}
     assert all(got[d] == lang for d, _, lang, *_ in rows)
     assert len(L.fit(docs, languages=1, per_language=70, landmarks=7).languages) == 70
+
+
+def test_foreign_texts_and_gibberish_in_latin_letters_go(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "xqzv wkjp bvxt qgfh zzkw pldm vqxr hjkt wbnz xcvq mfgh jkqw zxpt vbnk qwrt hgfd lkjz xvbm ptkw qzxj",
+    ]
+    more = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(foreign)], docs.schema)
+    kept = L.keep_known(docs.unionByName(more)).select("doc_id").collect()
+    assert {r.doc_id for r in kept} == {r.doc_id for r in docs.where(F.col("text").isNotNull()).collect()}
