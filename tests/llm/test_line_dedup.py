@@ -159,3 +159,14 @@ def test_short_lines_and_scripts_without_blanks(spark, tmp_path):
     data = np.frombuffer(f"ab{han[:2]}c d\n{thai[0]}".encode(), np.uint8)
     words, first, lines, size = D.line_words(data, np.array([0, len(data)]))
     assert first.tolist() == [0, 5, 6] and size.tolist() == [2, 3, 3, 1, 1, 3] and lines.tolist() == [0, 2]
+
+
+def test_same_words_in_another_order_hide_no_link(spark):
+    r = random.Random(12)
+    docs = []
+    for k in range(40):
+        words = [f"{r.choice('bcdf')}{r.randrange(10**6)}" for _ in range(24)]
+        turned, changed = r.sample(words, 24), list(words)
+        changed[r.randrange(24)] = "other"
+        docs += [(3 * k + i, " ".join(x), "s", 1, 1) for i, x in enumerate((turned, words, changed))]
+    assert got_drops(spark, docs) == brute(docs, False)
