@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ _OWN_ROOT: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a temporary one, in a local session only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="pixelweft-")
@@ -53,6 +56,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealt_parts(df: DataFrame, each: int = 16 << 20) -> int:
+    """Parts to deal what is made of df into: the shuffle partitions, or more so that each part has `each` bytes of input."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(partitions(df.sparkSession), min(size, 1 << 60) // each if size < 1 << 60 else 0)
+
+
 #: Edges up to which one task finds the components (16 bytes each); beyond it they are found by joins.
 SMALL_EDGES = 1_000_000
 
@@ -115,71 +124,145 @@ def components(edges: DataFrame) -> DataFrame:
     )).alias("e")).select("e.*").distinct()
 
 
-def connect(open_: DataFrame, star: DataFrame, verified, about: DataFrame, near) -> DataFrame | None:
+#: Weight of the members of a star that one task compares with each other; larger stars are cut in blocks, block by block.
+BLOCK_WEIGHT = 1 << 21
+
+
+def connect(open_: DataFrame, star: DataFrame, verified, data, find) -> DataFrame | None:
     """Components over the verified ones of candidate pairs, with few verifications; None where there are no candidates.
 
     open_(a, b), a < b, are candidates; verified(pairs) returns those that are links. Rows of star(a, b) stand for all pairs
-    among the b of one a. One pair per b is verified first, then the others whose ends are not
-    connected yet. Members that aren't connected with the middle of their star are at last held against all its others: by
-    what about(node, about) says of them, near(list of about) makes a function of i and an array j that tells which pairs
-    can be links, and these are verified.
+    among one a and its b. One pair per b is verified first, then the others whose ends are not connected yet. Of the stars
+    that do not hold together by then all members are compared with each other, where they lie: data() has (node, weight,
+    data), and find(data, components) gives the places of linked members of different components, one link for each two
+    components that it joins, so that no more links leave a task than it has members.
     """
     open_ = stage(open_, "open")
-    if open_.isEmpty():
+    if open_.isEmpty() and star.isEmpty():
         return None
     links = stage(verified(open_.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "links")
     found = stage(components(links), "found")
 
-    def more(pairs, label):
+    def joined(new):
         nonlocal links, found
-        apart = stage(
-            pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            .join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-            .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), label)
-        if not apart.isEmpty():
-            new = stage(verified(apart), "links")
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                found = stage(components(links), "found")
-
-    more(open_, "rest")
-    if not star.isEmpty():
-        group = (star.select("a", "b").distinct()
-                 .join(found.select(F.col("node").alias("b"), "component"), "b", "left")
-                 .join(found.select(F.col("node").alias("a"), F.col("component").alias("top")), "a", "left")
-                 .select("a", "b", F.coalesce("component", "b").alias("component"), F.coalesce("top", "a").alias("top")))
-
-        def cross(table):
-            import pyarrow as pa
-
-            node, own, top = (table.column(n).to_numpy() for n in ("b", "component", "top"))
-            may, out = near(table.column("about").to_pylist()), [np.zeros((0, 2), np.int64)]
-            for i in np.flatnonzero(own != top):
-                j = np.flatnonzero(own != own[i])
-                j = j[may(i, j)] if len(j) else j
-                out.append(np.stack((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])), 1))
-            pairs = np.unique(np.concatenate(out), axis=0)
-            return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-        broken = group.where("component != top").select("a").distinct()
-        group = group.join(broken, "a", "left_semi").join(about.select(F.col("node").alias("b"), "about"), "b")
-        crossing = group.select("a", "b", "component", "top", "about").groupBy("a").applyInArrow(cross, "a long, b long").distinct()
-        more(crossing.join(open_, ["a", "b"], "left_anti"), "cross")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = stage(components(links), "found")
+
+    apart = stage(
+        open_.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        .join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
+    if not apart.isEmpty():
+        joined(stage(verified(apart), "links"))
+    group = (star.select("a", "b").unionByName(star.select("a", F.col("a").alias("b"))).distinct()
+             .join(found.select(F.col("node").alias("b"), "component"), "b", "left").select("a", F.col("b").alias("node"), F.coalesce("component", "b").alias("component")))
+    group = stage(group, "stars")
+    broken = group.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("a")
+    if not broken.isEmpty():
+        joined(stage(_crossing(group.join(broken, "a", "left_semi"), data(), find).distinct(), "cross"))
     return found
 
 
+def _crossing(group: DataFrame, data: DataFrame, find) -> DataFrame:
+    """Links (a, b) between members of one star and of different components; group(a, node, component)."""
+    def cross(table):
+        import pyarrow as pa
+
+        node, own = table.column("node").to_numpy(), table.column("component").to_numpy()
+        at = find(table.column("data").to_pylist(), own)
+        ends = node[at]
+        return pa.table({"a": pa.array(ends.min(1)), "b": pa.array(ends.max(1))})
+
+    rows = group.join(data, "node")
+    blocks = (rows.groupBy("a").agg(F.sum("weight").alias("weight")).where(F.col("weight") > BLOCK_WEIGHT)
+              .select("a", F.ceil(F.col("weight") / BLOCK_WEIGHT).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (rows.join(blocks, "a", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "data"))
+    return dealt.groupBy("a", "i", "j").applyInArrow(cross, "a long, b long")
+
+
+def covered(n: int, near) -> tuple[np.ndarray, np.ndarray]:
+    """Of n things that met: pairs (i, j) that may link, a forest over all that may link with some other, and the places of these.
+
+    near(i) tells which of all n may link with i. It is asked only for things that were near none before.
+    """
+    lone, pairs = np.ones(n, bool), []
+    for i in range(n):
+        if lone[i]:
+            hit = near(i)
+            hit[i] = False
+            fresh = np.flatnonzero(hit & lone)
+            if not len(fresh):
+                fresh = np.flatnonzero(hit)[:1]
+            if len(fresh):
+                lone[fresh] = lone[i] = False
+                pairs.append(np.sort(np.stack((np.full(len(fresh), i), fresh), 1), axis=1))
+    return (np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)), np.flatnonzero(~lone)
+
+
+class Overlaps:
+    """Numbers of common elements of sorted sets without repeats, one against all, exactly."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        _, self.ids, count = np.unique(flat, return_inverse=True, return_counts=True)
+        #: Elements of each set that another one has too.
+        self.end = np.cumsum(self.size)
+        self.shared = self._sums(count[self.ids] > 1)
+        self.mark = np.zeros(len(count) + 1, bool)
+
+    def _sums(self, flags: np.ndarray) -> np.ndarray:
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(flags)))
+        return total[self.end] - total[self.end - self.size]
+
+    def of(self, i: int) -> np.ndarray:
+        own = self.ids[self.end[i] - self.size[i]: self.end[i]]
+        self.mark[own] = True
+        out = self._sums(self.mark[self.ids])
+        self.mark[own] = False
+        return out
+
+    def only(self, keep: np.ndarray) -> "Overlaps":
+        """The same for the sets at the places `keep`."""
+        some = object.__new__(Overlaps)
+        some.size, some.mark = self.size[keep], self.mark
+        some.ids = np.concatenate([self.ids[self.end[k] - self.size[k]: self.end[k]] for k in keep]) if len(keep) else self.ids[:0]
+        some.end, some.shared = np.cumsum(some.size), self.shared[keep]
+        return some
+
+
+def joining(component: np.ndarray, near) -> np.ndarray:
+    """Pairs of places that join components: near(i, places) gives those of the places, all of other components, that i links with.
+
+    Of two different components one is not the commonest, so only the members of the others are asked.
+    """
+    _, own, count = np.unique(component, return_inverse=True, return_counts=True)
+    out = []
+    for i in np.flatnonzero(own != count.argmax()) if len(count) > 1 else ():
+        others = np.flatnonzero(own != own[i])
+        hit = near(i, others) if len(others) else others
+        if len(hit):
+            _, first = np.unique(own[hit], return_index=True)  # one link for each other component
+            out += [(i, hit[k]) for k in first]
+            own[np.isin(own, own[hit])] = own[i]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 # ---------------------------------------------------------------- words and hashes over a batch of UTF-8 texts
 
 _RNG = np.random.Generator(np.random.PCG64(20240611))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: By number of bytes: the mask of a little-endian word's first bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -189,16 +272,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps)
-    return _POWERS[0], _POWERS[1]
-
-
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column; null counts as empty."""
     import pyarrow as pa
@@ -210,7 +283,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]: offsets[-1]] if len(offsets) else data[:0], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 20):
+def chunks(offsets: np.ndarray, most: int = 1 << 18):
     """Row ranges [i, j) of at most `most` bytes, or of one row."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -222,7 +295,8 @@ def chunks(offsets: np.ndarray, most: int = 1 << 20):
 def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, sizes: bool = False) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words (A-Z lower-cased) of some texts, and the first word's index of each text.
 
-    space: which bytes part words, by default those of [ \\t-\\r]. sizes: also return the words' lengths in bytes.
+    space: which bytes part words, by default those of [ \\t-\\r]. sizes: also return the words' lengths in bytes. A word is
+    read eight bytes at a time, from every byte's place as a 64-bit word.
     """
     n = len(data)
     if not n:
@@ -231,12 +305,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(word & (edge[:-1] | np.concatenate(([True], ~word[:-1]))))
-    ends = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LOWER[data] * up[:n], out=total[1:])
-    hashes = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return (hashes, np.searchsorted(starts, offsets), ends - starts)[: 2 + sizes]
+    size = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1 - starts
+    at_byte = np.ndarray((n,), "<u8", np.concatenate((_LOWER[data], np.zeros(8, np.uint8))), strides=(1,))
+    hashes = mix64((at_byte[starts] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(_BASE))
+    more, done = np.flatnonzero(size > 8), 8
+    while len(more):
+        hashes[more] = mix64(hashes[more] ^ at_byte[starts[more] + done] & _FIRST[np.minimum(size[more] - done, 8)])
+        done += 8
+        more = more[size[more] > done]
+    return (hashes, np.searchsorted(starts, offsets), size)[: 2 + sizes]
 
 
 _TURN = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)

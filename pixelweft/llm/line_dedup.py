@@ -12,11 +12,13 @@ connected group the occurrence with the smallest (doc_id, line number) stays.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, _BASE, chunks, connect, mix64, partitions, slices, stage, text_bytes, word_hashes
+from .common import Overlaps, _INVERSE, _BASE, chunks, connect, covered, dealt_parts, joining, mix64, slices, stage, text_bytes, word_hashes
 
 #: Lines under one gram of which all pairs are compared; with more, stars.
 _FEW = 24
@@ -24,6 +26,8 @@ _FEW = 24
 _TABLE_BITS, _SAMPLE = 20, 5000
 #: 64-bit words of the parities that candidates are held against before their words are.
 _WIDE = 4
+#: The grams are dealt in so many rounds, one after the other, so that the shuffle of one is gone before the next.
+ROUNDS = 2
 
 #: Code points of scripts that are written without blanks between words.
 _BLANKLESS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
@@ -128,16 +132,20 @@ def _grams(words: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarr
 
 
 def leading_grams(words: np.ndarray, first: np.ndarray, percent: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line and hash of the distinct grams under which lines meet; order: rank by the hash's upper bits."""
-    line, gram = _grams(words, first, percent)
-    at = np.lexsort((gram, order[(gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)], line))
-    line, gram = line[at], gram[at]
-    rank = np.arange(len(line)) - np.searchsorted(line, line)
-    keep = rank <= (np.diff(first) * (100 - percent) // (50 if percent >= 75 else 100))[line]
-    line, gram = line[keep], gram[keep]
-    fresh = np.ones(len(line), bool)
-    fresh[1:] = (line[1:] != line[:-1]) | (gram[1:] != gram[:-1])
-    return line[fresh], gram[fresh]
+    """Line and hash (its upper 42 bits) of the distinct grams under which lines meet; order: rank below 64 by the hash's upper bits."""
+    most = np.diff(first) * (100 - percent) // (50 if percent >= 75 else 100)
+    lines, grams = [first[:0]], [words[:0]]
+    for lo in range(0, len(most), 1 << 16):  # one sort of 64-bit words: line, rank, gram
+        part = first[lo: lo + (1 << 16) + 1]
+        line, gram = _grams(words[part[0]: part[-1]], part - part[0], percent)
+        key = np.sort(line.astype(np.uint64) << np.uint64(48) | order[(gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(42) | gram >> np.uint64(22))
+        line = (key >> np.uint64(48)).astype(np.int64)
+        begin = np.searchsorted(line, np.arange(len(part)))
+        keep = np.arange(len(key)) - begin[line] <= most[lo: lo + len(part) - 1][line]
+        keep[1:] &= key[1:] != key[:-1]
+        lines.append(line[keep] + lo)
+        grams.append(key[keep] & np.uint64((1 << 42) - 1))
+    return np.concatenate(lines), np.concatenate(grams)
 
 
 def word_edit_distance(a: list, b: list) -> int:
@@ -205,7 +213,7 @@ def _chunks_of_words(batch, least_words: int):
 
 
 def _order(docs: DataFrame, percent: int, least_words: int) -> np.ndarray:
-    """How often grams are in a sample of docs, by the upper bits of their hashes."""
+    """Ranks below 64 by how often grams are in a sample of docs, by the upper bits of their hashes."""
     share = min(1.0, _SAMPLE / max(1, docs.count()))
 
     def count(batches):
@@ -221,54 +229,67 @@ def _order(docs: DataFrame, percent: int, least_words: int) -> np.ndarray:
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * share)).select("text")
     rows = sample.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
-    order = np.zeros(1 << _TABLE_BITS, np.int32)
-    order[rows.column("place").to_numpy()] = np.minimum(rows.column("n").to_numpy(), 2**31 - 1)
+    order = np.zeros(1 << _TABLE_BITS, np.uint64)
+    n = rows.column("n").to_numpy()
+    order[rows.column("place").to_numpy()] = np.minimum(np.where(n < 32, n, 27 + np.log2(np.maximum(n, 1)).astype(np.int64)), 63)
     return order
 
 
-def _near(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
-    """(kind, a, b): candidate pairs of lines, a < b.
+def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
+    """Tables (kind, a, b) of candidate pairs of lines, a < b.
 
     Large groups are covered by stars around their lines: kind 0 is a pair, 1 a pair that is part of a star around a, 2 a mere
     member b of the star around a. Members of a star stand for all pairs among them.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = dealt_parts(docs)
     docs = docs.where("doc_id IS NOT NULL")
     held = spark.sparkContext.broadcast(_order(docs, percent, least_words))
 
-    def deal(batches):
-        import pyarrow as pa
-
-        for batch in slices(batches, 2000):
-            part, blob = [], []
-            for names, words, first in _chunks_of_words(batch, least_words):
-                line, gram = leading_grams(words, first, percent, held.value)
-                rows = np.stack((gram.view(np.int64), names[line], parities(words, first)[line, 0], np.diff(first)[line]), 1)
-                to = (gram % np.uint64(parts)).astype(np.int32)
-                at = np.argsort(to, kind="stable")
-                cut = np.searchsorted(to[at], np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(cut)):
-                    some = rows[at[cut[p]: cut[p + 1]]]
-                    part.append(int(p))
-                    blob.append(some[:, :3].tobytes() + some[:, 3].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["part", "data"])
+    def deal(only):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in slices(batches, 2000):
+                part, blob, tos, rows = [], [], [], []
+                for names, words, first in _chunks_of_words(batch, least_words):
+                    line, gram = leading_grams(words, first, percent, held.value)
+                    some = (gram % np.uint64(ROUNDS)).astype(np.int64) == only
+                    line, gram = line[some], gram[some] // np.uint64(ROUNDS)
+                    tos.append((gram % np.uint64(parts)).astype(np.int32))
+                    rows.append((names[line], parities(words, first)[line, 0], (gram // np.uint64(parts)).astype(np.uint32), np.minimum(np.diff(first)[line], 2**32 - 1).astype(np.uint32)))
+                if rows:
+                    to, rows = np.concatenate(tos), [np.concatenate(c) for c in zip(*rows)]
+                    at = np.argsort(to.astype(np.uint16) if parts < 1 << 16 else to, kind="stable")
+                    rows, cut = [c[at] for c in rows], np.searchsorted(to[at], np.arange(parts + 1))
+                    for p in np.flatnonzero(np.diff(cut)):
+                        part.append(int(p))
+                        blob.append(b"".join(c[cut[p]: cut[p + 1]].tobytes() for c in rows))
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["part", "data"])
+
+        return run
 
     def meet(table):
         import pyarrow as pa
 
-        long, short = [], []
+        columns = [[], [], [], []]
         for data in table.column("data").to_pylist():
-            n = len(data) // 28
-            long.append(np.frombuffer(data, np.int64, 3 * n).reshape(n, 3))
-            short.append(np.frombuffer(data, np.uint32, n, 24 * n))
-        rows, size = np.concatenate(long), np.concatenate(short).astype(np.int64)
-        del long, short
-        key, name = rows[:, 0], rows[:, 1]
-        at = np.lexsort((name, key))
-        at = at[np.concatenate(([True], (key[at][1:] != key[at][:-1]) | (name[at][1:] != name[at][:-1])))]
-        key, name, parity, size = key[at], name[at], rows[at, 2:], size[at]
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            n, at = len(data) // 24, 0
+            for c, kind in zip(columns, (np.int64, np.int64, np.uint32, np.uint32)):
+                c.append(np.frombuffer(data, kind, n, at))
+                at += n * c[-1].itemsize
+        name, parity, key, size = (np.concatenate(c) for c in columns)
+        del columns
+        # Most grams are in one line only; these go by one sort of 64-bit words: gram, place.
+        both = np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
+        same = np.flatnonzero(both[1:] >> np.uint64(32) == both[:-1] >> np.uint64(32))
+        at = (both[np.union1d(same, same + 1)] & np.uint64(2**32 - 1)).astype(np.int64)
+        at = at[np.lexsort((name[at], key[at]))]
+        key, name, parity, size = key[at], name[at], parity[at, None], size[at].astype(np.int64)
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        key, name, parity, size = key[fresh], name[fresh], parity[fresh], size[fresh]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         length = np.diff(np.append(start, len(key)))
         within = np.repeat(length, length)
         none = np.zeros((0, 2), np.int64)
@@ -280,33 +301,26 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
             same = same[may_link(size[same], parity[same], size[same + d], parity[same + d], percent)]
             pairs.append(np.stack((name[same], name[same + d]), 1))
         for g in np.flatnonzero(length > _FEW):
-            rest = np.arange(start[g], start[g] + length[g])
-            if (what := name[rest].tobytes()) in seen:  # the same lines under another gram
+            some = slice(start[g], start[g] + length[g])
+            names, n, bits = name[some], size[some], parity[some]
+            if (what := names.tobytes()) in seen:  # the same lines under another gram
                 continue
             seen.add(what)
-            while len(rest) > 1:
-                lead, rest = rest[0], rest[1:]
-                near = may_link(size[lead], parity[lead], size[rest], parity[rest], percent)
-                members, rest = rest[near], rest[~near]
-                if not len(members):
-                    continue
-                stars.append(np.stack((np.full(len(members), name[lead]), name[members]), 1))
-                # Of what is left, lines near some member: a pair with the likeliest, and a place in the star.
-                best, least = np.zeros(len(rest), np.int64), np.full(len(rest), 255, np.uint8)
-                for m in members if len(rest) else ():
-                    may = may_link(size[m], parity[m], size[rest], parity[rest], percent)
-                    far = np.where(may, np.bitwise_count((parity[m] ^ parity[rest]).view(np.uint64))[:, 0], 255)
-                    best, least = np.where(far < least, name[m], best), np.minimum(far, least)
-                close = least < 255
-                x, m = name[rest[close]], best[close]
-                pairs.append(np.stack((np.minimum(m, x), np.maximum(m, x)), 1))
-                only.append(np.stack((np.full(len(x), name[lead]), x), 1))
+            forest, members = covered(len(names), lambda i: may_link(n[i], bits[i], n, bits, percent))
+            if len(members):
+                lead = members[0]
+                direct = forest[forest[:, 0] == lead]
+                stars.append(names[direct])
+                pairs.append(names[forest[forest[:, 0] != lead]])
+                rest = np.setdiff1d(members[1:], direct[:, 1])
+                only.append(np.stack((np.full(len(rest), names[lead]), names[rest]), 1))
         found = [np.unique(np.concatenate(x), axis=0) for x in (pairs, stars, only)]
         both = np.concatenate(found)
         kind = np.repeat(np.arange(3, dtype=np.int32), [len(x) for x in found])
         return pa.table({"kind": pa.array(kind), "a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
-    return docs.select("text").mapInArrow(deal, "part int, data binary").groupBy("part").applyInArrow(meet, "kind int, a long, b long").distinct()
+    return [stage(docs.select("text").mapInArrow(deal(k), "part int, data binary").groupBy("part").applyInArrow(meet, "kind int, a long, b long"), "near")
+            for k in range(ROUNDS)]
 
 
 def _verifier(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: int):
@@ -316,18 +330,19 @@ def _verifier(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: int
     def fetch(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            lines, held = [], []
-            for text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data, offsets = text_bytes(pa.array([(text or "").lower()], pa.large_string()))
-                words, first, _, _ = line_words(data, offsets)
-                names = line_names(words, first)
-                for a in at:
-                    k = a["line_no"]
-                    if k < len(names) and names[k] == a["line"]:
-                        lines.append(a["line"])
-                        held.append(words[first[k]: first[k + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(held, pa.binary())], ["line", "words"])
+        for batch in slices(batches, 500):
+            wanted, text = [], []
+            for whole, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lines = (whole or "").lower().split("\n")
+                at = [a for a in at if a["line_no"] < len(lines)]
+                wanted += [a["line"] for a in at]
+                text += [lines[a["line_no"]] for a in at]
+            wanted = np.array(wanted, np.int64)
+            data, offsets = text_bytes(pa.array(text, pa.large_string()))
+            for i, j in chunks(offsets):
+                words, first, _, _ = line_words(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
+                same = np.flatnonzero(line_names(words, first) == wanted[i:j])  # doc_id may repeat with other texts
+                yield pa.RecordBatch.from_arrays([pa.array(wanted[i:j][same]), pa.array([words[first[k]: first[k + 1]].tobytes() for k in same], pa.binary())], ["line", "words"])
 
     texts = stage(docs.select("doc_id", "text").join(places, "doc_id").select("text", "at").mapInArrow(fetch, "line long, words binary")
                   .dropDuplicates(["line"]), "words")
@@ -349,16 +364,35 @@ def _verifier(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: int
                 .join(texts.select(F.col("line").alias("b"), F.col("words").alias("wb")), "b")
                 .select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long"))
 
-    return verified
+    return verified, texts
+
+
+def _find(percent: int):
+    """For `connect`: linked lines of different components, of the word sequences of lines that met."""
+    def find(data, component):
+        sequences = [np.frombuffer(x, np.uint64) for x in data]
+        bags = []  # the k-th occurrence of a word is an element of its own
+        for s in sequences:
+            x = np.sort(s)
+            begin = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+            bags.append(mix64(x + (np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x))))).astype(np.uint64) * np.uint64(_BASE)))
+        overlaps = Overlaps(bags)
+        some = np.flatnonzero(100 * overlaps.shared >= percent * overlaps.size)
+        overlaps, held = overlaps.only(some), {}
+
+        def words(k):
+            if k not in held:
+                held[k] = sequences[some[k]].tolist()
+            return held[k]
 
+        def near(i, others):
+            long = np.maximum(overlaps.size[others], overlaps.size[i])
+            others = others[100 * overlaps.of(i)[others] >= percent * long]
+            return np.array([j for j in others if 100 * (max(len(words(i)), len(words(j))) - word_edit_distance(words(i), words(j))) >= percent * max(len(words(i)), len(words(j)))], np.int64)
 
-def _close(percent: int):
-    def near(about):
-        n = np.array([x["n_words"] for x in about], np.int64)
-        parity = np.frombuffer(b"".join(x["parity"] for x in about), np.int64).reshape(-1, _WIDE)
-        return lambda i, j: may_link(n[i], parity[i], n[j], parity[j], percent)
+        return some[joining(component[some], near)]
 
-    return near
+    return find
 
 
 def _possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
@@ -391,19 +425,19 @@ def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4, leas
     nodes = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("parity").alias("parity"),
                                             F.min("n_words").alias("n_words"), F.count("*").alias("n"))
                   .select("line", "parity", "n_words", "at.doc_id", "at.line_no", "n"), "nodes")
-    near = stage(_near(docs, percent, least_words).select("kind", F.col("a").alias("x"), F.col("b").alias("y")), "near")
+    near = functools.reduce(DataFrame.unionByName, _near(docs, percent, least_words)).select("kind", F.col("a").alias("x"), F.col("b").alias("y")).distinct()
     pairs = stage(_possible(near, nodes.select("line", "n_words", "parity"), percent), "pairs")
-    verifier = None
+    held = None
 
-    def verified(some):
-        nonlocal verifier
-        if verifier is None:
-            verifier = _verifier(docs, nodes, pairs.select(F.explode(F.array("x", "y")).alias("line")).distinct(), percent)
-        return verifier(some)
+    def verifier():
+        nonlocal held
+        if held is None:
+            held = _verifier(docs, nodes, pairs.select(F.explode(F.array("x", "y")).alias("line")).distinct(), percent)
+        return held
 
     candidates = pairs.where("kind < 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    found = connect(candidates, pairs.where("kind > 0").select(F.col("x").alias("a"), F.col("y").alias("b")), verified,
-                    nodes.select(F.col("line").alias("node"), F.struct("n_words", "parity").alias("about")), _close(percent))
+    found = connect(candidates, pairs.where("kind > 0").select(F.col("x").alias("a"), F.col("y").alias("b")), lambda some: verifier()[0](some),
+                    lambda: verifier()[1].select(F.col("line").alias("node"), (F.length("words") / 8).cast("long").alias("weight"), F.col("words").alias("data")), _find(percent))
     if found is None:
         group = nodes.withColumn("component", F.col("line"))
     else:
