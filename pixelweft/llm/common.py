@@ -184,6 +184,17 @@ def _crossing(group: DataFrame, data: DataFrame, find) -> DataFrame:
     return dealt.groupBy("a", "i", "j").applyInArrow(cross, "a long, b long")
 
 
+def free_names(columns, *names: str) -> list[str]:
+    """The names, each with as many _ in front as it takes to clash with none of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 def covered(n: int, near) -> tuple[np.ndarray, np.ndarray]:
     """Of n things that met: pairs (i, j) that may link, a forest over all that may link with some other, and the places of these.
 
@@ -204,34 +215,32 @@ def covered(n: int, near) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Overlaps:
-    """Numbers of common elements of sorted sets without repeats, one against all, exactly."""
+    """Numbers of common elements of sets without repeats, none empty: one against all, exactly."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        _, self.ids, count = np.unique(flat, return_inverse=True, return_counts=True)
-        #: Elements of each set that another one has too.
-        self.end = np.cumsum(self.size)
-        self.shared = self._sums(count[self.ids] > 1)
-        self.mark = np.zeros(len(count) + 1, bool)
+        _, ids, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+        self.ids, self.mark = ids.astype(np.int32), np.zeros(len(count) + 1, np.int32)
+        self.start = np.cumsum(self.size) - self.size
+        #: How many elements of each set another one has too.
+        self.shared = self._sums((count > 1).astype(np.int32))
 
-    def _sums(self, flags: np.ndarray) -> np.ndarray:
-        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(flags)))
-        return total[self.end] - total[self.end - self.size]
+    def _sums(self, by_element: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(by_element.take(self.ids), self.start) if len(self.start) else self.size
 
     def of(self, i: int) -> np.ndarray:
-        own = self.ids[self.end[i] - self.size[i]: self.end[i]]
-        self.mark[own] = True
-        out = self._sums(self.mark[self.ids])
-        self.mark[own] = False
+        own = self.ids[self.start[i]: self.start[i] + self.size[i]]
+        self.mark[own] = 1
+        out = self._sums(self.mark)
+        self.mark[own] = 0
         return out
 
     def only(self, keep: np.ndarray) -> "Overlaps":
         """The same for the sets at the places `keep`."""
         some = object.__new__(Overlaps)
-        some.size, some.mark = self.size[keep], self.mark
-        some.ids = np.concatenate([self.ids[self.end[k] - self.size[k]: self.end[k]] for k in keep]) if len(keep) else self.ids[:0]
-        some.end, some.shared = np.cumsum(some.size), self.shared[keep]
+        some.size, some.shared, some.mark = self.size[keep], self.shared[keep], self.mark
+        some.start = np.cumsum(some.size) - some.size
+        some.ids = self.ids[np.repeat(self.start[keep] - some.start, some.size) + np.arange(some.size.sum())]
         return some
 
 

@@ -13,10 +13,11 @@ agree on one of them. Sets are dealt to size bands so narrow that a partner is a
   partners in the same position; every other partner's own choice suffices.
 
 Sets that share a signature are candidates. Every shuffled set carries a small sketch, the number of its elements in each
-of 64 ranges of the hash; the sum of the smaller counts bounds the intersection from above, so unrelated sets that only
-share a passage are ruled out where they meet. What remains is verified exactly, one pair per set first and the rest only
-between sets that are not connected yet. Under a signature with many sets, stars around the smallest ones stand for all
-pairs; where a star turns out not to hold together, its members are compared with each other afterwards. No link is lost.
+of 64 ranges of the hash (a finer one for large sets); the sum of the smaller counts bounds the intersection from above, so
+unrelated sets that only share a passage are ruled out where they meet. What remains is verified exactly on the sets, one
+pair per set first and the rest only between sets that are not connected yet. Under a signature with many sets, a star
+around the first stands for all pairs; where it turns out not to hold together, all its members are compared exactly in
+one task (or block by block, see `common.connect`), from which at most one link a member comes out. No link is lost.
 
 Nodes are sets, named by a 64-bit hash: documents with equal sets are one node.
 """
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, connect, mix64, partitions, shingle_sets, slices, stage, text_bytes
+from .common import Overlaps, chunks, connect, covered, dealt_parts, free_names, joining, mix64, shingle_sets, slices, stage, text_bytes
 
 _U = np.uint64
 #: Kinds of rows: part of a star, other candidate pair, document, mere member of a star (0: signatures).
@@ -134,31 +135,54 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.concatenate((np.array([len(s) | unit << 40], np.int64), (nibble[::2] | nibble[1::2] << 4).view(np.int64)))
 
 
-def fine_sketch(s: np.ndarray, each: int = 4) -> bytes:
-    """Counts in a power of two of hash ranges, about `each` elements to each: the same bound for large sets, nearly as tight."""
-    k = min(20, max(6, (len(s) // each).bit_length()))
+def fine_sketch(s: np.ndarray) -> bytes:
+    """Counts in a power of two of hash ranges, four to eight elements to each: the same bound for large sets."""
+    k = min(20, max(6, (len(s) // 8).bit_length()))
     count = np.bincount((s >> _U(64 - k)).astype(np.int64), minlength=1 << k)
     unit = max(1, -(-int(count.max(initial=0)) // 15))
     nibble = (-(-count // unit)).astype(np.uint8)
-    return np.array([k, unit, len(s)], "<u4").tobytes() + (nibble[::2] | nibble[1::2] << 4).tobytes()
+    return np.array([k, unit], "<u4").tobytes() + (nibble[::2] | nibble[1::2] << 4).tobytes()
 
 
-def _fine_counts(data: bytes) -> tuple[int, int, np.ndarray]:
-    k, unit, n = np.frombuffer(data, "<u4", 3).tolist()
-    packed = np.frombuffer(data, np.uint8, offset=12)
+def _fine_counts(data: bytes) -> tuple[int, np.ndarray]:
+    k, unit = np.frombuffer(data, "<u4", 2).tolist()
+    packed = np.frombuffer(data, np.uint8, offset=8)
     count = np.empty(1 << k, np.int32)
     count[::2], count[1::2] = packed & 15, packed >> 4
-    return k, n, count * unit
-
-
-def fine_may_link(a: bytes, b: bytes, percent: int) -> bool:
-    (k, n, x), (j, m, y) = _fine_counts(a), _fine_counts(b)
-    if k > j:
-        x = x.reshape(1 << j, -1).sum(1)
-    elif j > k:
-        y = y.reshape(1 << k, -1).sum(1)
-    both = min(int(np.minimum(x, y).sum()), n, m)
-    return 100 * both >= percent * (n + m - both)
+    return k, count * unit
+
+
+class FineSketches:
+    """Fine sketches of the large ones among sets, compared many pairs at a time."""
+
+    def __init__(self, size: np.ndarray, sketches: list[bytes], percent: int):
+        self.size, self.percent = size, percent
+        self.count = {i: _fine_counts(x) for i, x in enumerate(sketches) if x}
+        self.k = np.array([self.count[i][0] if x else 0 for i, x in enumerate(sketches)], np.int64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each set, and counts in 2^k ranges; partners are so alike in size that their own k is that or one more."""
+        if k not in self.tables:
+            some = np.flatnonzero((self.k == k) | (self.k == k + 1))
+            row = np.zeros(len(self.k), np.int64)
+            row[some] = np.arange(len(some))
+            self.tables[k] = row, np.stack([self.count[i][1].reshape(1 << k, -1).sum(1) for i in some])
+        return self.tables[k]
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        keep = np.ones(len(j), bool)
+        least, apart = np.minimum(self.k[i], self.k[j]), np.abs(self.k[i] - self.k[j])
+        for k in np.unique(least[(least > 0) & (apart < 2)]).tolist():
+            row, count = self.table(k)
+            some = np.flatnonzero((least == k) & (apart < 2))
+            step = max(1, (1 << 21) >> k)
+            for at in range(0, len(some), step):
+                p = some[at: at + step]
+                a, b = self.size[i[p]], self.size[j[p]]
+                both = np.minimum(np.minimum(count[row[i[p]]], count[row[j[p]]]).sum(1), np.minimum(a, b))
+                keep[p] = 100 * both >= self.percent * (a + b - both)
+        return keep
 
 
 def _unpacked(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,14 +194,15 @@ def _unpacked(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _may_link(size, count, i, j, percent: int) -> np.ndarray:
-    """Whether sets i and j can be similar as far as their sketches tell."""
-    keep = np.zeros(len(j), bool)
+    """Whether sets i and j can be similar as far as their sizes and sketches tell."""
     i = np.broadcast_to(i, j.shape)
-    for at in range(0, len(j), 1 << 14):
-        some = slice(at, at + (1 << 14))
-        a, b = size[i[some]], size[j[some]]
-        both = np.minimum(np.minimum(count[i[some]], count[j[some]]).sum(1), np.minimum(a, b))
-        keep[some] = 100 * both >= percent * (a + b - both)
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    keep = 100 * low >= percent * high
+    alike = np.flatnonzero(keep)
+    for at in range(0, len(alike), 1 << 13):
+        some = alike[at: at + (1 << 13)]
+        both = np.minimum(np.minimum(count[i[some]], count[j[some]]).sum(1), low[some])
+        keep[some] = 100 * both >= percent * (low[some] + high[some] - both)
     return keep
 
 
@@ -204,16 +229,15 @@ def _deal(percent: int, width: int, parts: int):
             rows = np.stack([ids.fill_null(0).to_numpy().astype(np.int64), known.astype(np.int64), size, names], 1)
             for some in np.array_split(np.arange(len(rows)), max(1, len(rows) // 1024)):
                 if len(some):
-                    fine = [fine_sketch(sets[i]) for i in some]
                     part.append(int(mix64(rows[some[:1], 3].astype(np.uint64))[0] % _U(parts)))
                     kind.append(_DOC)
-                    blob.append(np.concatenate(([len(some)], rows[some].reshape(-1), [len(f) for f in fine])).astype(np.int64).tobytes() + b"".join(fine))
+                    blob.append(rows[some].tobytes())
 
             name, at = np.unique(names[known & (size > 0)], return_index=True)  # equal sets go once
             at = np.flatnonzero(known & (size > 0))[at]
             keys = [bands.signatures(sets[i]) for i in at]
             about = np.array([sketch(sets[i]) for i in at], np.int64).reshape(-1, 5)
-            more = [fine_sketch(sets[i], 8) if size[i] > LARGE else b"" for i in at]
+            more = [fine_sketch(sets[i]) if size[i] > LARGE else b"" for i in at]
             owner = np.repeat(np.arange(len(at), dtype=np.int32), [len(k) for k in keys])
             key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             to = ((key >> _U(20)) % _U(parts)).astype(np.int32)
@@ -240,14 +264,11 @@ def _meet(percent: int):
     def meet(table):
         import pyarrow as pa
 
-        out, fine, keys, nodes, abouts, extras, counts = [], [], [], [], [], [], []
+        out, keys, nodes, abouts, extras, counts = [], [], [], [], [], []
         for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
             x = np.frombuffer(data, np.int64, len(data) // 8)
             if kind == _DOC:
-                n = int(x[0])
-                out.append((np.full(n, _DOC), *x[1: 4 * n + 1].reshape(n, 4).T))
-                end = 8 * (5 * n + 1) + np.cumsum(x[4 * n + 1: 5 * n + 1])
-                fine += [data[a:b] for a, b in zip([8 * (5 * n + 1), *end[:-1].tolist()], end.tolist())]
+                out.append((np.full(len(x) // 4, _DOC), *x.reshape(-1, 4).T))
             else:
                 n = int(x[0])
                 nodes.append(x[1: n + 1])
@@ -261,13 +282,12 @@ def _meet(percent: int):
         if keys:
             name, first, inverse = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
             size, count = _unpacked(np.concatenate(abouts)[first])
-            extra = [extras[i] for i in first]
+            fine = FineSketches(size, [extras[i] for i in first], percent)
 
             def may_link(i, j):
                 keep = _may_link(size, count, i, j, percent)
-                i = np.broadcast_to(i, j.shape)
-                for at in np.flatnonzero(keep & (size[i] > LARGE) & (size[j] > LARGE)):
-                    keep[at] = fine_may_link(extra[i[at]], extra[j[at]], percent)
+                some = np.flatnonzero(keep)
+                keep[some] = fine.may_link(np.broadcast_to(i, j.shape)[some], j[some])
                 return keep
 
             node = np.repeat(inverse, np.concatenate(counts)).astype(np.int64)
@@ -292,104 +312,87 @@ def _meet(percent: int):
             stars, only, others = [], [], [np.stack((i[keep], j[keep]), 1)]
             seen = set()
             for g in np.flatnonzero(length > _FEW):
-                rest = node[start[g]: start[g] + length[g]]
-                if (what := rest.tobytes()) in seen:  # the same sets under another signature
+                some = node[start[g]: start[g] + length[g]]
+                if (what := some.tobytes()) in seen:  # the same sets under another signature
                     continue
                 seen.add(what)
-                while len(rest) > 1:
-                    lead, rest = rest[0], rest[1:]
-                    near = may_link(lead, rest)
-                    members, rest = rest[near], rest[~near]
-                    if not len(members):
-                        continue
-                    stars.append(np.stack((np.full(len(members), lead), members), 1))
-                    # Of what is left, sets near some member: a pair with the likeliest, and a place in the star.
-                    for x in rest:
-                        hit = members[may_link(x, members)]
-                        if len(hit):
-                            m = hit[np.minimum(count[hit], count[x]).sum(1).argmax()]
-                            others.append(np.array([[min(m, x), max(m, x)]]))
-                            only.append(np.array([[lead, x]]))
+                forest, members = covered(len(some), lambda k: may_link(some[k], some))
+                if len(members):
+                    direct = forest[forest[:, 0] == members[0]]
+                    stars.append(some[direct])
+                    others.append(some[forest[forest[:, 0] != members[0]]])
+                    rest = np.setdiff1d(members[1:], direct[:, 1])
+                    only.append(np.stack((np.full(len(rest), some[members[0]]), some[rest]), 1))
             for kind, found in ((_STAR, stars), (_OPEN, others), (_MEMBER, only)):
                 found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
                 zero = np.zeros(len(found), np.int64)
                 out.append((np.full(len(found), kind), name[found[:, 0]], name[found[:, 1]], zero, zero))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
-        table = {n: pa.array(c.astype(np.int64)) for n, c in zip(("kind", "a", "b", "c", "d"), columns)}
-        return pa.table(table | {"fine": pa.array(fine + [None] * (len(columns[0]) - len(fine)), pa.binary())})
+        return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("kind", "a", "b", "c", "d"), columns)})
 
     return meet
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) of sets that are similar; texts(node, text) has a text of every set."""
-    def verify(batches):
-        import pyarrow as pa
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
-        held: dict[int, np.ndarray] = {}
 
-        def sets_of(names, column):
-            todo = [i for i, x in enumerate(names) if x not in held]
-            seen = dict(zip((names[i] for i in reversed(todo)), reversed(todo)))
-            if len(held) > 256:
-                held.clear()
-                seen = {x: i for i, x in enumerate(names)}
-            rows = sorted(seen.values())
-            data, offsets = text_bytes(column.take(pa.array(rows, pa.int64())))
-            sets = []
-            for i, j in chunks(offsets):
-                sets += shingle_sets(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], width)
-            held.update(zip((names[i] for i in rows), sets))
-            return [held[x] for x in names]
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                a, b = batch.column(0), batch.column(1)
-                left = sets_of(a.to_pylist(), batch.column(2))
-                right = sets_of(b.to_pylist(), batch.column(3))
-                keep = pa.array([similar(x, y, percent) for x, y in zip(left, right)])
-                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
-
-    return (
-        pairs.select("a", "b")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        .select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
-    )
-
-
-def _possible(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their fine sketches do not rule out; fine(node, fine)."""
-    def judge(batches):
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that are similar; sets(node, weight, data)."""
+    def verify(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            keep = pa.array([fine_may_link(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+        for batch in slices(batches, 256):
+            keep = pa.array([similar(unpacked(x), unpacked(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return (pairs.join(fine.select(F.col("node").alias("b"), F.col("fine").alias("fb")), "b")
-            .join(fine.select(F.col("node").alias("a"), F.col("fine").alias("fa")), "a")
-            .select("a", "b", "fa", "fb").mapInArrow(judge, "a long, b long"))
+    return (pairs.select("a", "b")
+            .join(sets.select(F.col("node").alias("b"), F.col("data").alias("db")), "b")
+            .join(sets.select(F.col("node").alias("a"), F.col("data").alias("da")), "a")
+            .select("a", "b", "da", "db").mapInArrow(verify, "a long, b long"))
+
+
+def _find(percent: int):
+    """For `connect`: similar sets of different components, of those that met."""
+    def find(data, component):
+        overlaps = Overlaps([unpacked(x) for x in data])
+        some = np.flatnonzero(100 * overlaps.shared >= percent * overlaps.size)
+        overlaps = overlaps.only(some)
+
+        def near(i, others):
+            both = overlaps.of(i)[others]
+            return others[100 * both >= percent * (overlaps.size[i] + overlaps.size[others] - both)]
 
+        return some[joining(component[some], near)]
 
-def _texts(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, text): a text of each wanted set, read again from docs by its smallest document."""
-    def check(batches):
+    return find
+
+
+def _sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, weight, data): the wanted sets, made again from the text of the smallest document of each."""
+    def make(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             data, offsets = text_bytes(batch.column(1))
             sets = []
             for i, j in chunks(offsets):
                 sets += shingle_sets(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], width)
             names = batch.column(0).to_pylist()
-            keep = pa.array([set_name(s) == x for s, x in zip(sets, names)], pa.bool_())  # doc_id may repeat with other texts
-            yield batch.filter(keep)
+            keep = [i for i, (s, x) in enumerate(zip(sets, names)) if set_name(s) == x]  # doc_id may repeat with other texts
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in keep], pa.int64()), pa.array([len(sets[i]) for i in keep], pa.int64()),
+                                              pa.array([packed(sets[i]) for i in keep], pa.binary())], ["node", "weight", "data"])
 
     chosen = named.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    return (docs.select("doc_id", "text").join(chosen, "doc_id").select("node", "text")
-            .mapInArrow(check, "node long, text string"))
+    made = docs.select("doc_id", "text").join(chosen, "doc_id").select("node", "text").mapInArrow(make, "node long, weight long, data binary")
+    return made.dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
@@ -399,33 +402,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     empty or blank text) an empty set that links with nothing. component_id is the smallest doc_id reachable by links.
     A row with null doc_id links with nothing and has a null component_id. Repeated rows give repeated results.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = max(8, partitions(spark) // 2)  # each part repeats the sketches of its sets
-    dealt = docs.mapInArrow(_deal(percent, width, parts), "part int, kind int, data binary")
-    met = stage(dealt.groupBy("part").applyInArrow(_meet(percent), "kind long, a long, b long, c long, d long, fine binary"), "jaccard")
+    dealt = docs.mapInArrow(_deal(percent, width, dealt_parts(docs)), "part int, kind int, data binary")
+    met = stage(dealt.groupBy("part").applyInArrow(_meet(percent), "kind long, a long, b long, c long, d long"), "jaccard")
     rows = met.where(F.col("kind") == _DOC).select(
         F.when(F.col("b") == 1, F.col("a")).alias("doc_id"), F.col("c").alias("n_shingles"), F.col("d").alias("node"))
     named = rows.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "node")
     star = met.where(F.col("kind").isin(_STAR, _MEMBER)).select("a", "b").distinct()
-    open_ = stage(met.where(F.col("kind").isin(_STAR, _OPEN)).select("a", "b").distinct(), "candidates")
-    nodes = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    fine = met.where((F.col("kind") == _DOC) & (F.col("b") == 1)).groupBy(F.col("d").alias("node")).agg(F.min("fine").alias("fine"))
-    texts = None
-
-    def verified(pairs):
-        nonlocal texts
-        pairs = stage(_possible(pairs, fine, percent), "possible")
-        texts = texts if texts is not None else stage(_texts(docs, named, nodes, width), "texts")
-        return _verified(pairs, texts, percent, width)
-
-    def near(what):
-        """By the fine sketches, brought to 64 counts."""
-        parts = [_fine_counts(w) for w in what]
-        size, count = np.array([n for _, n, _ in parts]), np.stack([c.reshape(64, -1).sum(1) for _, _, c in parts]).astype(np.int32)
-        return lambda i, j: _may_link(size, count, np.int64(i), j, percent)
-
-    found = connect(open_, star, verified, fine.withColumnRenamed("fine", "about"), near)
+    open_ = met.where(F.col("kind").isin(_STAR, _OPEN)).select("a", "b").distinct()
+    held = None
+
+    def sets():
+        nonlocal held
+        if held is None:
+            nodes = met.where(F.col("kind") != _DOC).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            held = stage(_sets(docs, named, nodes, width), "sets")
+        return held
+
+    found = connect(open_, star, lambda pairs: _verified(pairs, sets(), percent), sets, _find(percent))
     by_set = named.groupBy("node").agg(F.min("doc_id").alias("least"))
     if found is not None:
         by_set = by_set.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -441,12 +435,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     """The rows of docs without near duplicates: of each component the document with the smallest doc_id stays.
 
-    Columns are kept. Rows with null doc_id stay; of rows that share the doc_id that stays, one stays.
+    Columns are kept, whatever their names. Rows with null doc_id stay; of rows that share the doc_id that stays, one stays.
     """
+    own, n = free_names(docs.columns, "kept_id", "kept_rows")
     result = near_duplicates(docs, percent, width)
-    kept = stage(result.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")), "kept")
-    joined = docs.join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
-    once = joined.where("doc_id IS NULL OR __n = 1").select(*docs.columns)
-    if kept.where("__n > 1").isEmpty():
+    kept = stage(result.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(n)), "kept")
+    joined = docs.join(kept, docs["doc_id"] == kept[own], "left")
+    once = joined.where(docs["doc_id"].isNull() | (kept[n] == 1)).select(*[docs[c] for c in docs.columns])
+    if kept.where(kept[n] > 1).isEmpty():
         return once
-    return once.unionByName(joined.where("__n > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return once.unionByName(joined.where(kept[n] > 1).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"]))
