@@ -57,9 +57,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def dealt_parts(df: DataFrame, each: int = 16 << 20) -> int:
-    """Parts to deal what is made of df into: the shuffle partitions, or more so that each part has `each` bytes of input."""
+    """Parts to deal what is made of df into: `each` bytes of its input to a part, and two parts a core at least."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(partitions(df.sparkSession), min(size, 1 << 60) // each if size < 1 << 60 else 0)
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, size // each if size < 1 << 60 else 0)
 
 
 #: Edges up to which one task finds the components (16 bytes each); beyond it they are found by joins.

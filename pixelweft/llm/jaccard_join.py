@@ -167,7 +167,7 @@ class FineSketches:
             some = np.flatnonzero((self.k == k) | (self.k == k + 1))
             row = np.zeros(len(self.k), np.int64)
             row[some] = np.arange(len(some))
-            self.tables[k] = row, np.stack([self.count[i][1].reshape(1 << k, -1).sum(1) for i in some])
+            self.tables[k] = row, np.stack([self.count[i][1].reshape(1 << k, -1).sum(1, dtype=np.int32) for i in some])
         return self.tables[k]
 
     def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -187,10 +187,10 @@ class FineSketches:
 
 def _unpacked(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and upper bounds of the counts, of rows of sketches."""
-    packed = np.ascontiguousarray(sketches[:, 1:]).view(np.uint8)
-    count = np.empty((len(sketches), 64), np.int32)
+    packed, unit = np.ascontiguousarray(sketches[:, 1:]).view(np.uint8), sketches[:, :1] >> 40
+    count = np.empty((len(sketches), 64), np.uint16 if unit.max(initial=0) < 4096 else np.int32)
     count[:, ::2], count[:, 1::2] = packed & 15, packed >> 4
-    return sketches[:, 0] & (1 << 40) - 1, count * (sketches[:, :1] >> 40).astype(np.int32)
+    return sketches[:, 0] & (1 << 40) - 1, count * unit.astype(count.dtype)
 
 
 def _may_link(size, count, i, j, percent: int) -> np.ndarray:
@@ -201,7 +201,7 @@ def _may_link(size, count, i, j, percent: int) -> np.ndarray:
     alike = np.flatnonzero(keep)
     for at in range(0, len(alike), 1 << 13):
         some = alike[at: at + (1 << 13)]
-        both = np.minimum(np.minimum(count[i[some]], count[j[some]]).sum(1), low[some])
+        both = np.minimum(np.minimum(count[i[some]], count[j[some]]).sum(1, dtype=np.int64), low[some])
         keep[some] = 100 * both >= percent * (low[some] + high[some] - both)
     return keep
 
@@ -251,7 +251,8 @@ def _deal(percent: int, width: int, parts: int):
                 kind.append(0)
                 # 40 bits of a signature are enough among those of a part: a chance agreement is only one candidate more.
                 extra = [more[i] for i in who]
-                blob.append(np.concatenate(([len(who)], name[who], np.diff(np.append(first, hi - lo)), about[who].reshape(-1), [len(e) for e in extra])).astype(np.int64).tobytes()
+                blob.append(np.concatenate(([len(who)], name[who], about[who].reshape(-1))).astype(np.int64).tobytes()
+                            + np.concatenate((np.diff(np.append(first, hi - lo)), [len(e) for e in extra])).astype(np.uint32).tobytes()
                             + b"".join(extra) + (key[lo:hi] >> _U(32)).astype(np.uint32).tobytes() + (key[lo:hi] >> _U(24)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["part", "kind", "data"])
@@ -265,24 +266,45 @@ def _meet(percent: int):
         import pyarrow as pa
 
         out, keys, nodes, abouts, extras, counts = [], [], [], [], [], []
-        for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
+        for kind, data in ((k, x.as_buffer()) for batch in table.to_batches() for k, x in zip(batch.column("kind").to_pylist(), batch.column("data"))):
             x = np.frombuffer(data, np.int64, len(data) // 8)
             if kind == _DOC:
                 out.append((np.full(len(x) // 4, _DOC), *x.reshape(-1, 4).T))
             else:
                 n = int(x[0])
                 nodes.append(x[1: n + 1])
-                counts.append(x[n + 1: 2 * n + 1])
-                abouts.append(x[2 * n + 1: 7 * n + 1].reshape(n, 5))
-                end = 8 * (8 * n + 1) + np.cumsum(x[7 * n + 1: 8 * n + 1])
-                extras += [data[a:b] for a, b in zip([8 * (8 * n + 1), *end[:-1].tolist()], end.tolist())]
+                abouts.append(x[n + 1: 6 * n + 1].reshape(n, 5))
+                short = np.frombuffer(data, np.uint32, 2 * n, 8 * (6 * n + 1)).astype(np.int64)
+                counts.append(short[:n])
+                end = 8 * (7 * n + 1) + np.cumsum(short[n:])
+                begin = end - short[n:]
+                large = np.flatnonzero(short[n:])
+                extras.append(({k: data.slice(a, b - a) for k, a, b in zip(large.tolist(), begin[large].tolist(), end[large].tolist())}, n))
                 total, at = int(counts[-1].sum()), int(end[-1])
                 high, low = np.frombuffer(data, np.uint32, total, at), np.frombuffer(data, np.uint8, total, at + 4 * total)
                 keys.append(high.astype(np.int64) << 8 | low)
         if keys:
             name, first, inverse = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
-            size, count = _unpacked(np.concatenate(abouts)[first])
-            fine = FineSketches(size, [extras[i] for i in first], percent)
+            node, key = np.repeat(inverse.astype(np.int32), np.concatenate(counts)), np.concatenate(keys)
+            del keys, nodes, counts, inverse
+            # Most signatures are of one set only; these go by one sort.
+            order = np.argsort(key)
+            key, node = key[order], node[order]
+            del order
+            same = np.zeros(len(key) + 1, bool)
+            same[1:-1] = key[1:] == key[:-1]
+            same = same[1:] | same[:-1]
+            key, node = key[same], node[same]
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            used, node = np.unique(node[fresh], return_inverse=True)
+            key, name, first = key[fresh], name[used], first[used]
+            size, count = _unpacked(np.concatenate(abouts)[first] if len(first) else abouts[0][:0])
+            begin = np.cumsum([0] + [n for _, n in extras])
+            of = np.searchsorted(begin, first, "right") - 1
+            fine = FineSketches(size, [extras[b][0].get(k, b"") for b, k in zip(of.tolist(), (first - begin[of]).tolist())], percent)
 
             def may_link(i, j):
                 keep = _may_link(size, count, i, j, percent)
@@ -290,26 +312,21 @@ def _meet(percent: int):
                 keep[some] = fine.may_link(np.broadcast_to(i, j.shape)[some], j[some])
                 return keep
 
-            node = np.repeat(inverse, np.concatenate(counts)).astype(np.int64)
-            key = np.concatenate(keys)
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-            key, node = key[fresh], node[fresh]
             start = np.flatnonzero(_first_of_runs(key))
             length = np.diff(np.append(start, len(key)))
             group = np.repeat(np.arange(len(start)), length)
             few = length[group] <= _FEW
-            pairs = [np.zeros(0, np.int64)]
+            met = [np.zeros(0, np.int64)]
             for d in range(1, _FEW):  # all pairs of small groups, d places apart
                 same = np.flatnonzero((group[:-d] == group[d:]) & few[:-d]) if d < len(group) else group[:0]
                 if not len(same):
                     break
-                pairs.append(np.unique(node[same] * len(name) + node[same + d]))
-            pair = np.unique(np.concatenate(pairs))
-            i, j = pair // len(name), pair % len(name)
-            keep = may_link(i, j)
-            stars, only, others = [], [], [np.stack((i[keep], j[keep]), 1)]
+                pair = np.unique(node[same] * len(name) + node[same + d])
+                for at in range(0, len(pair), 1 << 18):
+                    some = pair[at: at + (1 << 18)]
+                    met.append(some[may_link(some // len(name), some % len(name))])
+            pair = np.unique(np.concatenate(met))
+            stars, only, others = [], [], [np.stack((pair // len(name), pair % len(name)), 1)]
             seen = set()
             for g in np.flatnonzero(length > _FEW):
                 some = node[start[g]: start[g] + length[g]]

@@ -24,10 +24,10 @@ from .common import Overlaps, _INVERSE, _BASE, chunks, connect, covered, dealt_p
 _FEW = 24
 #: Places of the table of gram frequencies (bits), and documents of the sample that it is made of.
 _TABLE_BITS, _SAMPLE = 20, 5000
-#: 64-bit words of the parities that candidates are held against before their words are.
-_WIDE = 4
+#: 64-bit words of the parities that lines are held against where they meet, and candidates before their words are.
+_NARROW, _WIDE = 2, 4
 #: The grams are dealt in so many rounds, one after the other, so that the shuffle of one is gone before the next.
-ROUNDS = 2
+ROUNDS = 3
 
 #: Code points of scripts that are written without blanks between words.
 _BLANKLESS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
@@ -131,21 +131,45 @@ def _grams(words: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarr
     return line[inside], mix64(mix64(words[inside]) + words[inside + 1])
 
 
-def leading_grams(words: np.ndarray, first: np.ndarray, percent: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line and hash (its upper 42 bits) of the distinct grams under which lines meet; order: rank below 64 by the hash's upper bits."""
+#: Place of a gram that a line has more than once, or that lies too far back to tell.
+_ANYWHERE = 0xFFFF
+
+
+def leading_grams(words: np.ndarray, first: np.ndarray, percent: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, hash (its upper 42 bits) and place of the distinct grams under which lines meet; order: rank below 64 by the hash's upper bits."""
     most = np.diff(first) * (100 - percent) // (50 if percent >= 75 else 100)
-    lines, grams = [first[:0]], [words[:0]]
+    lines, grams, places = [first[:0]], [words[:0]], [first[:0]]
     for lo in range(0, len(most), 1 << 16):  # one sort of 64-bit words: line, rank, gram
         part = first[lo: lo + (1 << 16) + 1]
         line, gram = _grams(words[part[0]: part[-1]], part - part[0], percent)
-        key = np.sort(line.astype(np.uint64) << np.uint64(48) | order[(gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(42) | gram >> np.uint64(22))
-        line = (key >> np.uint64(48)).astype(np.int64)
+        key = line.astype(np.uint64) << np.uint64(48) | order[(gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(42) | gram >> np.uint64(22)
         begin = np.searchsorted(line, np.arange(len(part)))
-        keep = np.arange(len(key)) - begin[line] <= most[lo: lo + len(part) - 1][line]
-        keep[1:] &= key[1:] != key[:-1]
+        at = np.argsort(key)
+        key, place = key[at], (at - begin[line[at]])
+        line = (key >> np.uint64(48)).astype(np.int64)
+        again = np.zeros(len(key) + 1, bool)
+        again[1:-1] = key[1:] == key[:-1]
+        place = np.where(again[1:] | again[:-1], _ANYWHERE, np.minimum(place, _ANYWHERE))
+        keep = (np.arange(len(key)) - begin[line] <= most[lo: lo + len(part) - 1][line]) & ~again[:-1]
         lines.append(line[keep] + lo)
         grams.append(key[keep] & np.uint64((1 << 42) - 1))
-    return np.concatenate(lines), np.concatenate(grams)
+        places.append(place[keep])
+    return np.concatenate(lines), np.concatenate(grams), np.concatenate(places)
+
+
+def may_align(n, i, m, j, percent: int):
+    """Whether lines of n and m words that share a gram at the places i and j can be similar with these aligned."""
+    apart = np.abs(i - j) + np.abs((n - i) - (m - j))
+    return (apart <= (100 - percent) * np.maximum(n, m) // 100) | (np.maximum(i, j) == _ANYWHERE)
+
+
+def _pairs(parts: list[np.ndarray]) -> np.ndarray:
+    """Distinct pairs."""
+    both = np.concatenate(parts)
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    fresh = np.ones(len(both), bool)
+    fresh[1:] = (both[1:] != both[:-1]).any(1)
+    return both[fresh]
 
 
 def word_edit_distance(a: list, b: list) -> int:
@@ -253,11 +277,12 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
             for batch in slices(batches, 2000):
                 part, blob, tos, rows = [], [], [], []
                 for names, words, first in _chunks_of_words(batch, least_words):
-                    line, gram = leading_grams(words, first, percent, held.value)
+                    line, gram, place = leading_grams(words, first, percent, held.value)
                     some = (gram % np.uint64(ROUNDS)).astype(np.int64) == only
-                    line, gram = line[some], gram[some] // np.uint64(ROUNDS)
+                    line, gram, place = line[some], gram[some] // np.uint64(ROUNDS), place[some]
+                    size = np.minimum(np.diff(first), 0xFFFF)[line]
                     tos.append((gram % np.uint64(parts)).astype(np.int32))
-                    rows.append((names[line], parities(words, first)[line, 0], (gram // np.uint64(parts)).astype(np.uint32), np.minimum(np.diff(first)[line], 2**32 - 1).astype(np.uint32)))
+                    rows.append((names[line], *parities(words, first, _NARROW)[line].T, (gram // np.uint64(parts)).astype(np.uint32), (size << 16 | place).astype(np.uint32)))
                 if rows:
                     to, rows = np.concatenate(tos), [np.concatenate(c) for c in zip(*rows)]
                     at = np.argsort(to.astype(np.uint16) if parts < 1 << 16 else to, kind="stable")
@@ -272,23 +297,29 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
     def meet(table):
         import pyarrow as pa
 
-        columns = [[], [], [], []]
+        kinds = (np.int64,) * (1 + _NARROW) + (np.uint32, np.uint32)
+        columns = [[] for _ in kinds]
         for data in table.column("data").to_pylist():
-            n, at = len(data) // 24, 0
-            for c, kind in zip(columns, (np.int64, np.int64, np.uint32, np.uint32)):
+            n, at = len(data) // (16 + 8 * _NARROW), 0
+            for c, kind in zip(columns, kinds):
                 c.append(np.frombuffer(data, kind, n, at))
                 at += n * c[-1].itemsize
-        name, parity, key, size = (np.concatenate(c) for c in columns)
+        name, *parity, key, size = (np.concatenate(c) for c in columns)
         del columns
         # Most grams are in one line only; these go by one sort of 64-bit words: gram, place.
         both = np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
         same = np.flatnonzero(both[1:] >> np.uint64(32) == both[:-1] >> np.uint64(32))
         at = (both[np.union1d(same, same + 1)] & np.uint64(2**32 - 1)).astype(np.int64)
         at = at[np.lexsort((name[at], key[at]))]
-        key, name, parity, size = key[at], name[at], parity[at, None], size[at].astype(np.int64)
+        key, name, parity, size = key[at], name[at], np.stack([p[at] for p in parity], 1), size[at].astype(np.int64)
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name, parity, size = key[fresh], name[fresh], parity[fresh], size[fresh]
+        key, name, parity, place, size = key[fresh], name[fresh], parity[fresh], size[fresh] & 0xFFFF, size[fresh] >> 16
+        place = np.where(size == 0xFFFF, _ANYWHERE, place)
+
+        def near(i, j):
+            return may_link(size[i], parity[i], size[j], parity[j], percent) & may_align(size[i], place[i], size[j], place[j], percent) | (size[i] == 0xFFFF) & (size[j] == 0xFFFF)
+
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         length = np.diff(np.append(start, len(key)))
         within = np.repeat(length, length)
@@ -298,15 +329,15 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
             same = np.flatnonzero((key[:-d] == key[d:]) & (within[:-d] <= _FEW)) if d < len(key) else start[:0]
             if not len(same):
                 break
-            same = same[may_link(size[same], parity[same], size[same + d], parity[same + d], percent)]
+            same = same[near(same, same + d)]
             pairs.append(np.stack((name[same], name[same + d]), 1))
         for g in np.flatnonzero(length > _FEW):
             some = slice(start[g], start[g] + length[g])
-            names, n, bits = name[some], size[some], parity[some]
+            names, here = name[some], np.arange(some.start, some.stop)
             if (what := names.tobytes()) in seen:  # the same lines under another gram
                 continue
             seen.add(what)
-            forest, members = covered(len(names), lambda i: may_link(n[i], bits[i], n, bits, percent))
+            forest, members = covered(len(names), lambda i: near(here[i], here))
             if len(members):
                 lead = members[0]
                 direct = forest[forest[:, 0] == lead]
@@ -314,7 +345,7 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
                 pairs.append(names[forest[forest[:, 0] != lead]])
                 rest = np.setdiff1d(members[1:], direct[:, 1])
                 only.append(np.stack((np.full(len(rest), names[lead]), names[rest]), 1))
-        found = [np.unique(np.concatenate(x), axis=0) for x in (pairs, stars, only)]
+        found = [_pairs(x) for x in (pairs, stars, only)]
         both = np.concatenate(found)
         kind = np.repeat(np.arange(3, dtype=np.int32), [len(x) for x in found])
         return pa.table({"kind": pa.array(kind), "a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})

@@ -138,10 +138,13 @@ def test_every_similarity_band_meets():
             if n < 4 or similar < percent:
                 continue
             words, first = np.array(a + b, np.uint64), np.array([0, len(a), len(a) + len(b)])
-            line, gram = D.leading_grams(words, first, percent, order)
-            parity, wide = D.parities(words, first), D.parities(words, first, 4)
-            ok = set(gram[line == 0].tolist()) & set(gram[line == 1].tolist()) and D.may_link(len(a), parity[0], len(b), parity[1], percent)
-            ok = ok and D.may_link(len(a), wide[0], len(b), wide[1], percent)
+            line, gram, place = D.leading_grams(words, first, percent, order)
+            at = [dict(zip(gram[line == k].tolist(), place[line == k].tolist())) for k in (0, 1)]
+            common = [g for g in at[0] if g in at[1] and D.may_align(len(a), at[0][g], len(b), at[1][g], percent)]
+            ok = bool(common)
+            for wide in (1, D._NARROW, D._WIDE):
+                parity = D.parities(words, first, wide)
+                ok = ok and D.may_link(len(a), parity[0], len(b), parity[1], percent)
             all_[similar // 5] = all_.get(similar // 5, 0) + 1
             met[similar // 5] = met.get(similar // 5, 0) + bool(ok)
         assert met == all_
