@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from ..plans.sqlop import KEY, operator, pair, pel
+from ..plans.sqlop import KEY, operator, pair, pel, size_of, sized
 
 
 @operator(1)
@@ -81,9 +81,11 @@ def hist_entropy(d, r):
 def hist_find_indexed(d, r, index, reduction: str = "sum"):
     """Sum, mean, min or max of the values by the index image's value."""
     e = {"sum": "sum(l.v)", "mean": "avg(l.v)", "min": "min(l.v)", "max": "max(l.v)"}[reduction]
-    found = f"(SELECT l.band, {d.long('q.v')} AS bin, {e} AS v FROM {r} l JOIN {index} q ON l.image_id = q.image_id AND l.x = q.x AND l.y = q.y GROUP BY 1, 2)"
-    every = f"(SELECT b.band, s.bin FROM (SELECT DISTINCT band FROM {r}) b CROSS JOIN {d.series(0, 256, 'bin')} s WHERE s.bin <= (SELECT max(v) FROM {index}))"
-    return f"SELECT e.band, e.bin, coalesce(f.v, 0e0) AS v FROM {every} e LEFT JOIN {found} f ON f.band = e.band AND f.bin = e.bin"
+    found = f"(SELECT l.image_id, l.band, {d.long('q.v')} AS bin, {e} AS v FROM {r} l JOIN {index} q ON l.image_id = q.image_id AND l.x = q.x AND l.y = q.y GROUP BY 1, 2, 3)"
+    tops = f"(SELECT image_id, CAST(max(v) AS INT) + 1 AS top FROM {index} GROUP BY image_id)"
+    bands = f"(SELECT b.image_id, b.band, m.top FROM (SELECT DISTINCT image_id, band FROM {r}) b JOIN {tops} m ON m.image_id = b.image_id)"
+    return (f"SELECT e.image_id, e.band, e.bin, coalesce(f.v, 0e0) AS v FROM {d.expand(bands, 'top', 'bin')} e "
+            f"LEFT JOIN {found} f ON f.image_id = e.image_id AND f.band = e.band AND f.bin = e.bin")
 
 
 @operator(1)
@@ -119,10 +121,10 @@ def project(d, r):
 
 
 @operator(1)
-def profile(d, r, width: int = 21, height: int = 100):
+def profile(d, r):
     """First row in each column and first column in each row where a band is not 0; height or width where there is none."""
-    return (f"SELECT image_id, 'x' AS axis, x AS place, coalesce(min(CASE WHEN v <> 0 THEN y END), {height}) AS v FROM {r} a GROUP BY image_id, x "
-            f"UNION ALL SELECT image_id, 'y' AS axis, y AS place, coalesce(min(CASE WHEN v <> 0 THEN x END), {width}) AS v FROM {r} b GROUP BY image_id, y")
+    return (f"SELECT image_id, 'x' AS axis, x AS place, coalesce(min(CASE WHEN v <> 0 THEN y END), max(h)) AS v FROM {sized(r)} a GROUP BY image_id, x "
+            f"UNION ALL SELECT image_id, 'y' AS axis, y AS place, coalesce(min(CASE WHEN v <> 0 THEN x END), max(w)) AS v FROM {sized(r)} b GROUP BY image_id, y")
 
 
 @operator(1)
@@ -149,49 +151,47 @@ def getpoint(d, r, x: int = 3, y: int = 5):
 
 
 @operator(1)
-def measure(d, r, across: int = 3, down: int = 4, width: int = 21, height: int = 100):
+def measure(d, r, across: int = 3, down: int = 4):
     """Mean of each patch of a grid, a tenth of its size left out on every side."""
-    pw, ph = width / across, height / down
-    cells = []
-    for j in range(down):
-        for i in range(across):
-            x0, y0 = int(i * pw + pw / 10), int(j * ph + ph / 10)
-            cells.append(f"({i}, {j}, {x0}, {y0}, {x0 + max(1, int(pw * 0.8))}, {y0 + max(1, int(ph * 0.8))})")
-    patches = f"(VALUES {', '.join(cells)}) AS p(i, j, x0, y0, x1, y1)"
-    return f"SELECT r.image_id, p.i, p.j, r.band, avg(r.v) AS v FROM {r} r JOIN {patches} ON r.x >= p.x0 AND r.x < p.x1 AND r.y >= p.y0 AND r.y < p.y1 GROUP BY r.image_id, p.i, p.j, r.band"
+    cells = ", ".join(f"({i}, {j})" for j in range(down) for i in range(across))
+    low = lambda k, n, m: f"CAST(floor({k} * ({n} / {d.num(m)}) + {n} / {d.num(m)} / 10) AS INT)"
+    span = lambda n, m: f"greatest(1, CAST(floor({n} / {d.num(m)} * 8e-1) AS INT))"
+    patches = (f"(SELECT s.image_id, c.i, c.j, {low('c.i', 's.w', across)} AS x0, {low('c.j', 's.h', down)} AS y0, {span('s.w', across)} AS pw, {span('s.h', down)} AS ph "
+               f"FROM {size_of(r)} s CROSS JOIN (VALUES {cells}) AS c(i, j))")
+    return (f"SELECT r.image_id, p.i, p.j, r.band, avg(r.v) AS v FROM {r} r JOIN {patches} p ON p.image_id = r.image_id AND r.x >= p.x0 AND r.x < p.x0 + p.pw AND r.y >= p.y0 AND r.y < p.y0 + p.ph "
+            f"GROUP BY r.image_id, p.i, p.j, r.band")
 
 
 @operator(1)
-def hough_line(d, r, width: int = 64, height: int = 64, threshold: int = 128, image_width: int = 64, image_height: int = 100):
-    """Votes (theta, rho, n) of the pixels above the threshold for lines through them."""
-    diagonal = math.sqrt(image_width ** 2 + image_height ** 2)
+def hough_line(d, r, width: int = 64, height: int = 64, threshold: int = 128):
+    """Votes (theta, rho, n) of the pixels above the threshold for lines through them, in `width` angles and `height` distances."""
     turn = f"(t.theta * {d.num(math.pi / width)})"
     rho = f"(h.x * cos({turn}) + h.y * sin({turn}))"
-    bin_ = f"CAST({d.rint(f'({rho} + {d.num(diagonal)}) * {height - 1} / {d.num(2 * diagonal)}')} AS INT)"
-    return (f"SELECT h.image_id, t.theta, {bin_} AS rho, count(*) AS n FROM (SELECT image_id, x, y FROM {r} WHERE v > {threshold} AND band = 0) h "
+    diagonal = "sqrt(h.w * h.w + h.h * h.h)"
+    bin_ = f"CAST({d.rint(f'({rho} + {diagonal}) * {height - 1} / (2 * {diagonal})')} AS INT)"
+    return (f"SELECT h.image_id, t.theta, {bin_} AS rho, count(*) AS n FROM (SELECT q.* FROM {sized(r)} q WHERE v > {threshold} AND band = 0) h "
             f"CROSS JOIN {d.series(0, width, 'theta')} t GROUP BY 1, 2, 3")
 
 
 def circle_points(radius: int) -> list[tuple[int, int]]:
-    """Offsets of a midpoint circle, the eight mirrored points of each step; those on the axes come twice."""
-    points, x, y, err = [], radius, 0, 1 - radius
+    """Offsets of a midpoint circle, the eight mirrored points of each step; those on the axes and diagonals come twice.
+
+    The error is 0 at first. Every step goes one up in y; if the error was above 0, also one back in x.
+    """
+    points, x, y, err = [], radius, 0, 0
     while x >= y:
-        points += [(x, y), (y, x), (-y, x), (-x, y), (-x, -y), (-y, -x), (y, -x), (x, -y)]
-        y += 1
-        if err < 0:
-            err += 2 * y + 1
-        else:
-            x -= 1
-            err += 2 * (y - x) + 1
+        points += [(i * a, j * b) for a, b in ((x, y), (y, x)) for i in (1, -1) for j in (1, -1)]
+        y, x = y + 1, x - (err > 0)
+        err += 2 * y + 1 if err <= 0 else 2 * (y - x) + 1
     return points
 
 
 @operator(1)
-def hough_circle(d, r, min_radius: int = 3, max_radius: int = 4, threshold: int = 128, width: int = 64, height: int = 100):
+def hough_circle(d, r, min_radius: int = 3, max_radius: int = 4, threshold: int = 128):
     """Votes (radius, x, y, n) for centres of circles."""
     rows = ", ".join(f"({k}, {dx}, {dy})" for k in range(min_radius, max_radius + 1) for dx, dy in circle_points(k))
-    return (f"SELECT r.image_id, o.k AS radius, r.x + o.dx AS x, r.y + o.dy AS y, count(*) AS n FROM {r} r CROSS JOIN (VALUES {rows}) AS o(k, dx, dy) "
-            f"WHERE r.v > {threshold} AND r.band = 0 AND r.x + o.dx >= 0 AND r.x + o.dx < {width} AND r.y + o.dy >= 0 AND r.y + o.dy < {height} GROUP BY 1, 2, 3, 4")
+    return (f"SELECT r.image_id, o.k AS radius, r.x + o.dx AS x, r.y + o.dy AS y, count(*) AS n FROM {sized(r)} r CROSS JOIN (VALUES {rows}) AS o(k, dx, dy) "
+            f"WHERE r.v > {threshold} AND r.band = 0 AND r.x + o.dx >= 0 AND r.x + o.dx < r.w AND r.y + o.dy >= 0 AND r.y + o.dy < r.h GROUP BY 1, 2, 3, 4")
 
 
 @pair
@@ -231,12 +231,12 @@ def cross_phase(d, a, b):
 
 
 @operator(1)
-def page_bounds(d, r, bright: int = 160, dark: int = 60, fraction: float = 0.3, gap: int = 3, width: int = 64, height: int = 500):
+def page_bounds(d, r, bright: int = 160, dark: int = 60, fraction: float = 0.3, gap: int = 3):
     """Longest runs of rows and of columns of which a share is bright or dark, gaps bridged: (image_id, axis, first, last)."""
-    hit = f"(SELECT image_id, x, y FROM {r} WHERE band = 0 AND (v > {bright} OR v < {dark}))"
+    hit = f"(SELECT q.* FROM {sized(r)} q WHERE band = 0 AND (v > {bright} OR v < {dark}))"
     parts = []
-    for axis, along, across in (("x", "x", height), ("y", "y", width)):
-        lines = f"(SELECT image_id, {along} AS p FROM {hit} h GROUP BY image_id, {along} HAVING count(*) >= {d.num(fraction * across)})"
+    for axis, along, across in (("x", "x", "h"), ("y", "y", "w")):
+        lines = f"(SELECT image_id, {along} AS p FROM {hit} t GROUP BY image_id, {along} HAVING count(*) >= {d.num(fraction)} * max({across}))"
         starts = f"(SELECT image_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY image_id ORDER BY p) <= {gap + 1} THEN 0 ELSE 1 END AS s FROM {lines} l)"
         runs = f"(SELECT image_id, p, sum(s) OVER (PARTITION BY image_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM {starts} t)"
         spans = f"(SELECT image_id, run, min(p) AS a, max(p) AS b FROM {runs} u GROUP BY image_id, run)"

@@ -1,11 +1,11 @@
-"""Neighbourhoods. Small separable and 3 x 3 stencils are window functions over rows and columns, which keep one row a
-pixel; free masks explode each pixel to the places it counts for and group."""
+"""Neighbourhoods: window functions over rows and columns, which keep one row a pixel. Images have all their pixels, so that
+what a window function finds missing lies outside the image; no size is needed."""
 
 from __future__ import annotations
 
 import math
 
-from ..plans.sqlop import KEY, operator
+from ..plans.sqlop import KEY, operator, size_of
 
 BOX3 = ((1, 1, 1), (1, 1, 1), (1, 1, 1))
 
@@ -27,14 +27,28 @@ def nine(r: str) -> str:
     return f"(SELECT {KEY}, v, {', '.join(cells)} FROM {across} a)"
 
 
+def around(r: str, cells) -> str:
+    """Subquery with c0, c1, ...: the values at (x + dx, y + dy) for cells (dx, dy), null outside the image."""
+    def shifted(e: str, by: int, over: str) -> str:
+        return e if by == 0 else f"{'lag' if by < 0 else 'lead'}({e}, {abs(by)}) OVER {over}"
+
+    across = sorted({dx for dx, _ in cells})
+    row = f"(SELECT {KEY}, v, {', '.join(f'{shifted('v', dx, _row())} AS a{k}' for k, dx in enumerate(across))} FROM {r})"
+    return f"(SELECT {KEY}, v, {', '.join(f'{shifted(f'a{across.index(dx)}', dy, _column())} AS c{k}' for k, (dx, dy) in enumerate(cells))} FROM {row} q)"
+
+
+def _cells(mask) -> list[tuple[int, int]]:
+    """Cells of a mask that are not 0, from its middle at (w div 2, h div 2)."""
+    cy, cx = len(mask) // 2, len(mask[0]) // 2
+    return [(i - cx, j - cy) for j, line in enumerate(mask) for i, w in enumerate(line) if w]
+
+
 @operator(1)
-def conv(d, r, mask=((0, 1, 0), (1, 4, 1), (0, 1, 0)), divisor: float = 8.0, width: int = 64, height: int = 500, real: bool = False):
+def conv(d, r, mask=((0, 1, 0), (1, 4, 1), (0, 1, 0)), divisor: float = 8.0, real: bool = False):
     """Correlation with a mask, its middle at (w div 2, h div 2); places outside count 0."""
-    cy, cx = len(mask) // 2, len(mask[0]) // 2
-    rows = ", ".join(f"({i - cx}, {j - cy}, {d.num(w)})" for j, line in enumerate(mask) for i, w in enumerate(line) if w)
-    e = f"sum(v * w) / {d.num(divisor)}"
-    return (f"SELECT image_id, x - dx AS x, y - dy AS y, band, {e if real else d.u8_trunc(e)} AS v FROM {r} CROSS JOIN (VALUES {rows}) AS m(dx, dy, w) "
-            f"WHERE x - dx >= 0 AND x - dx < {width} AND y - dy >= 0 AND y - dy < {height} GROUP BY image_id, x - dx, y - dy, band")
+    weights = [w for line in mask for w in line if w]
+    e = f"({' + '.join(f'coalesce(c{k}, 0e0) * {d.num(w)}' for k, w in enumerate(weights))}) / {d.num(divisor)}"
+    return f"SELECT {KEY}, {e if real else d.u8_trunc(e)} AS v FROM {around(r, _cells(mask))} n"
 
 
 def gauss_kernel(sigma: float) -> list[float]:
@@ -100,32 +114,31 @@ def box_blur(d, r, radius: int = 1, passes: int = 2):
 
 
 @operator(1)
-def rank(d, r, width: int = 3, height: int = 3, index: int = 4, image_width: int = 64, image_height: int = 500):
+def rank(d, r, width: int = 3, height: int = 3, index: int = 4):
     """index-th smallest of the window; pixels outside are left out and the index kept within what there is."""
-    cells = ", ".join(f"({i - width // 2}, {j - height // 2})" for j in range(height) for i in range(width))
-    near = (f"(SELECT image_id, x - dx AS x, y - dy AS y, band, {d.sorted_list('v')} AS s FROM {r} CROSS JOIN (VALUES {cells}) AS m(dx, dy) "
-            f"WHERE x - dx >= 0 AND x - dx < {image_width} AND y - dy >= 0 AND y - dy < {image_height} GROUP BY image_id, x - dx, y - dy, band)")
-    return f"SELECT {KEY}, {d.item('s', f'least({index}, cardinality(s) - 1)' if d.name == 'spark' else f'least({index}, len(s) - 1)')} AS v FROM {near} n"
+    cells = [(i - width // 2, j - height // 2) for j in range(height) for i in range(width)]
+    near = f"(SELECT {KEY}, {d.sorted_present(d.array([f'c{k}' for k in range(len(cells))]))} AS s FROM {around(r, cells)} n)"
+    return f"SELECT {KEY}, {d.item('s', f'least({index}, {d.length('s')} - 1)')} AS v FROM {near} m"
 
 
 @operator(1)
-def morph(d, r, mask=BOX3, method: str = "dilate", width: int = 64, height: int = 500):
-    """Largest (dilate) or smallest (erode) value under the mask's cells that are not 0."""
-    cy, cx = len(mask) // 2, len(mask[0]) // 2
-    rows = ", ".join(f"({i - cx}, {j - cy})" for j, line in enumerate(mask) for i, w in enumerate(line) if w)
-    return (f"SELECT image_id, x - dx AS x, y - dy AS y, band, {'max' if method == 'dilate' else 'min'}(v) AS v FROM {r} CROSS JOIN (VALUES {rows}) AS m(dx, dy) "
-            f"WHERE x - dx >= 0 AND x - dx < {width} AND y - dy >= 0 AND y - dy < {height} GROUP BY image_id, x - dx, y - dy, band")
+def morph(d, r, mask=BOX3, method: str = "dilate"):
+    """Largest (dilate) or smallest (erode) value under the mask's cells that are not 0; those outside are left out."""
+    cells = _cells(mask)
+    name, none = ("greatest", "0e0") if method == "dilate" else ("least", "255e0")
+    every = ", ".join(f"c{k}" for k in range(len(cells)))
+    return f"SELECT {KEY}, coalesce({f'{name}({every})' if len(cells) > 1 else every}, {none}) AS v FROM {around(r, cells)} n"
 
 
 @operator(1)
-def opening(d, r, mask=BOX3, width: int = 64, height: int = 500):
+def opening(d, r, mask=BOX3):
     """Erode, then dilate."""
-    return morph.write(d, f"({morph.write(d, r, mask=mask, method='erode', width=width, height=height)}) e", mask=mask, width=width, height=height)
+    return morph.write(d, f"({morph.write(d, r, mask=mask, method='erode')})", mask=mask)
 
 
 @operator(1)
-def closing(d, r, mask=BOX3, width: int = 64, height: int = 500):
-    return morph.write(d, f"({morph.write(d, r, mask=mask, width=width, height=height)}) e", mask=mask, method="erode", width=width, height=height)
+def closing(d, r, mask=BOX3):
+    return morph.write(d, f"({morph.write(d, r, mask=mask)})", mask=mask, method="erode")
 
 
 def _gradient(d, r: str, gx: str, gy: str, divisor: float = 1.0) -> str:
@@ -177,46 +190,71 @@ def stdif(d, r, width: int = 5, height: int = 5, sigma: float = 50.0, mean: floa
     return f"SELECT {KEY}, {d.u8_trunc(f'round({e}, 9)')} AS v FROM {stat} c"
 
 
+def _placed(r: str, reference: str, sums: str) -> str:
+    """Subquery: sums over the products of a template with the image at every place where it lies within."""
+    within = "a.x - t.x >= 0 AND a.x - t.x <= s.w - u.w AND a.y - t.y >= 0 AND a.y - t.y <= s.h - u.h"
+    return (f"(SELECT a.image_id, a.x - t.x AS x, a.y - t.y AS y, a.band, max(u.w * u.h) AS n, {sums} FROM {r} a JOIN {reference} t ON t.image_id = a.image_id AND t.band = a.band "
+            f"JOIN {size_of(r)} s ON s.image_id = a.image_id JOIN {size_of(reference)} u ON u.image_id = a.image_id WHERE {within} GROUP BY a.image_id, a.x - t.x, a.y - t.y, a.band)")
+
+
 @operator(2)
-def fastcor(d, r, reference, width: int = 64, height: int = 500, ref_width: int = 4, ref_height: int = 4):
-    """Sums of products with a template wherever it lies within the image."""
-    return (f"SELECT a.image_id, a.x - t.x AS x, a.y - t.y AS y, a.band, sum(a.v * t.v) AS v FROM {r} a JOIN {reference} t ON t.image_id = a.image_id AND t.band = a.band "
-            f"WHERE a.x - t.x >= 0 AND a.x - t.x <= {width - ref_width} AND a.y - t.y >= 0 AND a.y - t.y <= {height - ref_height} GROUP BY a.image_id, a.x - t.x, a.y - t.y, a.band")
+def fastcor(d, r, reference):
+    """Sums of products with the template of the same image_id wherever it lies within the image."""
+    return f"SELECT {KEY}, v FROM {_placed(r, reference, 'sum(a.v * t.v) AS v')} k"
 
 
 @operator(2)
-def spcor(d, r, reference, width: int = 64, height: int = 500, ref_width: int = 4, ref_height: int = 4):
+def spcor(d, r, reference):
     """Pearson's correlation with a template, -1..1 mapped to 0..255; 0 where one of them is flat."""
-    n = ref_width * ref_height
-    sums = (f"(SELECT a.image_id, a.x - t.x AS x, a.y - t.y AS y, a.band, sum(a.v * t.v) AS st, sum(a.v) AS s, sum(t.v) AS u, sum(a.v * a.v) AS ss, sum(t.v * t.v) AS uu "
-            f"FROM {r} a JOIN {reference} t ON t.image_id = a.image_id AND t.band = a.band WHERE a.x - t.x >= 0 AND a.x - t.x <= {width - ref_width} AND a.y - t.y >= 0 "
-            f"AND a.y - t.y <= {height - ref_height} GROUP BY a.image_id, a.x - t.x, a.y - t.y, a.band)")
-    norm = f"(({n} * ss - s * s) * ({n} * uu - u * u))"
-    e = f"CASE WHEN {norm} <= 0 THEN 0e0 ELSE {d.u8_trunc(f'round((({n} * st - s * u) / sqrt(CASE WHEN {norm} <= 0 THEN 1e0 ELSE {norm} END) + 1) * 127.5e0, 9)')} END"
+    sums = _placed(r, reference, "sum(a.v * t.v) AS st, sum(a.v) AS s, sum(t.v) AS u, sum(a.v * a.v) AS ss, sum(t.v * t.v) AS uu")
+    norm = "((n * ss - s * s) * (n * uu - u * u))"
+    e = f"CASE WHEN {norm} <= 0 THEN 0e0 ELSE {d.u8_trunc(f'round(((n * st - s * u) / sqrt(CASE WHEN {norm} <= 0 THEN 1e0 ELSE {norm} END) + 1) * 127.5e0, 9)')} END"
     return f"SELECT {KEY}, {e} AS v FROM {sums} k"
 
 
-@operator(1)
-def resize1d(d, r, scale: float = 0.7, vertical: bool = False, length: int = 64):
-    """Linear resampling along one axis: window of twice the support, edges repeated, weights normed, truncated."""
-    size = max(1, round(length * scale))
-    support = max(1.0, 1.0 / scale)
-    rows = []
-    for o in range(size):
-        at = (o + 0.5) / scale - 0.5
-        low, high = math.ceil(at - support), math.floor(at + support)
-        w = {k: max(0.0, 1 - abs(k - at) / support) for k in range(low, high + 1)}
-        total = sum(w.values())
-        near: dict[int, float] = {}
-        for k, x in w.items():
-            if x > 0:
-                k = min(length - 1, max(0, k))
-                near[k] = near.get(k, 0.0) + x / total
-        rows += [f"({o}, {k}, {d.num(x)})" for k, x in near.items()]
+#: Half-widths of the resampling kernels. Fixed values.
+SUPPORT = {"nearest": 1, "linear": 1, "hermite": 1, "cubic": 2, "mitchell": 2, "bicubic_sharper": 2, "bicubic_smoother": 2, "lbb": 2, "lanczos2": 2, "lanczos3": 3, "lanczos5": 5}
+#: B and C of the kernels of the family of two cubics. Fixed values.
+CUBICS = {"cubic": (0, 0.5), "lbb": (0, 0.5), "mitchell": (1 / 3, 1 / 3), "bicubic_sharper": (0, 1), "bicubic_smoother": (1.5, -0.25)}
+
+
+def kernel_at(d, kernel: str, x: str) -> str:
+    """Weight of a resampling kernel at an offset."""
+    t = f"abs({x})"
+    if kernel in CUBICS:
+        b, c = CUBICS[kernel]
+        powers = lambda *k: " + ".join(f"{d.num(w / 6)}" + f" * {t}" * n for n, w in zip((3, 2, 1, 0), k) if w)
+        near, far = powers(12 - 9 * b - 6 * c, -18 + 12 * b + 6 * c, 0, 6 - 2 * b), powers(-b - 6 * c, 6 * b + 30 * c, -12 * b - 48 * c, 8 * b + 24 * c)
+        return f"CASE WHEN {t} < 1 THEN {near} WHEN {t} < 2 THEN {far} ELSE 0e0 END"
+    if kernel.startswith("lanczos"):
+        a = SUPPORT[kernel]
+        p = f"({d.num(math.pi)} * {x})"
+        return f"CASE WHEN {t} >= {a} THEN 0e0 WHEN {x} = 0 THEN 1e0 ELSE sin{p} / {p} * sin({p} / {a}) / ({p} / {a}) END"
+    return {"nearest": f"CASE WHEN {t} < 5e-1 THEN 1e0 ELSE 0e0 END", "linear": f"greatest(0e0, 1 - {t})",
+            "hermite": f"CASE WHEN {t} < 1 THEN (2 * {t} - 3) * {t} * {t} + 1 ELSE 0e0 END"}[kernel]
+
+
+def resampled(d, r: str, scales: str, vertical: bool, kernel: str, real: bool) -> str:
+    """Subquery: r along one axis by the scale of each image in scales(image_id, scale); edges repeated, weights normed, truncated."""
     along, other = ("y", "x") if vertical else ("x", "y")
-    places = f"{other}, o" if not vertical else f"{other}, o"
-    e = d.u8_trunc("round(sum(round(v * w, 9)), 6)")
-    return (f"SELECT image_id, {'o AS x, y' if not vertical else 'x, o AS y'}, band, {e} AS v FROM {r} JOIN (VALUES {', '.join(rows)}) AS t(o, k, w) ON t.k = {along} GROUP BY image_id, band, {places}")
+    half = SUPPORT[kernel]
+    sizes = f"(SELECT s.image_id, s.scale, n.n, greatest(1, {d.rint('n.n * s.scale')}) AS m FROM {scales} s JOIN (SELECT image_id, max({along}) + 1 AS n FROM {r} GROUP BY image_id) n ON n.image_id = s.image_id)"
+    at = f"(SELECT o.*, (o + 5e-1) / scale - 5e-1 AS pos FROM {d.expand(sizes, 'm', 'o')} o)"
+    taps = ", ".join(f"({i})" for i in range(2 * half))
+    near = f"(SELECT p.image_id, p.n, p.o, p.scale, p.pos, CAST(floor(p.pos) AS INT) - {half - 1} + i.i AS k FROM {at} p CROSS JOIN (VALUES {taps}) AS i(i))"
+    # At a scale of 1 the image stays as it is, whatever the kernel.
+    weights = f"(SELECT q.image_id, q.n, q.o, q.k, round(CASE WHEN scale = 1 THEN CASE WHEN k = o THEN 1e0 ELSE 0e0 END ELSE {kernel_at(d, kernel, '(k - pos)')} END, 15) AS w FROM {near} q)"
+    total = f"(SELECT image_id, o, sum(w) AS total FROM {weights} e GROUP BY image_id, o)"
+    used = f"(SELECT w.image_id, w.o, greatest(0, least(w.n - 1, w.k)) AS k, round(w.w / CASE WHEN t.total = 0 THEN 1e0 ELSE t.total END, 12) AS w FROM {weights} w JOIN {total} t ON t.image_id = w.image_id AND t.o = w.o)"
+    e = "round(sum(round(r.v * u.w, 9)), 6)"
+    place = "u.o AS x, r.y" if not vertical else "r.x, u.o AS y"
+    return f"(SELECT r.image_id, {place}, r.band, {e if real else d.u8_trunc(e)} AS v FROM {r} r JOIN {used} u ON u.image_id = r.image_id AND u.k = r.{along} GROUP BY r.image_id, r.band, r.{other}, u.o)"
+
+
+@operator(1)
+def resize1d(d, r, scale: float = 0.7, vertical: bool = False, kernel: str = "linear", real: bool = False):
+    """Resampling along one axis with one of the kernels of SUPPORT."""
+    return f"SELECT {KEY}, v FROM {resampled(d, r, f'(SELECT DISTINCT image_id, {d.num(scale)} AS scale FROM {r})', vertical, kernel, real)} k"
 
 
 def hexagon(radius: int) -> list[list[float]]:
@@ -228,10 +266,10 @@ def hexagon(radius: int) -> list[list[float]]:
 
 
 @operator(1)
-def bokeh_blur(d, r, radius: int = 2, width: int = 64, height: int = 500):
+def bokeh_blur(d, r, radius: int = 2):
     kernel = hexagon(radius)
     n = round(1 / max(map(max, kernel)))
-    return conv.write(d, r, mask=[[1 if v else 0 for v in row] for row in kernel], divisor=float(n), width=width, height=height)
+    return conv.write(d, r, mask=[[1 if v else 0 for v in row] for row in kernel], divisor=float(n))
 
 
 @operator(1)

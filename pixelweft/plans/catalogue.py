@@ -66,8 +66,9 @@ def _corner(d, r, width: int = 4, height: int = 4):
 
 
 @operator(1)
-def _square(d, r, size: int = 21):
-    return f"SELECT image_id, x, y, band, v FROM {r} WHERE y < {size}"
+def _next(d, r, images: int = 5):
+    """Each image under the number of the one before it, so that all are paired with their successors."""
+    return f"SELECT CAST((image_id + {images - 1}) % {images} AS INT) AS image_id, x, y, band, v FROM {r}"
 
 
 @operator(1)
@@ -82,15 +83,15 @@ def _ramp_lut(d, r):
 
 
 @operator(1)
-def _swirl(d, r, width: int = 21, height: int = 100):
+def _swirl(d, r):
     """Places to sample from, some outside."""
     return f"SELECT image_id, x, y, x * 9e-1 + y * 5e-2 - 5e-1 AS sx, y * 1.02e0 - x * 25e-2 AS sy FROM {r} WHERE band = 0"
 
 
-A, B = of(as_image, "rgb"), of(as_image, "rgb", source=1)
+A, B = of("rgb"), of(_next, "rgb")
 RGBA = of(_with_alpha, "rgb")
-RGBA_A, RGBA_B = of(as_image, RGBA), of(as_image, RGBA, source=1)
-GREY0, GREY1 = of(as_image, "stack"), of(as_image, "stack", source=1)
+RGBA_A, RGBA_B = RGBA, of(_next, RGBA)
+GREY0, GREY1 = of("stack"), of(_next, "stack")
 MASK = of(pw.threshold, "grey", value=150)
 MASK0 = of(pw.threshold, GREY0, value=140)
 LAB_A, LAB_B, XYZ_ = of(co.to_lab, A), of(co.to_lab, B), of(co.to_xyz, "rgb")
@@ -210,7 +211,7 @@ def _register() -> None:
     _add("hist_match", of(an.hist_match, A, of(pw.linear, B, a=(0.5,), b=(20.0,)), bands=3))
     _add("hist_entropy", of(an.hist_entropy, "bag"), "image_id:i band:i entropy")
     for f in ("sum", "mean", "min", "max"):
-        _add(f"hist_find_indexed_{f}", of(an.hist_find_indexed, A, of(_few_levels, GREY0, levels=9), reduction=f), "band:i bin:i v")
+        _add(f"hist_find_indexed_{f}", of(an.hist_find_indexed, A, of(_few_levels, GREY0, levels=9), reduction=f), "image_id:i band:i bin:i v")
     _add("hist_find_ndim", of(an.hist_find_ndim, "rgb"), "i:i j:i k:i n:i")
     _add("hist_plot", of(an.hist_plot, of(an.hist_find, "grey"), height=64), PEL)
     _add("percent", of(an.percent, "bag", share=60), "image_id:i v")
@@ -237,7 +238,7 @@ def _register() -> None:
     _add("flip_vertical", of(ge.flip, "rgb", vertical=True))
     for a in (90, 180, 270):
         _add(f"rotate_{a}", of(ge.rotate90, "rgb", angle=a))
-    _add("rot45", of(ge.rot45, of(_square, "rgb")))
+    _add("rot45", of(ge.rot45, "rgb"))
     _add("auto_orient", of(ge.auto_orient, "rgb", orientation=7))
     _add("shrink", of(ge.shrink, "rgb"))
     _add("zoom", of(ge.zoom, "rgb"))
@@ -259,6 +260,8 @@ def _register() -> None:
 
     for op in (ge.similarity, ge.skew, ge.quadratic, ge.resize, ge.thumbnail):
         _add(op.__name__, of(op, A))
+    for k in st.SUPPORT:
+        _add(f"resize_{k}", of(ge.resize, "stack", scale=0.8, vscale=0.3, kernel=k))
     _add("bokeh_blur", of(st.bokeh_blur, "grey"))
     _add("sharpen", of(st.sharpen, "grey"))
     _add("page_bounds", of(an.page_bounds, "grey", bright=145, dark=110), "image_id:i axis:s first:i last:i")
@@ -279,10 +282,10 @@ def _register() -> None:
         _add(m, of(st.morph, "grey", method=m, mask=((0, 1, 0), (1, 1, 1), (0, 1, 0))))
     for op in (st.sobel, st.prewitt, st.kayyali, st.roberts, st.laplacian, st.compass, st.stdif):
         _add(op.__name__, of(op, "grey"))
-    _add("fastcor", of(st.fastcor, GREY0, of(_corner, GREY1), height=100))
-    _add("spcor", of(st.spcor, GREY0, of(_corner, GREY1), height=100))
+    _add("fastcor", of(st.fastcor, GREY0, of(_corner, GREY1)))
+    _add("spcor", of(st.spcor, GREY0, of(_corner, GREY1)))
     _add("resize1d", of(st.resize1d, "grey"))
-    _add("resize1d_vertical", of(st.resize1d, GREY0, vertical=True, length=100, scale=1.6))
+    _add("resize1d_vertical", of(st.resize1d, GREY0, vertical=True, scale=1.6))
 
     for op in (cr.black, cr.xyz, cr.identity, cr.grey, cr.sines, cr.zone, cr.eye, cr.gaussmat, cr.logmat, cr.tonelut, cr.buildlut, cr.mask_fractal, cr.worley):
         _add(op.__name__, of(op))
@@ -364,5 +367,5 @@ def oracle_sql() -> dict[str, str]:
     for name, (node, form) in QUERIES.items():
         named: list[tuple[str, str]] = []
         last = node.tables(named)
-        out[name] = f"WITH {', '.join(f'{n} AS ({t})' for n, t in named)} SELECT {_form(form)} FROM {last}"
+        out[name] = f"WITH {', '.join(f'{n} AS MATERIALIZED ({t})' for n, t in named)} SELECT {_form(form)} FROM {last}"
     return out

@@ -48,6 +48,21 @@ class Dialect:
     def arg_max(self, value, key) -> str:
         return f"max_by({value}, {key})"
 
+    def array(self, items) -> str:
+        return f"array({', '.join(items)})"
+
+    def sorted_present(self, array) -> str:
+        """Elements of an array that are not null, in ascending order."""
+        return f"array_sort(filter({array}, e -> e IS NOT NULL))"
+
+    def length(self, array) -> str:
+        return f"cardinality({array})"
+
+    def expand(self, rows: str, count: str, column: str) -> str:
+        """Subquery: each row once for every whole number below count, which is in `column`."""
+        n = f"CAST({count} AS INT)"
+        return f"(SELECT t.*, explode(CASE WHEN {n} > 0 THEN sequence(0, {n} - 1) ELSE array() END) AS {column} FROM {rows} t)"
+
     # the same in both
 
     def u8_trunc(self, e) -> str:
@@ -98,6 +113,18 @@ class DuckDialect(Dialect):
     def arg_max(self, value, key) -> str:
         return f"arg_max({value}, {key})"
 
+    def array(self, items) -> str:
+        return f"[{', '.join(items)}]"
+
+    def sorted_present(self, array) -> str:
+        return f"list_sort(list_filter({array}, lambda e: e IS NOT NULL))"
+
+    def length(self, array) -> str:
+        return f"len({array})"
+
+    def expand(self, rows: str, count: str, column: str) -> str:
+        return f"(SELECT t.*, CAST(unnest(range(CAST({count} AS BIGINT))) AS INTEGER) AS {column} FROM {rows} t)"
+
 
 SPARK, DUCKDB = Dialect(), DuckDialect()
 
@@ -128,6 +155,22 @@ def operator(inputs: int = 1):
 KEY = "image_id, x, y, band"
 
 
+def size_of(r: str) -> str:
+    """Subquery (image_id, w, h): the sizes of the images of a raster, whose pixels are all there."""
+    return f"(SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM {r} GROUP BY image_id)"
+
+
+def sized(r: str) -> str:
+    """Subquery of the pixels of a raster with w and h of their image."""
+    return f"(SELECT p.image_id, p.x, p.y, p.band, p.v, s.w, s.h FROM {r} p JOIN {size_of(r)} s ON s.image_id = p.image_id)"
+
+
+def canvas(d: Dialect, r: str, width: str = "w", height: str = "h") -> str:
+    """Subquery (image_id, band, w, h, ox, oy): the places of an output of these sizes for every image and band of a raster."""
+    bands = f"(SELECT k.image_id, k.band, s.w, s.h FROM (SELECT DISTINCT image_id, band FROM {r}) k JOIN {size_of(r)} s ON s.image_id = k.image_id)"
+    return d.expand(d.expand(bands, width, "ox"), height, "oy")
+
+
 def point(expression: Callable[..., str]) -> Operator:
     """A pointwise operator: expression(dialect, **how) gives the new v from v, x, y and band."""
     def write(d, r, **how):

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.sqlop import DUCKDB, SPARK, Dialect
 
 
-def _exploded(d: Dialect, embeddings: str) -> str:
-    """(vec_id, p, e): components from 0."""
+def _exploded(d: Dialect, embeddings: str, of: int = 1) -> str:
+    """(vec_id, p, e): components from 0, zeros after them up to a multiple of `of`."""
     if d is DUCKDB:
-        return f"(SELECT vec_id, CAST(p AS INTEGER) AS p, CAST(embedding[CAST(p AS INTEGER) + 1] AS DOUBLE) AS e FROM {embeddings}, range(64) t(p))"
-    return f"(SELECT vec_id, p, CAST(f AS DOUBLE) AS e FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS p, f)"
+        e = "embedding" if of == 1 else f"list_resize(embedding, {of} * CAST(ceil(len(embedding) / {of}e0) AS BIGINT), 0)"
+        return f"(SELECT vec_id, p, CAST(e AS DOUBLE) AS e FROM (SELECT vec_id, CAST(unnest(range(len({e}))) AS INTEGER) AS p, unnest({e}) AS e FROM {embeddings}))"
+    e = "embedding" if of == 1 else f"concat(embedding, array_repeat(CAST(0 AS FLOAT), pmod(-cardinality(embedding), {of})))"
+    return f"(SELECT vec_id, p, CAST(f AS DOUBLE) AS e FROM {embeddings} LATERAL VIEW posexplode({e}) t AS p, f)"
 
 
 def grey_sql(d: Dialect, embeddings: str) -> str:
@@ -23,9 +25,9 @@ def grey_sql(d: Dialect, embeddings: str) -> str:
 
 
 def rgb_sql(d: Dialect, embeddings: str) -> str:
-    """Five aligned images, 21 wide, three bands."""
+    """Five aligned images of three bands, a third of a vector wide."""
     return (f"SELECT CAST(vec_id % 5 AS INT) AS image_id, CAST(floor(p / 3e0) AS INT) AS x, CAST(floor(vec_id / 5e0) AS INT) AS y, p % 3 AS band, "
-            f"{d.u8_trunc('(e + 5e-1) * 255')} AS v FROM {_exploded(d, embeddings)} WHERE p < 63")
+            f"{d.u8_trunc('(e + 5e-1) * 255')} AS v FROM {_exploded(d, embeddings, 3)}")
 
 
 def stack_sql(d: Dialect, embeddings: str) -> str:
