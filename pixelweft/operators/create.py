@@ -164,3 +164,56 @@ def worley(d, width: int = 64, height: int = 48, cell: int = 16, seed: int = 1):
     near = f"abs(p.cx - floor(g.x / {d.num(cell)})) <= 1 AND abs(p.cy - floor(g.y / {d.num(cell)})) <= 1"
     return (f"SELECT 0 AS image_id, g.x, g.y, 0 AS band, sqrt(min((g.x - p.px) * (g.x - p.px) + (g.y - p.py) * (g.y - p.py))) AS v FROM {every} g "
             f"JOIN (VALUES {rows}) AS p(cx, cy, px, py) ON {near} GROUP BY g.x, g.y")
+
+
+def _uniform(d, *terms: str) -> str:
+    """A number in (0, 1] from whole numbers: three rounds of a linear congruence, with the high bits brought down between them."""
+    h = "0"
+    for t in terms:
+        h = f"((({h}) + CAST({t} AS BIGINT) + 12345) * 1103515245 % 2147483648)"
+        h = f"({h} + CAST(floor({h} / 65536e0) AS BIGINT)) % 2147483648"
+    return f"(({h}) + 1) / 2147483648e0"
+
+
+@operator(0)
+def gaussnoise(d, width: int = 64, height: int = 48, mean: float = 128.0, sigma: float = 30.0, seed: int = 1):
+    """Normal noise, each pixel's from a hash of the seed and its place, so that it is the same however it is divided."""
+    u, v = _uniform(d, str(seed), "y", "x", "1"), _uniform(d, str(seed), "x", "y", "2")
+    return _grid(d, width, height, f"{d.num(mean)} + {d.num(sigma)} * sqrt(-2 * ln({u})) * cos({d.num(2 * math.pi)} * {v})")
+
+
+def _permutation(seed: int) -> list[int]:
+    """The whole numbers below 256 in an order of the seed, twice."""
+    import random
+    order = list(range(256))
+    random.Random(seed).shuffle(order)
+    return order + order
+
+
+def _gradient_noise(d, cell: int, seed: int) -> str:
+    table = d.array([str(p) for p in _permutation(seed)])
+    at = lambda e: d.item(table, e)
+    fx, fy = (f"({c} / {d.num(cell)} - floor({c} / {d.num(cell)}))" for c in ("x", "y"))
+    cx, cy = (f"(CAST(floor({c} / {d.num(cell)}) AS INT) % 256)" for c in ("x", "y"))
+    fade = lambda t: f"({t} * {t} * {t} * ({t} * ({t} * 6 - 15) + 10))"
+
+    def slope(i: int, j: int) -> str:
+        h = f"({at(f'{at(f'{cx} + {i}')} + {cy} + {j}')} % 8)"
+        u, v = f"CASE WHEN {h} < 4 THEN {fx} - {i} ELSE {fy} - {j} END", f"CASE WHEN {h} < 4 THEN {fy} - {j} ELSE {fx} - {i} END"
+        return f"(CASE WHEN {h} % 2 = 0 THEN 1 ELSE -1 END * ({u}) + CASE WHEN {h} % 4 < 2 THEN 1 ELSE -1 END * ({v}))"
+
+    mix = lambda t, a, b: f"({a} + {t} * ({b} - {a}))"
+    return mix(fade(fy), mix(fade(fx), slope(0, 0), slope(1, 0)), mix(fade(fx), slope(0, 1), slope(1, 1)))
+
+
+@operator(0)
+def perlin(d, width: int = 64, height: int = 48, cell: int = 16, seed: int = 1):
+    """Gradient noise over a lattice of cells."""
+    return _grid(d, width, height, _gradient_noise(d, cell, seed))
+
+
+@operator(0)
+def fractsurf(d, width: int = 64, height: int = 48, octaves: int = 3, cell: int = 16, dimension: float = 2.5, seed: int = 1):
+    """Octaves of gradient noise, each on half the cells of the one before and weaker by the fractal dimension."""
+    parts = [f"{d.num(0.5 ** ((3 - dimension) * k))} * {_gradient_noise(d, max(1, cell >> k), seed + k)}" for k in range(octaves)]
+    return _grid(d, width, height, " + ".join(parts))

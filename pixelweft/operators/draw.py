@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from ..plans.sqlop import KEY, operator, pel, unpel
 from .stencil import nine
 
@@ -28,6 +30,47 @@ def draw_circle(d, r, cx: int = 10, cy: int = 50, radius: int = 8, ink=(255, 0,
     return f"SELECT {', '.join(f'r.{k}' for k in KEY.split(', '))}, CASE WHEN o.px IS NOT NULL THEN {_ink(d, ink).replace('band', 'r.band')} ELSE r.v END AS v FROM {r} r LEFT JOIN (VALUES {rows}) AS o(px, py) ON o.px = r.x AND o.py = r.y"
 
 
+def line_cover(x1: int, y1: int, x2: int, y2: int) -> dict[tuple[int, int], list[float]]:
+    """Pixels of an antialiased line and how much of each is covered, in the order they are drawn.
+
+    Lines along an axis cover their pixels wholly. Others go along their longer axis, and share each step between the two
+    pixels beside the line by its distance; the ends count a half.
+    """
+    out: dict[tuple[int, int], list[float]] = {}
+    if x1 == x2 or y1 == y2:
+        return {(x, y): [1.0] for x in range(min(x1, x2), max(x1, x2) + 1) for y in range(min(y1, y2), max(y1, y2) + 1)}
+    steep = abs(y2 - y1) > abs(x2 - x1)
+    (a1, b1), (a2, b2) = sorted([(y1, x1), (y2, x2)] if steep else [(x1, y1), (x2, y2)])
+    slope = (b2 - b1) / (a2 - a1)
+
+    def put(a: int, b: float, share: float) -> None:
+        low = math.floor(b)
+        for at, part in ((low, 1 - (b - low)), (low + 1, b - low)):
+            out.setdefault((at, a) if steep else (a, at), []).append(part * share)
+
+    put(a1, b1, 0.5)
+    put(a2, b2, 0.5)
+    across = b1 + slope
+    for a in range(a1 + 1, a2):
+        put(a, across, 1.0)
+        across += slope
+    return out
+
+
+@operator(1)
+def draw_line(d, r, x1: int = 2, y1: int = 3, x2: int = 17, y2: int = 40, ink=(255, 0, 0)):
+    """An antialiased line, truncated after each blending."""
+    cover = line_cover(x1, y1, x2, y2)
+    most = max(map(len, cover.values()))
+    rows = ", ".join(f"({x}, {y}, {', '.join(d.num(c) for c in (*cs, *[0.0] * (most - len(cs))))})" for (x, y), cs in cover.items())
+    ink_ = _ink(d, ink).replace("band", "r.band")
+    e = "r.v"
+    for k in range(most):
+        e = f"floor(round({e} * (1 - o.c{k}) + {ink_} * o.c{k}, 9))"
+    names = ", ".join(f"c{k}" for k in range(most))
+    return f"SELECT {', '.join(f'r.{k}' for k in KEY.split(', '))}, CASE WHEN o.px IS NOT NULL THEN {e} ELSE r.v END AS v FROM {r} r LEFT JOIN (VALUES {rows}) AS o(px, py, {names}) ON o.px = r.x AND o.py = r.y"
+
+
 @operator(1)
 def clear(d, r, color=(10, 20, 30)):
     return f"SELECT {KEY}, {_ink(d, color)} AS v FROM {r}"

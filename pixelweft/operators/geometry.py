@@ -222,7 +222,8 @@ def _resized(d, r: str, scale: str, vscale: str, kernel: str) -> str:
     factor = lambda c: f"CASE WHEN sx < 5e-1 OR sy < 5e-1 THEN greatest(1, CAST(floor(1 / {c}) AS INT)) ELSE 1 END"
     sizes = f"(SELECT z.*, {factor('sx')} AS fx, {factor('sy')} AS fy FROM {scales} z)"
     blocks = shrunk(f"(SELECT p.*, z.w, z.h, z.fx, z.fy FROM {r} p JOIN {sizes} z ON z.image_id = p.image_id)")
-    rest = lambda c, n, f: f"(SELECT image_id, {c} * {n} / CAST(floor({n} / CAST({f} AS DOUBLE)) AS DOUBLE) AS scale FROM {sizes} y)"
+    length = lambda n, f: f"CAST(floor({n} / CAST({f} AS DOUBLE)) AS INT)"
+    rest = lambda c, n, f: f"(SELECT image_id, {c} * {n} / CAST({length(n, f)} AS DOUBLE) AS scale, {length(n, f)} AS n FROM {sizes} y)"
     wide = resampled(d, blocks, rest("sx", "w", "fx"), False, kernel, False)
     return f"SELECT {KEY}, v FROM {resampled(d, wide, rest('sy', 'h', 'fy'), True, kernel, False)} k"
 

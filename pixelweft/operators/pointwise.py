@@ -153,6 +153,31 @@ def case(d, index, cases, images: int = 5):
     return f"SELECT i.image_id, c.x, c.y, c.band, c.v FROM {index} i JOIN {cases} c ON c.image_id = least(i.v, {images} - 1) AND c.x = i.x AND c.y = i.y AND c.band = i.band"
 
 
+#: Least and largest value of the whole-number formats. Fixed values.
+FORMATS = {"uchar": (0, 255), "char": (-128, 127), "ushort": (0, 65535), "short": (-32768, 32767), "uint": (0, 4294967295), "int": (-2147483648, 2147483647)}
+
+
+@point
+def cast(d, format: str = "ushort"):
+    """To a whole-number format, rounded half to even and clamped; float and double stay as they are."""
+    if format in ("float", "double"):
+        return "CAST(v AS DOUBLE)"
+    low, high = FORMATS[format]
+    return f"CAST(greatest({d.num(low)}, least({d.num(high)}, {d.rint('v')})) AS DOUBLE)"
+
+
+@point
+def byteswap(d, bytes: int = 2):
+    """The bytes of unsigned whole numbers in the other order."""
+    parts = [f"(CAST(floor(v / {d.num(256 ** k)}) AS BIGINT) % 256) * {256 ** (bytes - 1 - k)}" for k in range(bytes)]
+    return f"CAST({' + '.join(parts)} AS DOUBLE)"
+
+
+@point
+def copy(d):
+    return "v"
+
+
 @point
 def cast_uchar(d):
     return d.u8_round("v")

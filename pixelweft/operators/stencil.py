@@ -235,17 +235,17 @@ def kernel_at(d, kernel: str, x: str) -> str:
 
 
 def resampled(d, r: str, scales: str, vertical: bool, kernel: str, real: bool) -> str:
-    """Subquery: r along one axis by the scale of each image in scales(image_id, scale); edges repeated, weights normed, truncated."""
+    """Subquery: r along one axis by the scale and the length of each image in scales(image_id, scale, n); edges repeated, weights normed, truncated."""
     along, other = ("y", "x") if vertical else ("x", "y")
     half = SUPPORT[kernel]
-    sizes = f"(SELECT s.image_id, s.scale, n.n, greatest(1, {d.rint('n.n * s.scale')}) AS m FROM {scales} s JOIN (SELECT image_id, max({along}) + 1 AS n FROM {r} GROUP BY image_id) n ON n.image_id = s.image_id)"
+    sizes = f"(SELECT image_id, scale, n, greatest(1, {d.rint('n * scale')}) AS m FROM {scales} s)"
     at = f"(SELECT o.*, (o + 5e-1) / scale - 5e-1 AS pos FROM {d.expand(sizes, 'm', 'o')} o)"
     taps = ", ".join(f"({i})" for i in range(2 * half))
     near = f"(SELECT p.image_id, p.n, p.o, p.scale, p.pos, CAST(floor(p.pos) AS INT) - {half - 1} + i.i AS k FROM {at} p CROSS JOIN (VALUES {taps}) AS i(i))"
     # At a scale of 1 the image stays as it is, whatever the kernel.
     weights = f"(SELECT q.image_id, q.n, q.o, q.k, round(CASE WHEN scale = 1 THEN CASE WHEN k = o THEN 1e0 ELSE 0e0 END ELSE {kernel_at(d, kernel, '(k - pos)')} END, 15) AS w FROM {near} q)"
-    total = f"(SELECT image_id, o, sum(w) AS total FROM {weights} e GROUP BY image_id, o)"
-    used = f"(SELECT w.image_id, w.o, greatest(0, least(w.n - 1, w.k)) AS k, round(w.w / CASE WHEN t.total = 0 THEN 1e0 ELSE t.total END, 12) AS w FROM {weights} w JOIN {total} t ON t.image_id = w.image_id AND t.o = w.o)"
+    total = f"(SELECT e.*, sum(w) OVER (PARTITION BY image_id, o) AS total FROM {weights} e)"
+    used = f"(SELECT image_id, o, greatest(0, least(n - 1, k)) AS k, round(w / CASE WHEN total = 0 THEN 1e0 ELSE total END, 12) AS w FROM {total} t)"
     e = "round(sum(round(r.v * u.w, 9)), 6)"
     place = "u.o AS x, r.y" if not vertical else "r.x, u.o AS y"
     return f"(SELECT r.image_id, {place}, r.band, {e if real else d.u8_trunc(e)} AS v FROM {r} r JOIN {used} u ON u.image_id = r.image_id AND u.k = r.{along} GROUP BY r.image_id, r.band, r.{other}, u.o)"
@@ -254,7 +254,7 @@ def resampled(d, r: str, scales: str, vertical: bool, kernel: str, real: bool) -
 @operator(1)
 def resize1d(d, r, scale: float = 0.7, vertical: bool = False, kernel: str = "linear", real: bool = False):
     """Resampling along one axis with one of the kernels of SUPPORT."""
-    return f"SELECT {KEY}, v FROM {resampled(d, r, f'(SELECT DISTINCT image_id, {d.num(scale)} AS scale FROM {r})', vertical, kernel, real)} k"
+    return f"SELECT {KEY}, v FROM {resampled(d, r, f'(SELECT image_id, {d.num(scale)} AS scale, {"h" if vertical else "w"} AS n FROM {size_of(r)} z)', vertical, kernel, real)} k"
 
 
 def hexagon(radius: int) -> list[list[float]]:

@@ -16,6 +16,7 @@ from ..operators import bands as ba
 from ..operators import colour as co
 from ..operators import create as cr
 from ..operators import draw as dr
+from ..operators import effects as ef
 from ..operators import geometry as ge
 from ..operators import pointwise as pw
 from ..operators import stencil as st
@@ -266,6 +267,20 @@ def _register() -> None:
     _add("sharpen", of(st.sharpen, "grey"))
     _add("page_bounds", of(an.page_bounds, "grey", bright=145, dark=110), "image_id:i axis:s first:i last:i")
 
+    for op in (ef.oil_paint, ef.charcoal, ef.sketch, ef.polaroid, ef.rotate):
+        _add(op.__name__, of(op, "rgb"))
+    skews = of(ef.detect_skew, of(ef.analysis_copy, "rgb"))
+    _add("detect_skew", skews, "image_id:i degrees")
+    _add("deskew", of(ef.deskew, "rgb", skews))
+    _add("auto_crop", of(ef.auto_crop, "grey", bright=145, dark=110))
+    _add("edge_compass", of(ef.edge, "grey", method="compass"))
+    _add("draw_line", of(dr.draw_line, "rgb"))
+    for f in pw.FORMATS:
+        _add(f"cast_{f}" if f != "uchar" else "cast_format_uchar", of(pw.cast, of(pw.linear, "float", a=(1000.0,), b=(30.5,), real=True), format=f))
+    _add("byteswap", of(pw.byteswap, of(pw.linear, "rgb", a=(200.0,), b=(3.0,), real=True)))
+    _add("copy", of(pw.copy, "rgb"))
+    _add("black_white", of(co.saturate, "rgb", s=0.0))
+
     _add("conv_3x3", of(st.conv, "grey"))
     _add("conv1d", of(st.conv1d, "grey"))
     _add("conv1d_vertical", of(st.conv1d, "grey", vertical=True))
@@ -287,7 +302,7 @@ def _register() -> None:
     _add("resize1d", of(st.resize1d, "grey"))
     _add("resize1d_vertical", of(st.resize1d, GREY0, vertical=True, scale=1.6))
 
-    for op in (cr.black, cr.xyz, cr.identity, cr.grey, cr.sines, cr.zone, cr.eye, cr.gaussmat, cr.logmat, cr.tonelut, cr.buildlut, cr.mask_fractal, cr.worley):
+    for op in (cr.black, cr.xyz, cr.identity, cr.grey, cr.sines, cr.zone, cr.eye, cr.gaussmat, cr.logmat, cr.tonelut, cr.buildlut, cr.mask_fractal, cr.worley, cr.gaussnoise, cr.perlin, cr.fractsurf):
         _add(op.__name__, of(op))
     _add("grey_uchar", of(cr.grey, uchar=True))
     _add("invertlut", of(cr.invertlut, of(cr.grey, width=200, height=1)))
