@@ -133,7 +133,7 @@ CASES = {
     "orient_7": (geometry.auto_orient, {"orientation": 7}, lambda m: m.T[::-1, ::-1]),
     "shrink": (geometry.shrink, {}, shrink),
     "replicate": (geometry.replicate, {}, lambda m: np.tile(m, (2, 2))),
-    "wrap": (geometry.wrap, {}, lambda m: np.roll(m, (m.shape[0] // 2, m.shape[1] // 2), (0, 1))),
+    "wrap": (geometry.wrap, {}, lambda m: np.roll(m, (-(m.shape[0] // 2), -(m.shape[1] // 2)), (0, 1))),
     "embed": (geometry.embed, {"extend": "background", "background": (7,)}, embed),
     "mirror": (geometry.embed, {"extend": "mirror"}, mirrored),
     "charcoal": (effects.charcoal, {"bands": 1}, lambda m: np.maximum(0, 255 - 3 * abs(m - box(m, 1)))),
