@@ -128,7 +128,7 @@ def components(edges: DataFrame) -> DataFrame:
 BLOCK_WEIGHT = 1 << 21
 
 
-def connect(open_: DataFrame, star: DataFrame, verified, data, find) -> DataFrame | None:
+def connect(open_: DataFrame, star: DataFrame, verified, data, find, about=None, may=None) -> DataFrame | None:
     """Components over the verified ones of candidate pairs, with few verifications; None where there are no candidates.
 
     open_(a, b), a < b, are candidates; verified(pairs) returns those that are links. Rows of star(a, b) stand for all pairs
@@ -160,10 +160,33 @@ def connect(open_: DataFrame, star: DataFrame, verified, data, find) -> DataFram
     group = stage(group, "stars")
     broken = group.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("a")
     if not broken.isEmpty():
-        joined(stage(_crossing(group.join(broken, "a", "left_semi"), data(), find).distinct(), "cross"))
+        group = group.join(broken, "a", "left_semi")
+        if may is not None:
+            group = stage(_may_cross(group.join(about, "node"), may), "crossing")
+        joined(stage(_crossing(group, data(), find).distinct(), "cross"))
     return found
 
 
+def _blocks(rows: DataFrame, weight) -> DataFrame:
+    """rows(a, node, ...) with i and j: the blocks of a star that meet in a task, each row in as many as its star has blocks."""
+    blocks = (rows.groupBy("a").agg(F.sum(weight).alias("weight")).where(F.col("weight") > BLOCK_WEIGHT)
+              .select("a", F.ceil(F.col("weight") / BLOCK_WEIGHT).cast("int").alias("blocks")))
+    return (rows.join(blocks, "a", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "own", "other"))
+
+
+def _may_cross(rows: DataFrame, may) -> DataFrame:
+    """(a, node, component) of the members that may link with one of another component in their star."""
+    def judge(table):
+        import pyarrow as pa
+
+        keep = may(table.column("about").to_pylist(), table.column("component").to_numpy())
+        return table.select(["a", "node", "component"]).filter(pa.array(keep))
+
+    return _blocks(rows, F.lit(256)).groupBy("a", "i", "j").applyInArrow(judge, "a long, node long, component long").distinct()
+
+
 def _crossing(group: DataFrame, data: DataFrame, find) -> DataFrame:
     """Links (a, b) between members of one star and of different components; group(a, node, component)."""
     def cross(table):
@@ -174,13 +197,7 @@ def _crossing(group: DataFrame, data: DataFrame, find) -> DataFrame:
         ends = node[at]
         return pa.table({"a": pa.array(ends.min(1)), "b": pa.array(ends.max(1))})
 
-    rows = group.join(data, "node")
-    blocks = (rows.groupBy("a").agg(F.sum("weight").alias("weight")).where(F.col("weight") > BLOCK_WEIGHT)
-              .select("a", F.ceil(F.col("weight") / BLOCK_WEIGHT).cast("int").alias("blocks")))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (rows.join(blocks, "a", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "data"))
+    dealt = _blocks(group.join(data, "node"), "weight").select("a", "i", "j", "node", "component", "data")
     return dealt.groupBy("a", "i", "j").applyInArrow(cross, "a long, b long")
 
 
@@ -196,22 +213,31 @@ def free_names(columns, *names: str) -> list[str]:
 
 
 def covered(n: int, near) -> tuple[np.ndarray, np.ndarray]:
-    """Of n things that met: pairs (i, j) that may link, a forest over all that may link with some other, and the places of these.
+    """Of n things that met: pairs (i, j) that may link, so that each that may link with some other is in one, and the places of these.
 
-    near(i) tells which of all n may link with i. It is asked only for things that were near none before.
+    near(i, j) tells which may link, i being a column of places and j a row. The first few cover what is alike; the rest are
+    held against all, many at a time.
     """
-    lone, pairs = np.ones(n, bool), []
-    for i in range(n):
+    lone, every, pairs = np.ones(n, bool), np.arange(n), []
+    for i in range(min(4, n)):
         if lone[i]:
-            hit = near(i)
+            hit = near(np.array([[i]]), every)[0]
             hit[i] = False
             fresh = np.flatnonzero(hit & lone)
-            if not len(fresh):
-                fresh = np.flatnonzero(hit)[:1]
             if len(fresh):
                 lone[fresh] = lone[i] = False
                 pairs.append(np.sort(np.stack((np.full(len(fresh), i), fresh), 1), axis=1))
-    return (np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)), np.flatnonzero(~lone)
+    rest = np.flatnonzero(lone)
+    step = max(1, (1 << 17) // max(1, n))
+    for at in range(0, len(rest), step):
+        some = rest[at: at + step]
+        hit = near(some[:, None], every)
+        hit[np.arange(len(some)), some] = False
+        has = hit.any(1)
+        some, first = some[has], hit[has].argmax(1)
+        lone[some] = lone[first] = False
+        pairs.append(np.sort(np.stack((some, first), 1), axis=1))
+    return (np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)), np.flatnonzero(~lone)
 
 
 class Overlaps:

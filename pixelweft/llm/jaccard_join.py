@@ -333,7 +333,7 @@ def _meet(percent: int):
                 if (what := some.tobytes()) in seen:  # the same sets under another signature
                     continue
                 seen.add(what)
-                forest, members = covered(len(some), lambda k: may_link(some[k], some))
+                forest, members = covered(len(some), lambda i, j: may_link(np.repeat(some[i[:, 0]], len(j)), np.tile(some[j], len(i))).reshape(len(i), len(j)))
                 if len(members):
                     direct = forest[forest[:, 0] == members[0]]
                     stars.append(some[direct])

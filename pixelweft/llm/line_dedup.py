@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Overlaps, _INVERSE, _BASE, chunks, connect, covered, dealt_parts, joining, mix64, slices, stage, text_bytes, word_hashes
+from .common import Overlaps, _INVERSE, _BASE, chunks, connect, covered, dealt_parts, free_names, joining, mix64, slices, stage, text_bytes, word_hashes
 
 #: Lines under one gram of which all pairs are compared; with more, stars.
 _FEW = 24
@@ -119,7 +119,10 @@ def parities(words: np.ndarray, first: np.ndarray, wide: int = 1) -> np.ndarray:
 def may_link(n, x, m, y, percent: int):
     """Whether lines of n and m words with parities x and y can be similar: an edit changes two words' parities, a deletion one."""
     short, long = np.minimum(n, m), np.maximum(n, m)
-    return (100 * short >= percent * long) & (np.bitwise_count((x ^ y).view(np.uint64)).sum(-1, dtype=np.int64) <= 2 * ((100 - percent) * long // 100) - (long - short))
+    far = np.int16(0)
+    for w in range(x.shape[-1]):
+        far = far + np.bitwise_count(np.asarray(x[..., w] ^ y[..., w]).view(np.uint64)).astype(np.int16)
+    return (100 * short >= percent * long) & (far <= 2 * ((100 - percent) * long // 100) - (long - short))
 
 
 def _grams(words: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,8 +320,11 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
         key, name, parity, place, size = key[fresh], name[fresh], parity[fresh], size[fresh] & 0xFFFF, size[fresh] >> 16
         place = np.where(size == 0xFFFF, _ANYWHERE, place)
 
-        def near(i, j):
-            return may_link(size[i], parity[i], size[j], parity[j], percent) & may_align(size[i], place[i], size[j], place[j], percent) | (size[i] == 0xFFFF) & (size[j] == 0xFFFF)
+        def aligned(i, j):
+            return may_align(size[i], place[i], size[j], place[j], percent)
+
+        def alike(i, j):
+            return may_link(size[i], parity[i], size[j], parity[j], percent) | (size[i] == 0xFFFF) & (size[j] == 0xFFFF)
 
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         length = np.diff(np.append(start, len(key)))
@@ -329,7 +335,8 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
             same = np.flatnonzero((key[:-d] == key[d:]) & (within[:-d] <= _FEW)) if d < len(key) else start[:0]
             if not len(same):
                 break
-            same = same[near(same, same + d)]
+            same = same[aligned(same, same + d)]
+            same = same[alike(same, same + d)]
             pairs.append(np.stack((name[same], name[same + d]), 1))
         for g in np.flatnonzero(length > _FEW):
             some = slice(start[g], start[g] + length[g])
@@ -337,7 +344,7 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
             if (what := names.tobytes()) in seen:  # the same lines under another gram
                 continue
             seen.add(what)
-            forest, members = covered(len(names), lambda i: near(here[i], here))
+            forest, members = covered(len(names), lambda i, j: aligned(here[i], here[j]) & alike(here[i], here[j]))
             if len(members):
                 lead = members[0]
                 direct = forest[forest[:, 0] == lead]
@@ -398,6 +405,24 @@ def _verifier(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: int
     return verified, texts
 
 
+def _may_cross(percent: int):
+    """For `connect`: which lines may link with one of another component, by their wide parities."""
+    def may(about, component):
+        n = np.array([x["n_words"] for x in about], np.int64)
+        parity = np.frombuffer(b"".join(x["parity"] for x in about), np.int64).reshape(-1, _WIDE)
+        _, own, count = np.unique(component, return_inverse=True, return_counts=True)
+        keep, step = np.zeros(len(n), bool), max(1, (1 << 16) // max(1, len(n)))
+        asked = np.flatnonzero(own != count.argmax()) if len(count) > 1 else own[:0]
+        for at in range(0, len(asked), step):
+            i = asked[at: at + step, None]
+            hit = may_link(n[i], parity[i], n, parity, percent) & (own[i] != own)
+            keep |= hit.any(0)
+            keep[i[:, 0]] |= hit.any(1)
+        return keep
+
+    return may
+
+
 def _find(percent: int):
     """For `connect`: linked lines of different components, of the word sequences of lines that met."""
     def find(data, component):
@@ -468,7 +493,8 @@ def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4, leas
 
     candidates = pairs.where("kind < 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     found = connect(candidates, pairs.where("kind > 0").select(F.col("x").alias("a"), F.col("y").alias("b")), lambda some: verifier()[0](some),
-                    lambda: verifier()[1].select(F.col("line").alias("node"), (F.length("words") / 8).cast("long").alias("weight"), F.col("words").alias("data")), _find(percent))
+                    lambda: verifier()[1].select(F.col("line").alias("node"), (F.length("words") / 8).cast("long").alias("weight"), F.col("words").alias("data")), _find(percent),
+                    nodes.select(F.col("line").alias("node"), F.struct("n_words", "parity").alias("about")), _may_cross(percent))
     if found is None:
         group = nodes.withColumn("component", F.col("line"))
     else:
@@ -486,12 +512,13 @@ def dedup_lines(docs: DataFrame, percent: int = 75, least_words: int = 4, least_
     are and do not count as occurrences; rows of equal doc_id count as one document. Other columns stay, clashing ones
     (n_lines, n_dropped) are replaced.
     """
-    dropped = stage(dropped_lines(docs, percent, least_words, least_exact), "dropped").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
-    joined = docs.join(dropped, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
+    own, hashed, gone = free_names(names, "line_doc", "line_hash", "line_gone")
+    dropped = stage(dropped_lines(docs, percent, least_words, least_exact), "dropped").toDF(own, hashed, gone)
+    joined = docs.join(dropped, (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(hashed)), "left")
     lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left).alias("text")
     return joined.select(*[text if c == "text" else F.col(c) for c in names], F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-                         F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"))
+                         F.coalesce(F.size(gone), F.lit(0)).alias("n_dropped"))
