@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_names, stage
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -62,23 +64,35 @@ def draw(doc_id: str = "doc_id", text: str = "text", seed: str = "") -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
+#: Sources up to which their rates (some 50 bytes each) are sent to every executor; with more, documents are shuffled by source.
+FEW_SOURCES = 200_000
+
+
+def _counted(docs: DataFrame, names: list[str], seed: str, **targets) -> DataFrame:
+    """docs with the size, source_size, target, rate and copies of each row, under these names."""
+    size, source_size, target, rate, copies = names
+    own, = free_names([*docs.columns, *names], "mix_source")
+    rates = stage(source_targets(docs.select("source", word_count("text").alias("size")), **targets), "rates")
+    few = rates.count() <= FEW_SOURCES
+    rates = rates.toDF(own, source_size, target, rate)
+    joined = docs.withColumn(size, word_count("text")).join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col(own)), "left").drop(own)
+    whole = F.floor(F.col(rate))
+    return joined.withColumn(copies, (whole + F.when(draw(seed=seed) < F.col(rate) - whole, 1).otherwise(0)).cast("int"))
+
+
 def mix_counts(docs: DataFrame, seed: str = "", **targets) -> DataFrame:
     """docs with mix_size, source_size, target, rate and copies (how often the mix emits the row).
 
     Null or empty text has size 0. Rows of equal id and text are drawn alike. Columns of docs other than doc_id, text
     and source are carried along; those named like an added column are replaced.
     """
-    sized = docs.withColumn("mix_size", word_count("text"))
-    rates = source_targets(sized.select("source", "mix_size"), size="mix_size", **targets).withColumnRenamed("source", "__source")
-    sized = sized.drop("source_size", "target", "rate", "copies")
-    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    whole = F.floor("rate")
-    return joined.withColumn("copies", (whole + F.when(draw(seed=seed) < F.col("rate") - whole, 1).otherwise(0)).cast("int"))
+    names = ["mix_size", "source_size", "target", "rate", "copies"]
+    return _counted(docs.drop(*names), names, seed, **targets)
 
 
 def mix(docs: DataFrame, seed: str = "", **targets) -> DataFrame:
-    """The mixed corpus: the rows of docs, each as often as the mix emits it, with the columns of docs."""
+    """The mixed corpus: the rows of docs, each as often as the mix emits it, with the columns of docs, whatever their names."""
     names = docs.columns
-    counted = mix_counts(docs, seed, **targets)
-    return counted.where("copies > 0").select(
-        *names, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select(*names)
+    *added, again = free_names(names, "mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies", "mix_again")
+    counted = _counted(docs, added, seed, **targets).where(F.col(added[-1]) > 0)
+    return counted.select(*names, F.explode(F.sequence(F.lit(1), F.col(added[-1]))).alias(again)).select(*names)
