@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_names, stage
+
 BITS = 14
 PLACES = 1 << BITS
 UNKNOWN = "und"
@@ -96,15 +98,24 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
+#: Labels up to which what is known of each (some 30 bytes) is sent to every executor.
+FEW_LABELS = 200_000
+
+
 def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 48, languages: int = 64, folds: int = 5) -> Model:
-    """Learn from text and lang of docs that are not held out. Every label is learned; where there are more than `languages`,
+    """Learn from texts and lang of docs that are not held out, each text of a language once. Every label is learned; where there are more than `languages`,
     rows and landmarks per label are fewer, so that their sums stay (one of each at least)."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds))
     usable = usable.select("lang", "text", F.xxhash64("text").alias("h"))
-    labels = max(languages, usable.select("lang").distinct().count())
+    counts = stage(usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")), "labels")
+    known = counts.count()
+    labels = max(languages, known)
     per_language, landmarks = (max(1, k * languages // labels) for k in (per_language, landmarks))
-    order = Window.partitionBy("lang").orderBy("h")
-    sample = usable.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    # The sample is the texts of the smallest hashes. Those beyond about three times as many are left out before the shuffle.
+    counts = counts.select(F.col("lang").alias("label"), (F.lit(-2.0**63) + F.least(F.lit(1.0), F.lit(3.0 * per_language + 50) / F.col("texts")) * 2.0**64).alias("below"))
+    near = usable.join(F.broadcast(counts) if known <= FEW_LABELS else counts, F.col("lang") == F.col("label")).where(F.col("h").cast("double") <= F.col("below"))
+    texts = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = texts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
 
     def bits(batches):
         import pyarrow as pa
@@ -152,11 +163,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             best.append(np.where(some, np.clip(score.max(1), 0.0, 1.0), 0.0))
         return pd.DataFrame({"lang_pred": names, "score": np.concatenate(best) if best else []})
 
-    return docs.withColumn("__judged", judge("text")).select(*docs.columns, "__judged.lang_pred", "__judged.score")
+    judged, = free_names(docs.columns, "judged")
+    return docs.withColumn(judged, judge("text")).select(*docs.columns, f"{judged}.lang_pred", f"{judged}.score")
 
 
 def identify(docs: DataFrame, **how) -> DataFrame:
-    """Fit on docs and predict all of them: doc_id, held_out, lang_pred, score."""
+    """Fit on docs and predict all of them: doc_id, held_out, lang_pred, score.
+
+    One row per row of docs; repeated rows are judged alike. Null text or text without letters is `und` with score 0; rows of
+    null text, lang or doc_id teach nothing; with nothing learned all are `und`. An empty table gives an empty result.
+    """
     model = fit(docs, **how)
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
@@ -167,5 +183,6 @@ def keep_known(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
     At sf0.1 nine of 10,000 documents of the learned languages score below 0.32; Polish, Finnish, Turkish and random letters
     score 0.16 to 0.28.
     """
-    names = docs.columns
-    return predict(docs, fit(docs, **how)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    judged, = free_names(docs.columns, "judged")
+    found = predict(docs.select("text", F.struct(*docs.columns).alias(judged)), fit(docs, **how))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(f"{judged}.*")
