@@ -111,16 +111,17 @@ def _stretch() -> Column:
 def followers(docs: DataFrame) -> DataFrame:
     """(before, first): for each stretch of ids the smallest id of the next one that has documents; the first follows the last.
 
-    The order is found on two levels, so that no task sorts more than 4096 stretches or a four-millionth of the documents.
+    Stretches are sorted in ranges, as many as there are shuffle partitions; only the first stretch of each range is sorted
+    in one task. That holds for scattered ids too, of which each has a stretch of its own.
     """
-    firsts = stage(docs.groupBy(_stretch().alias("stretch")).agg(F.min("doc_id").alias("first")), "firsts")
-    wide = firsts.withColumn("wide", F.floor(F.col("stretch") / 4096))
-    heads = wide.groupBy("wide").agg(F.min(F.struct("stretch", "first")).alias("head"))
-    order = Window.orderBy("wide")
-    heads = heads.select(F.col("wide").alias("w"), F.coalesce(F.lead("head").over(order), F.first("head").over(
+    firsts = docs.groupBy(_stretch().alias("stretch")).agg(F.min("doc_id").alias("first"))
+    ranges = stage(firsts.repartitionByRange("stretch").withColumn("range", F.spark_partition_id()), "firsts")  # the ranges hold once written
+    heads = ranges.groupBy("range").agg(F.min(F.struct("stretch", "first")).alias("head"))
+    order = Window.orderBy("range")
+    heads = heads.select(F.col("range").alias("r"), F.coalesce(F.lead("head").over(order), F.first("head").over(
         order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    inner = F.lead(F.struct("stretch", "first")).over(Window.partitionBy("wide").orderBy("stretch"))
-    return wide.withColumn("inner", inner).join(heads, F.col("wide") == F.col("w")).select(
+    inner = F.lead(F.struct("stretch", "first")).over(Window.partitionBy("range").orderBy("stretch"))
+    return ranges.withColumn("inner", inner).join(F.broadcast(heads), F.col("range") == F.col("r")).select(
         F.col("stretch").alias("before"), F.coalesce("inner", "after").getField("first").alias("first"))
 
 
