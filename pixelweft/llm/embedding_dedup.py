@@ -206,14 +206,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, **how) -> DataFr
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     rows = rows.withColumn("ok", usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    nodes = stage(rows.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "nodes")
+    # A node is a vector, named by a hash of it: rows of one vec_id may hold different vectors.
+    nodes = stage(rows.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+                  .withColumn("node", F.xxhash64("embedding")), "nodes")
     pairs = stage(links(nodes, threshold, **how), "links")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = nodes.groupBy(F.col("node").alias("b")).agg(F.sum("weight").alias("weight"))
-    degree = both.join(weight, "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("linked"))
-    found = components(pairs)
-    per_node = nodes.join(degree, "node", "left").join(found, "node", "left").select(
-        F.col("embedding").alias("__e"), (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    degree = both.join(nodes.select(F.col("node").alias("b"), "weight"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("linked"))
+    found = nodes.select("node", "least").join(components(pairs), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = found.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = found.join(least, "component").select("node", "component_id")
+    per_node = nodes.join(degree, "node", "left").join(found, "node").select(
+        F.col("embedding").alias("__e"), (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
     joined = rows.join(per_node, F.col("ok") & (F.col("embedding") == F.col("__e")), "left")
     component = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("vec_id"))
     return joined.select(
