@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stage
+from .common import free_names, slices, stage
 from .tokens import encoder
 
 #: Pieces of one length that are ranked in one task.
@@ -185,23 +185,24 @@ def plan_packing(histogram: dict[int, int], capacity: int = 4096, large: float =
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, **how) -> DataFrame:
-    """pieces(doc_id, piece, length, ...) with sequence_id and offset. Extra columns stay; lengths are 1 to capacity.
+    """pieces(doc_id, piece, length, ...) with sequence_id and offset (columns of these names are replaced). Extra columns stay; lengths are 1 to capacity.
 
     Pieces of equal length are ranked by document and piece within hashed parts of at most about RANK_ROWS rows, whose
     counts are added up beforehand: a length that a third of all pieces share is ranked by many tasks.
     """
-    pieces = stage(pieces, "pieces")
+    pieces = stage(pieces.drop("sequence_id", "offset"), "pieces")
+    part, many, before, place_ = free_names(pieces.columns, "part", "many", "before", "rank")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     runs = plan_packing(histogram, capacity, **how).arrays()
     parts = F.coalesce(F.element_at(
         F.create_map(*[F.lit(int(v)) for x in sorted(histogram) if histogram[x] > RANK_ROWS for v in (x, -(-histogram[x] // RANK_ROWS))]),
         F.col("length")), F.lit(1)) if any(n > RANK_ROWS for n in histogram.values()) else F.lit(1)
-    dealt = pieces.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece"), parts.cast("long")))
-    sums = dealt.groupBy("length", "__part").agg(F.count("*").alias("__n")).withColumn(
-        "__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = dealt.join(sums.drop("__n"), ["length", "__part"]).withColumn(
-        "__rank", F.coalesce("__before", F.lit(0)) + F.row_number().over(
-            Window.partitionBy("length", "__part").orderBy("doc_id", "piece", *[c for c in ("start", "ids_crc32") if c in pieces.columns])) - 1)
+    dealt = pieces.withColumn(part, F.pmod(F.xxhash64("doc_id", "piece"), parts.cast("long")))
+    sums = dealt.groupBy("length", part).agg(F.count("*").alias(many)).withColumn(
+        before, F.sum(many).over(Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = dealt.join(sums.drop(many), ["length", part]).withColumn(
+        place_, F.coalesce(F.col(before), F.lit(0)) + F.row_number().over(
+            Window.partitionBy("length", part).orderBy("doc_id", "piece", *[c for c in ("start", "ids_crc32") if c in pieces.columns])) - 1)
     names = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     held = pieces.sparkSession.sparkContext.broadcast(runs)  # bounded by the capacity, not by the pieces
@@ -212,11 +213,11 @@ def pack(pieces: DataFrame, capacity: int = 4096, **how) -> DataFrame:
         length, rank, _, sequence, offset, each = held.value
         key = (length << 44) + rank
         for batch in batches:
-            x, r = (batch.column(n).to_numpy().astype(np.int64) for n in ("length", "__rank"))
+            x, r = (batch.column(n).to_numpy().astype(np.int64) for n in ("length", place_))
             at = np.searchsorted(key, (x << 44) + r, "right") - 1
             i = r - rank[at]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + [pa.array(sequence[at] + i // each[at]), pa.array(offset[at] + i % each[at] * x)],
                 [*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "__rank").mapInArrow(place, schema)
+    return ranked.select(*names, place_).mapInArrow(place, schema)

@@ -65,8 +65,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> tuple[np.n
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class).select("doc_id", "quality")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", *[c.alias(n) for n, c in features(F.col("text")).items()])
-    rows = sorted(map(tuple, rows.collect()))  # at most two classes of per_class rows, repeated ids aside
+    measured = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.struct(*[c.alias(n) for n, c in features(F.col("text")).items()]).alias("f"))
+    rows = measured.groupBy("doc_id", "quality").agg(F.min("f").alias("f")).select("quality", "f.*")  # of rows of one id, one
+    rows = sorted(map(tuple, rows.collect()))  # at most two classes of per_class rows
     x = np.array([r[1:] for r in rows], float).reshape(len(rows), len(FEATURES))
     y = np.array([r[0] for r in rows], float)
     x = np.column_stack(_terms(list(x.T))) if len(rows) else np.zeros((0, len(_terms([0] * len(FEATURES)))))
