@@ -21,7 +21,8 @@ from ..operators import geometry as ge
 from ..operators import pointwise as pw
 from ..operators import stencil as st
 from ..sources.rasters import raster, raster_sql
-from .sqlop import Operator, as_image, operator
+from . import whole_sql
+from .sqlop import Operator, operator
 
 
 @dataclass(frozen=True)
@@ -346,7 +347,7 @@ def _query(node: Node, form: str):
 
 
 def _whole(kind: str, function):
-    """A query of an operator on whole arrays, which SQL can't express; tests compare these with brute force."""
+    """A query of an operator on whole arrays; whole_sql has SQL for some, tests compare the others with brute force."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return function(raster(spark, sf_dir, kind) if kind else None, spark, sf_dir)
 
@@ -357,14 +358,20 @@ def _mask(spark, sf_dir):
     return pw.threshold(raster(spark, sf_dir, "stack"), value=150)
 
 
+def _placed(df: DataFrame, *values: str, places: int = 6) -> DataFrame:
+    """In the common form of the results of SQL."""
+    keys = [f"CAST({k} AS BIGINT) AS {k}" for k in ("image_id", "x", "y", "band")]
+    return df.selectExpr(*keys, *[f"round(CAST({v} AS DOUBLE), {places}) + 0e0 AS {v}" for v in values])
+
+
 WHOLE = {
-    "fw_fft": _whole("stack", lambda r, *_: ar.fw_fft(r)),
-    "inv_fft": _whole("stack", lambda r, *_: ar.inv_fft(ar.fw_fft(r))),
-    "spectrum": _whole("stack", lambda r, *_: ar.spectrum(r)),
-    "phasecor": _whole("stack", lambda r, *_: ar.phasecor(as_image(r), as_image(r, source=1))),
-    "label_regions": _whole("", lambda r, *at: ar.label_regions(_mask(*at))),
-    "nearest": _whole("", lambda r, *at: ar.nearest(_mask(*at))),
-    "draw_flood": _whole("", lambda r, *at: ar.draw_flood(_mask(*at), 5, 5, (99,))),
+    "fw_fft": _whole("stack", lambda r, *_: _placed(ar.fw_fft(r), "re", "im", places=whole_sql.PLACES)),
+    "inv_fft": _whole("stack", lambda r, *_: _placed(ar.inv_fft(ar.fw_fft(r)), "v")),
+    "spectrum": _whole("stack", lambda r, *_: _placed(ar.spectrum(r), "v")),
+    "phasecor": _whole("stack", lambda r, *_: ar.phasecor(r, _next(r))),
+    "label_regions": _whole("", lambda r, *at: _placed(ar.label_regions(_mask(*at)), "v")),
+    "nearest": _whole("", lambda r, *at: _placed(ar.nearest(_mask(*at)), "v")),
+    "draw_flood": _whole("", lambda r, *at: _placed(ar.draw_flood(_mask(*at), 5, 5, (99,)), "v")),
     "canny": _whole("grey", lambda r, *_: ar.canny(st.gauss_blur(r, sigma=1.4))),
     "hist_local": _whole("rgb", lambda r, *_: ar.clahe(r)),
     "entropy_crop": _whole("rgb", lambda r, *_: ar.entropy_crop(r, 12, 40)),
@@ -378,7 +385,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {}
+    out = dict(whole_sql.SQL)
     for name, (node, form) in QUERIES.items():
         named: list[tuple[str, str]] = []
         last = node.tables(named)

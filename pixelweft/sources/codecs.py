@@ -11,7 +11,7 @@ import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.arrays import PIXELS, to_array, to_rows
@@ -421,14 +421,21 @@ def encode(pixels: DataFrame, format: str) -> DataFrame:
     return pixels.groupBy("image_id").applyInArrow(run, "image_id int, content binary")
 
 
+def _numbered(files: DataFrame, path: str) -> DataFrame:
+    """files with image_id, from 0 in the order of their paths; only the paths are sorted."""
+    paths = files.select(F.col(path).alias("of")).distinct().withColumn("image_id", (F.row_number().over(Window.orderBy("of")) - 1).cast("int"))
+    return files.join(paths, files[path] == paths["of"]).drop("of")
+
+
 def load(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """Pixels of all files below a path, numbered by the hash of their names."""
+    """Pixels of all files below a path, numbered in the order of their names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return decode(files.select(F.hash("path").alias("image_id"), "content"), format)
+    return decode(_numbered(files, "path").select("image_id", "content"), format)
 
 
 def read_csv_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Numbers parted by commas, semicolons, blanks or tabs, # comments left out; clamped to 8 bits and truncated."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x).rlike("^[^#]"))).alias("y", "line"))
-    cells = lines.select("y", F.posexplode(F.filter(F.split("line", "[,;\\s]+"), lambda x: x != "")).alias("x", "t"))
-    return cells.select(F.lit(0).alias("image_id"), "x", "y", F.lit(0).alias("band"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("t").cast("double")))).cast("double").alias("v"))
+    """An image per file, numbered in the order of their names: numbers parted by commas, semicolons, blanks or tabs, # comments left out; clamped to 8 bits and truncated."""
+    files = _numbered(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"), "path")
+    lines = files.select("image_id", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x).rlike("^[^#]"))).alias("y", "line"))
+    cells = lines.select("image_id", "y", F.posexplode(F.filter(F.split("line", "[,;\\s]+"), lambda x: x != "")).alias("x", "t"))
+    return cells.select("image_id", "x", "y", F.lit(0).alias("band"), F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("t").cast("double")))).cast("double").alias("v"))

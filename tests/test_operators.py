@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from pixelweft.operators import analysis, create, geometry, pointwise, stencil
-from pixelweft.plans import catalogue
+from pixelweft.plans import catalogue, whole_sql
 
 SCHEMA = "image_id int, x int, y int, band int, v double"
 SF = "/root/testdata/sf0.001"
@@ -79,7 +79,7 @@ def test_midpoint_circles():
 
 
 #: A tenth of the queries; all of them are compared by the driver.
-SOME = sorted(catalogue.QUERIES)[::10]
+SOME = [*sorted(catalogue.QUERIES)[::12], *whole_sql.SQL]
 
 
 @pytest.mark.parametrize("name", SOME)
@@ -94,3 +94,4 @@ def test_parity(spark, duck, name):
 
 def test_every_query_has_sql_or_is_whole_image():
     assert set(catalogue.queries()) == set(catalogue.oracle_sql()) | set(catalogue.WHOLE)
+    assert len(set(catalogue.WHOLE) - set(catalogue.oracle_sql())) == 10
