@@ -85,3 +85,63 @@ def test_signatures_meet_for_every_similar_pair():
         b = np.unique(np.concatenate((rng.permutation(a)[drop:], add)))
         if J.similar(a, b, 75) and not np.array_equal(a, b):
             assert np.intersect1d(bands.signatures(a), bands.signatures(b)).size, (len(a), len(b))
+
+
+def near_threshold(seed=9):
+    """Chains of texts around a similarity of 0.75 that share a passage, so that stars do not hold together, and a third of copies."""
+    r = random.Random(seed)
+    word = [f"v{i}" for i in range(4000)]
+    passage = [r.choice(word) for _ in range(60)]
+    texts = []
+    for _ in range(40):
+        tail = [r.choice(word) for _ in range(r.randrange(0, 30))]
+        texts.append(" ".join(passage + tail))
+    for _ in range(3):
+        text = [r.choice(word) for _ in range(90)]
+        for _ in range(25):
+            text = list(text)
+            text[r.randrange(len(text))] = r.choice(word)
+            texts.append(" ".join(text))
+    texts += [texts[0]] * 50
+    r.shuffle(texts)
+    return [(d, t, "s", 1, 2) for d, t in enumerate(texts)]
+
+
+def test_stars_and_blocks_give_the_same(spark, monkeypatch):
+    from pixelweft.llm import common
+
+    rows = near_threshold()
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) < len(want) - 100
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for few, weight in ((12, 1 << 21), (1, 1 << 21), (1, 500)):
+        monkeypatch.setattr(J, "_FEW", few)
+        monkeypatch.setattr(common, "BLOCK_WEIGHT", weight)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.near_duplicates(docs).collect()} == want
+
+
+def test_columns_of_any_name_and_a_very_long_text(spark):
+    long = " ".join(f"x{i % 7919}y{i % 13}" for i in range(60_000))
+    rows = [(1, long, 5, 6, 7), (2, long + " end", 8, 9, 10), (3, "another text of seven words in all", 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id long, kept_rows long, __n long")
+    assert sorted(map(tuple, J.drop_near_duplicates(docs).collect())) == [rows[0], rows[2]]
+
+
+def test_forests_cover_all_that_may_link():
+    import numpy as np
+
+    from pixelweft.llm.common import Overlaps, covered, joining
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 9, 40, 700):
+        may = np.triu(rng.random((n, n)) < 1.5 / n, 1)
+        may |= may.T
+        pairs, members = covered(n, lambda i, j: (may[i, j] | (i == j)))
+        assert may[pairs[:, 0], pairs[:, 1]].all() and set(members) == set(np.flatnonzero(may.any(1))) == set(pairs.reshape(-1).tolist())
+    sets = [np.unique(rng.integers(0, 60, 30)).astype(np.uint64) for _ in range(50)]
+    over = Overlaps(sets)
+    assert over.of(7).tolist() == [len(np.intersect1d(sets[7], s)) for s in sets]
+    some = over.only(np.array([3, 7, 20]))
+    assert some.of(1).tolist() == [len(np.intersect1d(sets[7], sets[k])) for k in (3, 7, 20)]
+    links = joining(np.array([5, 5, 5, 8, 8, 9, 4]), lambda i, j: np.array([k for k in j if (i, k) in {(3, 1), (3, 2), (5, 4), (6, 6)}], np.int64))
+    assert links.tolist() == [[3, 1], [5, 4]]
