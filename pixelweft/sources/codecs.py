@@ -2,7 +2,7 @@
 
 Files are scanned with Spark's binaryFile source (or come as a column of bytes), recognised by their first bytes, and
 decoded by NumPy a file at a time in Arrow batches. Encoders give a table (image_id, content) to write with any sink.
-Formats: PNM (P1 to P7), BMP (24 and 32 bits), QOI, TGA (types 2, 3, 10 and 11), PNG (8 and 16 bits), HDR, FITS, NIfTI-1.
+Formats: PNM (P1 to P7), BMP, QOI, TGA, PNG (interlaced too), GIF, TIFF, JPEG (baseline), HDR, FITS, NIfTI-1.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.arrays import PIXELS, to_array, to_rows
+from .formats import decode_gif, decode_jpeg, decode_tiff, encode_gif, encode_jpeg, encode_tiff
 
 
 def sniff(data: bytes) -> str | None:
@@ -31,7 +32,7 @@ def sniff(data: bytes) -> str | None:
         return "webp"
     if len(data) >= 352 and data[344:348] in (b"n+1\0", b"ni1\0"):
         return "nifti"
-    if len(data) > 18 and data[1] in (0, 1) and data[2] in (2, 3, 10, 11) and data[16] in (8, 24, 32):
+    if len(data) > 18 and data[1] in (0, 1) and data[2] in (1, 2, 3, 9, 10, 11) and data[16] in (8, 24, 32):
         return "tga"
     return None
 
@@ -93,13 +94,66 @@ def encode_pnm(a: np.ndarray) -> bytes:
 # ---------------------------------------------------------------- BMP, TGA
 
 def decode_bmp(data: bytes) -> np.ndarray:
+    """1, 4, 8, 16 (5 bits a band), 24 and 32 bits; run lengths of 4 and 8 bits."""
     start, size, w, h, _, depth, packed = (*struct.unpack_from("<I", data, 10), *struct.unpack_from("<IiiHHI", data, 14))
-    if depth not in (24, 32) or packed not in (0, 3):
-        raise ValueError(f"BMP of {depth} bits, compression {packed}")
-    n = depth // 8
-    stride = (w * n + 3) // 4 * 4
-    rows = np.frombuffer(data, np.uint8, stride * abs(h), start).reshape(abs(h), stride)[:, : w * n].reshape(abs(h), w, n)
-    return (rows[::-1] if h > 0 else rows)[:, :, [2, 1, 0, 3][:n]].astype(int)
+    if packed not in (0, 1, 2, 3):
+        raise ValueError(f"BMP of compression {packed}")
+    top, h = h < 0, abs(h)
+    if depth <= 8:
+        used = struct.unpack_from("<I", data, 46)[0] or 1 << depth
+        palette = np.zeros((256, 3), int)
+        palette[:used] = np.frombuffer(data, np.uint8, 4 * used, 14 + size).reshape(-1, 4)[:, 2::-1]
+        if packed:
+            index = _bmp_runs(data[start:], w, h, depth)
+        else:
+            stride = (w * depth + 31) // 32 * 4
+            rows = np.frombuffer(data, np.uint8, stride * h, start).reshape(h, stride)
+            bits = np.unpackbits(rows, axis=1).reshape(h, -1, depth)[:, :w]
+            index = (bits * (1 << np.arange(depth)[::-1])).sum(2)
+        out = palette[index]
+    elif depth == 16:
+        stride = (2 * w + 3) // 4 * 4
+        rows = np.frombuffer(data, np.uint8, stride * h, start).reshape(h, stride)[:, : 2 * w].copy().view("<u2").astype(int)
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        out = np.stack([(rows & m) // (m & -m) * 255 // (m // (m & -m)) for m in masks], 2)
+    else:
+        n = depth // 8
+        stride = (w * n + 3) // 4 * 4
+        rows = np.frombuffer(data, np.uint8, stride * h, start).reshape(h, stride)[:, : w * n].reshape(h, w, n)
+        out = rows[:, :, [2, 1, 0, 3][:n]].astype(int)
+    return out if top else out[::-1]
+
+
+def _bmp_runs(data: bytes, w: int, h: int, depth: int) -> np.ndarray:
+    """Palette indices, lowest row first: runs, literal stretches, ends of lines and jumps."""
+    out, x, y, at = np.zeros((h, w), int), 0, 0, 0
+
+    def nibbles(part: bytes) -> list[int]:
+        return list(part) if depth == 8 else [n for c in part for n in (c >> 4, c & 15)]
+
+    def put(values: list[int]) -> None:
+        nonlocal x
+        values = values[: max(0, w - x)]
+        if y < h:
+            out[y, x: x + len(values)] = values
+        x += len(values)
+
+    while at + 1 < len(data):
+        n, what = data[at], data[at + 1]
+        at += 2
+        if n:
+            put((nibbles(bytes((what,))) * n)[:n])
+        elif what == 0:
+            x, y = 0, y + 1
+        elif what == 1:
+            break
+        elif what == 2:
+            x, y, at = x + data[at], y + data[at + 1], at + 2
+        else:
+            size = what if depth == 8 else (what + 1) // 2
+            put(nibbles(data[at: at + size])[:what])
+            at += size + size % 2
+    return out
 
 
 def encode_bmp(a: np.ndarray) -> bytes:
@@ -113,9 +167,17 @@ def encode_bmp(a: np.ndarray) -> bytes:
 
 
 def decode_tga(data: bytes) -> np.ndarray:
-    skip, kind, w, h, depth, flags = data[0], data[2], *struct.unpack_from("<HH", data, 12), data[16], data[17]
+    """Palette, colour and grey, plain or in runs."""
+    skip, mapped, kind, w, h, depth, flags = data[0], data[1], data[2], *struct.unpack_from("<HH", data, 12), data[16], data[17]
+    first, entries, entry = struct.unpack_from("<HHB", data, 3)
     n, at, want = depth // 8, 18 + skip, w * h * (depth // 8)
-    if kind in (2, 3):
+    palette = None
+    if mapped:
+        wide = entry // 8
+        palette = np.zeros((first + entries, wide), int)
+        palette[first:] = np.frombuffer(data, np.uint8, entries * wide, at).reshape(entries, wide)
+        at += entries * wide
+    if kind < 8:
         flat = np.frombuffer(data, np.uint8, want, at)
     else:
         out = bytearray()
@@ -130,7 +192,8 @@ def decode_tga(data: bytes) -> np.ndarray:
         flat = np.frombuffer(bytes(out[:want]), np.uint8)
     a = flat.reshape(h, w, n)
     a = a if flags & 0x20 else a[::-1]
-    return a[:, :, [2, 1, 0, 3][:n] if n > 1 else [0]].astype(int)
+    a = palette[a[:, :, 0]] if kind & 7 == 1 and palette is not None else a
+    return a[:, :, [2, 1, 0, 3][: a.shape[2]] if a.shape[2] > 1 else [0]].astype(int)
 
 
 def encode_tga(a: np.ndarray) -> bytes:
@@ -213,8 +276,42 @@ def encode_qoi(a: np.ndarray) -> bytes:
 
 # ---------------------------------------------------------------- PNG
 
+def _png_rows(raw: np.ndarray, w: int, h: int, bands: int, depth: int) -> np.ndarray:
+    """Samples [y, x, band] of filtered rows."""
+    step, line = max(1, bands * depth // 8), -(-w * bands * depth // 8)
+    out, above = np.zeros((h, line), np.uint8), np.zeros(line, np.uint8)
+    for y, (how, row) in enumerate(zip(raw.reshape(h, 1 + line)[:, 0], raw.reshape(h, 1 + line)[:, 1:])):
+        if how == 1:
+            padded = np.pad(row, (0, -line % step)).reshape(-1, step)
+            row = np.cumsum(padded, 0, dtype=np.uint8).reshape(-1)[:line]
+        elif how == 2:
+            row = row + above
+        elif how:
+            now, up, was = bytearray(row.tobytes()), above.tolist(), row.tolist()
+            for i in range(line):
+                a, b, c = (now[i - step] if i >= step else 0), up[i], (up[i - step] if i >= step else 0)
+                if how == 3:
+                    guess = (a + b) // 2
+                else:
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
+                now[i] = was[i] + guess & 255
+            row = np.frombuffer(bytes(now), np.uint8)
+        out[y] = above = row
+    if depth == 16:
+        return out.view(">u2").reshape(h, w, bands).astype(int)
+    if depth == 8:
+        return out.reshape(h, w, bands).astype(int)
+    bits = np.unpackbits(out, axis=1)[:, : w * bands * depth].reshape(h, w, bands, depth)
+    return (bits * (1 << np.arange(depth)[::-1])).sum(3)
+
+
+#: First place and step along x and y of the seven interlaced passes. Fixed values.
+_PASSES = ((0, 8, 0, 8), (4, 8, 0, 8), (0, 4, 4, 8), (2, 4, 0, 4), (0, 2, 2, 4), (1, 2, 0, 2), (0, 1, 1, 2))
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """8 and 16 bits, grey, colour, palette, alpha; not interlaced."""
+    """1 to 16 bits, grey, colour, palette, alpha, interlaced too. Grey of under 8 bits is spread to 0..255."""
     at, body, palette, clear = 8, b"", None, None
     while at < len(data):
         n, kind = struct.unpack_from(">I4s", data, at)
@@ -224,45 +321,29 @@ def decode_png(data: bytes) -> np.ndarray:
         elif kind == b"PLTE":
             palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
         elif kind == b"tRNS":
-            clear = np.frombuffer(part, np.uint8)
+            clear = part
         elif kind == b"IDAT":
             body += part
         at += 12 + n
-    if laced or depth not in (8, 16):
-        raise ValueError("interlaced PNG, or of less than 8 bits")
     bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    step = bands * depth // 8
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * step)
-    out, above = np.zeros((h, w * step), np.uint8), np.zeros(w * step, np.uint8)
-    for y in range(h):
-        how, line = raw[y, 0], raw[y, 1:]
-        if how == 0:
-            row = line
-        elif how == 1:
-            row = np.cumsum(line.reshape(w, step), 0, dtype=np.uint8).reshape(-1)
-        elif how == 2:
-            row = line + above
-        else:
-            row, up, was = bytearray(line.tobytes()), above.tolist(), line.tolist()
-            for i in range(w * step):
-                a, b, c = (row[i - step] if i >= step else 0), up[i], (up[i - step] if i >= step else 0)
-                if how == 3:
-                    guess = (a + b) // 2
-                else:
-                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                row[i] = was[i] + guess & 255
-            row = np.frombuffer(bytes(row), np.uint8)
-        out[y] = above = row
-    a = out.view(">u2").reshape(h, w, bands).astype(int) if depth == 16 else out.reshape(h, w, bands).astype(int)
+    raw, a, done = np.frombuffer(zlib.decompress(body), np.uint8), np.zeros((h, w, bands), int), 0
+    for x, dx, y, dy in _PASSES if laced else ((0, 1, 0, 1),):
+        pw, ph = len(range(x, w, dx)), len(range(y, h, dy))
+        if pw and ph:
+            size = ph * (1 + -(-pw * bands * depth // 8))
+            a[y::dy, x::dx] = _png_rows(raw[done: done + size], pw, ph, bands, depth)
+            done += size
     if colour == 3:
         index = a[:, :, 0]
         a = palette[index].astype(int)
         if clear is not None:
             alpha = np.full(256, 255)
-            alpha[: len(clear)] = clear
+            alpha[: len(clear)] = list(clear)
             a = np.concatenate((a, alpha[index][:, :, None]), 2)
-    return a
+    elif clear is not None:  # one colour is clear
+        gone = (a == np.frombuffer(clear, ">u2")[:bands]).all(2)
+        a = np.concatenate((a, np.where(gone, 0, 65535 if depth == 16 else (1 << depth) - 1)[:, :, None]), 2)
+    return a * (255 // ((1 << depth) - 1)) if depth < 8 and colour != 3 else a
 
 
 def encode_png(a: np.ndarray) -> bytes:
@@ -372,8 +453,10 @@ def encode_hdr(a: np.ndarray) -> bytes:
     return f"#?RADIANCE\nFORMAT=32-bit_rle_rgbe\n\n-Y {h} +X {w}\n".encode() + p.tobytes()
 
 
-DECODERS = {"pnm": decode_pnm, "bmp": decode_bmp, "tga": decode_tga, "qoi": decode_qoi, "png": decode_png, "fits": decode_fits, "nifti": decode_nifti, "hdr": decode_hdr}
-ENCODERS = {"pnm": encode_pnm, "bmp": encode_bmp, "tga": encode_tga, "qoi": encode_qoi, "png": encode_png, "fits": encode_fits, "nifti": encode_nifti, "hdr": encode_hdr}
+DECODERS = {"pnm": decode_pnm, "bmp": decode_bmp, "tga": decode_tga, "qoi": decode_qoi, "png": decode_png, "fits": decode_fits, "nifti": decode_nifti, "hdr": decode_hdr,
+            "gif": decode_gif, "tiff": decode_tiff, "jpeg": decode_jpeg}
+ENCODERS = {"pnm": encode_pnm, "bmp": encode_bmp, "tga": encode_tga, "qoi": encode_qoi, "png": encode_png, "fits": encode_fits, "nifti": encode_nifti, "hdr": encode_hdr,
+            "gif": encode_gif, "tiff": encode_tiff, "jpeg": encode_jpeg}
 
 
 def register(name: str, decoder=None, encoder=None) -> None:
