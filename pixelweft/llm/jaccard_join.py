@@ -420,7 +420,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     A row with null doc_id links with nothing and has a null component_id. Repeated rows give repeated results.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = docs.mapInArrow(_deal(percent, width, dealt_parts(docs)), "part int, kind int, data binary")
+    dealt = docs.mapInArrow(_deal(percent, width, dealt_parts(docs, 8 << 20)), "part int, kind int, data binary")
     met = stage(dealt.groupBy("part").applyInArrow(_meet(percent), "kind long, a long, b long, c long, d long"), "jaccard")
     rows = met.where(F.col("kind") == _DOC).select(
         F.when(F.col("b") == 1, F.col("a")).alias("doc_id"), F.col("c").alias("n_shingles"), F.col("d").alias("node"))

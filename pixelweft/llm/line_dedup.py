@@ -78,34 +78,6 @@ def line_names(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(count > 0, names, np.uint64(0)).view(np.int64)
 
 
-#: Byte -> its bits, each in a byte of a 64-bit word.
-_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
-
-
-def simhashes(words: np.ndarray, first: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
-    """SimHash of each line over its words (those of over 3 bytes, where there are any), each occurrence counted; 0 without words."""
-    if size is not None:
-        long = size > 3
-        has = np.add.reduceat(np.append(long, False), first[:-1], dtype=np.int64) * (np.diff(first) > 0) if len(first) > 1 else first[:0]
-        keep = long | ~np.repeat(has > 0, np.diff(first))
-        words, first = words[keep], np.concatenate(([0], np.cumsum(keep)))[first]
-    count = np.diff(first)
-    out, some = np.zeros(len(count), np.uint64), np.flatnonzero(count)
-    if len(some):
-        # Eight counters of a byte each are added at a time, over stretches of at most 255 words.
-        stretches = -(-count[some] // 255)
-        line = np.repeat(np.arange(len(some)), stretches)
-        begin = np.cumsum(stretches) - stretches
-        start = first[:-1][some][line] + 255 * (np.arange(len(line)) - begin[line])
-        columns = words.view(np.uint8).reshape(-1, 8)
-        ones = np.empty((len(some), 64), np.int64)
-        for k in range(8):
-            part = np.add.reduceat(_LANES[columns[:, k]], start).view(np.uint8).reshape(-1, 8)
-            ones[:, 8 * k: 8 * k + 8] = np.add.reduceat(part, begin, axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * ones > count[some, None], axis=1).view(np.uint64)[:, 0]
-    return out.view(np.int64)
-
-
 def parities(words: np.ndarray, first: np.ndarray, wide: int = 1) -> np.ndarray:
     """For each line `wide` words of 64 bits: whether the number of its words in each range of the mixed hash is odd."""
     bits = np.zeros((len(words) + 1, wide), np.uint64)
@@ -269,7 +241,7 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
     member b of the star around a. Members of a star stand for all pairs among them.
     """
     spark = docs.sparkSession
-    parts = dealt_parts(docs)
+    parts = dealt_parts(docs, 4 << 20)
     docs = docs.where("doc_id IS NOT NULL")
     held = spark.sparkContext.broadcast(_order(docs, percent, least_words))
 
@@ -302,8 +274,8 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
 
         kinds = (np.int64,) * (1 + _NARROW) + (np.uint32, np.uint32)
         columns = [[] for _ in kinds]
-        for data in table.column("data").to_pylist():
-            n, at = len(data) // (16 + 8 * _NARROW), 0
+        for data in (x.as_buffer() for batch in table.to_batches() for x in batch.column("data")):
+            n, at = data.size // (16 + 8 * _NARROW), 0
             for c, kind in zip(columns, kinds):
                 c.append(np.frombuffer(data, kind, n, at))
                 at += n * c[-1].itemsize
@@ -315,6 +287,7 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
         at = (both[np.union1d(same, same + 1)] & np.uint64(2**32 - 1)).astype(np.int64)
         at = at[np.lexsort((name[at], key[at]))]
         key, name, parity, size = key[at], name[at], np.stack([p[at] for p in parity], 1), size[at].astype(np.int64)
+        del both, same, at
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
         key, name, parity, place, size = key[fresh], name[fresh], parity[fresh], size[fresh] & 0xFFFF, size[fresh] >> 16

@@ -101,21 +101,6 @@ def test_texts(spark):
     assert D.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_simhash_counts_words():
-    words = np.array([3, 3, 5], np.uint64)
-    first = np.array([0, 2, 3, 3])
-    assert D.simhashes(words, first).view(np.uint64).tolist() == [3, 5, 0]
-    rng = np.random.default_rng(0)
-    words = rng.integers(0, 2**63, 3000, dtype=np.uint64)
-    first = np.array([0, 1, 1, 40, 1000, 3000])
-    size = rng.integers(1, 9, 3000)
-    got = D.simhashes(words, first, size).view(np.uint64)
-    for k, (a, b) in enumerate(zip(first, first[1:])):
-        some = words[a:b][size[a:b] > 3] if (size[a:b] > 3).any() else words[a:b]
-        ones = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=int)
-        assert got[k] == (np.packbits(2 * ones > len(some)).view(np.uint64)[0] if len(some) else 0)
-
-
 def test_all_fuzzy_links_by_brute_force(spark):
     docs = corpus(5)
     assert got_drops(spark, docs) == brute(docs, False)
