@@ -190,30 +190,36 @@ def _permutation(seed: int) -> list[int]:
     return order + order
 
 
-def _gradient_noise(d, cell: int, seed: int) -> str:
-    table = d.array([str(p) for p in _permutation(seed)])
-    at = lambda e: d.item(table, e)
-    fx, fy = (f"({c} / {d.num(cell)} - floor({c} / {d.num(cell)}))" for c in ("x", "y"))
-    cx, cy = (f"(CAST(floor({c} / {d.num(cell)}) AS INT) % 256)" for c in ("x", "y"))
+def _noise(d, width: int, height: int, octaves: list[tuple[int, int, float]]) -> str:
+    """The sum of gradient noises of (cell, seed, weight): places in the lattice first, then the corners' hashes, then the blend."""
+    places, corners, terms = [], [], []
     fade = lambda t: f"({t} * {t} * {t} * ({t} * ({t} * 6 - 15) + 10))"
-
-    def slope(i: int, j: int) -> str:
-        h = f"({at(f'{at(f'{cx} + {i}')} + {cy} + {j}')} % 8)"
-        u, v = f"CASE WHEN {h} < 4 THEN {fx} - {i} ELSE {fy} - {j} END", f"CASE WHEN {h} < 4 THEN {fy} - {j} ELSE {fx} - {i} END"
-        return f"(CASE WHEN {h} % 2 = 0 THEN 1 ELSE -1 END * ({u}) + CASE WHEN {h} % 4 < 2 THEN 1 ELSE -1 END * ({v}))"
-
     mix = lambda t, a, b: f"({a} + {t} * ({b} - {a}))"
-    return mix(fade(fy), mix(fade(fx), slope(0, 0), slope(1, 0)), mix(fade(fx), slope(0, 1), slope(1, 1)))
+    for k, (cell, seed, weight) in enumerate(octaves):
+        for c in "xy":
+            at = f"{c} / {d.num(cell)}"
+            places += [f"CAST(floor({at}) AS INT) % 256 AS {c}c{k}", f"{at} - floor({at}) AS {c}f{k}"]
+        table = d.array([str(p) for p in _permutation(seed)])
+        slopes = {}
+        for i in (0, 1):
+            for j in (0, 1):
+                corners.append(f"{d.item(table, f'{d.item(table, f'xc{k} + {i}')} + yc{k} + {j}')} % 8 AS h{k}{i}{j}")
+                h, x, y = f"h{k}{i}{j}", f"(xf{k} - {i})", f"(yf{k} - {j})"
+                u, v = f"CASE WHEN {h} < 4 THEN {x} ELSE {y} END", f"CASE WHEN {h} < 4 THEN {y} ELSE {x} END"
+                slopes[i, j] = f"(CASE WHEN {h} % 2 = 0 THEN 1 ELSE -1 END * {u} + CASE WHEN {h} % 4 < 2 THEN 1 ELSE -1 END * {v})"
+        u, v = fade(f"xf{k}"), fade(f"yf{k}")
+        terms.append(f"{d.num(weight)} * {mix(v, mix(u, slopes[0, 0], slopes[1, 0]), mix(u, slopes[0, 1], slopes[1, 1]))}")
+    every = f"(SELECT x, y, {', '.join(places)} FROM {d.series(0, width, 'x')} a CROSS JOIN {d.series(0, height, 'y')} b)"
+    return f"SELECT 0 AS image_id, x, y, 0 AS band, {' + '.join(terms)} AS v FROM (SELECT p.*, {', '.join(corners)} FROM {every} p) q"
 
 
 @operator(0)
 def perlin(d, width: int = 64, height: int = 48, cell: int = 16, seed: int = 1):
     """Gradient noise over a lattice of cells."""
-    return _grid(d, width, height, _gradient_noise(d, cell, seed))
+    return _noise(d, width, height, [(cell, seed, 1.0)])
 
 
 @operator(0)
-def fractsurf(d, width: int = 64, height: int = 48, octaves: int = 3, cell: int = 16, dimension: float = 2.5, seed: int = 1):
+def fractsurf(d, width: int = 64, height: int = 48, octaves: int = 6, cell: int = 32, dimension: float = 2.5, seed: int = 1):
     """Octaves of gradient noise, each on half the cells of the one before and weaker by the fractal dimension."""
-    parts = [f"{d.num(0.5 ** ((3 - dimension) * k))} * {_gradient_noise(d, max(1, cell >> k), seed + k)}" for k in range(octaves)]
-    return _grid(d, width, height, " + ".join(parts))
+    return _noise(d, width, height, [(max(1, cell >> k), seed + k, 0.5 ** ((3 - dimension) * k)) for k in range(octaves)])
