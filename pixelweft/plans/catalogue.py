@@ -18,6 +18,7 @@ from ..operators import create as cr
 from ..operators import draw as dr
 from ..operators import effects as ef
 from ..operators import geometry as ge
+from ..operators import paths as pa
 from ..operators import pointwise as pw
 from ..operators import stencil as st
 from ..sources.rasters import raster, raster_sql
@@ -276,6 +277,9 @@ def _register() -> None:
     _add("auto_crop", of(ef.auto_crop, "grey", bright=145, dark=110))
     _add("edge_compass", of(ef.edge, "grey", method="compass"))
     _add("draw_line", of(dr.draw_line, "rgb"))
+    for op in (pa.fill_path, pa.fill_polygon, pa.fill_rectangle, pa.fill_circle, pa.stroke_line):
+        _add(op.__name__, of(op, "rgb"))
+    _add("fill_path_hard", of(pa.fill_path, "rgb", antialiased=False))
     for f in pw.FORMATS:
         _add(f"cast_{f}" if f != "uchar" else "cast_format_uchar", of(pw.cast, of(pw.linear, "float", a=(1000.0,), b=(30.5,), real=True), format=f))
     _add("byteswap", of(pw.byteswap, of(pw.linear, "rgb", a=(200.0,), b=(3.0,), real=True)))
