@@ -75,7 +75,7 @@ def duck():
 def test_midpoint_circles():
     """Worked out by hand: the error is 0 at first, and steps back in x once it is above 0."""
     assert set(analysis.circle_points(1)) == {(1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)}
-    assert len(set(analysis.circle_points(4))) == 24
+    assert len(analysis.circle_points(4)) == 24 and set(analysis.circle_points(4)) == {(i * a, j * b) for a, b in ((4, 0), (0, 4), (4, 1), (1, 4), (3, 2), (2, 3)) for i in (1, -1) for j in (1, -1)}
 
 
 #: A tenth of the queries; all of them are compared by the driver.
