@@ -73,12 +73,7 @@ def _turned(d, r: str, angles: str) -> str:
     bands = f"(SELECT k.band, z.* FROM (SELECT DISTINCT image_id, band FROM {r}) k JOIN {sizes} z ON z.image_id = k.image_id)"
     every = d.expand(d.expand(bands, "ow", "ox"), "oh", "oy")
     at = (f"(SELECT o.*, round(o.w / 2e0 + c * (o.ox - o.ow / 2e0) + s * (o.oy - o.oh / 2e0), 9) AS sx, round(o.h / 2e0 - s * (o.ox - o.ow / 2e0) + c * (o.oy - o.oh / 2e0), 9) AS sy FROM {every} o)")
-    inner = (f"(SELECT p.image_id, p.band, p.ox, p.oy, CAST(floor(sx) AS INT) + i AS gx, CAST(floor(sy) AS INT) + j AS gy, {geometry._SHARE} AS share FROM {at} p CROSS JOIN (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS k(i, j) "
-             f"WHERE sx >= 0 AND sy >= 0 AND sx < w - 1 AND sy < h - 1)")
-    found = (f"(SELECT g.image_id, g.band, g.ox, g.oy, sum(round(g.share * r.v, 9)) AS v FROM {inner} g JOIN {r} r ON r.image_id = g.image_id AND r.band = g.band AND r.x = g.gx AND r.y = g.gy "
-             f"GROUP BY g.image_id, g.band, g.ox, g.oy)")
-    return (f"(SELECT e.image_id, e.ox AS x, e.oy AS y, e.band, {d.u8_trunc('round(coalesce(f.v, 0e0), 6)')} AS v FROM {every} e "
-            f"LEFT JOIN {found} f ON f.image_id = e.image_id AND f.band = e.band AND f.ox = e.ox AND f.oy = e.oy)")
+    return f"(SELECT image_id, x, y, band, {d.u8_trunc('round(v, 6)')} AS v FROM {geometry.sampled(r, at)} t)"
 
 
 @operator(1)

@@ -104,6 +104,17 @@ _CORNERS = "(VALUES (0, 0), (1, 0), (0, 1), (1, 1)) AS c(i, j)"
 _SHARE = "(CASE WHEN i = 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE WHEN j = 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END)"
 
 
+def sampled(r: str, at: str, nearest: bool = False) -> str:
+    """Subquery: r at the places (sx, sy) of at(image_id, band, w, h, ox, oy, sx, sy), bilinear or nearest; 0 outside and on the last row and column."""
+    if nearest:
+        near = f"(SELECT p.*, CAST(floor(sx + 5e-1) AS INT) AS gx, CAST(floor(sy + 5e-1) AS INT) AS gy, 1e0 AS share FROM {at} p)"
+    else:
+        near = f"(SELECT p.*, CAST(floor(sx) AS INT) + i AS gx, CAST(floor(sy) AS INT) + j AS gy, {_SHARE} AS share FROM {at} p CROSS JOIN {_CORNERS})"
+    return (f"(SELECT g.image_id, g.ox AS x, g.oy AS y, g.band, sum(round(g.share * coalesce(r.v, 0e0), 9)) AS v FROM {near} g LEFT JOIN {r} r "
+            f"ON r.image_id = g.image_id AND r.band = g.band AND r.x = g.gx AND r.y = g.gy AND g.sx >= 0 AND g.sy >= 0 AND g.sx < g.w - 1 AND g.sy < g.h - 1 "
+            f"GROUP BY g.image_id, g.ox, g.oy, g.band)")
+
+
 @operator(1)
 def affine(d, r, matrix=(1.1, 0.2, -0.1, 0.9), shift=(0.0, 0.0), nearest: bool = False):
     """Inverse-mapped bilinear (or nearest) sampling, same size; outside the image, and on its last row and column, 0."""
@@ -112,14 +123,7 @@ def affine(d, r, matrix=(1.1, 0.2, -0.1, 0.9), shift=(0.0, 0.0), nearest: bool =
     sx = f"({d.num(e / det)} * (o.ox - {d.num(shift[0])}) + {d.num(-b / det)} * (o.oy - {d.num(shift[1])}))"
     sy = f"({d.num(-c / det)} * (o.ox - {d.num(shift[0])}) + {d.num(a / det)} * (o.oy - {d.num(shift[1])}))"
     at = f"(SELECT o.*, round({sx}, 9) AS sx, round({sy}, 9) AS sy FROM {canvas(d, r)} o)"
-    within = "sx >= 0 AND sy >= 0 AND sx < w - 1 AND sy < h - 1"
-    if nearest:
-        inner = f"(SELECT p.*, CAST(floor(sx + 5e-1) AS INT) AS gx, CAST(floor(sy + 5e-1) AS INT) AS gy, 1e0 AS share FROM {at} p WHERE {within})"
-    else:
-        inner = f"(SELECT p.*, CAST(floor(sx) AS INT) + i AS gx, CAST(floor(sy) AS INT) + j AS gy, {_SHARE} AS share FROM {at} p CROSS JOIN {_CORNERS} WHERE {within})"
-    found = (f"(SELECT g.image_id, g.band, g.ox, g.oy, sum(round(g.share * r.v, 9)) AS v FROM {inner} g JOIN {r} r ON r.image_id = g.image_id AND r.band = g.band AND r.x = g.gx AND r.y = g.gy "
-             f"GROUP BY g.image_id, g.band, g.ox, g.oy)")
-    return f"SELECT o.image_id, o.x, o.y, o.band, coalesce(f.v, 0e0) AS v FROM {r} o LEFT JOIN {found} f ON f.image_id = o.image_id AND f.band = o.band AND f.ox = o.x AND f.oy = o.y"
+    return f"SELECT image_id, x, y, band, v FROM {sampled(r, at, nearest)} t"
 
 
 @operator(2)
