@@ -18,9 +18,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Overlaps, _INVERSE, _BASE, chunks, connect, covered, dealt_parts, free_names, joining, mix64, slices, stage, text_bytes, word_hashes
+from .common import Overlaps, _INVERSE, _BASE, chunks, connect, covered, dealt_parts, forest, free_names, joining, mix64, slices, stage, text_bytes, word_hashes
 
-#: Lines under one gram of which all pairs are compared; with more, stars.
+#: Lines under one gram that are held against each other together with those of other grams; more are one by one.
 _FEW = 24
 #: Places of the table of gram frequencies (bits), and documents of the sample that it is made of.
 _TABLE_BITS, _SAMPLE = 20, 5000
@@ -304,25 +304,29 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
         within = np.repeat(length, length)
         none = np.zeros((0, 2), np.int64)
         pairs, stars, only, seen = [none], [none], [none], set()
+        near = [none]
         for d in range(1, _FEW):
             same = np.flatnonzero((key[:-d] == key[d:]) & (within[:-d] <= _FEW)) if d < len(key) else start[:0]
             if not len(same):
                 break
             same = same[aligned(same, same + d)]
             same = same[alike(same, same + d)]
-            pairs.append(np.stack((name[same], name[same + d]), 1))
+            near.append(np.stack((same, same + d), 1))
+        chosen, (lead, member) = forest(np.concatenate(near), np.repeat(np.arange(len(start)), length))
+        pairs.append(name[chosen])
+        only.append(np.stack((name[lead], name[member]), 1))
         for g in np.flatnonzero(length > _FEW):
             some = slice(start[g], start[g] + length[g])
             names, here = name[some], np.arange(some.start, some.stop)
             if (what := names.tobytes()) in seen:  # the same lines under another gram
                 continue
             seen.add(what)
-            forest, members = covered(len(names), lambda i, j: aligned(here[i], here[j]) & alike(here[i], here[j]))
+            tree, members = covered(len(names), lambda i, j: aligned(here[i], here[j]) & alike(here[i], here[j]))
             if len(members):
                 lead = members[0]
-                direct = forest[forest[:, 0] == lead]
+                direct = tree[tree[:, 0] == lead]
                 stars.append(names[direct])
-                pairs.append(names[forest[forest[:, 0] != lead]])
+                pairs.append(names[tree[tree[:, 0] != lead]])
                 rest = np.setdiff1d(members[1:], direct[:, 1])
                 only.append(np.stack((np.full(len(rest), names[lead]), names[rest]), 1))
         found = [_pairs(x) for x in (pairs, stars, only)]
