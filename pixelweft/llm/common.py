@@ -201,6 +201,11 @@ def _crossing(group: DataFrame, data: DataFrame, find) -> DataFrame:
     return dealt.groupBy("a", "i", "j").applyInArrow(cross, "a long, b long")
 
 
+def quoted(name: str) -> str:
+    """A column's name as an identifier, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def free_names(columns, *names: str) -> list[str]:
     """The names, each with as many _ in front as it takes to clash with none of the columns, whatever their case."""
     taken = {c.lower() for c in columns}

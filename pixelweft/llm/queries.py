@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, quality, token_counts, token_output
+from . import centroids, embedding_dedup, fill_in_middle, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, quality, token_counts, token_output
 from .tokens import default_vocabulary
 
 
@@ -90,5 +90,57 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_line_dedup, op3_token_counts, op4_jaccard_join, op5_language_id, op6_fingerprints, op7_token_files, op8_source_mix, op9_packing, op10_quality)}
-ORACLE_SQL = {"op8_source_mix": OP8_SQL}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """One vector's component a row; the rounds follow each other as tables."""
+    start = f"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NOT NULL AND isfinite(CAST(x AS DOUBLE))]) = 64
+), v AS (
+  SELECT r, d, CAST(floor(256 * CAST(embedding[d] AS DOUBLE)) AS BIGINT) AS x FROM vectors, (SELECT unnest(range(1, 65)) AS d)
+), seeds AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS c FROM vectors QUALIFY c < {k}),
+c0 AS (SELECT c, d, x FROM seeds JOIN v USING (r))"""
+    steps = [f"""
+a{n} AS (
+  SELECT r, c, s FROM (SELECT v.r, m.c, sum((v.x - m.x) * (v.x - m.x)) AS s FROM v JOIN c{n} m USING (d) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY s, c) = 1
+)""" + (f""",
+n{n} AS (SELECT a.c, v.d, sum(v.x) AS s, count(*) AS n FROM a{n} a JOIN v USING (r) GROUP BY ALL),
+c{n + 1} AS (SELECT c, d, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{n} LEFT JOIN n{n} USING (c, d))""" if n < rounds else "") for n in range(rounds + 1)]
+    return start + "," + ",".join(steps) + f"""
+SELECT w.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.s AS BIGINT) AS distance, CAST(sum(a.s) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.s) OVER () AS BIGINT) AS inertia, h.centroid_sha256
+FROM a{rounds} a JOIN vectors w USING (r) JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c) h USING (c)
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's rearranged text and of what is rebuilt from it."""
+    done = fill_in_middle.rearrange(_read(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), F.length("fim_prefix").cast("long").alias("prefix_chars"), F.length("fim_middle").cast("long").alias("middle_chars"),
+        F.sha2("fim_text", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored("fim_text", "fim_form"), 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (length(t) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (length(t) + 1) AS b,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS h4 FROM d
+), cut AS (
+  SELECT doc_id, t, n, CASE WHEN n = 0 OR h3 >= 90 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    substr(t, 1, least(a, b)) AS p, substr(t, least(a, b) + 1, greatest(a, b) - least(a, b)) AS m, substr(t, greatest(a, b) + 1) AS s FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut
+"""
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_line_dedup, op3_token_counts, op4_jaccard_join, op5_language_id, op6_fingerprints, op7_token_files, op8_source_mix, op9_packing, op10_quality, op11_centroids, op13_fill_in_middle)}
+ORACLE_SQL = {"op8_source_mix": OP8_SQL, "op11_centroids": _op11_sql(), "op13_fill_in_middle": OP13_SQL}
