@@ -349,15 +349,15 @@ def chunks(offsets: np.ndarray, most: int = 1 << 18):
         i = min(j, n)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, sizes: bool = False) -> tuple[np.ndarray, ...]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE, sizes: bool = False, tails: bool = False) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words (A-Z lower-cased) of some texts, and the first word's index of each text.
 
-    space: which bytes part words, by default those of [ \\t-\\r]. sizes: also return the words' lengths in bytes. A word is
-    read eight bytes at a time, from every byte's place as a 64-bit word.
+    space: which bytes part words, by default those of [ \\t-\\r]. sizes: also return the words' lengths in bytes. tails: also return
+    the words' last three bytes as numbers. A word is read eight bytes at a time, from every byte's place as a 64-bit word.
     """
     n = len(data)
     if not n:
-        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64))[: 2 + sizes]
+        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *([np.zeros(0, np.int64)] * (sizes + tails)))
     word = ~space[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -370,7 +370,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
         hashes[more] = mix64(hashes[more] ^ at_byte[starts[more] + done] & _FIRST[np.minimum(size[more] - done, 8)])
         done += 8
         more = more[size[more] > done]
-    return (hashes, np.searchsorted(starts, offsets), size)[: 2 + sizes]
+    out = (hashes, np.searchsorted(starts, offsets), *([size] if sizes else []))
+    if tails:
+        out += ((at_byte[starts + np.maximum(size - 3, 0)] & _FIRST[np.minimum(size, 3)]).astype(np.int64),)
+    return out
 
 
 _TURN = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, embedding_dedup, fill_in_middle, fingerprints, jaccard_join, language_id, line_dedup, mixing, packing, quality, token_counts, token_output
+from . import centroids, embedding_dedup, fill_in_middle, fingerprints, jaccard_join, language_id, line_dedup, maxent, mixing, packing, quality, token_counts, token_output
 from .tokens import default_vocabulary
 
 
@@ -118,6 +118,10 @@ FROM a{rounds} a JOIN vectors w USING (r) JOIN (SELECT c, sha256(string_agg(CAST
 """
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_read(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's rearranged text and of what is rebuilt from it."""
     done = fill_in_middle.rearrange(_read(spark, sf_dir, "documents"))
@@ -142,5 +146,5 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
 FROM cut
 """
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_line_dedup, op3_token_counts, op4_jaccard_join, op5_language_id, op6_fingerprints, op7_token_files, op8_source_mix, op9_packing, op10_quality, op11_centroids, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_line_dedup, op3_token_counts, op4_jaccard_join, op5_language_id, op6_fingerprints, op7_token_files, op8_source_mix, op9_packing, op10_quality, op11_centroids, op12_lm_score, op13_fill_in_middle)}
 ORACLE_SQL = {"op8_source_mix": OP8_SQL, "op11_centroids": _op11_sql(), "op13_fill_in_middle": OP13_SQL}
