@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Overlaps, chunks, connect, covered, dealt_parts, free_names, joining, mix64, shingle_sets, slices, stage, text_bytes
+from .common import Overlaps, chunks, connect, covered, dealt_parts, free_names, joining, mix64, quoted, shingle_sets, slices, stage, text_bytes
 
 _U = np.uint64
 #: Kinds of rows: part of a star, other candidate pair, document, mere member of a star (0: signatures).
@@ -458,7 +458,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) ->
     result = near_duplicates(docs, percent, width)
     kept = stage(result.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(n)), "kept")
     joined = docs.join(kept, docs["doc_id"] == kept[own], "left")
-    once = joined.where(docs["doc_id"].isNull() | (kept[n] == 1)).select(*[docs[c] for c in docs.columns])
+    once = joined.where(docs["doc_id"].isNull() | (kept[n] == 1)).select(*[docs[quoted(c)] for c in docs.columns])
     if kept.where(kept[n] > 1).isEmpty():
         return once
-    return once.unionByName(joined.where(kept[n] > 1).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id"]))
+    return once.unionByName(joined.where(kept[n] > 1).select(*[docs[quoted(c)] for c in docs.columns]).dropDuplicates(["doc_id"]))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, stage
+from .common import free_names, quoted, stage
 
 BITS = 14
 PLACES = 1 << BITS
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame({"lang_pred": names, "score": np.concatenate(best) if best else []})
 
     judged, = free_names(docs.columns, "judged")
-    return docs.withColumn(judged, judge("text")).select(*docs.columns, f"{judged}.lang_pred", f"{judged}.score")
+    return docs.withColumn(judged, judge("text")).select(*map(quoted, docs.columns), f"{judged}.lang_pred", f"{judged}.score")
 
 
 def identify(docs: DataFrame, **how) -> DataFrame:
@@ -184,5 +184,5 @@ def keep_known(docs: DataFrame, least: float = 0.3, **how) -> DataFrame:
     score 0.16 to 0.28.
     """
     judged, = free_names(docs.columns, "judged")
-    found = predict(docs.select("text", F.struct(*docs.columns).alias(judged)), fit(docs, **how))
+    found = predict(docs.select("text", F.struct(*map(quoted, docs.columns)).alias(judged)), fit(docs, **how))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(f"{judged}.*")

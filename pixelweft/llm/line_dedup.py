@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Overlaps, _INVERSE, _BASE, chunks, connect, covered, dealt_parts, forest, free_names, joining, mix64, slices, stage, text_bytes, word_hashes
+from .common import Overlaps, _INVERSE, _BASE, chunks, connect, covered, dealt_parts, forest, free_names, joining, mix64, quoted, slices, stage, text_bytes, word_hashes
 
 #: Lines under one gram that are held against each other together with those of other grams; more are one by one.
 _FEW = 24
@@ -447,11 +447,12 @@ def _possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("x"), "x").join(side("y"), "y").select("kind", "x", "y", "nx", "px", "ny", "py").mapInArrow(judge, "kind int, x long, y long")
 
 
-def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4, least_exact: int | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 3, least_exact: int | None = None) -> DataFrame:
     """doc_id, text_hash, dropped (array of line numbers): occurrences that are not the first of their group.
 
-    Lines of fewer than least_words words are no candidates for near copies. Those of least_exact words (by default
-    least_words) or more are compared for equality.
+    Lines of fewer than least_words words are no candidates for near copies; at 75 percent and 3 words that leaves no link
+    out, as lines of one or two words are that like to equal ones only. Those of least_exact words (by default least_words)
+    or more are compared for equality.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = stage(_lines(docs).where(F.col("n_words") >= (least_words if least_exact is None else least_exact)), "lines")
@@ -482,7 +483,7 @@ def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 4, leas
             .groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("dropped")))
 
 
-def dedup_lines(docs: DataFrame, percent: int = 75, least_words: int = 4, least_exact: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 75, least_words: int = 3, least_exact: int | None = None) -> DataFrame:
     """docs with n_lines, n_dropped and text without the lines that are near copies of an earlier one.
 
     Order is that of (doc_id, line number); lines are parted by \\n, and null text has none. Rows with null doc_id stay as they
@@ -497,5 +498,5 @@ def dedup_lines(docs: DataFrame, percent: int = 75, least_words: int = 4, least_
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left).alias("text")
-    return joined.select(*[text if c == "text" else F.col(c) for c in names], F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+    return joined.select(*[text if c == "text" else F.col(quoted(c)) for c in names], F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
                          F.coalesce(F.size(gone), F.lit(0)).alias("n_dropped"))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, stage
+from .common import free_names, quoted, stage
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -92,7 +92,7 @@ def mix_counts(docs: DataFrame, seed: str = "", **targets) -> DataFrame:
 
 def mix(docs: DataFrame, seed: str = "", **targets) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as the mix emits it, with the columns of docs, whatever their names."""
-    names = docs.columns
-    *added, again = free_names(names, "mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies", "mix_again")
+    names = [quoted(c) for c in docs.columns]
+    *added, again = free_names(docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies", "mix_again")
     counted = _counted(docs, added, seed, **targets).where(F.col(added[-1]) > 0)
     return counted.select(*names, F.explode(F.sequence(F.lit(1), F.col(added[-1]))).alias(again)).select(*names)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, slices, stage
+from .common import free_names, quoted, slices, stage
 from .tokens import encoder
 
 #: Pieces of one length that are ranked in one task.
@@ -191,20 +191,20 @@ def pack(pieces: DataFrame, capacity: int = 4096, **how) -> DataFrame:
     counts are added up beforehand: a length that a third of all pieces share is ranked by many tasks.
     """
     pieces = stage(pieces.drop("sequence_id", "offset"), "pieces")
-    part, many, before, place_ = free_names(pieces.columns, "part", "many", "before", "rank")
+    part, many, before, place_, own, parts = free_names(pieces.columns, "part", "many", "before", "rank", "piece_length", "parts")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     runs = plan_packing(histogram, capacity, **how).arrays()
-    parts = F.coalesce(F.element_at(
-        F.create_map(*[F.lit(int(v)) for x in sorted(histogram) if histogram[x] > RANK_ROWS for v in (x, -(-histogram[x] // RANK_ROWS))]),
-        F.col("length")), F.lit(1)) if any(n > RANK_ROWS for n in histogram.values()) else F.lit(1)
-    dealt = pieces.withColumn(part, F.pmod(F.xxhash64("doc_id", "piece"), parts.cast("long")))
+    counted = pieces.sparkSession.createDataFrame([(int(x), -(-n // RANK_ROWS)) for x, n in histogram.items()], "length int, parts long").toDF(own, parts)
+    dealt = (pieces.join(F.broadcast(counted), F.col("length") == F.col(own), "left").withColumn(part, F.pmod(F.xxhash64("doc_id", "piece"), F.col(parts)))
+             .drop(own, parts))  # a row for each length, so at most capacity of them
     sums = dealt.groupBy("length", part).agg(F.count("*").alias(many)).withColumn(
         before, F.sum(many).over(Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)))
     ranked = dealt.join(sums.drop(many), ["length", part]).withColumn(
         place_, F.coalesce(F.col(before), F.lit(0)) + F.row_number().over(
             Window.partitionBy("length", part).orderBy("doc_id", "piece", *[c for c in ("start", "ids_crc32") if c in pieces.columns])) - 1)
-    names = pieces.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    names = [f"c{k}" for k in range(len(pieces.columns))]  # Arrow functions take no names with dots
+    at_length = names[pieces.columns.index("length")]
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, pieces.schema)) + ", sequence_id long, offset long"
     held = pieces.sparkSession.sparkContext.broadcast(runs)  # bounded by the capacity, not by the pieces
 
     def place(batches):
@@ -213,11 +213,12 @@ def pack(pieces: DataFrame, capacity: int = 4096, **how) -> DataFrame:
         length, rank, _, sequence, offset, each = held.value
         key = (length << 44) + rank
         for batch in batches:
-            x, r = (batch.column(n).to_numpy().astype(np.int64) for n in ("length", place_))
+            x, r = (batch.column(n).to_numpy().astype(np.int64) for n in (at_length, "place"))
             at = np.searchsorted(key, (x << 44) + r, "right") - 1
             i = r - rank[at]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + [pa.array(sequence[at] + i // each[at]), pa.array(offset[at] + i % each[at] * x)],
                 [*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, place_).mapInArrow(place, schema)
+    given = ranked.select(*map(quoted, pieces.columns), place_).toDF(*names, "place")
+    return given.mapInArrow(place, schema).toDF(*pieces.columns, "sequence_id", "offset")

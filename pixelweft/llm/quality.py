@@ -14,7 +14,7 @@ rows. Only sums per path are shuffled, which tasks combine first.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -63,8 +63,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> tuple[np.ndarray, float]:
     """(weights, log odds of the sample) from docs(doc_id, text) and labels(doc_id, quality 0 or 1); null labels don't count."""
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class).select("doc_id", "quality")
+    # Of each class the per_class smallest hashes, kept task by task and then of all: no task gets a whole class.
+    of_class = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
+    chosen = of_class[0].unionByName(of_class[1])
     measured = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.struct(*[c.alias(n) for n, c in features(F.col("text")).items()]).alias("f"))
     rows = measured.groupBy("doc_id", "quality").agg(F.min("f").alias("f")).select("quality", "f.*")  # of rows of one id, one
     rows = sorted(map(tuple, rows.collect()))  # at most two classes of per_class rows

@@ -61,3 +61,15 @@ def test_scattered_ids_are_followed_in_order(spark):
     for (doc, text, *_), (_, after, *_) in zip(rows, rows[1:] + rows[:1]):
         n = len(text) // 4
         assert got[doc] == hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()
+
+
+def test_columns_named_with_dots(spark):
+    from pixelweft.llm import fill_in_middle
+
+    rows = [(k, f"plain words number {k} and some more of them\nline {k}", "en", "s", 5, "x", 2) for k in range(40)]
+    docs = spark.createDataFrame(rows, DOCS + ", `a.b` string, `c``d` int")
+    for run in (mixing.mix, lambda d: language_id.keep_known(d, least=0.0), jaccard_join.drop_near_duplicates, line_dedup.dedup_lines, fill_in_middle.rearrange):
+        got = run(docs)
+        assert got.columns[5:7] == ["a.b", "c`d"] and {r[5:7] for r in got.collect()} == {("x", 2)}
+    pieces = spark.createDataFrame([(1, 0, 5, 77, 1), (2, 0, 6, 78, 4)], "doc_id long, piece int, length long, ids_crc32 long, `a.b` int")
+    assert sorted(r["a.b"] for r in packing.pack(pieces, 16).collect()) == [1, 4]
