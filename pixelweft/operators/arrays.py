@@ -1,4 +1,4 @@
-"""Operators that need a whole image as an array: transforms, labelling, distances, error diffusion, quantising.
+"""Operators that need a whole image as an array: transforms, error diffusion, cropping by entropy.
 
 An image is handed to one Python task by an Arrow group and handed back as pixels, so images are processed in parallel; what
 one image needs in memory is the image. Pixel tables stay the only currency between operators.
@@ -94,70 +94,6 @@ def phasecor(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.groupBy("image_id").cogroup(b.groupBy("image_id")).applyInArrow(run, PIXELS)
 
 
-def label(on: np.ndarray) -> np.ndarray:
-    """4-connected parts of a boolean array, numbered from 1 in the order of their first pixels; runs are joined row by row."""
-    parent = [0]
-
-    def top(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = np.zeros(on.shape, int)
-    for y, row in enumerate(on):
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], row, [False])).astype(np.int8)))
-        for lo, hi in zip(edge[::2], edge[1::2]):
-            above = [top(i) for i in np.unique(out[y - 1, lo:hi]) if i] if y else []
-            if above:
-                name = min(above)
-                for i in above:
-                    parent[i] = name
-            else:
-                name = len(parent)
-                parent.append(name)
-            out[y, lo:hi] = name
-    roots = np.array([top(i) for i in range(len(parent))])
-    _, dense = np.unique(roots, return_inverse=True)
-    return dense[out]
-
-
-def label_regions(r: DataFrame) -> DataFrame:
-    """Number of each pixel's 4-connected region of pixels that are not 0 (in any band); 0 elsewhere."""
-    return per_image(r, lambda a: label((a != 0).any(2))[:, :, None])
-
-
-def nearest(r: DataFrame) -> DataFrame:
-    """Distance of each pixel to the nearest one that is not 0, clamped to 255 and truncated. Exact, in two passes."""
-    def run(a):
-        on = (a != 0).any(2)
-        h, w = on.shape
-        big = float((h + w) ** 2)
-        rows = np.arange(h)[:, None]
-        down = np.where(on, rows, -10 ** 6)
-        up = np.where(on, rows, 10 ** 6)
-        gap = np.minimum(rows - np.maximum.accumulate(down, 0), np.minimum.accumulate(up[::-1], 0)[::-1] - rows).astype(float)
-        g = np.minimum(gap * gap, big)
-        dx2 = (np.arange(w)[:, None] - np.arange(w)[None, :]) ** 2
-        best = np.stack([(g[y][None, :] + dx2).min(1) for y in range(h)])
-        return np.floor(np.clip(np.sqrt(best), 0, 255))[:, :, None]
-
-    return per_image(r, run)
-
-
-def draw_flood(r: DataFrame, x: int, y: int, ink) -> DataFrame:
-    """Ink the 4-connected pixels equal to the one at (x, y)."""
-    ink = np.array(ink, float)
-
-    def run(a):
-        if (a[y, x] == ink[: a.shape[2]]).all():
-            return a
-        parts = label((a == a[y, x]).all(2))
-        return np.where((parts == parts[y, x])[:, :, None], ink[: a.shape[2]], a)
-
-    return per_image(r, run)
-
-
 # The published error-diffusion kernels, as (dx, dy, weight) and their divisor.
 DIFFUSION = {
     "floyd_steinberg": (((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)), 16),
@@ -189,91 +125,6 @@ def dither(r: DataFrame, method: str = "floyd_steinberg", levels: int = 2) -> Da
     return per_image(r, run)
 
 
-def quantize(r: DataFrame, colors: int = 16) -> DataFrame:
-    """Each image in at most `colors` colours: an octree over its distinct colours, its least-used deepest nodes folded first."""
-    def run(a):
-        flat = a.reshape(-1, a.shape[2]).astype(int)
-        seen, inverse, count = np.unique(flat, axis=0, return_inverse=True, return_counts=True)
-        key = [tuple((c >> k & 1) for k in range(7, -1, -1) for c in row) for row in seen]
-        leaves: dict[tuple, tuple[int, np.ndarray]] = {k: (int(n), row * n) for k, row, n in zip(key, seen, count)}
-        width = a.shape[2]
-        while len(leaves) > colors:
-            deepest = max(map(len, leaves))
-            families: dict[tuple, list] = {}
-            for k in leaves:
-                if len(k) == deepest:
-                    families.setdefault(k[:-width], []).append(k)
-            for parent in sorted(families, key=lambda p: (sum(leaves[k][0] for k in families[p]), p)):
-                parts = [leaves.pop(k) for k in families[parent]]
-                leaves[parent] = sum(p[0] for p in parts), sum(p[1] for p in parts)
-                if len(leaves) <= colors:
-                    break
-        palette = np.array([np.floor(total / n) for n, total in leaves.values()])
-        best = np.array([((palette - row) ** 2).sum(1).argmin() for row in seen])
-        return palette[best][inverse.reshape(-1)].reshape(a.shape)
-
-    return per_image(r, run)
-
-
-def canny(r: DataFrame, low: int = 20, high: int = 60) -> DataFrame:
-    """Edges of a (blurred) one-band image: gradients, thinning in four directions, thresholds, 8-connected hysteresis."""
-    def run(a):
-        g = np.pad(a[:, :, 0], 1, mode="edge")
-        h, w = a.shape[:2]
-        at = lambda dy, dx: g[1 + dy: 1 + dy + h, 1 + dx: 1 + dx + w]
-        gx = at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1)
-        gy = at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)
-        m = np.hypot(gx, gy)
-        sector = np.round(np.degrees(np.arctan2(gy, gx)) / 45).astype(int) % 4
-        p = np.pad(m, 1)
-        thin = np.zeros_like(m)
-        for k, (dy, dx) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
-            one, two = p[1 + dy: 1 + dy + h, 1 + dx: 1 + dx + w], p[1 - dy: 1 - dy + h, 1 - dx: 1 - dx + w]
-            thin = np.where((sector == k) & (m >= one) & (m >= two), m, thin)
-        thin[[0, -1]], thin[:, [0, -1]] = 0, 0
-        weak, strong = thin >= low, thin >= high
-        grown = strong
-        while True:
-            q = np.pad(grown, 1)
-            more = weak & np.logical_or.reduce([q[i: i + h, j: j + w] for i in range(3) for j in range(3)])
-            if (more == grown).all():
-                return np.where(grown, 255.0, 0.0)[:, :, None]
-            grown = more
-
-    return per_image(r, run)
-
-
-def clahe(r: DataFrame, tiles: int = 8, clip: float = 3.0) -> DataFrame:
-    """Contrast-limited equalisation: a clipped look-up table per tile, between tiles the four nearest blended."""
-    def run(a):
-        h, w, bands = a.shape
-        out = np.empty_like(a)
-        ys, xs = [[k * n // tiles for k in range(tiles + 1)] for n in (h, w)]
-        for b in range(bands):
-            lut = np.zeros((tiles, tiles, 256))
-            for i in range(tiles):
-                for j in range(tiles):
-                    part = a[ys[i]: ys[i + 1], xs[j]: xs[j + 1], b].astype(int)
-                    n = max(1, part.size)
-                    hist = np.bincount(part.reshape(-1), minlength=256)
-                    most = int(max(1, clip * n / 256))
-                    excess = int(np.maximum(hist - most, 0).sum())
-                    hist = np.minimum(hist, most) + excess // 256
-                    hist[: excess % 256] += 1
-                    lut[i, j] = np.cumsum(hist) * 255 // n
-            fy, fx = [np.clip((np.arange(n) + 0.5) * tiles / n - 0.5, 0, tiles - 1) for n in (h, w)]
-            y0, x0 = np.floor(fy).astype(int), np.floor(fx).astype(int)
-            y1, x1 = np.minimum(y0 + 1, tiles - 1), np.minimum(x0 + 1, tiles - 1)
-            ty, tx = (fy - y0)[:, None], (fx - x0)[None, :]
-            v = a[:, :, b].astype(int)
-            pick = lambda yy, xx: lut[yy[:, None], xx[None, :], v]
-            top, bottom = pick(y0, x0) * (1 - tx) + pick(y0, x1) * tx, pick(y1, x0) * (1 - tx) + pick(y1, x1) * tx
-            out[:, :, b] = np.floor(np.clip(np.round(top * (1 - ty) + bottom * ty, 9), 0, 255))
-        return out
-
-    return per_image(r, run)
-
-
 def entropy_crop(r: DataFrame, width: int, height: int) -> DataFrame:
     """Drop the edge row or column of lower entropy until the size is reached; at a tie the bottom or the right one."""
     def entropy(line):

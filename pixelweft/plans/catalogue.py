@@ -18,8 +18,11 @@ from ..operators import create as cr
 from ..operators import draw as dr
 from ..operators import effects as ef
 from ..operators import geometry as ge
+from ..operators import local as lo
+from ..operators import palette as pl
 from ..operators import paths as pa
 from ..operators import pointwise as pw
+from ..operators import regions as rg
 from ..operators import stencil as st
 from ..sources.rasters import raster, raster_sql
 from . import whole_sql
@@ -284,6 +287,10 @@ def _register() -> None:
         _add(f"cast_{f}" if f != "uchar" else "cast_format_uchar", of(pw.cast, of(pw.linear, "float", a=(1000.0,), b=(30.5,), real=True), format=f))
     _add("byteswap", of(pw.byteswap, of(pw.linear, "rgb", a=(200.0,), b=(3.0,), real=True)))
     _add("copy", of(pw.copy, "rgb"))
+    _add("quantize", of(pl.quantize, "rgb"))
+    _add("quantize_rgba", of(pl.quantize, RGBA, colors=40, bands=4))
+    _add("quantize_palette", of(pl.quantize_palette, "rgb"))
+    _add("hist_local", of(lo.hist_local, "rgb"))
     _add("black_white", of(co.saturate, "rgb", s=0.0))
 
     _add("conv_3x3", of(st.conv, "grey"))
@@ -373,13 +380,12 @@ WHOLE = {
     "inv_fft": _whole("stack", lambda r, *_: _placed(ar.inv_fft(ar.fw_fft(r)), "v")),
     "spectrum": _whole("stack", lambda r, *_: _placed(ar.spectrum(r), "v")),
     "phasecor": _whole("stack", lambda r, *_: ar.phasecor(r, _next(r))),
-    "label_regions": _whole("", lambda r, *at: _placed(ar.label_regions(_mask(*at)), "v")),
-    "nearest": _whole("", lambda r, *at: _placed(ar.nearest(_mask(*at)), "v")),
-    "draw_flood": _whole("", lambda r, *at: _placed(ar.draw_flood(_mask(*at), 5, 5, (99,)), "v")),
-    "canny": _whole("grey", lambda r, *_: ar.canny(st.gauss_blur(r, sigma=1.4))),
-    "hist_local": _whole("rgb", lambda r, *_: ar.clahe(r)),
+    "label_regions": _whole("", lambda r, *at: _placed(rg.label_regions(_mask(*at)), "v")),
+    "nearest": _whole("", lambda r, *at: _placed(rg.nearest(_mask(*at)), "v")),
+    "draw_flood": _whole("", lambda r, *at: _placed(rg.draw_flood(_mask(*at), 5, 5, (99,)), "v")),
+    "canny": _whole("grey", lambda r, *_: _placed(lo.canny(r), "v")),
+    "quantize_grey": _whole("grey", lambda r, *_: _placed(pl.quantize_grey(r, 12), "v")),
     "entropy_crop": _whole("rgb", lambda r, *_: ar.entropy_crop(r, 12, 40)),
-    "quantize": _whole("rgb", lambda r, *_: ar.quantize(r, 16)),
     **{f"dither_{m}": _whole("rgb", lambda r, *_, m=m: ar.dither(r, m)) for m in ar.DIFFUSION},
 }
 

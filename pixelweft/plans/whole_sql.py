@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.local import thinned
 from ..sources.rasters import raster_sql
 
 #: Places that results of transforms are rounded to; sums in another order differ from the tenth on, and at two there are ties (sums of whole numbers over 80).
@@ -55,4 +56,30 @@ FROM px p LEFT JOIN named n ON n.image_id = p.image_id AND n.x = p.x AND n.y = p
 )
 SELECT CAST(p.image_id AS BIGINT) AS image_id, CAST(p.x AS BIGINT) AS x, CAST(p.y AS BIGINT) AS y, CAST(p.band AS BIGINT) AS band, CASE WHEN r.x IS NOT NULL THEN 99e0 ELSE CAST(p.v AS DOUBLE) END AS v
 FROM px p LEFT JOIN reach r ON r.image_id = p.image_id AND r.x = p.x AND r.y = p.y""",
+    # The thinned gradients are the operator's own plan; what is reached from the strong ones is found step by step.
+    "canny": f"""WITH RECURSIVE thin AS MATERIALIZED ({thinned.sql(raster_sql('grey'))}), weak AS MATERIALIZED (SELECT image_id, x, y, v FROM thin WHERE v >= 20),
+reach AS (
+  SELECT image_id, x, y FROM weak WHERE v >= 60
+  UNION SELECT o.image_id, o.x, o.y FROM reach r JOIN (SELECT unnest([-1, 0, 1]) AS dx) a ON true JOIN (SELECT unnest([-1, 0, 1]) AS dy) b ON true JOIN weak o ON o.image_id = r.image_id AND o.x = r.x + dx AND o.y = r.y + dy
+)
+SELECT CAST(t.image_id AS BIGINT) AS image_id, CAST(t.x AS BIGINT) AS x, CAST(t.y AS BIGINT) AS y, CAST(t.band AS BIGINT) AS band, CASE WHEN r.x IS NOT NULL THEN 255e0 ELSE 0e0 END AS v
+FROM thin t LEFT JOIN reach r ON r.image_id = t.image_id AND r.x = t.x AND r.y = t.y""",
+    # The histogram is walked bin by bin: what the open part has, and the parts that are full.
+    "quantize_grey": f"""WITH RECURSIVE px AS MATERIALIZED (SELECT * FROM {raster_sql('grey')}),
+bins AS MATERIALIZED (SELECT image_id, CAST(v AS BIGINT) AS bin, count(*) AS n, row_number() OVER (PARTITION BY image_id ORDER BY v) AS k, count(*) OVER (PARTITION BY image_id) AS last FROM px GROUP BY image_id, v),
+target AS (SELECT image_id, greatest(1, CAST(sum(n) AS BIGINT) // 12) AS t FROM bins GROUP BY image_id),
+walk AS (
+  SELECT image_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS made, CAST(NULL AS BIGINT) AS grey FROM target
+  UNION ALL
+  SELECT w.image_id, b.k, CASE WHEN full_ THEN 0 ELSE w.s + b.bin * b.n END, CASE WHEN full_ THEN 0 ELSE w.m + b.n END, w.made + CASE WHEN full_ THEN 1 ELSE 0 END,
+    CASE WHEN full_ OR b.k = b.last THEN (w.s + b.bin * b.n) // (w.m + b.n) END
+  FROM (SELECT w.*, w.m + b.n >= t.t AND w.made < 11 AS full_ FROM walk w JOIN bins b ON b.image_id = w.image_id AND b.k = w.k + 1 JOIN target t ON t.image_id = w.image_id) w
+  JOIN bins b ON b.image_id = w.image_id AND b.k = w.k + 1
+), greys AS (SELECT image_id, grey FROM walk WHERE grey IS NOT NULL),
+best AS (
+  SELECT b.image_id, b.bin, g.grey FROM bins b JOIN greys g ON g.image_id = b.image_id
+  QUALIFY row_number() OVER (PARTITION BY b.image_id, b.bin ORDER BY abs(g.grey - b.bin), g.grey) = 1
+)
+SELECT CAST(p.image_id AS BIGINT) AS image_id, CAST(p.x AS BIGINT) AS x, CAST(p.y AS BIGINT) AS y, CAST(p.band AS BIGINT) AS band, CAST(b.grey AS DOUBLE) AS v
+FROM px p JOIN best b ON b.image_id = p.image_id AND b.bin = p.v""",
 }

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from pixelweft.operators import arrays as A
+from pixelweft.operators import regions as R
 
 SCHEMA = "image_id int, x int, y int, band int, v double"
 
@@ -45,7 +46,7 @@ def test_freqmult_with_ones_is_identity(spark, random_images):
 def test_labels_and_flood(spark):
     rng = np.random.default_rng(4)
     a = (rng.random((14, 17, 1)) < 0.55) * 255
-    got = image(A.label_regions(frame(spark, a)))[:, :, 0]
+    got = image(R.label_regions(frame(spark, a)))[:, :, 0]
     want, n = np.zeros(a.shape[:2], int), 0
     for y in range(14):
         for x in range(17):
@@ -58,7 +59,7 @@ def test_labels_and_flood(spark):
                         todo += [(i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)]
     assert (got == want).all()
     y, x = np.argwhere(want == want.max())[0]
-    flood = image(A.draw_flood(frame(spark, a), int(x), int(y), (9,)))[:, :, 0]
+    flood = image(R.draw_flood(frame(spark, a), int(x), int(y), (9,)))[:, :, 0]
     assert ((flood == 9) == (want == want.max())).all()
 
 
@@ -67,7 +68,7 @@ def test_nearest_equals_brute_force(spark):
     a = (rng.random((12, 15, 1)) < 0.05) * 1
     a[3, 4] = 1
     points = np.argwhere(a[:, :, 0])
-    got = image(A.nearest(frame(spark, a)))[:, :, 0]
+    got = image(R.nearest(frame(spark, a)))[:, :, 0]
     for y in range(12):
         for x in range(15):
             assert got[y, x] == int(np.sqrt(((points - (y, x)) ** 2).sum(1).min()))
@@ -81,24 +82,6 @@ def test_dither_keeps_the_mean(spark):
         assert abs(got.mean() - 90) < (40 if method == "atkinson" else 12)
 
 
-def test_quantize_bounds_the_colours(spark, random_images):
-    got = image(A.quantize(frame(spark, random_images[0]), colors=7))
-    assert len(np.unique(got.reshape(-1, 2), axis=0)) <= 7
-    few = random_images[0] // 128 * 128
-    assert (image(A.quantize(frame(spark, few), colors=4)) == few).all()
-
-
-def test_canny_of_a_step(spark):
-    a = np.where(np.arange(20)[None, :, None] < 10, 0, 200) * np.ones((12, 1, 1))
-    got = image(A.canny(frame(spark, a)))[:, :, 0]
-    assert set(np.flatnonzero(got.any(0))) <= {9, 10} and got[1:-1].any(1).all()
-
-
-def test_clahe_of_a_flat_image_is_flat(spark):
-    got = image(A.clahe(frame(spark, np.full((16, 16, 1), 77)), tiles=4))
-    assert len(np.unique(got)) == 1
-
-
 def test_entropy_crop_keeps_the_busy_part(spark):
     a = np.zeros((10, 12, 1))
     a[2:6, 3:8, 0] = np.random.default_rng(1).integers(0, 256, (4, 5))
