@@ -3,8 +3,8 @@
 P(word | context) = P(class | context) P(place | class, context) P(word | place). Every word has one of classes x places: the
 commonest words a place each, in the first half of the classes, all others the one that their last three bytes hash to. The
 first two factors are softmaxes over the unigram shares times the exponential of weights of the features active: the word
-before, the two words before, and the words two and three before (skips); in these contexts a word that is not among the
-common ones stands by its ending. A feature (for the second factor a feature with the class) hashes to a row of the weights'
+before, the two words before, and the word two before (a skip); in these contexts a word that is not among the common ones
+stands by its ending. A feature (for the second factor a feature with the class) hashes to a row of the weights'
 table. The last factor is the word's smoothed share of its place by counts over the whole corpus, with a share for a word not
 seen, so that all sums to one. With no weights the model is the unigram base.
 
@@ -35,13 +35,15 @@ OWN = WIDTH * WIDTH // 2
 #: Words of at least one in so many tokens are sent to every task; of those, contexts are told apart at one in CONTEXT.
 LISTED, CONTEXT = 1 << 18, 1 << 14
 #: Tokens whose gradients make one step, at most.
-STEP = 8192
+STEP = 16384
 #: The hashes of the end of a text and of what is before its beginning.
 END, BEFORE = np.uint64(0xE7D0F1A5C3B29687), np.uint64(0x5B1C9D3E7F8A6042)
 _MUL = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 #: Units of the weights' sums.
 UNIT = float(1 << 16)
-FEATURES = 4
+FEATURES = 3
+#: Weights stay within this, so that exponentials of a sum of FEATURES of them and a share's logarithm are single-precision numbers.
+LIMIT = np.float32(15)
 
 
 class Lookup:
@@ -169,15 +171,15 @@ def _features(h: np.ndarray, tails: np.ndarray, listed: np.ndarray, start: np.nd
     ending = mix64(tails.astype(np.uint64) + _MUL[1])
     word = np.where((listed >= 0) & (listed < n_context), h, ending)
     before = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         b = np.full(len(word), BEFORE)
         b[k:] = word[:-k] if len(word) > k else word[:0]
-        for d in range(min(k, 3)):
+        for d in range(k):
             at = start[:-1] + d
             b[at[at < start[1:]]] = BEFORE
         before.append(b)
-    one, two, three = before
-    keys = np.stack((one * _MUL[0], one * _MUL[1] + two * _MUL[2], two * _MUL[3] + np.uint64(2), three * _MUL[2] + np.uint64(3)))
+    one, two = before
+    keys = np.stack((one * _MUL[0], one * _MUL[1] + two * _MUL[2], two * _MUL[3] + np.uint64(2)))
     return mix64(keys), place
 
 
@@ -187,14 +189,16 @@ def _rows(keys: np.ndarray, cls: np.ndarray, bits: int) -> tuple[np.ndarray, np.
     return (keys >> drop).astype(np.int32), (((keys ^ (cls.astype(np.uint64) + np.uint64(1)) * _MUL[3]) * _MUL[1]) >> drop).astype(np.int32)
 
 
-def _softmax(weights: np.ndarray, rows: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of the scores less their largest, and these scores."""
+def _scores(weights: np.ndarray, rows: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Logarithms of shares up to a summand; weights within LIMIT keep their exponentials within single precision."""
     z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
         z += weights.take(r, axis=0)
     z += offset
-    z -= z.max(axis=1, keepdims=True)
-    return np.exp(z), z
+    return z
+
+
+_ONES = np.ones(WIDTH, np.float32)
 
 
 def log_shares(weights: np.ndarray, base: tuple[np.ndarray, np.ndarray], keys: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
@@ -202,8 +206,9 @@ def log_shares(weights: np.ndarray, base: tuple[np.ndarray, np.ndarray], keys: n
     cls, own = place // WIDTH, place % WIDTH
     at, out = np.arange(len(place)), np.zeros(len(place))
     for rows, offset, target in zip(_rows(keys, cls, bits), (base[0], base[1][cls]), (cls, own)):
-        e, z = _softmax(weights, rows, offset)
-        out += z[at, target].astype(np.float64) - np.log(e.sum(axis=1, dtype=np.float64))
+        z = _scores(weights, rows, offset)
+        own_score = z[at, target].astype(np.float64)
+        out += own_score - np.log((np.exp(z, out=z) @ _ONES).astype(np.float64))
     return out
 
 
@@ -214,6 +219,24 @@ def bases(vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return of_class.astype(np.float32), (whole - of_class[:, None]).astype(np.float32)
 
 
+def sum_runs(grad: np.ndarray, source: np.ndarray, first: np.ndarray, short: int = 8) -> np.ndarray:
+    """Sums of grad[source] over the runs that begin at `first`: short runs of one size together, each longer one by itself."""
+    size = np.diff(np.concatenate((first, [len(source)])))
+    out = np.empty((len(first), grad.shape[1]), grad.dtype)
+    for k in range(1, short + 1):
+        runs = np.flatnonzero(size == k)
+        at = first[runs]
+        total = grad.take(source[at], axis=0)
+        for j in range(1, k):
+            total += grad.take(source[at + j], axis=0)
+        out[runs] = total
+    long = np.flatnonzero(size > short)
+    ones = np.ones(int(size.max(initial=0)), grad.dtype)
+    for run, at, n in zip(long.tolist(), first[long].tolist(), size[long].tolist()):
+        out[run] = ones[:n] @ grad.take(source[at: at + n], axis=0)
+    return out
+
+
 class Trainer:
     """Gradient steps on a copy of the weights; each row's step shrinks with the squares of its gradients so far."""
 
@@ -227,9 +250,9 @@ class Trainer:
         rows = _rows(keys, cls, self.bits)
         grad = np.empty((2 * m, WIDTH), np.float32)
         for k, (r, offset, target) in enumerate(zip(rows, (self.base[0], self.base[1][cls]), (cls, own))):
-            e, _ = _softmax(self.weights, r, offset)
             g = grad[k * m: (k + 1) * m]
-            np.divide(e, e.sum(axis=1, keepdims=True), out=g)
+            np.exp(_scores(self.weights, r, offset), out=g)
+            g *= (1 / (g @ _ONES))[:, None]
             g[np.arange(m), target] -= 1
         # All rows touched, in order, with the gradients' places.
         packed = np.concatenate([r.reshape(-1) for r in rows]).astype(np.int64) << 32
@@ -237,10 +260,13 @@ class Trainer:
         packed.sort()
         row = packed >> 32
         first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        total = np.add.reduceat(grad.take(packed & 0xFFFFFFFF, axis=0), first, axis=0)
+        total = sum_runs(grad, packed & 0xFFFFFFFF, first)
         touched = row[first]
-        self.squares[touched] += np.einsum("ij,ij->i", total, total)
-        self.weights[touched] -= total * (self.rate / np.sqrt(self.squares[touched] + 1e-6)).astype(np.float32)[:, None]
+        squares = self.squares[touched] + np.einsum("ij,ij->i", total, total)
+        self.squares[touched] = squares
+        total *= (-self.rate / np.sqrt(squares + 1e-6)).astype(np.float32)[:, None]
+        total += self.weights.take(touched, axis=0)
+        self.weights[touched] = np.clip(total, -LIMIT, LIMIT, out=total)
         self.hits[touched] += np.diff(np.concatenate((first, [len(row)])))
 
 
@@ -286,7 +312,7 @@ def train(docs: DataFrame, words: Vocabulary, bits: int, rounds: int, rate: floa
     return weights
 
 
-def score(docs: DataFrame, rounds: int = 3, rate: float = 0.5, most_bits: int = 20, folds: int = 10) -> DataFrame:
+def score(docs: DataFrame, rounds: int = 2, rate: float = 0.7, most_bits: int = 20, folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each row of docs.
 
     Learned from are the texts of ids whose crc32 (as text) is not divisible by `folds`. Null text counts as empty: one token,
