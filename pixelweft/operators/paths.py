@@ -70,11 +70,20 @@ def edges(path: list) -> list[tuple[float, float, float, float]]:
     return out
 
 
-def _filled(d, r: str, path: list, ink, antialiased: bool) -> str:
-    lines = 4 if antialiased else 1
+def edge_rows(d, path: list) -> str:
+    """A path's edges as a relation e(x0, y0, x1, y1)."""
     rows = ", ".join(f"({', '.join(d.num(v) for v in e)})" for e in edges(path))
+    return f"(VALUES {rows}) AS e(x0, y0, x1, y1)"
+
+
+def painted(d, r: str, outline: str, colour: str, antialiased: bool = True, source: str = "") -> str:
+    """Rows of a raster with a colour inside an outline e(x0, y0, x1, y1) by the even-odd rule.
+
+    colour is an expression in r.x, r.y and r.band, and in what `source` joins to r.
+    """
+    lines = 4 if antialiased else 1
     scans = f"(SELECT s.image_id, s.y, k.k, s.y + (k.k + 5e-1) / {lines} AS scan FROM {d.expand(size_of(r), 'h', 'y')} s CROSS JOIN {d.series(0, lines, 'k')} k)"
-    crossings = (f"(SELECT s.image_id, s.y, s.k, round(e.x0 + (s.scan - e.y0) / (e.y1 - e.y0) * (e.x1 - e.x0), 9) AS x FROM {scans} s JOIN (VALUES {rows}) AS e(x0, y0, x1, y1) "
+    crossings = (f"(SELECT s.image_id, s.y, s.k, round(e.x0 + (s.scan - e.y0) / (e.y1 - e.y0) * (e.x1 - e.x0), 9) AS x FROM {scans} s JOIN {outline} "
                  f"ON (e.y0 <= s.scan AND e.y1 > s.scan) OR (e.y1 <= s.scan AND e.y0 > s.scan))")
     over = "OVER (PARTITION BY image_id, y, k ORDER BY x)"
     spans = f"(SELECT image_id, y, a, b FROM (SELECT image_id, y, x AS a, lead(x) {over} AS b, row_number() {over} AS n FROM {crossings} c) t WHERE n % 2 = 1 AND b IS NOT NULL)"
@@ -82,10 +91,13 @@ def _filled(d, r: str, path: list, ink, antialiased: bool) -> str:
         share = f"(SELECT p.image_id, p.x, p.y, round(sum(greatest(0e0, least(p.x + 1, s.b) - greatest(p.x, s.a))), 9) / {lines} AS cover FROM (SELECT DISTINCT image_id, x, y FROM {r}) p JOIN {spans} s ON s.image_id = p.image_id AND s.y = p.y AND p.x <= s.b AND p.x + 1 >= s.a GROUP BY p.image_id, p.x, p.y)"
     else:
         share = f"(SELECT DISTINCT p.image_id, p.x, p.y, 1e0 AS cover FROM {r} p JOIN {spans} s ON s.image_id = p.image_id AND s.y = p.y AND p.x >= ceil(s.a - 5e-1) AND p.x <= floor(s.b - 5e-1))"
-    colour = _ink(d, ink).replace("band", "r.band")
     mixed = d.rint(f"round(r.v * (1 - c.cover) + {colour} * c.cover, 9)")
     return (f"SELECT {', '.join(f'r.{k}' for k in KEY.split(', '))}, CASE WHEN c.cover IS NULL OR c.cover <= 0 THEN r.v WHEN c.cover >= 999e-3 THEN {colour} ELSE {mixed} END AS v "
-            f"FROM {r} r LEFT JOIN {share} c ON c.image_id = r.image_id AND c.x = r.x AND c.y = r.y")
+            f"FROM {r} r {source} LEFT JOIN {share} c ON c.image_id = r.image_id AND c.x = r.x AND c.y = r.y")
+
+
+def _filled(d, r: str, path: list, ink, antialiased: bool) -> str:
+    return painted(d, r, edge_rows(d, path), _ink(d, ink).replace("band", "r.band"), antialiased)
 
 
 @operator(1)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import analysis as an
 from ..operators import arrays as ar
 from ..operators import bands as ba
+from ..operators import brushes as br
 from ..operators import colour as co
 from ..operators import create as cr
 from ..operators import draw as dr
@@ -20,10 +21,12 @@ from ..operators import effects as ef
 from ..operators import geometry as ge
 from ..operators import local as lo
 from ..operators import palette as pl
+from ..operators import paths
 from ..operators import paths as pa
 from ..operators import pointwise as pw
 from ..operators import regions as rg
 from ..operators import stencil as st
+from ..operators import strokes as sk
 from ..sources.rasters import raster, raster_sql
 from . import whole_sql
 from .sqlop import Operator, operator
@@ -283,6 +286,24 @@ def _register() -> None:
     for op in (pa.fill_path, pa.fill_polygon, pa.fill_rectangle, pa.fill_circle, pa.stroke_line):
         _add(op.__name__, of(op, "rgb"))
     _add("fill_path_hard", of(pa.fill_path, "rgb", antialiased=False))
+    for op in (sk.stroke_path, sk.stroke_rectangle, sk.stroke_circle, sk.stroke_polygon):
+        _add(op.__name__, of(op, "rgb"))
+    _add("stroke_path_miter", of(sk.stroke_path, "rgb", pen=sk.Pen(4.0, "square", "miter"), antialiased=False))
+    _add("stroke_path_dashed", of(sk.stroke_path, "rgb", pen=sk.Pen(3.0, "round", "bevel", dashes=(7.0, 2.5), dash_offset=-3.0)))
+    for join in ("bevel", "miter", "round"):
+        rings = of(sk.stroke_outlines, "polylines", pen=sk.Pen(1.5, "round" if join == "round" else "square", join))
+        _add(f"stroke_outlines_{join}", rings, "path_id:i part:i ring:i seq:i x y")
+        _add(f"stroke_areas_{join}", of(sk.ring_areas, rings), "path_id:i part:i ring:i area")
+    _add("stroke_outlines_dashed", of(sk.stroke_outlines, "polylines", pen=sk.Pen(1.0, dashes=(9.0, 4.0, 2.0), dash_offset=5.0)), "path_id:i part:i ring:i seq:i x y")
+    shape = paths.circle(10.0, 40.0, 9.5)
+    for name, brush in (
+        ("solid", br.solid((250, 10, 10))), ("linear", br.linear_gradient(2, 20, 18, 70, (255, 0, 10), (0, 200, 90))), ("radial", br.radial_gradient(9, 38, 8, (255, 255, 0), (10, 0, 120))),
+        ("path_gradient", br.path_gradient(((3, 32), (17, 33), (10, 50)), ((255, 0, 0), (0, 255, 0), (0, 0, 255)))),
+    ):
+        _add(f"fill_{name}", of(br.fill, "rgb", brush=brush, path=shape))
+        _add(f"fill_whole_{name}", of(br.fill, "rgb", brush=brush))
+    for tiling in ("clamp", "repeat", "mirror"):
+        _add(f"fill_image_{tiling}", of(br.fill_image, A, of(_corner, B, width=7, height=9), path=shape, offset=(4, -5), tiling=tiling))
     for f in pw.FORMATS:
         _add(f"cast_{f}" if f != "uchar" else "cast_format_uchar", of(pw.cast, of(pw.linear, "float", a=(1000.0,), b=(30.5,), real=True), format=f))
     _add("byteswap", of(pw.byteswap, of(pw.linear, "rgb", a=(200.0,), b=(3.0,), real=True)))

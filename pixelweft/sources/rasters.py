@@ -47,7 +47,14 @@ def bag_sql(d: Dialect, lineitem: str) -> str:
     return " UNION ALL ".join(f"SELECT 0 AS image_id, 0 AS x, 0 AS y, {b} AS band, {d.u8_trunc(e)} AS v FROM {lineitem}" for b, e in values)
 
 
-WRITERS = {"grey": (grey_sql, "embeddings"), "rgb": (rgb_sql, "embeddings"), "stack": (stack_sql, "embeddings"), "float": (float_sql, "embeddings"), "bag": (bag_sql, "lineitem")}
+def polylines_sql(d: Dialect, embeddings: str) -> str:
+    """A polyline per vector, its components in pairs being points; those of even vectors are closed."""
+    at = ", ".join(f"max(CASE WHEN p % 2 = {k} THEN 32 + 60 * e END) AS {c}" for k, c in enumerate("xy"))
+    return (f"SELECT vec_id AS path_id, 0 AS part, CAST(floor(p / 2e0) AS INT) AS seq, {at}, CAST(1 - vec_id % 2 AS INT) AS closed FROM {_exploded(d, embeddings, 2)} "
+            f"GROUP BY vec_id, CAST(floor(p / 2e0) AS INT)")
+
+
+WRITERS = {"polylines": (polylines_sql, "embeddings"), "grey": (grey_sql, "embeddings"), "rgb": (rgb_sql, "embeddings"), "stack": (stack_sql, "embeddings"), "float": (float_sql, "embeddings"), "bag": (bag_sql, "lineitem")}
 
 
 def raster(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
