@@ -9,11 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import analysis as an
 from ..operators import arrays as ar
 from ..operators import bands as ba
 from ..operators import brushes as br
+from ..operators import clipping as cl
 from ..operators import colour as co
 from ..operators import create as cr
 from ..operators import draw as dr
@@ -97,6 +99,12 @@ def _swirl(d, r):
     return f"SELECT image_id, x, y, x * 9e-1 + y * 5e-2 - 5e-1 AS sx, y * 1.02e0 - x * 25e-2 AS sy FROM {r} WHERE band = 0"
 
 
+@operator(1)
+def _beside(d, r):
+    """Each polygon moved, under the number of the one before it."""
+    return f"SELECT path_id - 1 AS path_id, seq, x + 95e-1 AS x, y - 425e-2 AS y FROM {r} WHERE path_id > 0"
+
+
 A, B = of("rgb"), of(_next, "rgb")
 RGBA = of(_with_alpha, "rgb")
 RGBA_A, RGBA_B = RGBA, of(_next, RGBA)
@@ -304,6 +312,8 @@ def _register() -> None:
         _add(f"fill_whole_{name}", of(br.fill, "rgb", brush=brush))
     for tiling in ("clamp", "repeat", "mirror"):
         _add(f"fill_image_{tiling}", of(br.fill_image, A, of(_corner, B, width=7, height=9), path=shape, offset=(4, -5), tiling=tiling))
+    for f in cl.KEEP:
+        _add(f"path_{f}_area", of(cl.boolean_areas, "stars", of(_beside, "stars"), op=f), "path_id:i area")
     for f in pw.FORMATS:
         _add(f"cast_{f}" if f != "uchar" else "cast_format_uchar", of(pw.cast, of(pw.linear, "float", a=(1000.0,), b=(30.5,), real=True), format=f))
     _add("byteswap", of(pw.byteswap, of(pw.linear, "rgb", a=(200.0,), b=(3.0,), real=True)))
@@ -396,7 +406,33 @@ def _placed(df: DataFrame, *values: str, places: int = 6) -> DataFrame:
     return df.selectExpr(*keys, *[f"round(CAST({v} AS DOUBLE), {places}) + 0e0 AS {v}" for v in values])
 
 
+def _clipped(op):
+    """A boolean of each vector's polygon and the next one's, as rings numbered by their first vertices."""
+    def run(spark, sf_dir):
+        stars = raster(spark, sf_dir, "stars")
+        rings = cl.boolean(stars, _beside(stars), op)
+        return rings.selectExpr(*(f"CAST({c} AS BIGINT) AS {c}" for c in ("path_id", "part", "ring", "seq")), *(f"round({c}, 6) + 0e0 AS {c}" for c in "xy"))
+
+    return lambda r, spark, sf_dir: run(spark, sf_dir)
+
+
+def _triangles(r, spark, sf_dir):
+    """The polygon's area by its triangles, and how many these are."""
+    found = cl.tessellate(raster(spark, sf_dir, "stars"))
+    return found.groupBy("path_id").agg(F.count("*").alias("triangles"), F.round(F.sum(F.abs(F.expr("(x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)"))) / 2, 6).alias("area"))
+
+
+def _held(r, spark, sf_dir):
+    """How many triangles' interiors hold the middle of each grid place, which is the number of polygons over it."""
+    stars = raster(spark, sf_dir, "stars")
+    grid = spark.sql("SELECT a.id * 8 + 0.37123D AS x, b.id * 8 + 0.61877D AS y FROM range(9) a CROSS JOIN range(9) b")
+    return cl.located(grid, cl.tessellate(stars)).groupBy("x", "y").agg(F.count("*").alias("n"))
+
+
 WHOLE = {
+    **{f"path_{op}": _whole("", _clipped(op)) for op in (*cl.KEEP, "xor")},
+    "path_triangles": _whole("", _triangles),
+    "points_in_triangles": _whole("", _held),
     "fw_fft": _whole("stack", lambda r, *_: _placed(ar.fw_fft(r), "re", "im", places=whole_sql.PLACES)),
     "inv_fft": _whole("stack", lambda r, *_: _placed(ar.inv_fft(ar.fw_fft(r)), "v")),
     "spectrum": _whole("stack", lambda r, *_: _placed(ar.spectrum(r), "v")),

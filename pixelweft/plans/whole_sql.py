@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.clipping import KEEP, boundary
 from ..operators.local import thinned
 from ..sources.rasters import raster_sql
 
@@ -82,4 +83,34 @@ best AS (
 )
 SELECT CAST(p.image_id AS BIGINT) AS image_id, CAST(p.x AS BIGINT) AS x, CAST(p.y AS BIGINT) AS y, CAST(p.band AS BIGINT) AS band, CAST(b.grey AS DOUBLE) AS v
 FROM px p JOIN best b ON b.image_id = p.image_id AND b.bin = p.v""",
+    # Triangles of a simple polygon are two fewer than its vertices, and cover it.
+    "path_triangles": f"""WITH p AS (SELECT path_id, seq, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM {raster_sql('stars')} WINDOW w AS (PARTITION BY path_id ORDER BY seq))
+SELECT path_id, count(*) - 2 AS triangles, round(abs(sum(x * coalesce(y1, fy) - coalesce(x1, fx) * y)) / 2, 6) AS area FROM p GROUP BY path_id""",
+    # A place is in a polygon by the parity of the edges to its right.
+    "points_in_triangles": f"""WITH p AS (SELECT path_id, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM {raster_sql('stars')} WINDOW w AS (PARTITION BY path_id ORDER BY seq)),
+e AS (SELECT path_id, x AS x0, y AS y0, coalesce(x1, fx) AS x1, coalesce(y1, fy) AS y1 FROM p),
+g AS (SELECT a.range * 8 + CAST(0.37123 AS DOUBLE) AS x, b.range * 8 + CAST(0.61877 AS DOUBLE) AS y FROM range(9) a, range(9) b),
+inside AS (
+  SELECT g.x, g.y, e.path_id FROM g JOIN e ON (e.y0 <= g.y) <> (e.y1 <= g.y) AND e.x0 + (g.y - e.y0) / (e.y1 - e.y0) * (e.x1 - e.x0) > g.x GROUP BY ALL HAVING count(*) % 2 = 1
+) SELECT x, y, count(*) AS n FROM inside GROUP BY x, y""",
 }
+
+
+def _walk(op: str) -> str:
+    """Rings of a boolean, walked from every piece until it comes round; the pieces are the operator's own plan."""
+    stars = raster_sql("stars")
+    moved = f"(SELECT path_id - 1 AS path_id, seq, x + 95e-1 AS x, y - 425e-2 AS y FROM {stars} WHERE path_id > 0)"
+    parts = ((stars, moved, op),) if op != "xor" else ((stars, moved, "subtract"), (moved, stars, "subtract"))
+    pieces = " UNION ALL ".join(f"SELECT {k} AS part, path_id, u, v, x0, y0 FROM ({boundary.sql(a, b, op=o)})" for k, (a, b, o) in enumerate(parts))
+    return f"""WITH RECURSIVE e AS MATERIALIZED ({pieces}),
+reach AS (SELECT part, path_id, u, u AS t FROM e UNION SELECT r.part, r.path_id, r.u, e.v FROM reach r JOIN e ON e.part = r.part AND e.path_id = r.path_id AND e.u = r.t),
+heads AS MATERIALIZED (SELECT part, path_id, u, min(t) AS head FROM reach GROUP BY ALL),
+walk AS (
+  SELECT h.part, h.path_id, h.head, h.u, 0 AS seq FROM heads h WHERE h.u = h.head
+  UNION ALL SELECT w.part, w.path_id, w.head, e.v, w.seq + 1 FROM walk w JOIN e ON e.part = w.part AND e.path_id = w.path_id AND e.u = w.u WHERE e.v <> w.head
+)
+SELECT CAST(w.path_id AS BIGINT) AS path_id, CAST(w.part AS BIGINT) AS part, CAST(w.head AS BIGINT) AS ring, CAST(w.seq AS BIGINT) AS seq, round(e.x0, 6) + 0e0 AS x, round(e.y0, 6) + 0e0 AS y
+FROM walk w JOIN e ON e.part = w.part AND e.path_id = w.path_id AND e.u = w.u"""
+
+
+SQL |= {f"path_{op}": _walk(op) for op in (*KEEP, "xor")}

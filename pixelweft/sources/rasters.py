@@ -54,7 +54,14 @@ def polylines_sql(d: Dialect, embeddings: str) -> str:
             f"GROUP BY vec_id, CAST(floor(p / 2e0) AS INT)")
 
 
-WRITERS = {"polylines": (polylines_sql, "embeddings"), "grey": (grey_sql, "embeddings"), "rgb": (rgb_sql, "embeddings"), "stack": (stack_sql, "embeddings"), "float": (float_sql, "embeddings"), "bag": (bag_sql, "lineitem")}
+def stars_sql(d: Dialect, embeddings: str) -> str:
+    """A polygon per vector, its components being radii at equal angles around (32, 32)."""
+    angle = f"p * {d.num(6.283185307179586)} / 64"
+    return (f"SELECT vec_id AS path_id, p AS seq, round(32 + greatest(2, 22 + 24 * e) * cos({angle}), 6) AS x, round(32 + greatest(2, 22 + 24 * e) * sin({angle}), 6) AS y "
+            f"FROM {_exploded(d, embeddings)} WHERE p < 64")
+
+
+WRITERS = {"stars": (stars_sql, "embeddings"), "polylines": (polylines_sql, "embeddings"), "grey": (grey_sql, "embeddings"), "rgb": (rgb_sql, "embeddings"), "stack": (stack_sql, "embeddings"), "float": (float_sql, "embeddings"), "bag": (bag_sql, "lineitem")}
 
 
 def raster(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
