@@ -241,7 +241,7 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
     member b of the star around a. Members of a star stand for all pairs among them.
     """
     spark = docs.sparkSession
-    parts = dealt_parts(docs, 4 << 20)
+    parts = dealt_parts(docs, 2 << 20)
     docs = docs.where("doc_id IS NOT NULL")
     held = spark.sparkContext.broadcast(_order(docs, percent, least_words))
 
