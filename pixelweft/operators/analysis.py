@@ -243,3 +243,24 @@ def page_bounds(d, r, bright: int = 160, dark: int = 60, fraction: float = 0.3,
         ranked = f"(SELECT image_id, a, b, row_number() OVER (PARTITION BY image_id ORDER BY b - a DESC, a) AS k FROM {spans} w)"
         parts.append(f"SELECT image_id, '{axis}' AS axis, a AS first, b AS last FROM {ranked} z WHERE k = 1")
     return " UNION ALL ".join(parts)
+
+
+@operator(1)
+def detect_upright(d, r, ink: int = 128, share: float = 0.2, least: int = 8):
+    """(image_id, signal) of one-band pages (see analysis_copy): how much more ink lines of text have in their lower half, -1 to 1.
+
+    Lines are runs of `least` rows or more whose ink is at least `share` of the fullest row's; islands of rows are told apart by the
+    difference of row and rank. Each line counts alike; pages without ink or lines have 0.
+    """
+    rows = f"(SELECT image_id, y, sum(CASE WHEN 255 - v >= {ink} THEN 255e0 ELSE 0e0 END) AS s FROM {r} WHERE band = 0 GROUP BY image_id, y)"
+    lit = f"(SELECT image_id, y, s, y - row_number() OVER (PARTITION BY image_id ORDER BY y) AS island FROM (SELECT q.*, max(s) OVER (PARTITION BY image_id) AS top FROM {rows} q) t WHERE top > 0 AND s >= top * {d.num(share)})"
+    lines = f"(SELECT image_id, island, min(y) AS first, count(*) AS n FROM {lit} i GROUP BY image_id, island)"
+    halves = (f"(SELECT i.image_id, i.island, sum(CASE WHEN i.y < l.first + floor(l.n / 2e0) THEN -i.s ELSE i.s END) / sum(i.s) AS lean FROM {lit} i JOIN {lines} l ON l.image_id = i.image_id AND l.island = i.island "
+              f"WHERE l.n >= {least} GROUP BY i.image_id, i.island)")
+    return f"SELECT i.image_id, coalesce(b.signal, 0e0) AS signal FROM (SELECT DISTINCT image_id FROM {r}) i LEFT JOIN (SELECT image_id, round(avg(lean), 9) AS signal FROM {halves} h GROUP BY image_id) b ON b.image_id = i.image_id"
+
+
+@operator(1)
+def is_upside_down(d, r, below: float = -0.02, ink: int = 128, share: float = 0.2, least: int = 8):
+    """(image_id, v): 1 where the signal of detect_upright is below a threshold, else 0."""
+    return f"SELECT image_id, CASE WHEN signal < {d.num(below)} THEN 1 ELSE 0 END AS v FROM ({detect_upright.write(d, r, ink=ink, share=share, least=least)}) u"

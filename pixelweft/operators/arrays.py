@@ -100,12 +100,14 @@ DIFFUSION = {
     "jarvis": (((1, 0, 7), (2, 0, 5), (-2, 1, 3), (-1, 1, 5), (0, 1, 7), (1, 1, 5), (2, 1, 3), (-2, 2, 1), (-1, 2, 3), (0, 2, 5), (1, 2, 3), (2, 2, 1)), 48),
     "stucki": (((1, 0, 8), (2, 0, 4), (-2, 1, 2), (-1, 1, 4), (0, 1, 8), (1, 1, 4), (2, 1, 2), (-2, 2, 1), (-1, 2, 2), (0, 2, 4), (1, 2, 2), (2, 2, 1)), 42),
     "atkinson": (((1, 0, 1), (2, 0, 1), (-1, 1, 1), (0, 1, 1), (1, 1, 1), (0, 2, 1)), 8),
+    "burkes": (((1, 0, 8), (2, 0, 4), (-2, 1, 2), (-1, 1, 4), (0, 1, 8), (1, 1, 4), (2, 1, 2)), 32),
+    "stevenson_arce": (((2, 0, 32), (-3, 1, 12), (-1, 1, 26), (1, 1, 30), (3, 1, 16), (-2, 2, 12), (0, 2, 26), (2, 2, 12), (-3, 3, 5), (-1, 3, 12), (1, 3, 12), (3, 3, 5)), 200),
     "sierra": (((1, 0, 5), (2, 0, 3), (-2, 1, 2), (-1, 1, 4), (0, 1, 5), (1, 1, 4), (2, 1, 2), (-1, 2, 2), (0, 2, 3), (1, 2, 2)), 32),
 }
 
 
 def dither(r: DataFrame, method: str = "floyd_steinberg", levels: int = 2) -> DataFrame:
-    """Error diffusion from left to right and top to bottom, in single precision; bands apart."""
+    """Error diffusion from left to right and top to bottom, errors gathered in single precision; bands apart."""
     kernel, divisor = DIFFUSION[method]
 
     def run(a):
@@ -114,12 +116,12 @@ def dither(r: DataFrame, method: str = "floyd_steinberg", levels: int = 2) -> Da
         out = np.empty_like(a)
         for y in range(h):
             for x in range(w):
-                new = np.round(np.clip(a[y, x], 0, 255) * (levels - 1) / 255) * 255 / (levels - 1)
-                out[y, x] = np.floor(new)
-                error = a[y, x] - out[y, x]
+                now = a[y, x].astype(np.float64)
+                out[y, x] = np.round(np.clip(now, 0, 255) * (levels - 1) / 255) * 255 // (levels - 1)
+                error = now - out[y, x]
                 for dx, dy, k in kernel:
                     if 0 <= x + dx < w and y + dy < h:
-                        a[y + dy, x + dx] += error * np.float32(k / divisor)
+                        a[y + dy, x + dx] += (error * (k / divisor)).astype(np.float32)
         return out
 
     return per_image(r, run)

@@ -414,3 +414,31 @@ def lab2labq(d):
 def labq2lab(d):
     signed = lambda v: f"(CASE WHEN {v} > 127 THEN {v} - 256 ELSE {v} END)"
     return ["(v0 * 4 + floor(v3 / 64e0)) * 100 / 1023e0", f"({signed('v1')} * 8 + floor(v3 / 8e0) % 8) / 8e0", f"({signed('v2')} * 8 + v3 % 8) / 8e0"]
+
+
+# Constants of the perceptual quantizer and of the hybrid log-gamma curve, and the matrix of wide to narrow primaries.
+PQ = {"m1": 2610 / 16384, "m2": 2523 / 4096 * 128, "c1": 3424 / 4096, "c2": 2413 / 4096 * 32, "c3": 2392 / 4096 * 32}
+HLG_A = 0.17883277
+WIDE_TO_NARROW = ((1.6605, -0.5876, -0.0728), (-0.1246, 1.1329, -0.0083), (-0.0182, -0.1006, 1.1187))
+
+
+def _to_light(d, e: str, transfer: str) -> str:
+    """Light of a code in 0 .. 1 by a transfer function; 100 candelas a square metre of PQ are 1."""
+    if transfer == "linear":
+        return e
+    if transfer in ("bt709", "bt2020"):
+        return f"CASE WHEN {e} < 81e-3 THEN {e} / 45e-1 ELSE power(({e} + 99e-3) / 1099e-3, {d.num(1 / 0.45)}) END"
+    if transfer == "pq":
+        p = f"power(greatest({e}, 0e0), {d.num(1 / PQ['m2'])})"
+        return f"power(greatest({p} - {d.num(PQ['c1'])}, 0e0) / ({d.num(PQ['c2'])} - {d.num(PQ['c3'])} * {p}), {d.num(1 / PQ['m1'])}) * 100"
+    if transfer == "hlg":
+        b, c = 1 - 4 * HLG_A, 0.5 - HLG_A * math.log(4 * HLG_A)
+        return f"CASE WHEN {e} <= 5e-1 THEN {e} * {e} / 3 ELSE (exp(({e} - {d.num(c)}) / {d.num(HLG_A)}) + {d.num(b)}) / 12 END"
+    raise ValueError(f"no transfer function {transfer}")
+
+
+@cross_band(3)
+def cicp2scrgb(d, primaries: str = "bt2020", transfer: str = "pq", most: int = 255):
+    """Codes 0 .. most of wide (bt2020) or narrow (bt709) primaries to linear light of narrow ones."""
+    light = [f"({_to_light(d, f'({v} / {d.num(most)})', transfer)})" for v in V]
+    return light if primaries == "bt709" else _times(d, WIDE_TO_NARROW, light)

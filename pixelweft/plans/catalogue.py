@@ -26,6 +26,7 @@ from ..operators import palette as pl
 from ..operators import paths
 from ..operators import paths as pa
 from ..operators import pointwise as pw
+from ..operators import pyramid as py
 from ..operators import regions as rg
 from ..operators import stencil as st
 from ..operators import strokes as sk
@@ -312,6 +313,12 @@ def _register() -> None:
         _add(f"fill_whole_{name}", of(br.fill, "rgb", brush=brush))
     for tiling in ("clamp", "repeat", "mirror"):
         _add(f"fill_image_{tiling}", of(br.fill_image, A, of(_corner, B, width=7, height=9), path=shape, offset=(4, -5), tiling=tiling))
+    for p, t in (("bt2020", "pq"), ("bt2020", "hlg"), ("bt2020", "bt2020"), ("bt709", "linear"), ("bt709", "bt709")):
+        _add(f"cicp2scrgb_{p}_{t}", of(co.cicp2scrgb, "rgb", primaries=p, transfer=t))
+    page = of(ef.analysis_copy, "rgb", most=1000)
+    _add("detect_upright", of(an.detect_upright, page), "image_id:i signal")
+    _add("detect_upright_turned", of(an.detect_upright, of(ge.rotate90, page, angle=180)), "image_id:i signal")
+    _add("is_upside_down", of(an.is_upside_down, page), "image_id:i v:i")
     for f in cl.KEEP:
         _add(f"path_{f}_area", of(cl.boolean_areas, "stars", of(_beside, "stars"), op=f), "path_id:i area")
     for f in pw.FORMATS:
@@ -429,7 +436,14 @@ def _held(r, spark, sf_dir):
     return cl.located(grid, cl.tessellate(stars)).groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
+def _pyramid(r, *_):
+    """Of every tile of every level: its pixels and their sum."""
+    return py.tiled(py.levels(r), tile=40, overlap=1).groupBy("image_id", "level", "col", "row", "band").agg(F.count("*").alias("pixels"), F.sum("v").alias("total")).selectExpr(
+        *(f"CAST({c} AS BIGINT) AS {c}" for c in ("image_id", "level", "col", "row", "band", "pixels")), "CAST(total AS DOUBLE) AS total")
+
+
 WHOLE = {
+    "deep_zoom_tiles": _whole("rgb", _pyramid),
     **{f"path_{op}": _whole("", _clipped(op)) for op in (*cl.KEEP, "xor")},
     "path_triangles": _whole("", _triangles),
     "points_in_triangles": _whole("", _held),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators.clipping import KEEP, boundary
 from ..operators.local import thinned
+from ..operators.pyramid import halved
 from ..sources.rasters import raster_sql
 
 #: Places that results of transforms are rounded to; sums in another order differ from the tenth on, and at two there are ties (sums of whole numbers over 80).
@@ -114,3 +115,19 @@ FROM walk w JOIN e ON e.part = w.part AND e.path_id = w.path_id AND e.u = w.u"""
 
 
 SQL |= {f"path_{op}": _walk(op) for op in (*KEEP, "xor")}
+
+
+def _tiles(tile: int = 40, overlap: int = 1, most: int = 20) -> str:
+    """Tiles as rectangles that pixels are counted in; levels are the operator's own halvings, as many as `most`."""
+    steps = [f"s0 AS MATERIALIZED (SELECT image_id, x, y, band, v FROM {raster_sql('rgb')})"] + [f"s{k} AS MATERIALIZED ({halved.sql(f's{k - 1}')})" for k in range(1, most)]
+    every = " UNION ALL ".join(f"SELECT {k} AS step, image_id, x, y, band, v FROM s{k}" for k in range(most))
+    return f"""WITH {', '.join(steps)}, p AS MATERIALIZED (SELECT *, max(step) OVER (PARTITION BY image_id) - step AS level FROM ({every})),
+z AS (SELECT image_id, level, max(x) + 1 AS w, max(y) + 1 AS h FROM p GROUP BY ALL),
+c AS (SELECT image_id, level, w, h, unnest(range((w + {tile - 1}) // {tile})) AS col FROM z),
+t AS (SELECT *, unnest(range((h + {tile - 1}) // {tile})) AS "row" FROM c)
+SELECT CAST(t.image_id AS BIGINT) AS image_id, CAST(t.level AS BIGINT) AS level, CAST(col AS BIGINT) AS col, CAST("row" AS BIGINT) AS "row", CAST(p.band AS BIGINT) AS band, count(*) AS pixels, CAST(sum(p.v) AS DOUBLE) AS total
+FROM t JOIN p ON p.image_id = t.image_id AND p.level = t.level AND p.x BETWEEN col * {tile} - {overlap} AND col * {tile} + {tile + overlap - 1} AND p.y BETWEEN "row" * {tile} - {overlap} AND "row" * {tile} + {tile + overlap - 1}
+GROUP BY ALL"""
+
+
+SQL["deep_zoom_tiles"] = _tiles()
