@@ -21,6 +21,7 @@ from ..operators import create as cr
 from ..operators import draw as dr
 from ..operators import effects as ef
 from ..operators import geometry as ge
+from ..operators import icc as ic
 from ..operators import local as lo
 from ..operators import palette as pl
 from ..operators import paths
@@ -30,6 +31,7 @@ from ..operators import pyramid as py
 from ..operators import regions as rg
 from ..operators import stencil as st
 from ..operators import strokes as sk
+from ..sources import icc as profiles
 from ..sources.rasters import raster, raster_sql
 from . import whole_sql
 from .sqlop import Operator, operator
@@ -442,7 +444,22 @@ def _pyramid(r, *_):
         *(f"CAST({c} AS BIGINT) AS {c}" for c in ("image_id", "level", "col", "row", "band", "pixels")), "CAST(total AS DOUBLE) AS total")
 
 
+def _ink_profiles() -> tuple[bytes, bytes]:
+    """Profiles of lookup tables by rule: of inks to Lab in a grid of 5, of Lab to three colours in one of 9."""
+    import numpy as np
+
+    def profile(tag, channels, grid, colours):
+        at = [c.reshape(-1) / (grid - 1) for c in np.indices((grid,) * channels)]
+        same = lambda n: np.tile([0.0, 1.0], (n, 1))
+        return profiles.serialize(profiles.Profile("CMYK", "Lab ", tags={tag: profiles.lut_tag(profiles.Lut(same(channels), np.eye(3), grid, np.clip(np.stack(colours(*at), axis=1), 0, 1), same(3)))}))
+
+    return (profile("A2B0", 4, 5, lambda c, m, y, k: ((1 - k) * (1 - 0.3 * c - 0.6 * m - 0.1 * y), 0.5 + 0.2 * (m - c) * (1 - k), 0.5 + 0.25 * (y - 0.5 * c - 0.5 * m) * (1 - k))),
+            profile("B2A0", 3, 9, lambda l, a, b: (l + (a - 0.5), l - 0.5 * (a - 0.5) + 0.2 * (b - 0.5), l - (b - 0.5))))  # noqa: E741
+
+
 WHOLE = {
+    "icc_primaries": _whole("rgb", lambda r, *_: _placed(ic.icc_transform(r, profiles.srgb(), profiles.wide_gamut()), "v")),
+    "icc_tables": _whole("rgb", lambda r, *_: _placed(ic.icc_transform(co.to_cmyk(r), *_ink_profiles()), "v")),
     "deep_zoom_tiles": _whole("rgb", _pyramid),
     **{f"path_{op}": _whole("", _clipped(op)) for op in (*cl.KEEP, "xor")},
     "path_triangles": _whole("", _triangles),

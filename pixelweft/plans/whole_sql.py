@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from ..operators.clipping import KEEP, boundary
+from ..operators.colour import to_cmyk
 from ..operators.local import thinned
 from ..operators.pyramid import halved
+from ..sources import icc
 from ..sources.rasters import raster_sql
+from .sqlop import DUCKDB
 
 #: Places that results of transforms are rounded to; sums in another order differ from the tenth on, and at two there are ties (sums of whole numbers over 80).
 PLACES = 4
@@ -131,3 +134,40 @@ GROUP BY ALL"""
 
 
 SQL["deep_zoom_tiles"] = _tiles()
+
+
+def _primaries() -> str:
+    """The profiles' formulas written out; the code of a light is the nearest of all 256, the higher one at a tie."""
+    import numpy as np
+
+    one, two = icc.parse(icc.srgb()), icc.parse(icc.wide_gamut())
+    num, m = DUCKDB.num, (np.linalg.inv(two.matrix()) @ one.matrix()).tolist()
+    g, a, b, c, e = (round(v * 65536) / 65536 for v in (2.4, 1 / 1.055, 0.055 / 1.055, 1 / 12.92, 0.04045))
+    light = lambda v: f"(CASE WHEN {v} / 255e0 < {num(e)} THEN {num(c)} * ({v} / 255e0) ELSE power({num(a)} * ({v} / 255e0) + {num(b)}, {num(g)}) END)"
+    mixed = ", ".join(f"floor(round(greatest(0e0, least(1e0, {' + '.join(f'{num(m[i][j])} * l{j}' for j in range(3))})) * 4095, 9) + 0.5) / 4095e0 AS m{i}" for i in range(3))
+    return f"""WITH p AS MATERIALIZED (SELECT image_id, x, y, max(v) FILTER (band = 0) AS v0, max(v) FILTER (band = 1) AS v1, max(v) FILTER (band = 2) AS v2 FROM {raster_sql('rgb')} GROUP BY ALL),
+l AS (SELECT *, {', '.join(f'{light(f"v{j}")} AS l{j}' for j in range(3))} FROM p), m AS MATERIALIZED (SELECT *, {mixed} FROM l),
+codes AS (SELECT range AS code, power(range / 255e0, 563 / 256e0) AS light FROM range(256)), steps AS (SELECT DISTINCT s FROM (SELECT m0 AS s FROM m UNION ALL SELECT m1 FROM m UNION ALL SELECT m2 FROM m)),
+best AS MATERIALIZED (SELECT s, code FROM steps, codes QUALIFY row_number() OVER (PARTITION BY s ORDER BY abs(light - s), code DESC) = 1)
+{' UNION ALL '.join(f'SELECT CAST(m.image_id AS BIGINT) AS image_id, CAST(m.x AS BIGINT) AS x, CAST(m.y AS BIGINT) AS y, CAST({k} AS BIGINT) AS band, CAST(b.code AS DOUBLE) AS v FROM m JOIN best b ON b.s = m.m{k}' for k in range(3))}"""
+
+
+def _tables() -> str:
+    """Grids by their rules, as the corners around each colour ask for them."""
+    def around(table, names, grid, values, out):
+        n = len(names)
+        low = {c: f"least(floor({c} * {grid - 1}), {grid - 2})" for c in names}
+        at = ", ".join(f"({low[c]} + b{k}) / {grid - 1}e0 AS g{k}" for k, c in enumerate(names))
+        weight = " * ".join(f"(CASE b{k} WHEN 1 THEN {c} * {grid - 1} - {low[c]} ELSE 1 - ({c} * {grid - 1} - {low[c]}) END)" for k, c in enumerate(names))
+        bits = ", ".join(f"(SELECT unnest([0, 1]) AS b{k})" for k in range(n))
+        entry = ", ".join(f"sum(w * round(greatest(0e0, least(1e0, {v})) * 65535) / 65535) AS {o}" for v, o in zip(values, out))
+        return f"(SELECT c0, c1, c2, c3, {entry} FROM (SELECT t.*, {at}, {weight} AS w FROM {table} t, {bits}) GROUP BY c0, c1, c2, c3)"
+
+    lab = around("d", ("c0", "c1", "c2", "c3"), 5, ("(1 - g3) * (1 - 0.3e0 * g0 - 0.6e0 * g1 - 0.1e0 * g2)", "0.5e0 + 0.2e0 * (g1 - g0) * (1 - g3)", "0.5e0 + 0.25e0 * (g2 - 0.5e0 * g0 - 0.5e0 * g1) * (1 - g3)"), ("p0", "p1", "p2"))
+    rgb = around("lab", ("p0", "p1", "p2"), 9, ("g0 + (g1 - 0.5e0)", "g0 - 0.5e0 * (g1 - 0.5e0) + 0.2e0 * (g2 - 0.5e0)", "g0 - (g2 - 0.5e0)"), ("o0", "o1", "o2"))
+    return f"""WITH p AS MATERIALIZED (SELECT image_id, x, y, {', '.join(f'max(v) FILTER (band = {k}) / 255e0 AS c{k}' for k in range(4))} FROM ({to_cmyk.sql(raster_sql('rgb'))}) GROUP BY ALL),
+d AS (SELECT DISTINCT c0, c1, c2, c3 FROM p), lab AS MATERIALIZED {lab}, rgb AS MATERIALIZED {rgb}
+{' UNION ALL '.join(f'SELECT CAST(p.image_id AS BIGINT) AS image_id, CAST(p.x AS BIGINT) AS x, CAST(p.y AS BIGINT) AS y, CAST({k} AS BIGINT) AS band, floor(round(greatest(0e0, least(1e0, o{k})) * 255, 9) + 0.5) AS v FROM p JOIN rgb USING (c0, c1, c2, c3)' for k in range(3))}"""
+
+
+SQL |= {"icc_primaries": _primaries(), "icc_tables": _tables()}
