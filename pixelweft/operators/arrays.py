@@ -78,9 +78,13 @@ def spectrum(r: DataFrame) -> DataFrame:
     return per_image(r, run)
 
 
-def freqmult(r: DataFrame, mask: np.ndarray) -> DataFrame:
-    """Multiply the transform by a real mask [y, x] and go back."""
-    return per_image(r, lambda a: np.fft.ifft2(np.fft.fft2(a, axes=(0, 1)) * mask[:, :, None], axes=(0, 1)).real)
+def freqmult(r: DataFrame, mask) -> DataFrame:
+    """Multiply the transform by a real mask [y, x] and go back; the mask is an array, or made for each image of its (height, width)."""
+    def run(a):
+        m = mask(*a.shape[:2]) if callable(mask) else mask
+        return np.fft.ifft2(np.fft.fft2(a, axes=(0, 1)) * m[:, :, None], axes=(0, 1)).real
+
+    return per_image(r, run)
 
 
 def phasecor(a: DataFrame, b: DataFrame) -> DataFrame:

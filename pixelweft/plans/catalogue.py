@@ -20,6 +20,7 @@ from ..operators import colour as co
 from ..operators import create as cr
 from ..operators import draw as dr
 from ..operators import effects as ef
+from ..operators import frames as fr
 from ..operators import geometry as ge
 from ..operators import icc as ic
 from ..operators import local as lo
@@ -457,7 +458,28 @@ def _ink_profiles() -> tuple[bytes, bytes]:
             profile("B2A0", 3, 9, lambda l, a, b: (l + (a - 0.5), l - 0.5 * (a - 0.5) + 0.2 * (b - 0.5), l - (b - 0.5))))  # noqa: E741
 
 
+#: Places and rules of the frames of an animation, by image.
+FRAMES = """SELECT 0 AS anim, image_id AS frame, image_id, CAST((image_id * 3) % 7 AS INT) AS left_, CAST(image_id * 2 AS INT) AS top_,
+  CASE image_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'previous' ELSE 'background' END AS dispose, CASE WHEN image_id % 2 = 0 THEN 'source' ELSE 'over' END AS blend
+FROM (SELECT DISTINCT image_id FROM {t}) i"""
+
+
+def _animation(r, spark, sf_dir):
+    pixels = _with_alpha(r)
+    shown = fr.composed(pixels, spark.sql(FRAMES, t=pixels))
+    return shown.selectExpr(*(f"CAST({c} AS BIGINT) AS {c}" for c in ("anim", "frame", "x", "y", "band")), "v")
+
+
+def _row_means(r, *_):
+    """Frequencies along x other than 0 taken out, which leaves the means of rows."""
+    import numpy as np
+
+    return _placed(ar.freqmult(r, lambda h, w: np.tile(np.arange(w) == 0, (h, 1))), "v")
+
+
 WHOLE = {
+    "animation_frames": _whole("rgb", _animation),
+    "freqmult": _whole("stack", _row_means),
     "icc_primaries": _whole("rgb", lambda r, *_: _placed(ic.icc_transform(r, profiles.srgb(), profiles.wide_gamut()), "v")),
     "icc_tables": _whole("rgb", lambda r, *_: _placed(ic.icc_transform(co.to_cmyk(r), *_ink_profiles()), "v")),
     "deep_zoom_tiles": _whole("rgb", _pyramid),
@@ -484,6 +506,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     out = dict(whole_sql.SQL)
+    rgba = _with_alpha.sql(raster_sql("rgb"))
+    out["animation_frames"] = whole_sql.animation(rgba, FRAMES.replace("{t}", f"({rgba})"))
     for name, (node, form) in QUERIES.items():
         named: list[tuple[str, str]] = []
         last = node.tables(named)

@@ -171,3 +171,26 @@ d AS (SELECT DISTINCT c0, c1, c2, c3 FROM p), lab AS MATERIALIZED {lab}, rgb AS
 
 
 SQL |= {"icc_primaries": _primaries(), "icc_tables": _tables()}
+
+
+SQL["freqmult"] = f"SELECT {_PLACE}, round(avg(v) OVER (PARTITION BY image_id, y, band), 6) + 0e0 AS v FROM {raster_sql('stack')}"
+
+
+def animation(rgba: str, frames: str) -> str:
+    """The canvas before each frame, frame by frame; what is shown is made of it and the frame's pixel."""
+    bands = ("r", "g", "b", "a")
+    alpha = "(f.a + (w.a * (255 - f.a) + 127) // 255)"
+    over = {c: f"least(255, (f.{c} * f.a + (w.{c} * w.a * (255 - f.a)) // 255 + {alpha} // 2) // {alpha})" for c in "rgb"} | {"a": alpha}
+    shown = ", ".join(f"CASE WHEN f.x IS NULL OR (f.blend = 'over' AND f.a = 0) THEN w.{c} WHEN f.blend = 'source' OR f.a = 255 THEN f.{c} ELSE {over[c]} END AS s{c}" for c in bands)
+    after = ", ".join(f"CASE WHEN f.x IS NULL OR f.dispose = 'previous' THEN w.{c} WHEN f.dispose = 'background' THEN 0 ELSE CASE WHEN f.blend = 'over' AND f.a = 0 THEN w.{c} WHEN f.blend = 'source' OR f.a = 255 THEN f.{c} ELSE {over[c]} END END AS {c}" for c in bands)
+    return f"""WITH RECURSIVE t AS MATERIALIZED ({frames}),
+f AS MATERIALIZED (SELECT t.anim, t.frame, p.x + t.left_ AS x, p.y + t.top_ AS y, t.dispose, t.blend, {', '.join(f'CAST(max(p.v) FILTER (band = {k}) AS BIGINT) AS {c}' for k, c in enumerate(bands))} FROM ({rgba}) p JOIN t ON t.image_id = p.image_id GROUP BY ALL),
+c AS (SELECT anim, max(x) + 1 AS w, max(y) + 1 AS h FROM f GROUP BY anim),
+every AS MATERIALIZED (SELECT anim, x, unnest(range(h)) AS y FROM (SELECT anim, h, unnest(range(w)) AS x FROM c)),
+walk AS (
+  SELECT anim, x, y, CAST(-1 AS BIGINT) AS frame, {', '.join(f'CAST(0 AS BIGINT) AS s{c}' for c in bands)}, {', '.join(f'CAST(0 AS BIGINT) AS {c}' for c in bands)} FROM every
+  UNION ALL
+  SELECT w.anim, w.x, w.y, w.frame + 1, {shown}, {after} FROM walk w JOIN t ON t.anim = w.anim AND t.frame = w.frame + 1
+  LEFT JOIN f ON f.anim = w.anim AND f.frame = w.frame + 1 AND f.x = w.x AND f.y = w.y
+)
+{' UNION ALL '.join(f'SELECT CAST(anim AS BIGINT) AS anim, frame, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST({k} AS BIGINT) AS band, CAST(s{c} AS DOUBLE) AS v FROM walk WHERE frame >= 0' for k, c in enumerate(bands))}"""
