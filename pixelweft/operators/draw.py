@@ -88,7 +88,7 @@ def draw_mask(d, r, mask, x: int = 2, y: int = 3, ink=(255, 0, 0)):
 def draw_smudge(d, r, x: int = 4, y: int = 5, width: int = 8, height: int = 9):
     """3 x 3 means inside a rectangle."""
     total = " + ".join(f"p{i}{j}" for i in range(3) for j in range(3))
-    return f"SELECT {KEY}, CASE WHEN x >= {x} AND x < {x + width} AND y >= {y} AND y < {y + height} THEN {d.div(f'{total} + 4', '9e0')} ELSE v END AS v FROM {nine(r)} p"
+    return f"SELECT {KEY}, CASE WHEN x >= {x} AND x < {x + width} AND y >= {y} AND y < {y + height} THEN {d.div(f'{total} + 4', '9e0')} ELSE v END AS v FROM {nine(d, r)} p"
 
 
 #: Mode -> (Fa, Fb) of the alphas s of the overlay and b of the base

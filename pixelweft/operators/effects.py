@@ -43,7 +43,7 @@ def sketch(d, r, radius: float = 1.0, sigma: float = 0.5, angle: float = 0.0, ba
     """White less twice the slope of the blurred image along one direction."""
     blurred = f"(SELECT {KEY}, m AS v FROM {_mean(_grey(d, r, bands), _blur_radius(radius, sigma))} b)"
     dx, dy = round(math.cos(math.radians(angle)), 12), round(math.sin(math.radians(angle)), 12)
-    edges = f"(SELECT image_id, x, y, greatest(0e0, 255 - 2 * floor(abs((p12 - p10) * {d.num(dx)} + (p21 - p01) * {d.num(dy)}))) AS v FROM {stencil.nine(blurred)} n)"
+    edges = f"(SELECT image_id, x, y, greatest(0e0, 255 - 2 * floor(abs((p12 - p10) * {d.num(dx)} + (p21 - p01) * {d.num(dy)}))) AS v FROM {stencil.nine(d, blurred)} n)"
     return _spread(r, edges)
 
 

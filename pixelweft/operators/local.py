@@ -71,7 +71,7 @@ def thinned(d, r, sigma: float = 1.4):
     blurred = f"{_smooth(d, _smooth(d, r, sigma, False) + ' h', sigma, True)} b"
     gx = "(p02 - p00) + 2 * (p12 - p10) + (p22 - p20)"
     gy = "(p20 - p00) + 2 * (p21 - p01) + (p22 - p02)"
-    slopes = f"(SELECT {KEY}, round({gx}, 9) AS gx, round({gy}, 9) AS gy FROM {nine(blurred)} n)"
+    slopes = f"(SELECT {KEY}, round({gx}, 9) AS gx, round({gy}, 9) AS gy FROM {nine(d, blurred)} n)"
     # Angles from 0 to 180 degrees, parted at 22.5, 67.5, 112.5 and 157.5; a gradient of 0 is in the first sector.
     angle = "round(CASE WHEN gy < 0 THEN degrees(atan2(gy, gx)) + 180 ELSE degrees(atan2(gy, gx)) END, 9)"
     sizes = f"(SELECT {KEY}, round(sqrt(gx * gx + gy * gy), 9) AS v, {angle} AS angle FROM {slopes} g)"

@@ -18,23 +18,49 @@ def _column(extra: str = "") -> str:
     return f"(PARTITION BY image_id, band, x ORDER BY y{extra})"
 
 
-def nine(r: str) -> str:
+def _strip(extra: str = "") -> str:
+    """A column within a strip, see `strips`."""
+    return f"(PARTITION BY image_id, band, x, strip ORDER BY y{extra})"
+
+
+#: Rows of an image whose columns one window runs over.
+STRIP = 1024
+
+
+def strips(d, r: str, reach: int) -> str:
+    """Subquery: r with `strip`, some rows of an image, and `copy`, 0 for a strip's own pixels and 1 for the `reach` rows lent by its neighbours.
+
+    Windows down the columns of a strip then see as far as they reach, and a tall image is many strips instead of one column a task.
+    """
+    rows = max(STRIP, 2 * reach)
+    near = f"(y % {rows} < {reach} AND y >= {rows}) OR y % {rows} >= {rows - reach}"
+    lent = d.expand(f"(SELECT * FROM {r})", f"CASE WHEN {near} THEN 2 ELSE 1 END", "copy")
+    return f"(SELECT e.*, CAST(floor(y / {rows}e0) AS INT) + CASE WHEN copy = 0 THEN 0 WHEN y % {rows} < {reach} THEN -1 ELSE 1 END AS strip FROM {lent} e)"
+
+
+def _down(d, r: str, reach: int, columns: str, names: str) -> str:
+    """Subquery: columns with windows down the strips of r, for each pixel once; names are those that go on."""
+    return f"(SELECT {names} FROM (SELECT {KEY}, copy, {columns} FROM {strips(d, r, reach)} s) w WHERE copy = 0)"
+
+
+def nine(d, r: str) -> str:
     """Subquery with p00 .. p22 (row, column) around each pixel, edges repeated."""
     across = f"(SELECT {KEY}, v, coalesce(lag(v) OVER {_row()}, v) AS l, coalesce(lead(v) OVER {_row()}, v) AS n FROM {r})"
     cells = []
     for k, c in (("0", "l"), ("1", "v"), ("2", "n")):
-        cells += [f"coalesce(lag({c}) OVER {_column()}, {c}) AS p0{k}", f"{c} AS p1{k}", f"coalesce(lead({c}) OVER {_column()}, {c}) AS p2{k}"]
-    return f"(SELECT {KEY}, v, {', '.join(cells)} FROM {across} a)"
+        cells += [f"coalesce(lag({c}) OVER {_strip()}, {c}) AS p0{k}", f"{c} AS p1{k}", f"coalesce(lead({c}) OVER {_strip()}, {c}) AS p2{k}"]
+    return _down(d, f"{across} a", 1, f"v, {', '.join(cells)}", f"{KEY}, v, {', '.join(f'p{i}{j}' for i in range(3) for j in range(3))}")
 
 
-def around(r: str, cells) -> str:
+def around(d, r: str, cells) -> str:
     """Subquery with c0, c1, ...: the values at (x + dx, y + dy) for cells (dx, dy), null outside the image."""
     def shifted(e: str, by: int, over: str) -> str:
         return e if by == 0 else f"{'lag' if by < 0 else 'lead'}({e}, {abs(by)}) OVER {over}"
 
     across = sorted({dx for dx, _ in cells})
     row = f"(SELECT {KEY}, v, {', '.join(f'{shifted('v', dx, _row())} AS a{k}' for k, dx in enumerate(across))} FROM {r})"
-    return f"(SELECT {KEY}, v, {', '.join(f'{shifted(f'a{across.index(dx)}', dy, _column())} AS c{k}' for k, (dx, dy) in enumerate(cells))} FROM {row} q)"
+    down = ", ".join(f"{shifted(f'a{across.index(dx)}', dy, _strip())} AS c{k}" for k, (dx, dy) in enumerate(cells))
+    return _down(d, f"{row} q", max(1, *(abs(dy) for _, dy in cells)), f"v, {down}", f"{KEY}, v, {', '.join(f'c{k}' for k in range(len(cells)))}")
 
 
 def _cells(mask) -> list[tuple[int, int]]:
@@ -48,7 +74,7 @@ def conv(d, r, mask=((0, 1, 0), (1, 4, 1), (0, 1, 0)), divisor: float = 8.0, rea
     """Correlation with a mask, its middle at (w div 2, h div 2); places outside count 0."""
     weights = [w for line in mask for w in line if w]
     e = f"({' + '.join(f'coalesce(c{k}, 0e0) * {d.num(w)}' for k, w in enumerate(weights))}) / {d.num(divisor)}"
-    return f"SELECT {KEY}, {e if real else d.u8_trunc(e)} AS v FROM {around(r, _cells(mask))} n"
+    return f"SELECT {KEY}, {e if real else d.u8_trunc(e)} AS v FROM {around(d, r, _cells(mask))} n"
 
 
 def gauss_kernel(sigma: float) -> list[float]:
@@ -58,13 +84,14 @@ def gauss_kernel(sigma: float) -> list[float]:
 
 
 def _pass(d, r: str, kernel, vertical: bool, real: bool) -> str:
-    over, m = _column() if vertical else _row(), len(kernel) // 2
+    over, m = _strip() if vertical else _row(), len(kernel) // 2
     terms = []
     for i, w in enumerate(kernel):
         at = "v" if i == m else f"coalesce({'lag' if i < m else 'lead'}(v, {abs(i - m)}) OVER {over}, 0e0)"
         terms.append(f"{at} * {d.num(w)}")
     e = " + ".join(terms)
-    return f"(SELECT {KEY}, {e if real else d.u8_trunc(e)} AS v FROM {r})"
+    e = e if real else d.u8_trunc(e)
+    return _down(d, r, m, f"{e} AS v", f"{KEY}, v") if vertical and m else f"(SELECT {KEY}, {e} AS v FROM {r})"
 
 
 @operator(1)
@@ -117,7 +144,7 @@ def box_blur(d, r, radius: int = 1, passes: int = 2):
 def rank(d, r, width: int = 3, height: int = 3, index: int = 4):
     """index-th smallest of the window; pixels outside are left out and the index kept within what there is."""
     cells = [(i - width // 2, j - height // 2) for j in range(height) for i in range(width)]
-    near = f"(SELECT {KEY}, {d.sorted_present(d.array([f'c{k}' for k in range(len(cells))]))} AS s FROM {around(r, cells)} n)"
+    near = f"(SELECT {KEY}, {d.sorted_present(d.array([f'c{k}' for k in range(len(cells))]))} AS s FROM {around(d, r, cells)} n)"
     return f"SELECT {KEY}, {d.item('s', f'least({index}, {d.length('s')} - 1)')} AS v FROM {near} m"
 
 
@@ -127,7 +154,7 @@ def morph(d, r, mask=BOX3, method: str = "dilate"):
     cells = _cells(mask)
     name, none = ("greatest", "0e0") if method == "dilate" else ("least", "255e0")
     every = ", ".join(f"c{k}" for k in range(len(cells)))
-    return f"SELECT {KEY}, coalesce({f'{name}({every})' if len(cells) > 1 else every}, {none}) AS v FROM {around(r, cells)} n"
+    return f"SELECT {KEY}, coalesce({f'{name}({every})' if len(cells) > 1 else every}, {none}) AS v FROM {around(d, r, cells)} n"
 
 
 @operator(1)
@@ -143,7 +170,7 @@ def closing(d, r, mask=BOX3):
 
 def _gradient(d, r: str, gx: str, gy: str, divisor: float = 1.0) -> str:
     e = f"sqrt(({gx}) * ({gx}) + ({gy}) * ({gy})) / {d.num(divisor)}"
-    return f"SELECT {KEY}, {d.u8_trunc(e)} AS v FROM {nine(r)} p"
+    return f"SELECT {KEY}, {d.u8_trunc(e)} AS v FROM {nine(d, r)} p"
 
 
 @operator(1)
@@ -168,7 +195,7 @@ def roberts(d, r):
 
 @operator(1)
 def laplacian(d, r):
-    return f"SELECT {KEY}, {d.u8_trunc('abs(4 * p11 - p01 - p10 - p12 - p21)')} AS v FROM {nine(r)} p"
+    return f"SELECT {KEY}, {d.u8_trunc('abs(4 * p11 - p01 - p10 - p12 - p21)')} AS v FROM {nine(d, r)} p"
 
 
 @operator(1)
@@ -176,7 +203,7 @@ def compass(d, r):
     """Largest of the eight Kirsch responses, a fifteenth of it."""
     ring = ["p00", "p01", "p02", "p12", "p22", "p21", "p20", "p10"]
     responses = [f"abs({' + '.join(f'{5 if (k - turn) % 8 < 3 else -3} * {c}' for k, c in enumerate(ring))})" for turn in range(8)]
-    return f"SELECT {KEY}, {d.u8_trunc(d.div(f'greatest({chr(44).join(responses)})', '15e0'))} AS v FROM {nine(r)} p"
+    return f"SELECT {KEY}, {d.u8_trunc(d.div(f'greatest({chr(44).join(responses)})', '15e0'))} AS v FROM {nine(d, r)} p"
 
 
 @operator(1)

@@ -212,3 +212,26 @@ def test_filled_paths(raster, name):
         want = np.where(cover >= 0.999, 200, np.rint(m * (1 - cover) + 200 * cover))
         assert np.abs(got - want).max() <= 1 and (got == want).mean() > 0.99  # a rounding tie apart
     assert abs(covered(np.zeros((30, 30)), paths.circle(15, 15, 9)).sum() - math.pi * 81) < 2
+
+
+@pytest.mark.parametrize("strip", [4, 5, 1024])
+def test_windows_down_strips_see_across_them(spark, monkeypatch, strip):
+    """Tall images in strips of few rows give what one strip gives."""
+    monkeypatch.setattr(stencil, "STRIP", strip)
+    rng = np.random.default_rng(8)
+    images = [rng.integers(0, 256, (h, w)) for h, w in ((23, 5), (8, 4), (1, 3), (16, 1))]
+    rows = [(k, x, y, 0, float(v)) for k, m in enumerate(images) for (y, x), v in np.ndenumerate(m)]
+    tall = spark.createDataFrame(rows, "image_id int, x int, y int, band int, v double").repartition(5)
+    mask = rng.integers(-2, 3, (5, 3))
+    got = {(r.image_id, r.x, r.y): r.v for r in stencil.conv(tall, mask=mask.tolist(), divisor=1.0, real=True).collect()}
+    edge = {(r.image_id, r.x, r.y): r.v for r in stencil.sobel(tall).collect()}
+    down = {(r.image_id, r.x, r.y): r.v for r in stencil.conv1d(tall, kernel=(0.5, 0.25, 0.125, 0.0625, 0.0625), vertical=True, real=True).collect()}
+    assert len(got) == len(edge) == len(down) == len(rows)
+    for k, m in enumerate(images):
+        p, e, q = np.pad(m, ((2, 2), (1, 1))), np.pad(m, 1, mode="edge"), np.pad(m, ((2, 2), (0, 0)))
+        for (y, x), _ in np.ndenumerate(m):
+            assert got[k, x, y] == (p[y: y + 5, x: x + 3] * mask).sum()
+            assert down[k, x, y] == (q[y: y + 5, x] * (0.5, 0.25, 0.125, 0.0625, 0.0625)).sum()
+            n = e[y: y + 3, x: x + 3]
+            gx, gy = n[0, 2] + 2 * n[1, 2] + n[2, 2] - n[0, 0] - 2 * n[1, 0] - n[2, 0], n[2, 0] + 2 * n[2, 1] + n[2, 2] - n[0, 0] - 2 * n[0, 1] - n[0, 2]
+            assert edge[k, x, y] in (min(255, int(math.hypot(gx, gy))), min(255, abs(gx) + abs(gy)))
