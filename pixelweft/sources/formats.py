@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import struct
 import zlib
 
@@ -261,7 +262,7 @@ def _zigzag() -> np.ndarray:
 ZIGZAG = _zigzag()
 _COSINES = np.array([[(np.sqrt(1 / 8) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
 
-# The quantisation tables (by rows) and Huffman tables (codes of each length, symbols) that the standard gives as examples.
+# The quantisation tables (by rows) and the Huffman table of DC sizes (codes of each length, symbols) that the standard gives as examples.
 LUMA = (16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
         18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99)
 CHROMA = (17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99, *[99] * 32)
@@ -269,11 +270,23 @@ DC_TABLE = ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12)))
 
 
 def _ac_table() -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """A Huffman table of all run and size symbols, of 8 bits each but the last ones: valid for any image."""
-    symbols = [0x00, 0xF0] + [run << 4 | size for size in range(1, 11) for run in range(16)]
-    counts = [0] * 16
-    counts[6], counts[7] = 40, len(symbols) - 40
-    return tuple(counts), tuple(symbols)
+    """A Huffman table of all run and size symbols, valid for any image: short codes for short runs and small sizes.
+
+    Not one of the standard's examples: the lengths are those of a Huffman code for weights that fall with run and size. One symbol
+    more than there are takes the code of ones only, which the format leaves unused.
+    """
+    weight = {0x00: 0.3, 0xF0: 2e-3, None: 0.0} | {run << 4 | size: max(2e-4, 0.55 ** run * 0.5 ** size) for size in range(1, 11) for run in range(16)}
+    length = dict.fromkeys(weight, 0)
+    heap = [(w, k, [symbol]) for k, (symbol, w) in enumerate(weight.items())]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (w, k, one), (x, _, two) = heapq.heappop(heap), heapq.heappop(heap)
+        for symbol in one + two:
+            length[symbol] += 1
+        heapq.heappush(heap, (w + x, k, one + two))
+    del length[None]
+    symbols = sorted(length, key=lambda s: (length[s], -weight[s], s))
+    return tuple(sum(n == k for n in length.values()) for k in range(1, 17)), tuple(symbols)
 
 
 AC_TABLE = _ac_table()
