@@ -129,7 +129,10 @@ def posteriors(scored: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, least: float = 0.5, per_class: int = 4000) -> DataFrame:
     """doc_id, evidence (log odds), host_mean, path_mean, quality (0 to 1) and keep (quality >= least) per row of docs.
 
-    host and path default to the document's source and its language within it. Null text is judged as empty text.
+    host and path default to the document's source and its language within it. Null text is judged as empty text; null hosts
+    are one host, null paths one path of theirs. Repeated rows are judged alike and count as often as they are there; of rows
+    of one labelled id one is fitted. An empty table gives an empty result; without labels of both classes the evidence is the
+    same for all.
     """
     model = fit(docs, labels, per_class)
     host = F.col("source") if host is None else host
