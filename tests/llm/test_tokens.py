@@ -116,3 +116,11 @@ def test_plans_fill_sequences():
         assert used == plan.sequences
         least = max(-(-sum(x * n for x, n in histogram.items()) // 4096), sum(n for x, n in histogram.items() if x > 2048))
         assert used <= 1.02 * least + 3
+
+
+def test_trees_and_edits_of_an_empty_table(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([], "doc_id long, text string, `a.b` int")
+    trees = token_counts.build_trees(docs, tokens.default_vocabulary())
+    assert trees.collect() == [] and token_counts.apply_edits(trees, F.lit(None), tokens.default_vocabulary(), keep_text=True).collect() == []
