@@ -412,15 +412,17 @@ def _sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, width: int) -> Da
     return made.dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, part_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id per row of docs(doc_id, text).
 
+    part_bytes: bytes of input to a part of the search; smaller parts take less memory a task and more shuffle.
+
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, shingles `width` words; fewer words are one shingle, none (null,
     empty or blank text) an empty set that links with nothing. component_id is the smallest doc_id reachable by links.
     A row with null doc_id links with nothing and has a null component_id. Repeated rows give repeated results.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = docs.mapInArrow(_deal(percent, width, dealt_parts(docs, 8 << 20)), "part int, kind int, data binary")
+    dealt = docs.mapInArrow(_deal(percent, width, dealt_parts(docs, part_bytes)), "part int, kind int, data binary")
     met = stage(dealt.groupBy("part").applyInArrow(_meet(percent), "kind long, a long, b long, c long, d long"), "jaccard")
     rows = met.where(F.col("kind") == _DOC).select(
         F.when(F.col("b") == 1, F.col("a")).alias("doc_id"), F.col("c").alias("n_shingles"), F.col("d").alias("node"))
@@ -449,13 +451,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataF
     return joined.select("doc_id", "n_shingles", F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, part_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs without near duplicates: of each component the document with the smallest doc_id stays.
 
     Columns are kept, whatever their names. Rows with null doc_id stay; of rows that share the doc_id that stays, one stays.
     """
     own, n = free_names(docs.columns, "kept_id", "kept_rows")
-    result = near_duplicates(docs, percent, width)
+    result = near_duplicates(docs, percent, width, part_bytes)
     kept = stage(result.where("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(n)), "kept")
     joined = docs.join(kept, docs["doc_id"] == kept[own], "left")
     once = joined.where(docs["doc_id"].isNull() | (kept[n] == 1)).select(*[docs[quoted(c)] for c in docs.columns])
