@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 
-from ..plans.sqlop import KEY, operator, size_of
+from ..plans.sqlop import DUCKDB, KEY, operator, size_of
 
 BOX3 = ((1, 1, 1), (1, 1, 1), (1, 1, 1))
 
@@ -43,6 +43,16 @@ def _down(d, r: str, reach: int, columns: str, names: str) -> str:
     return f"(SELECT {names} FROM (SELECT {KEY}, copy, {columns} FROM {strips(d, r, reach)} s) w WHERE copy = 0)"
 
 
+def along(d, vertical: bool):
+    """Writer of windows along rows or columns, columns in strips on Spark: what is at a strip's end is used at an image's edge only."""
+    return _row if not vertical else _column if d is DUCKDB else _strip
+
+
+def passed(d, r: str, reach: int, value: str, vertical: bool) -> str:
+    """Subquery: r with a value of windows as `along` writes them."""
+    return _down(d, r, reach, value, f"{KEY}, v") if vertical and d is not DUCKDB else f"(SELECT {KEY}, {value} FROM {r})"
+
+
 def nine(d, r: str) -> str:
     """Subquery with p00 .. p22 (row, column) around each pixel, edges repeated."""
     across = f"(SELECT {KEY}, v, coalesce(lag(v) OVER {_row()}, v) AS l, coalesce(lead(v) OVER {_row()}, v) AS n FROM {r})"
@@ -131,12 +141,13 @@ def box_blur(d, r, radius: int = 1, passes: int = 2):
     """Running means, edges repeated, rounded half to even at the end."""
     n = 2 * radius + 1
     for _ in range(passes):
-        for over in (_row, _column):
+        for vertical in (False, True):
+            over = along(d, vertical)
             frame = f" ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING"
             key = over()
-            first = " + ".join(f"CASE WHEN lag(v, {k}) OVER {key} IS NULL THEN first_value(v) OVER {over(' ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} ELSE 0e0 END" for k in range(1, radius + 1))
-            last = " + ".join(f"CASE WHEN lead(v, {k}) OVER {key} IS NULL THEN last_value(v) OVER {over(' ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING')} ELSE 0e0 END" for k in range(1, radius + 1))
-            r = f"(SELECT {KEY}, round((sum(v) OVER {over(frame)} + {first} + {last}) / {n}, 9) AS v FROM {r}) b"
+            first = " + ".join(f"CASE WHEN lag(v, {k}) OVER {key} IS NULL THEN {d.end('v', over)} ELSE 0e0 END" for k in range(1, radius + 1))
+            last = " + ".join(f"CASE WHEN lead(v, {k}) OVER {key} IS NULL THEN {d.end('v', over, last=True)} ELSE 0e0 END" for k in range(1, radius + 1))
+            r = passed(d, r, radius, f"round((sum(v) OVER {over(frame)} + {first} + {last}) / {n}, 9) AS v", vertical) + " b"
     return f"SELECT {KEY}, {d.u8_round('v')} AS v FROM {r}"
 
 
@@ -306,13 +317,13 @@ def sharpen(d, r, sigma: float = 0.5, m1: float = 1.0, m2: float = 1.0, x1: int
     k = [math.exp(-(i - reach) ** 2 / (2 * sigma * sigma)) for i in range(2 * reach + 1)]
     k = [w / sum(k) for w in k]
 
-    def blurred(t: str, over) -> str:
-        first = f"first_value(v) OVER {over(' ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}"
-        last = f"last_value(v) OVER {over(' ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING')}"
+    def blurred(t: str, vertical: bool) -> str:
+        over = along(d, vertical)
+        first, last = d.end("v", over), d.end("v", over, last=True)
         terms = [f"{d.num(w)} * " + ("v" if i == reach else f"coalesce(lag(v, {reach - i}) OVER {over()}, {first})" if i < reach else f"coalesce(lead(v, {i - reach}) OVER {over()}, {last})") for i, w in enumerate(k)]
-        return f"(SELECT {KEY}, {' + '.join(terms)} AS v FROM {t} b)"
+        return passed(d, f"{t} b", reach, f"{' + '.join(terms)} AS v", vertical)
 
-    blur = blurred(blurred(r, _row), _column)
+    blur = blurred(blurred(r, False), True)
     diff = "(l.v - q.v)"
     e = f"l.v + CASE WHEN abs{diff} < {x1} THEN 0e0 WHEN {diff} > 0 THEN {d.num(m1)} * {diff} ELSE {d.num(m2)} * {diff} END"
     return (f"SELECT l.image_id, l.x, l.y, l.band, {d.u8_trunc(f'round({e}, 9)')} AS v FROM {r} l JOIN {blur} q ON l.image_id = q.image_id AND l.x = q.x AND l.y = q.y AND l.band = q.band")
