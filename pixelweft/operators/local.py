@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.sqlop import KEY, operator, sized
 from ..plans.staged import checkpointed
 from . import regions
-from .stencil import _column, _row, nine
+from .stencil import _column, _row, along, nine, passed
 
 
 @operator(1)
@@ -51,14 +51,13 @@ def _smooth(d, r: str, sigma: float, vertical: bool) -> str:
     """A Gaussian of radius ceil(3 sigma) along one axis in real values, edges repeated."""
     radius = max(1, math.ceil(sigma * 3))
     kernel = [math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
-    over = _column if vertical else _row
-    first = f"first_value(v) OVER {over(' ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}"
-    last = f"last_value(v) OVER {over(' ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING')}"
+    over = along(d, vertical)
+    first, last = d.end("v", over), d.end("v", over, last=True)
     terms = []
     for k, w in zip(range(-radius, radius + 1), kernel):
         at = "v" if k == 0 else f"coalesce({'lag' if k < 0 else 'lead'}(v, {abs(k)}) OVER {over()}, {first if k < 0 else last})"
         terms.append(f"{at} * {d.num(w / sum(kernel))}")
-    return f"(SELECT {KEY}, {' + '.join(terms)} AS v FROM {r})"
+    return passed(d, r, radius, f"{' + '.join(terms)} AS v", vertical)
 
 
 #: By sector of the gradient's angle: the two neighbours that it is compared with. Fixed values.
