@@ -88,10 +88,12 @@ def freqmult(r: DataFrame, mask) -> DataFrame:
 
 
 def phasecor(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Phase correlation of images of equal number and size: the peak is at their shift."""
+    """Phase correlation of images of equal number: the peak is at their shift. The smaller of two counts as if it had zeros to the right and below."""
     def run(left, right):
-        image, x = to_array(left)
-        cross = np.fft.fft2(x, axes=(0, 1)) * np.conj(np.fft.fft2(to_array(right)[1], axes=(0, 1)))
+        found = [to_array(t) for t in (left, right) if t.num_rows]
+        image, size = found[0][0], np.max([x.shape for _, x in found], axis=0)
+        x, y = (np.pad(to_array(t)[1], [(0, n - k) for n, k in zip(size, to_array(t)[1].shape)]) if t.num_rows else np.zeros(size) for t in (left, right))
+        cross = np.fft.fft2(x, axes=(0, 1)) * np.conj(np.fft.fft2(y, axes=(0, 1)))
         size = np.abs(cross)
         return to_rows(image, np.fft.ifft2(np.where(size > 1e-12, cross / np.where(size > 1e-12, size, 1), 0), axes=(0, 1)).real)
 
