@@ -132,7 +132,7 @@ def lut_tag(lut: Lut, wide: bool = True) -> bytes:
     kind, most = (">u2", 65535) if wide else (">u1", 255)
     head = (b"mft2" if wide else b"mft1") + b"\0\0\0\0" + bytes([len(lut.inputs), len(lut.outputs), lut.grid, 0]) + struct.pack(">9i", *(round(v * 65536) for v in lut.matrix.reshape(-1)))
     sizes = struct.pack(">2H", lut.inputs.shape[1], lut.outputs.shape[1]) if wide else b""
-    return head + sizes + b"".join(np.rint(a * most).astype(kind).tobytes() for a in (lut.inputs, lut.colours, lut.outputs))
+    return head + sizes + b"".join(np.floor(a * most + 0.5).astype(kind).tobytes() for a in (lut.inputs, lut.colours, lut.outputs))
 
 
 def matrix_profile(primaries, curve: bytes) -> bytes:
