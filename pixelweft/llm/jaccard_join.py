@@ -216,7 +216,7 @@ def _deal(percent: int, width: int, parts: int):
         import pyarrow as pa
 
         bands = Bands(percent)
-        for batch in slices(batches, 3000):
+        for batch in slices(batches, 1500):
             ids = batch.column(0)
             data, offsets = text_bytes(batch.column(1))
             sets: list[np.ndarray] = []
@@ -260,6 +260,35 @@ def _deal(percent: int, width: int, parts: int):
     return deal
 
 
+def _shared(keys, inverse: np.ndarray, counts, nodes: int, bits: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of more than one of `nodes` sets with these sets, in order and each once; keys: upper 32 and lower 8 bits by blob.
+
+    Signatures and sets of a part are sorted as one word of 64 bits, in place; sets too many for that in some ranges of the signatures.
+    """
+    total = sum(len(high) for high, _ in keys)
+    ranges = 1 << max(0, (nodes - 1).bit_length() - bits)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for k in range(ranges):
+        both, at, owner = np.empty(total, np.uint64), 0, 0
+        for (high, low), count in zip(keys, counts):
+            node = np.repeat(inverse[owner: owner + len(count)], count)
+            owner += len(count)
+            some = slice(None) if ranges == 1 else np.flatnonzero(high % np.uint32(ranges) == k)
+            key = (high[some] // np.uint32(ranges)).astype(_U) << _U(8) | low[some]
+            both[at: at + len(key)] = key << _U(64 - (40 - ranges.bit_length() + 1)) | node[some].astype(_U)
+            at += len(key)
+        both = both[:at]
+        both.sort()
+        shift = _U(64 - (40 - ranges.bit_length() + 1))
+        # Most signatures are of one set only.
+        same = np.flatnonzero((both[1:] ^ both[:-1]) >> shift == 0)
+        both = both[np.union1d(same, same + 1)]
+        both = both[_first_of_runs(both)]
+        key = ((both >> shift).astype(np.int64) >> 8) * ranges + k
+        found.append((key << 8 | (both >> shift).astype(np.int64) & 255, (both & (_U(1) << shift) - _U(1)).astype(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def _meet(percent: int):
     """All blobs of a part -> rows (kind, a, b, c, d): documents as they came, and candidate pairs a < b of sets."""
     def meet(table):
@@ -281,26 +310,13 @@ def _meet(percent: int):
                 large = np.flatnonzero(short[n:])
                 extras.append(({k: data.slice(a, b - a) for k, a, b in zip(large.tolist(), begin[large].tolist(), end[large].tolist())}, n))
                 total, at = int(counts[-1].sum()), int(end[-1])
-                high, low = np.frombuffer(data, np.uint32, total, at), np.frombuffer(data, np.uint8, total, at + 4 * total)
-                keys.append(high.astype(np.int64) << 8 | low)
+                keys.append((np.frombuffer(data, np.uint32, total, at), np.frombuffer(data, np.uint8, total, at + 4 * total)))
         if keys:
             name, first, inverse = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
-            node, key = np.repeat(inverse.astype(np.int32), np.concatenate(counts)), np.concatenate(keys)
+            key, node = _shared(keys, inverse, counts, len(name))
             del keys, nodes, counts, inverse
-            # Most signatures are of one set only; these go by one sort.
-            order = np.argsort(key)
-            key, node = key[order], node[order]
-            del order
-            same = np.zeros(len(key) + 1, bool)
-            same[1:-1] = key[1:] == key[:-1]
-            same = same[1:] | same[:-1]
-            key, node = key[same], node[same]
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            used, node = np.unique(node[fresh], return_inverse=True)
-            key, name, first = key[fresh], name[used], first[used]
+            used, node = np.unique(node, return_inverse=True)
+            name, first = name[used], first[used]
             size, count = _unpacked(np.concatenate(abouts)[first] if len(first) else abouts[0][:0])
             begin = np.cumsum([0] + [n for _, n in extras])
             of = np.searchsorted(begin, first, "right") - 1

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from pixelweft.llm import jaccard_join as J
 
 SCHEMA = "doc_id long, text string, source string, kind long, a long"
@@ -145,3 +148,20 @@ def test_forests_cover_all_that_may_link():
     assert some.of(1).tolist() == [len(np.intersect1d(sets[7], sets[k])) for k in (3, 7, 20)]
     links = joining(np.array([5, 5, 5, 8, 8, 9, 4]), lambda i, j: np.array([k for k in j if (i, k) in {(3, 1), (3, 2), (5, 4), (6, 6)}], np.int64))
     assert links.tolist() == [[3, 1], [5, 4]]
+
+
+@pytest.mark.parametrize("bits", [24, 5, 3])
+def test_signatures_shared_by_sets(bits):
+    """One sort of signatures and sets, also where these are too many for one word."""
+    rng = np.random.default_rng(1)
+    keys, counts, nodes, want = [], [], [], {}
+    for _ in range(7):
+        count, node = rng.integers(0, 9, 30), rng.integers(0, 100, 30)
+        key = (rng.integers(0, 400, count.sum()) * (1 << 31) // 7 + rng.integers(0, 2, count.sum())) % (1 << 40)
+        keys.append(((key >> 8).astype(np.uint32), (key & 255).astype(np.uint8)))
+        counts.append(count)
+        nodes.append(node)
+        for k, n in zip(key.tolist(), np.repeat(node, count).tolist()):
+            want.setdefault(k, []).append(n)
+    got = J._shared(keys, np.concatenate(nodes), counts, 100, bits)
+    assert sorted(zip(*(c.tolist() for c in got))) == sorted((k, n) for k, v in want.items() if len(v) > 1 for n in set(v))
