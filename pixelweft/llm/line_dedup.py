@@ -4,7 +4,7 @@ Lines are normalised to their words (runs of letters and digits, lower case; in
 words with edit similarity p or more are at most (1-p)m edits apart. An edit breaks at most two of a line's bigrams, so in
 either line at most 2(1-p) of its number of words are broken, and the rest is in both. Of each line the bigrams that are
 first in one order of all are taken, one more than can be broken: the first common one is among them in both lines, and the
-lines meet under it (below p = 0.75 the same is done with words). The order is by frequency in a sample; which order it is
+lines meet under it (below p = 0.75 the same is done with words). The order is by frequency in all documents; which order it is
 decides on the work only. What meets and can be similar by the numbers of words and the parities of words by hash range is a
 candidate, so that no pair is lost. Candidates are verified by the edit similarity of their word sequences, and of each
 connected group the occurrence with the smallest (doc_id, line number) stays.
@@ -22,8 +22,8 @@ from .common import Overlaps, _INVERSE, _BASE, chunks, connect, covered, dealt_p
 
 #: Lines under one gram that are held against each other together with those of other grams; more are one by one.
 _FEW = 24
-#: Places of the table of gram frequencies (bits), and documents of the sample that it is made of.
-_TABLE_BITS, _SAMPLE = 20, 5000
+#: Places of the table of gram frequencies (bits).
+_TABLE_BITS = 20
 #: 64-bit words of the parities that lines are held against where they meet, and candidates before their words are.
 _NARROW, _WIDE = 2, 4
 #: The grams are dealt in so many rounds, one after the other, so that the shuffle of one is gone before the next.
@@ -169,11 +169,13 @@ def word_edit_distance(a: list, b: list) -> int:
     return score
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, line (name), parity, n_words of every line with words."""
+def _lines(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
+    """doc_id, text_hash, line_no, line (name), parity, n_words of every line with words; of each task one row of n_words -1 and, in
+    parity, how often it met grams of distinct lines of least_words or more words, by the upper bits of their hashes."""
     def cut(batches):
         import pyarrow as pa
 
+        total = np.zeros(1 << _TABLE_BITS, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -183,12 +185,22 @@ def _lines(docs: DataFrame) -> DataFrame:
                 for i, j in chunks(offsets):
                     words, first, lines, _ = line_words(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
                     owner = np.repeat(np.arange(i, j), np.diff(lines))
-                    keep = np.diff(first) > 0
+                    names, count = line_names(words, first), np.diff(first)
+                    keep = count > 0
+                    at = np.unique(names, return_index=True)[1]
+                    at = at[count[at] >= least_words]
+                    start = np.concatenate(([0], np.cumsum(count[at])))
+                    _, gram = _grams(words[np.repeat(first[at] - start[:-1], count[at]) + np.arange(start[-1])], start, percent)
+                    total += np.bincount((gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64), minlength=len(total))
                     parity = pa.array([x.tobytes() for x in parities(words, first, _WIDE)[keep]], pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x[keep]) for x in (ids[owner], hashes[owner], (np.arange(len(owner)) - lines[:-1][owner - i]).astype(np.int32),
-                                                     line_names(words, first), np.diff(first).astype(np.int32))] + [parity],
+                                                     names, count.astype(np.int32))] + [parity],
                         ["doc_id", "text_hash", "line_no", "line", "n_words", "parity"])
+        some = np.flatnonzero(total)
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), none, pa.array([-1], pa.int32()), pa.array([np.stack((some, total[some])).tobytes()], pa.binary())],
+                                         ["doc_id", "text_hash", "line_no", "line", "n_words", "parity"])
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         cut, "doc_id long, text_hash long, line_no int, line long, n_words int, parity binary")
@@ -211,30 +223,26 @@ def _chunks_of_words(batch, least_words: int):
         yield names, words[np.repeat(first[at] - start[:-1], count) + np.arange(start[-1])], start
 
 
-def _order(docs: DataFrame, percent: int, least_words: int) -> np.ndarray:
-    """Ranks below 64 by how often grams are in a sample of docs, by the upper bits of their hashes."""
-    share = min(1.0, _SAMPLE / max(1, docs.count()))
-
-    def count(batches):
+def _order(counts: DataFrame) -> np.ndarray:
+    """Ranks below 64 by how often grams are in all documents, by the upper bits of their hashes; counts: the rows of n_words -1 of `_lines`."""
+    def unpack(batches):
         import pyarrow as pa
 
-        total = np.zeros(1 << _TABLE_BITS, np.int64)
-        for batch in slices(batches, 2000):
-            for _, words, first in _chunks_of_words(batch, least_words):
-                _, gram = _grams(words, first, percent)
-                total += np.bincount((gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "n"])
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                place, n = np.frombuffer(data, np.int64).reshape(2, -1)
+                for at in range(0, len(place), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(place[at: at + (1 << 16)]), pa.array(n[at: at + (1 << 16)])], ["place", "n"])
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * share)).select("text")
-    rows = sample.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    rows = counts.select("parity").mapInArrow(unpack, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     order = np.zeros(1 << _TABLE_BITS, np.uint64)
     n = rows.column("n").to_numpy()
-    order[rows.column("place").to_numpy()] = np.minimum(np.where(n < 32, n, 27 + np.log2(np.maximum(n, 1)).astype(np.int64)), 63)
+    if len(n):  # three ranks to a doubling, from what a common place has
+        order[rows.column("place").to_numpy()] = np.clip(8 + 3 * np.log2(n / np.median(n)), 1, 63).astype(np.uint64)
     return order
 
 
-def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
+def _near(docs: DataFrame, order: np.ndarray, percent: int, least_words: int) -> list[DataFrame]:
     """Tables (kind, a, b) of candidate pairs of lines, a < b.
 
     Large groups are covered by stars around their lines: kind 0 is a pair, 1 a pair that is part of a star around a, 2 a mere
@@ -243,7 +251,7 @@ def _near(docs: DataFrame, percent: int, least_words: int) -> list[DataFrame]:
     spark = docs.sparkSession
     parts = dealt_parts(docs, 2 << 20)
     docs = docs.where("doc_id IS NOT NULL")
-    held = spark.sparkContext.broadcast(_order(docs, percent, least_words))
+    held = spark.sparkContext.broadcast(order)
 
     def deal(only):
         def run(batches):
@@ -455,11 +463,12 @@ def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 3, leas
     or more are compared for equality.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = stage(_lines(docs).where(F.col("n_words") >= (least_words if least_exact is None else least_exact)), "lines")
+    cut = stage(_lines(docs, percent, least_words).where((F.col("n_words") >= (least_words if least_exact is None else least_exact)) | (F.col("n_words") < 0)), "lines")
+    lines, order = cut.where("n_words >= 0"), _order(cut.where("n_words < 0"))
     nodes = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("parity").alias("parity"),
                                             F.min("n_words").alias("n_words"), F.count("*").alias("n"))
                   .select("line", "parity", "n_words", "at.doc_id", "at.line_no", "n"), "nodes")
-    near = functools.reduce(DataFrame.unionByName, _near(docs, percent, least_words)).select("kind", F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    near = functools.reduce(DataFrame.unionByName, _near(docs, order, percent, least_words)).select("kind", F.col("a").alias("x"), F.col("b").alias("y")).distinct()
     pairs = stage(_possible(near, nodes.select("line", "n_words", "parity"), percent), "pairs")
     held = None
 

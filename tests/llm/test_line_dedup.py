@@ -167,3 +167,13 @@ def test_short_lines_lose_no_link(spark):
     docs += [(100, "one two three four", "s", 1, 1), (101, "one two three", "s", 1, 1), (102, "two three four", "s", 1, 1), (103, "one three four", "s", 1, 1)]
     got = got_drops(spark, docs)
     assert got == brute(docs, False) and {(101, 0), (102, 0), (103, 0)} <= got
+
+
+def test_gram_order_counts_all_documents(spark):
+    """Frequencies come from every document, however many there are: a gram in all of them ranks above those of one."""
+    docs = spark.createDataFrame([(i, f"the common start word{i} word{i + 1} word{i + 2}") for i in range(6000)], "doc_id long, text string").repartition(3)
+    counts = D._lines(docs, 75, 3).where("n_words < 0")
+    total = sum(np.frombuffer(r.parity, np.int64).reshape(2, -1)[1].sum() for r in counts.collect())
+    assert total == 5 * 6000
+    order = D._order(counts)
+    assert order.max() > 30 and (order > 30).sum() == 2 and order[order > 0].min() >= 1
