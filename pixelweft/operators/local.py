@@ -23,10 +23,9 @@ def hist_local(d, r, tiles: int = 8, clip: float = 3.0):
     """
     px = f"""(SELECT image_id, x, y, band, v, {', '.join(f'{d.div(f"({c} + 1) * {tiles} - 1", f"{s} * 1e0")} AS t{c}' for c, s in (('x', 'w'), ('y', 'h')))} FROM {sized(r)} s)"""
     top = f"greatest(1e0, floor({d.num(clip)} * pixels / 256e0))"
-    corners = []
-    for name, cy, cx in (("a", "y0", "x0"), ("b", "y0", "x1"), ("c", "y1", "x0"), ("e", "y1", "x1")):
-        corners.append(f"LEFT JOIN luts {name} ON {name}.image_id = p.image_id AND {name}.band = p.band AND {name}.ty = p.{cy} AND {name}.tx = p.{cx}")
-    at = {n: f"coalesce({d.item(f'{n}.lut', 'p.v')}, p.v)" for n in "abce"}
+    corners = {n: f"LEFT JOIN luts {n} ON {n}.image_id = p.image_id AND {n}.band = p.band AND {n}.ty = p.{cy} AND {n}.tx = p.{cx}"
+               for n, cy, cx in (("a", "y0", "x0"), ("b", "y0", "x1"), ("c", "y1", "x0"), ("e", "y1", "x1"))}
+    pixels, at = d.looked_up("near", corners, {n: f"coalesce({d.item(f'{n}.lut', 'p.v')}, p.v)" for n in corners})
     blend = f"round(({at['a']} * (1 - p.fx) + {at['b']} * p.fx) * (1 - p.fy) + ({at['c']} * (1 - p.fx) + {at['e']} * p.fx) * p.fy, 9)"
     places = ", ".join(f"{c} * {tiles} / ({s} * 1e0) - 5e-1 AS f{c}" for c, s in (("x", "w"), ("y", "h")))
     kept = ", ".join(f"greatest(0, least({tiles - 1}, floor(f{c}) + {k})) AS {c}{k}" for c in "xy" for k in (0, 1))
@@ -44,7 +43,7 @@ spare AS (
 ), luts AS (SELECT image_id, band, ty, tx, {d.sorted_list('val')} AS lut FROM summed GROUP BY image_id, band, ty, tx),
 places AS (SELECT {KEY}, v, {places} FROM {sized(r)} s),
 near AS (SELECT {KEY}, v, fx - floor(fx) AS fx, fy - floor(fy) AS fy, {kept} FROM places)
-SELECT p.image_id, p.x, p.y, p.band, floor(greatest(0e0, least(255e0, {blend}))) AS v FROM near p {' '.join(corners)}"""
+SELECT p.image_id, p.x, p.y, p.band, floor(greatest(0e0, least(255e0, {blend}))) AS v FROM {pixels}"""
 
 
 def _smooth(d, r: str, sigma: float, vertical: bool) -> str:

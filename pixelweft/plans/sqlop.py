@@ -79,6 +79,12 @@ class Dialect:
         n = f"CAST({count} AS INT)"
         return f"(SELECT t.*, explode(CASE WHEN {n} > 0 THEN sequence(0, {n} - 1) ELSE array() END) AS {column} FROM {rows} t)"
 
+    def looked_up(self, rows: str, joins: dict[str, str], values: dict[str, str]) -> tuple[str, dict[str, str]]:
+        """FROM of rows p joined with tables one after the other, and the expression of each one's value; a value takes the place of what it is looked up in before the next join."""
+        for n, join in joins.items():
+            rows = f"(SELECT p.*, {values[n]} AS at_{n} FROM {rows} p {join})"
+        return f"{rows} p", {n: f"p.at_{n}" for n in joins}
+
     # the same in both
 
     def u8_trunc(self, e) -> str:
@@ -130,6 +136,9 @@ class DuckDialect(Dialect):
         frame = "CURRENT ROW AND UNBOUNDED FOLLOWING" if last else "UNBOUNDED PRECEDING AND CURRENT ROW"
         return f"{'last' if last else 'first'}_value({e}) OVER {over(f' ROWS BETWEEN {frame}')}"
 
+    def looked_up(self, rows: str, joins: dict[str, str], values: dict[str, str]) -> tuple[str, dict[str, str]]:
+        return f"{rows} p {' '.join(joins.values())}", values
+
     def shift_left(self, a, n) -> str:
         return f"(({a}) << ({n}))"
 

@@ -244,3 +244,19 @@ def test_distances_in_strips(spark):
         y, x = np.indices(a.shape)
         far = np.min([np.hypot(y - i, x - j) for i, j in points], axis=0) if len(points) else np.full(a.shape, 1e9)
         assert (image(got, k)[:, :, 0] == np.floor(np.minimum(far, 255))).all()
+
+
+def test_tables_of_tiles_do_not_ride_along(spark):
+    """No table is carried from one look-up to the next."""
+    plan = local.hist_local(frame(spark, np.arange(300).reshape(20, 15, 1) % 256))._jdf.queryExecution().optimizedPlan()
+    carried = []
+
+    def walk(node):
+        if node.nodeName() == "Join":
+            left = node.left().output()
+            carried.extend(left.apply(k).dataType().typeName() for k in range(left.size()))
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(plan)
+    assert carried and "array" not in carried
