@@ -130,30 +130,57 @@ def _cross(a, b, c):
     return (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
 
 
-def ears(points: np.ndarray) -> np.ndarray:
-    """Triangles (n, 3, 2) of a simple polygon (m, 2) by ear clipping: again and again the first convex corner with no other vertex in it."""
+def _ring(points: np.ndarray) -> np.ndarray:
+    """The vertices without a repeated first one, turned so that the area is positive."""
     if len(points) > 1 and np.abs(points[0] - points[-1]).max() < 1e-9:
         points = points[:-1]
     x, y = points.T if len(points) else (np.zeros(0), np.zeros(0))
-    if (x * np.roll(y, -1) - np.roll(x, -1) * y).sum() < 0:
-        points = points[::-1]
-    left, out = list(range(len(points))), []
-    while len(left) > 3:
-        p = points[left]
-        before, after = np.roll(p, 1, axis=0), np.roll(p, -1, axis=0)
-        for i in np.flatnonzero(_cross(before, p, after) > 0):
-            a, b, c = before[i], p[i], after[i]
-            others = np.delete(p, [(i - 1) % len(left), i, (i + 1) % len(left)], axis=0)
-            sides = np.stack([_cross(others, a, b), _cross(others, b, c), _cross(others, c, a)])
-            if not ((sides >= 0).all(axis=0) | (sides <= 0).all(axis=0)).any():
-                out.append((a, b, c))
-                del left[i]
-                break
-        else:
-            break  # no ear: the polygon crosses itself
-    if len(left) == 3:
-        out.append(tuple(points[left]))
-    return np.array(out).reshape(-1, 3, 2)
+    return points[::-1] if (x * np.roll(y, -1) - np.roll(x, -1) * y).sum() < 0 else points
+
+
+def _ears(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Triangles (g, m - 2, 3, 2) of g rings of m vertices each, and how many there are; all rings lose a vertex in each round."""
+    g, m = p.shape[:2]
+    out, count, own = np.zeros((g, max(m - 2, 0), 3, 2)), np.zeros(g, np.int64), np.arange(g)
+    for left in range(m, 3, -1):
+        before, after = np.roll(p, 1, axis=1), np.roll(p, -1, axis=1)
+        convex = _cross(before, p, after) > 0
+        ear, todo = np.full(len(p), -1), np.flatnonzero(convex.any(1))
+        while len(todo):  # the first convex corner of each ring, then the next one of those where it is none
+            i, rows = convex[todo].argmax(1), np.arange(len(todo))
+            a, b, c, others = before[todo, i][:, None], p[todo, i][:, None], after[todo, i][:, None], p[todo]
+            one, two, three = _cross(others, a, b), _cross(others, b, c), _cross(others, c, a)
+            held = ((one >= 0) & (two >= 0) & (three >= 0)) | ((one <= 0) & (two <= 0) & (three <= 0))
+            for k in (-1, 0, 1):
+                held[rows, (i + k) % left] = False
+            free = ~held.any(1)
+            ear[todo[free]] = i[free]
+            convex[todo, i] = False
+            todo = todo[~free]
+            todo = todo[convex[todo].any(1)]
+        some = np.flatnonzero(ear >= 0)  # a ring without an ear crosses itself
+        ear, own = ear[some], own[some]
+        out[own, count[own]] = np.stack((before[some, ear], p[some, ear], after[some, ear]), 1)
+        count[own] += 1
+        keep = np.ones((len(some), left), bool)
+        keep[np.arange(len(some)), ear] = False
+        p = p[some][keep].reshape(len(some), left - 1, 2)
+    if m >= 3:
+        out[own, count[own]] = p
+        count[own] += 1
+    return out, count
+
+
+def ears(polygons: list[np.ndarray]) -> list[np.ndarray]:
+    """Triangles (n, 3, 2) of each of some simple polygons (m, 2) by ear clipping: again and again the first convex corner with no other vertex in it."""
+    rings = [_ring(points) for points in polygons]
+    sizes, found = np.array([len(r) for r in rings]), [np.zeros((0, 3, 2))] * len(rings)
+    for m in np.unique(sizes[sizes >= 3]):
+        some = np.flatnonzero(sizes == m)
+        triangles, count = _ears(np.stack([rings[k] for k in some]).astype(float))
+        for k, t, n in zip(some, triangles, count):
+            found[k] = t[:n]
+    return found
 
 
 TRIANGLES = "path_id long, triangle int, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double"
@@ -169,7 +196,8 @@ def tessellate(polygons: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                found = [ears(np.array([[p["x"], p["y"]] for p in row], float).reshape(-1, 2)) for row in some.column(1).to_pylist()]
+                points = some.column(1).flatten()
+                found = ears(np.split(np.stack([points.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y")], 1), np.cumsum(some.column(1).value_lengths().to_numpy())[:-1]))
                 many = [len(f) for f in found]
                 corners = np.concatenate(found).reshape(-1, 6) if found else np.zeros((0, 6))
                 ids = np.repeat(some.column(0).to_numpy(), many)

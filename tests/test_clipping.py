@@ -122,3 +122,11 @@ def test_places_in_triangles(spark):
     got = clipping.located(spark.createDataFrame(places, "x double, y double, `a.b` int"), clipping.tessellate(table(spark, *rings)), strip=5.0).collect()
     want = {(n, k) for x, y, n in places for k, ring in enumerate(rings) if any(a <= x <= b for a, b in length_inside(ring, y))}
     assert {(g["a.b"], g.path_id) for g in got} == want and len(got) == len(want)
+
+
+def test_many_polygons_lose_their_ears_at_once():
+    rings = [star(k, 0, 0, 12 + k % 3, k % 2 == 0) for k in range(9)] + [[(0, 0), (5, 5)], [], [(0, 0), (4, 4), (4, 0), (0, 4)]]
+    got = clipping.ears([np.array(r, float).reshape(-1, 2) for r in rings])
+    for ring, triangles in zip(rings[:9], got):
+        assert [tuple(map(tuple, t)) for t in triangles.tolist()] == [tuple(map(tuple, t)) for t in plain_ears(ring)]
+    assert [len(t) for t in got[9:11]] == [0, 0]
