@@ -46,21 +46,30 @@ def label(on: np.ndarray, diagonal: bool = False) -> np.ndarray:
 
 
 def _in_tiles(mask: DataFrame, diagonal: bool, tile: int) -> DataFrame:
-    """mask(image_id, x, y) with part, the label within its tile."""
+    """mask(image_id, x, y) with part, the label within its tile; rows may say by a column `same` that a place is not in it, and one is in it if some row says so and none does not."""
     def run(table):
         import pyarrow as pa
 
         x, y = (table.column(c).to_numpy().astype(np.int64) for c in ("x", "y"))
         x0, y0 = x.min(), y.min()
         on = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), bool)
-        on[y - y0, x - x0] = True
+        if "same" in table.column_names:
+            same = table.column("same")
+            yes, no = same.fill_null(False).to_numpy(), ~same.fill_null(True).to_numpy()
+            on[y[yes] - y0, x[yes] - x0] = True
+            on[y[no] - y0, x[no] - x0] = False
+            y, x = np.nonzero(on)
+            y, x = y + y0, x + x0
+        else:
+            on[y - y0, x - x0] = True
         parts = label(on, diagonal)
         _, first = np.unique(parts, return_index=True)
         if not on.all():
             first = first[1:]
         width = on.shape[1]
         key = ((first // width + y0) << 32) + first % width + x0
-        return pa.table({"image_id": table.column("image_id"), "x": table.column("x"), "y": table.column("y"), "part": pa.array(key[parts[y - y0, x - x0] - 1])})
+        image = np.full(len(x), table.column("image_id")[0].as_py(), np.int32)
+        return pa.table({"image_id": pa.array(image), "x": pa.array(x.astype(np.int32)), "y": pa.array(y.astype(np.int32)), "part": pa.array(key[parts[y - y0, x - x0] - 1])})
 
     dealt = mask.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
     return dealt.groupBy("image_id", "ty", "tx").applyInArrow(run, "image_id int, x int, y int, part long")
@@ -121,8 +130,8 @@ def draw_flood(r: DataFrame, x: int, y: int, ink, tile: int = TILE) -> DataFrame
     colour = F.element_at(F.array(*(F.lit(float(v)) for v in ink)), F.col("band") + 1)
     seed = r.where((F.col("x") == x) & (F.col("y") == y)).select("image_id", "band", F.col("v").alias("seed"))
     start = seed.groupBy("image_id").agg(F.min(F.col("seed") == colour).alias("inked")).where("NOT inked").select("image_id")
-    same = (r.join(seed, ["image_id", "band"]).join(start, "image_id").groupBy(*PLACE).agg(F.min(F.col("v") == F.col("seed")).alias("same"))
-            .where("same").select(*PLACE))
+    # Bands of a place meet in its tile's task, where it is labelled; grouped before, all places of a file's part would be in one task's memory.
+    same = r.join(seed, ["image_id", "band"]).join(start, "image_id").select(*PLACE, (F.col("v") == F.col("seed")).alias("same"))
     found = regions(same, tile=tile)
     root = found.where((F.col("x") == x) & (F.col("y") == y)).select("image_id", "root")
     flooded = found.join(root, ["image_id", "root"]).select(*PLACE, F.lit(True).alias("flooded"))

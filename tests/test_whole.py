@@ -260,3 +260,8 @@ def test_tables_of_tiles_do_not_ride_along(spark):
 
     walk(plan)
     assert carried and "array" not in carried
+
+
+def test_bands_of_a_place_meet_in_its_tile(spark):
+    rows = spark.createDataFrame([(0, 0, 0, True), (0, 0, 0, True), (0, 1, 0, True), (0, 1, 0, False), (0, 2, 0, None), (0, 2, 0, True), (0, 3, 0, None), (0, 9, 0, False)], "image_id int, x int, y int, same boolean")
+    assert sorted((r.x, r.part) for r in regions._in_tiles(rows, False, 8).collect()) == [(0, 0), (2, 2)]
