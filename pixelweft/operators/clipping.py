@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.sqlop import operator
@@ -88,14 +88,32 @@ def boolean_areas(d, a, b, op: str = "union"):
     return f"SELECT path_id, sum(x0 * y1 - x1 * y0) / 2 AS area FROM ({boundary.write(d, a, b, op=op)}) e GROUP BY path_id"
 
 
+def _runs(edges: DataFrame) -> DataFrame:
+    """edges(path_id, u, x0, y0, v) with run, the number in its path of the run that u is in, k, its place by u, and turn, -1 in runs that go down.
+
+    A run is a row of nodes, by their names, of which each goes on at its neighbour: what lies between two crossings.
+    """
+    over = Window.partitionBy("path_id").orderBy("u")
+    linked = edges.select("path_id", "u", "v", F.col("x0").alias("x"), F.col("y0").alias("y")).withColumns({
+        "k": F.row_number().over(over), "turn": F.when(F.lag("v").over(over) == F.col("u"), 1).when(F.lag("u").over(over) == F.col("v"), -1)})
+    parted = linked.withColumn("fresh", F.col("turn").isNull() | F.coalesce(F.lag("turn").over(over) != F.col("turn"), F.lit(False)))
+    return parted.select("path_id", "u", "v", "x", "y", "k", F.sum(F.col("fresh").cast("int")).over(over).cast("int").alias("run"), F.when(~F.col("fresh"), F.col("turn")).cast("byte").alias("turn"))
+
+
 def walked(edges: DataFrame) -> DataFrame:
     """Rings (path_id, part, ring, seq, x, y) of directed pieces (path_id, u, v, x0, y0) that each go on at one other.
 
-    Every node looks twice as far ahead in each round: first for the least node of its ring, which names it and is its head,
-    then for the number of steps to that head. Rounds are the logarithm of the most nodes of a path.
+    Nodes are put in runs, which are few to a path, and only these are walked. Every run looks twice as far ahead in each round: first
+    for the least node of its ring, which names it, then for the number of steps to the run that this node is in. Rounds are the
+    logarithm of the most runs of a path.
     """
-    nodes = checkpointed(edges.select("path_id", "u", "v", F.col("x0").alias("x"), F.col("y0").alias("y")))
-    most = nodes.groupBy("path_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    nodes = checkpointed(_runs(edges))
+    ends = nodes.groupBy("path_id", "run").agg(
+        F.min("u").alias("low"), F.max("u").alias("high"), F.min("k").alias("k0"), F.count("*").alias("n"), F.coalesce(F.max("turn"), F.lit(1)).alias("turn"),
+        F.max_by("v", "u").alias("up"), F.min_by("v", "u").alias("down"))
+    down = F.col("turn") < 0
+    runs = checkpointed(ends.select("path_id", "run", "low", "k0", "n", "turn", F.when(down, F.col("high")).otherwise(F.col("low")).alias("u"), F.when(down, F.col("down")).otherwise(F.col("up")).alias("v")))
+    most = runs.groupBy("path_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
     rounds = max(1, math.ceil(math.log2(most)))
 
     def ahead(now: DataFrame, combine) -> DataFrame:
@@ -104,13 +122,15 @@ def walked(edges: DataFrame) -> DataFrame:
             now = checkpointed(now.join(far, ["path_id", "to"]).select("path_id", "u", F.col("next_to").alias("to"), combine(F.col("value"), F.col("next_value")).alias("value")))
         return now
 
-    heads = ahead(nodes.select("path_id", "u", F.col("v").alias("to"), F.least("u", "v").alias("value")), F.least).select("path_id", "u", F.col("value").alias("head"))
-    named = checkpointed(nodes.join(heads, ["path_id", "u"]))
-    at_head = F.col("u") == F.col("head")
-    steps = ahead(named.select("path_id", "u", F.when(at_head, F.col("u")).otherwise(F.col("v")).alias("to"), F.when(at_head, 0).otherwise(1).cast("long").alias("value")), lambda x, y: x + y)
-    sizes = named.groupBy("path_id", "head").agg(F.count("*").alias("size"))
-    rings = named.join(steps.select("path_id", "u", "value"), ["path_id", "u"]).join(sizes, ["path_id", "head"])
-    return rings.select("path_id", F.lit(0).alias("part"), F.col("head").alias("ring"), ((F.col("size") - F.col("value")) % F.col("size")).alias("seq"), "x", "y")
+    heads = ahead(runs.select("path_id", "u", F.col("v").alias("to"), F.col("low").alias("value")), F.least).select("path_id", "u", F.col("value").alias("ring"))
+    named = checkpointed(runs.join(heads, ["path_id", "u"]))
+    at_head = F.col("low") == F.col("ring")
+    steps = ahead(named.select("path_id", "u", F.when(at_head, F.col("u")).otherwise(F.col("v")).alias("to"), F.when(at_head, 0).otherwise(F.col("n")).alias("value")), lambda x, y: x + y)
+    sizes = named.groupBy("path_id", "ring").agg(F.sum("n").alias("size"), F.max(F.when(at_head & down, F.col("n") - 1).otherwise(0)).alias("skip"))
+    placed = (named.join(steps.select("path_id", "u", "value"), ["path_id", "u"]).join(sizes, ["path_id", "ring"])
+              .select("path_id", "run", "ring", "size", "k0", "turn", (F.when(down, F.col("n") - 1).otherwise(0) - F.col("value") - F.col("skip")).alias("first")))
+    rings = nodes.drop("turn").join(placed, ["path_id", "run"])
+    return rings.select("path_id", F.lit(0).alias("part"), "ring", F.pmod(F.col("first") + F.col("turn") * (F.col("k") - F.col("k0")), F.col("size")).alias("seq"), "x", "y")
 
 
 def boolean(a: DataFrame, b: DataFrame, op: str = "union") -> DataFrame:
@@ -121,7 +141,11 @@ def boolean(a: DataFrame, b: DataFrame, op: str = "union") -> DataFrame:
     """
     if op == "xor":
         return boolean(a, b, "subtract").unionByName(boolean(b, a, "subtract").withColumn("part", F.lit(1)))
-    return walked(boundary(a, b, op=op))
+    # As `boundary`, with the pieces looked at once.
+    (first, _), (second, turned) = KEEP[op]
+    back = F.lit(turned) & (F.col("own") == 1)
+    ends = [F.when(back, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("u", "v"), ("v", "u"), ("x0", "x1"), ("y0", "y1"))]
+    return walked(pieces(a, b).where(F.col("inside") == F.when(F.col("own") == 0, first).otherwise(second)).select("path_id", *ends))
 
 
 # ---------------------------------------------------------------- triangles

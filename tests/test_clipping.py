@@ -130,3 +130,20 @@ def test_many_polygons_lose_their_ears_at_once():
     for ring, triangles in zip(rings[:9], got):
         assert [tuple(map(tuple, t)) for t in triangles.tolist()] == [tuple(map(tuple, t)) for t in plain_ears(ring)]
     assert [len(t) for t in got[9:11]] == [0, 0]
+
+
+@pytest.mark.parametrize("op", ["union", "subtract"])
+def test_only_runs_of_nodes_are_walked(spark, monkeypatch, op):
+    circle = lambda x, n: [(x + 10 * math.cos(2 * math.pi * k / n + 0.013), 10 * math.sin(2 * math.pi * k / n + 0.013)) for k in range(n)]
+    sizes = []
+    plain = clipping.checkpointed
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(clipping, "checkpointed", counted)
+    rings = rings_of(clipping.boolean(table(spark, circle(0, 200)), table(spark, circle(5, 170)), op))[0]
+    assert len(rings) == 1 and len(next(iter(rings.values()))) > 150
+    assert sizes[0] > 150 and max(sizes[1:]) < 10
