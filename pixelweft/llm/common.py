@@ -245,17 +245,19 @@ def covered(n: int, near) -> tuple[np.ndarray, np.ndarray]:
     return (np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)), np.flatnonzero(~lone)
 
 
-def forest(pairs: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+def forest(pairs: np.ndarray, group: np.ndarray, each: int = 0) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Of pairs (i, j), i < j, of places in groups: each j with its smallest i, and stars over the groups with more pairs than that.
 
-    group gives a place's group, ascending. A star is (lead, member), the lead being the first place of its group that is in a pair.
+    Of groups with up to `each` more pairs to a j all pairs are returned, and no star. group gives a place's group, ascending. A star is (lead, member), the lead being the first place of its group that is in a pair.
     """
     pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1]))]
     fresh = np.ones(len(pairs), bool)
     fresh[1:] = pairs[1:, 1] != pairs[:-1, 1]
     of = group[pairs[:, 1]]
-    more = np.bincount(of, minlength=1) > np.bincount(of[fresh], minlength=1)
+    more = np.bincount(of, minlength=1) > (1 + each) * np.bincount(of[fresh], minlength=1)
     member = np.unique(pairs[more[of]])
+    if each:
+        fresh |= ~more[of]
     first = np.ones(len(member), bool)
     first[1:] = group[member[1:]] != group[member[:-1]]
     lead = member[first][np.cumsum(first) - 1]

@@ -23,11 +23,16 @@ from .common import Overlaps, _INVERSE, _BASE, chunks, connect, covered, dealt_p
 #: Lines under one gram that are held against each other together with those of other grams; more are one by one.
 _FEW = 24
 #: Places of the table of gram frequencies (bits).
-_TABLE_BITS = 20
+_TABLE_BITS = 18
+#: Of the pairs under one gram a star stands for those that are more than so many to a line; fewer are candidates themselves.
+_EACH = 4
+#: Lines under one gram up to which all their pairs are looked at at once.
+_SQUARE = 512
 #: 64-bit words of the parities that lines are held against where they meet, and candidates before their words are.
 _NARROW, _WIDE = 2, 4
+_WIDE_NAMES = [f"p{k}" for k in range(_WIDE)]
 #: The grams are dealt in so many rounds, one after the other, so that the shuffle of one is gone before the next.
-ROUNDS = 3
+ROUNDS = 2
 
 #: Code points of scripts that are written without blanks between words.
 _BLANKLESS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
@@ -169,16 +174,38 @@ def word_edit_distance(a: list, b: list) -> int:
     return score
 
 
+def similar(x: list[bytes], y: list[bytes], percent: int) -> np.ndarray:
+    """Whether sequences of 32-bit words are similar by edit distance; each x is held against its y.
+
+    Most are, by one shift at most: matches of a common beginning and end as they lie bound the distance from above. The others are measured.
+    """
+    x, y = zip(*((a, b) if len(a) <= len(b) else (b, a) for a, b in zip(x, y))) if x else ((), ())
+    n, m = (np.array([len(a) // 4 for a in z], np.int64) for z in (x, y))
+    a, b = (np.frombuffer(b"".join(z), np.uint32) for z in (x, y))
+    begin = np.cumsum(n) - n
+    at = np.arange(len(a)) + np.repeat(np.cumsum(m) - m - begin, n)
+    front, back = a == b[at], a == b[at + np.repeat(m - n, n)]
+    gain = np.concatenate(([0], np.cumsum(front.astype(np.int64) - back)))
+    total = np.concatenate(([0], np.cumsum(back)))
+    most = np.maximum(0, np.maximum.reduceat(gain[1:], begin) - gain[begin]) if len(a) else n
+    keep = 100 * (most + total[begin + n] - total[begin]) >= percent * m
+    for k in np.flatnonzero(~keep & (100 * n >= percent * m)):
+        keep[k] = 100 * (m[k] - word_edit_distance(np.frombuffer(x[k], np.uint32).tolist(), np.frombuffer(y[k], np.uint32).tolist())) >= percent * m[k]
+    return keep
+
+
 def _lines(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
-    """doc_id, text_hash, line_no, line (name), parity, n_words of every line with words; of each task one row of n_words -1 and, in
-    parity, how often it met grams of distinct lines of least_words or more words, by the upper bits of their hashes."""
+    """doc_id, text_hash, line_no, line (name), n_words, p0 ... (wide parities) of every line with words; of each task one row of
+    n_words -1 and, in parity, how often it met grams of distinct lines of least_words or more words, by the upper bits of their hashes."""
+    names_out = ["doc_id", "text_hash", "line_no", "line", "n_words", *_WIDE_NAMES, "parity"]
+
     def cut(batches):
         import pyarrow as pa
 
         total = np.zeros(1 << _TABLE_BITS, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 1000):
+                part, met = batch.slice(at, 1000), []
                 ids, hashes = part.column(0).to_numpy(), part.column(2).to_numpy()
                 lower = pa.array([t.lower() if t else "" for t in part.column(1).to_pylist()], pa.large_string())
                 data, offsets = text_bytes(lower)
@@ -191,19 +218,17 @@ def _lines(docs: DataFrame, percent: int, least_words: int) -> DataFrame:
                     at = at[count[at] >= least_words]
                     start = np.concatenate(([0], np.cumsum(count[at])))
                     _, gram = _grams(words[np.repeat(first[at] - start[:-1], count[at]) + np.arange(start[-1])], start, percent)
-                    total += np.bincount((gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64), minlength=len(total))
-                    parity = pa.array([x.tobytes() for x in parities(words, first, _WIDE)[keep]], pa.binary())
+                    met.append((gram >> np.uint64(64 - _TABLE_BITS)).astype(np.int64))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x[keep]) for x in (ids[owner], hashes[owner], (np.arange(len(owner)) - lines[:-1][owner - i]).astype(np.int32),
-                                                     names, count.astype(np.int32))] + [parity],
-                        ["doc_id", "text_hash", "line_no", "line", "n_words", "parity"])
+                                                     names, count.astype(np.int32), *parities(words, first, _WIDE).T)] + [pa.nulls(int(keep.sum()), pa.binary())], names_out)
+                total += np.bincount(np.concatenate(met), minlength=len(total))
         some = np.flatnonzero(total)
         none = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), none, pa.array([-1], pa.int32()), pa.array([np.stack((some, total[some])).tobytes()], pa.binary())],
-                                         ["doc_id", "text_hash", "line_no", "line", "n_words", "parity"])
+        yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), none, pa.array([-1], pa.int32()), *[none] * _WIDE, pa.array([np.stack((some, total[some])).tobytes()], pa.binary())], names_out)
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        cut, "doc_id long, text_hash long, line_no int, line long, n_words int, parity binary")
+        cut, f"doc_id long, text_hash long, line_no int, line long, n_words int, {', '.join(f'{p} long' for p in _WIDE_NAMES)}, parity binary")
 
 
 def _chunks_of_words(batch, least_words: int):
@@ -225,16 +250,28 @@ def _chunks_of_words(batch, least_words: int):
 
 def _order(counts: DataFrame) -> np.ndarray:
     """Ranks below 64 by how often grams are in all documents, by the upper bits of their hashes; counts: the rows of n_words -1 of `_lines`."""
+    each = 1 << max(0, _TABLE_BITS - 6)
+
     def unpack(batches):
         import pyarrow as pa
 
+        total = np.zeros(1 << _TABLE_BITS, np.int64)
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 place, n = np.frombuffer(data, np.int64).reshape(2, -1)
-                for at in range(0, len(place), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(place[at: at + (1 << 16)]), pa.array(n[at: at + (1 << 16)])], ["place", "n"])
+                total[place] += n
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) // each, dtype=np.int32)), pa.array([x.tobytes() for x in total.reshape(-1, each)], pa.binary())], ["part", "data"])
+
+    def add(key, table):
+        import pyarrow as pa
 
-    rows = counts.select("parity").mapInArrow(unpack, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+        total = np.zeros(each, np.int64)
+        for data in table.column("data").to_pylist():
+            total += np.frombuffer(data, np.int64)
+        some = np.flatnonzero(total > 1)
+        return pa.table({"place": pa.array(some + key[0].as_py() * each), "n": pa.array(total[some])})
+
+    rows = counts.select("parity").mapInArrow(unpack, "part int, data binary").groupBy("part").applyInArrow(add, "place long, n long").toArrow()
     order = np.zeros(1 << _TABLE_BITS, np.uint64)
     n = rows.column("n").to_numpy()
     if len(n):  # three ranks to a doubling, from what a common place has
@@ -257,7 +294,7 @@ def _near(docs: DataFrame, order: np.ndarray, percent: int, least_words: int) ->
         def run(batches):
             import pyarrow as pa
 
-            for batch in slices(batches, 2000):
+            for batch in slices(batches, 1000):
                 part, blob, tos, rows = [], [], [], []
                 for names, words, first in _chunks_of_words(batch, least_words):
                     line, gram, place = leading_grams(words, first, percent, held.value)
@@ -320,7 +357,7 @@ def _near(docs: DataFrame, order: np.ndarray, percent: int, least_words: int) ->
             same = same[aligned(same, same + d)]
             same = same[alike(same, same + d)]
             near.append(np.stack((same, same + d), 1))
-        chosen, (lead, member) = forest(np.concatenate(near), np.repeat(np.arange(len(start)), length))
+        chosen, (lead, member) = forest(np.concatenate(near), np.repeat(np.arange(len(start)), length), _EACH)
         pairs.append(name[chosen])
         only.append(np.stack((name[lead], name[member]), 1))
         for g in np.flatnonzero(length > _FEW):
@@ -329,6 +366,13 @@ def _near(docs: DataFrame, order: np.ndarray, percent: int, least_words: int) ->
             if (what := names.tobytes()) in seen:  # the same lines under another gram
                 continue
             seen.add(what)
+            if len(names) <= _SQUARE:
+                i, j = np.nonzero(np.triu(aligned(here[:, None], here), 1))
+                met = alike(here[i], here[j])
+                i, j = i[met], j[met]
+                if len(i) <= _EACH * len(np.unique(np.concatenate((i, j)))):
+                    pairs.append(np.stack((names[i], names[j]), 1))
+                    continue
             tree, members = covered(len(names), lambda i, j: aligned(here[i], here[j]) & alike(here[i], here[j]))
             if len(members):
                 lead = members[0]
@@ -365,7 +409,8 @@ def _verifier(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: int
             for i, j in chunks(offsets):
                 words, first, _, _ = line_words(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
                 same = np.flatnonzero(line_names(words, first) == wanted[i:j])  # doc_id may repeat with other texts
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[i:j][same]), pa.array([words[first[k]: first[k + 1]].tobytes() for k in same], pa.binary())], ["line", "words"])
+                codes = (words >> np.uint64(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array(wanted[i:j][same]), pa.array([codes[first[k]: first[k + 1]].tobytes() for k in same], pa.binary())], ["line", "words"])
 
     texts = stage(docs.select("doc_id", "text").join(places, "doc_id").select("text", "at").mapInArrow(fetch, "line long, words binary")
                   .dropDuplicates(["line"]), "words")
@@ -373,13 +418,8 @@ def _verifier(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, percent: int
     def verify(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                n, m = sorted((len(x) // 8, len(y) // 8))
-                keep.append(100 * n >= percent * m and 100 * (m - word_edit_distance(
-                    np.frombuffer(x, np.int64).tolist(), np.frombuffer(y, np.int64).tolist())) >= percent * m)
-            mask = pa.array(keep, pa.bool_())
+        for batch in slices(batches, 2000):
+            mask = pa.array(similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), percent), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     def verified(pairs):
@@ -394,7 +434,7 @@ def _may_cross(percent: int):
     """For `connect`: which lines may link with one of another component, by their wide parities."""
     def may(about, component):
         n = np.array([x["n_words"] for x in about], np.int64)
-        parity = np.frombuffer(b"".join(x["parity"] for x in about), np.int64).reshape(-1, _WIDE)
+        parity = np.array([[x[p] for p in _WIDE_NAMES] for x in about], np.int64).reshape(-1, _WIDE)
         _, own, count = np.unique(component, return_inverse=True, return_counts=True)
         keep, step = np.zeros(len(n), bool), max(1, (1 << 16) // max(1, len(n)))
         asked = np.flatnonzero(own != count.argmax()) if len(count) > 1 else own[:0]
@@ -411,7 +451,7 @@ def _may_cross(percent: int):
 def _find(percent: int):
     """For `connect`: linked lines of different components, of the word sequences of lines that met."""
     def find(data, component):
-        sequences = [np.frombuffer(x, np.uint64) for x in data]
+        sequences = [np.frombuffer(x, np.uint32).astype(np.uint64) for x in data]
         bags = []  # the k-th occurrence of a word is an element of its own
         for s in sequences:
             x = np.sort(s)
@@ -437,22 +477,22 @@ def _find(percent: int):
 
 
 def _possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
-    """pairs(kind, x, y) without those that the wide parities of about(line, n_words, parity) rule out; members of stars stay as such."""
+    """pairs(kind, x, y) without those that the wide parities of about(line, n_words, p0 ...) rule out; members of stars stay as such."""
     def judge(batches):
         import pyarrow as pa
 
         for batch in batches:
-            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 5))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.int64).reshape(-1, _WIDE) for k in (4, 6))
+            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 4 + _WIDE))
+            x, y = (np.stack([batch.column(k + i).to_numpy() for i in range(_WIDE)], 1) for k in (4, 5 + _WIDE))
             kind = batch.column(0).to_numpy()
             may = may_link(n, x, m, y, percent)
             kind = np.where(may | (kind == 0), kind, 2)
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), batch.column(1), batch.column(2)], ["kind", "x", "y"]).filter(pa.array(may | (kind == 2)))
 
     def side(c):
-        return about.select(F.col("line").alias(c), F.col("n_words").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+        return about.select(F.col("line").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("n_words", *_WIDE_NAMES)])
 
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("kind", "x", "y", "nx", "px", "ny", "py").mapInArrow(judge, "kind int, x long, y long")
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("kind", "x", "y", *[f"{c}_{k}" for c in "xy" for k in ("n_words", *_WIDE_NAMES)]).mapInArrow(judge, "kind int, x long, y long")
 
 
 def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 3, least_exact: int | None = None) -> DataFrame:
@@ -465,11 +505,11 @@ def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 3, leas
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = stage(_lines(docs, percent, least_words).where((F.col("n_words") >= (least_words if least_exact is None else least_exact)) | (F.col("n_words") < 0)), "lines")
     lines, order = cut.where("n_words >= 0"), _order(cut.where("n_words < 0"))
-    nodes = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.min("parity").alias("parity"),
-                                            F.min("n_words").alias("n_words"), F.count("*").alias("n"))
-                  .select("line", "parity", "n_words", "at.doc_id", "at.line_no", "n"), "nodes")
+    nodes = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"),
+                                            *[F.min(k).alias(k) for k in ("n_words", *_WIDE_NAMES)])
+                  .select("line", "n_words", *_WIDE_NAMES, "at.doc_id", "at.line_no", "n"), "nodes")
     near = functools.reduce(DataFrame.unionByName, _near(docs, order, percent, least_words)).select("kind", F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-    pairs = stage(_possible(near, nodes.select("line", "n_words", "parity"), percent), "pairs")
+    pairs = stage(_possible(near, nodes.select("line", "n_words", *_WIDE_NAMES), percent), "pairs")
     held = None
 
     def verifier():
@@ -480,15 +520,16 @@ def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 3, leas
 
     candidates = pairs.where("kind < 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     found = connect(candidates, pairs.where("kind > 0").select(F.col("x").alias("a"), F.col("y").alias("b")), lambda some: verifier()[0](some),
-                    lambda: verifier()[1].select(F.col("line").alias("node"), (F.length("words") / 8).cast("long").alias("weight"), F.col("words").alias("data")), _find(percent),
-                    nodes.select(F.col("line").alias("node"), F.struct("n_words", "parity").alias("about")), _may_cross(percent))
+                    lambda: verifier()[1].select(F.col("line").alias("node"), (F.length("words") / 4).cast("long").alias("weight"), F.col("words").alias("data")), _find(percent),
+                    nodes.select(F.col("line").alias("node"), F.struct("n_words", *_WIDE_NAMES).alias("about")), _may_cross(percent))
     if found is None:
-        group = nodes.withColumn("component", F.col("line"))
+        group = nodes.where("n > 1").withColumn("component", F.col("line"))
     else:
-        group = nodes.join(found.select(F.col("node").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+        group = nodes.join(found.select(F.col("node").alias("line"), "component"), "line", "left").where("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "line"))
+    group = group.select("line", "doc_id", "line_no", "n", "component")
     first = group.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.sum("n").alias("copies")).where("copies > 1")
     affected = group.join(first, "component").select("line", "first")
-    return (lines.join(affected, "line").where(F.struct("doc_id", "line_no") != F.col("first"))
+    return (lines.select("line", "doc_id", "text_hash", "line_no").join(affected, "line").where(F.struct("doc_id", "line_no") != F.col("first"))
             .groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("dropped")))
 
 

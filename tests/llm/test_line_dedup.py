@@ -177,3 +177,28 @@ def test_gram_order_counts_all_documents(spark):
     assert total == 5 * 6000
     order = D._order(counts)
     assert order.max() > 30 and (order > 30).sum() == 2 and order[order > 0].min() >= 1
+
+
+def test_similar_is_edit_similarity():
+    """Pairs that one shift explains and pairs that need measuring, each against the plain distance."""
+    r = random.Random(3)
+    pairs = []
+    for _ in range(600):
+        a = [r.randrange(1, 12 if r.random() < .3 else 1 << 31) for _ in range(r.randrange(1, 40))]
+        b = list(a)
+        for _ in range(r.randrange(0, len(a) // 2 + 1)):
+            k = r.randrange(len(b))
+            b[k: k + r.randrange(2)] = [r.randrange(1, 1 << 31)][: r.randrange(2)] if len(b) > 1 else [7]
+        pairs.append((a, b) if r.random() < .5 else (b, a))
+    packed = [[np.array(p[k], np.uint32).tobytes() for p in pairs] for k in (0, 1)]
+    want = [100 * (max(map(len, p)) - levenshtein(*p)) >= 75 * max(map(len, p)) for p in pairs]
+    assert D.similar(*packed, 75).tolist() == want and 100 < sum(want) < 500 and D.similar([], [], 75).tolist() == []
+
+
+def test_few_chance_pairs_make_no_star():
+    """Of a gram under which few of many pairs may link, these pairs are candidates; a star would take in lines that link with nothing."""
+    from pixelweft.llm.common import forest
+
+    pairs, group = np.array([[0, 1], [0, 2], [1, 2], [3, 4]]), np.zeros(5, int)
+    chosen, (lead, member) = forest(pairs, group, D._EACH)
+    assert sorted(map(tuple, chosen.tolist())) == sorted(map(tuple, pairs.tolist())) and not len(lead) and not len(member)
