@@ -28,11 +28,11 @@ _TABLE_BITS = 18
 _EACH = 4
 #: Lines under one gram up to which all their pairs are looked at at once.
 _SQUARE = 512
-#: 64-bit words of the parities that lines are held against where they meet, and candidates before their words are.
-_NARROW, _WIDE = 2, 4
+#: 64-bit words of the parities that lines are held against where they meet, and members of stars before their words are.
+_NARROW, _WIDE = 4, 4
 _WIDE_NAMES = [f"p{k}" for k in range(_WIDE)]
 #: The grams are dealt in so many rounds, one after the other, so that the shuffle of one is gone before the next.
-ROUNDS = 2
+ROUNDS = 3
 
 #: Code points of scripts that are written without blanks between words.
 _BLANKLESS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
@@ -476,25 +476,6 @@ def _find(percent: int):
     return find
 
 
-def _possible(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
-    """pairs(kind, x, y) without those that the wide parities of about(line, n_words, p0 ...) rule out; members of stars stay as such."""
-    def judge(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 4 + _WIDE))
-            x, y = (np.stack([batch.column(k + i).to_numpy() for i in range(_WIDE)], 1) for k in (4, 5 + _WIDE))
-            kind = batch.column(0).to_numpy()
-            may = may_link(n, x, m, y, percent)
-            kind = np.where(may | (kind == 0), kind, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), batch.column(1), batch.column(2)], ["kind", "x", "y"]).filter(pa.array(may | (kind == 2)))
-
-    def side(c):
-        return about.select(F.col("line").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("n_words", *_WIDE_NAMES)])
-
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("kind", "x", "y", *[f"{c}_{k}" for c in "xy" for k in ("n_words", *_WIDE_NAMES)]).mapInArrow(judge, "kind int, x long, y long")
-
-
 def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 3, least_exact: int | None = None) -> DataFrame:
     """doc_id, text_hash, dropped (array of line numbers): occurrences that are not the first of their group.
 
@@ -508,8 +489,8 @@ def dropped_lines(docs: DataFrame, percent: int = 75, least_words: int = 3, leas
     nodes = stage(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n"),
                                             *[F.min(k).alias(k) for k in ("n_words", *_WIDE_NAMES)])
                   .select("line", "n_words", *_WIDE_NAMES, "at.doc_id", "at.line_no", "n"), "nodes")
-    near = functools.reduce(DataFrame.unionByName, _near(docs, order, percent, least_words)).select("kind", F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-    pairs = stage(_possible(near, nodes.select("line", "n_words", *_WIDE_NAMES), percent), "pairs")
+    near = functools.reduce(DataFrame.unionByName, _near(docs, order, percent, least_words))
+    pairs = stage(near.select("kind", F.col("a").alias("x"), F.col("b").alias("y")).distinct(), "pairs")
     held = None
 
     def verifier():
