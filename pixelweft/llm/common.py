@@ -134,7 +134,7 @@ def connect(open_: DataFrame, star: DataFrame, verified, data, find, about=None,
     open_(a, b), a < b, are candidates; verified(pairs) returns those that are links. Rows of star(a, b) stand for all pairs
     among one a and its b. One pair per b is verified first, then the others whose ends are not connected yet. Of the stars
     that do not hold together by then all members are compared with each other, where they lie: data() has (node, weight,
-    data), and find(data, components) gives the places of linked members of different components, one link for each two
+    data), about() has (node, about), and find(data, components) gives the places of linked members of different components, one link for each two
     components that it joins, so that no more links leave a task than it has members.
     """
     open_ = stage(open_, "open")
@@ -162,7 +162,7 @@ def connect(open_: DataFrame, star: DataFrame, verified, data, find, about=None,
     if not broken.isEmpty():
         group = group.join(broken, "a", "left_semi")
         if may is not None:
-            group = stage(_may_cross(group.join(about, "node"), may), "crossing")
+            group = stage(_may_cross(group.join(about(), "node"), may), "crossing")
         joined(stage(_crossing(group, data(), find).distinct(), "cross"))
     return found
 
@@ -342,6 +342,14 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]: offsets[-1]] if len(offsets) else data[:0], offsets - offsets[0]
 
 
+def lower_bytes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes and offsets of some texts, lower-cased beyond A-Z; `word_hashes` sees to A-Z in those of ASCII alone. None counts as empty."""
+    parts = [(t if t.isascii() else t.lower()).encode() if t else b"" for t in texts]
+    offsets = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(x) for x in parts], out=offsets[1:])
+    return np.frombuffer(b"".join(parts), np.uint8), offsets
+
+
 def chunks(offsets: np.ndarray, most: int = 1 << 18):
     """Row ranges [i, j) of at most `most` bytes, or of one row."""
     i, n = 0, len(offsets) - 1
@@ -360,12 +368,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPAC
     n = len(data)
     if not n:
         return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *([np.zeros(0, np.int64)] * (sizes + tails)))
-    word = ~space[data]
+    whole = data.tobytes()
+    word = np.frombuffer(whole.translate((~space).tobytes()), bool)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(word & (edge[:-1] | np.concatenate(([True], ~word[:-1]))))
     size = np.flatnonzero(word & (edge[1:] | np.concatenate((~word[1:], [True])))) + 1 - starts
-    at_byte = np.ndarray((n,), "<u8", np.concatenate((_LOWER[data], np.zeros(8, np.uint8))), strides=(1,))
+    at_byte = np.ndarray((n,), "<u8", whole.translate(_LOWER.tobytes()) + bytes(8), strides=(1,))
     hashes = mix64((at_byte[starts] & _FIRST[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(_BASE))
     more, done = np.flatnonzero(size > 8), 8
     while len(more):

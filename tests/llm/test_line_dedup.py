@@ -202,3 +202,58 @@ def test_few_chance_pairs_make_no_star():
     pairs, group = np.array([[0, 1], [0, 2], [1, 2], [3, 4]]), np.zeros(5, int)
     chosen, (lead, member) = forest(pairs, group, D._EACH)
     assert sorted(map(tuple, chosen.tolist())) == sorted(map(tuple, pairs.tolist())) and not len(lead) and not len(member)
+
+
+def test_a_line_meets_under_no_more_grams_than_can_be_broken():
+    """Of a long line's bigrams fewer than one more than half are taken, as few of those taken are neighbours; some hold against any edits."""
+    rng = np.random.default_rng(5)
+    order = rng.integers(0, 60, 1 << D._TABLE_BITS).astype(np.int32)
+    words, first = rng.integers(1, 1 << 62, 12000).astype(np.uint64), np.arange(0, 12001, 60)
+    line, _, place = D.leading_grams(words, first, 75, order)
+    assert 20 < np.bincount(line).min() and len(line) < 0.45 * len(words)
+    for k in range(40):  # the edits that break most: words between two of the places taken, then single ones
+        left, broken = set(place[line == k].tolist()), 0
+        for p in sorted(left):
+            if broken < 15 and p in left and p + 1 in left:
+                left -= {p, p + 1}
+                broken += 1
+        assert len(left) > 15 - broken
+
+
+def test_pairs_of_neighbours_are_never_too_few():
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 40)] * 3:
+        at = rng.permutation(n)
+        got = D._neighbours(at, np.zeros(n, np.int64))
+        for k in range(n + 1):
+            taken = np.isin(np.arange(n), at[:k])
+            runs = "".join(" x"[int(t)] for t in taken).split()
+            assert sum(len(x) // 2 for x in runs) <= got[k] <= sum(max(len(x) // 2, len(x) - 2) for x in runs)
+    assert D._neighbours(np.arange(4), np.array([0, 0, 1, 1])).tolist() == [0, 0, 1, 1, 2]
+
+
+def test_common_words_count_as_often_as_both_have_them():
+    """Pairs with too few common words are told apart without measuring them."""
+    r, rng = random.Random(6), np.random.default_rng(6)
+    x, y = ([np.array([r.randrange(6) for _ in range(r.randrange(20))], np.uint32).tobytes() for _ in range(200)] for _ in range(2))
+    want = [sum(min(a.count(w), b.count(w)) for w in set(a)) for a, b in ((np.frombuffer(p, np.uint32).tolist(), np.frombuffer(q, np.uint32).tolist()) for p, q in zip(x, y))]
+    assert D._common(x, y).tolist() == want and D._common([], []).tolist() == [] and D._common([b""], [b""]).tolist() == [0]
+    far = [rng.integers(0, 1 << 32, 400).astype(np.uint32).tobytes() for _ in range(20)]
+    measured = D.word_edit_distance
+    try:
+        D.word_edit_distance = lambda *_: 1 / 0
+        assert not D.similar(far[:10], far[10:], 75).any()
+    finally:
+        D.word_edit_distance = measured
+
+
+def test_lower_bytes():
+    from pixelweft.llm.common import lower_bytes, word_hashes
+
+    texts = ["Some ASCII", None, "", "ÄÖ ΣΑΣ İ", "été A"]
+    data, offsets = lower_bytes(texts)
+    lower = [(t or "").lower() for t in texts]
+    assert [data[a:b].tobytes().decode().lower() for a, b in zip(offsets, offsets[1:])] == lower
+    want = np.frombuffer("".join(lower).encode(), np.uint8)
+    assert word_hashes(data, offsets)[0].tolist() == word_hashes(want, np.cumsum([0] + [len(t.encode()) for t in lower]))[0].tolist()
+    assert lower_bytes([])[1].tolist() == [0]
