@@ -340,18 +340,20 @@ def _near(docs: DataFrame, order: np.ndarray, percent: int, least_words: int) ->
             import pyarrow as pa
 
             for batch in slices(batches, 1000):
-                part, blob, tos, rows = [], [], [], []
+                part, blob, tos, rows, about, met = [], [], [], [], [], 0
                 for names, words, first in _chunks_of_words(batch, least_words):
                     line, gram, place = leading_grams(words, first, percent, held.value)
                     some = (gram % np.uint64(ROUNDS)).astype(np.int64) == only
                     line, gram, place = line[some], gram[some] // np.uint64(ROUNDS), place[some]
                     size = np.minimum(np.diff(first), 0xFFFF)[line]
                     tos.append((gram % np.uint64(parts)).astype(np.int32))
-                    rows.append((names[line], *parities(words, first, _NARROW)[line].T, (gram // np.uint64(parts)).astype(np.uint32), (size << 16 | place).astype(np.uint32)))
+                    rows.append((line + met, (gram // np.uint64(parts)).astype(np.uint32), (size << 16 | place).astype(np.uint32)))
+                    about.append(np.column_stack((names, parities(words, first, _NARROW))))
+                    met += len(names)
                 if rows:
-                    to, rows = np.concatenate(tos), [np.concatenate(c) for c in zip(*rows)]
+                    to, rows, about = np.concatenate(tos), [np.concatenate(c) for c in zip(*rows)], np.concatenate(about)
                     at = np.argsort(to.astype(np.uint16) if parts < 1 << 16 else to, kind="stable")
-                    rows, cut = [c[at] for c in rows], np.searchsorted(to[at], np.arange(parts + 1))
+                    rows, cut = [about.take(rows[0][at], 0), *(c[at] for c in rows[1:])], np.searchsorted(to[at], np.arange(parts + 1))
                     for p in np.flatnonzero(np.diff(cut)):
                         part.append(int(p))
                         blob.append(b"".join(c[cut[p]: cut[p + 1]].tobytes() for c in rows))
@@ -362,14 +364,13 @@ def _near(docs: DataFrame, order: np.ndarray, percent: int, least_words: int) ->
     def meet(table):
         import pyarrow as pa
 
-        kinds = (np.int64,) * (1 + _NARROW) + (np.uint32, np.uint32)
-        columns = [[] for _ in kinds]
+        columns = [], [], []
         for data in (x.as_buffer() for batch in table.to_batches() for x in batch.column("data")):
-            n, at = data.size // (16 + 8 * _NARROW), 0
-            for c, kind in zip(columns, kinds):
-                c.append(np.frombuffer(data, kind, n, at))
-                at += n * c[-1].itemsize
-        name, *parity, key, size = (np.concatenate(c) for c in columns)
+            n = data.size // (16 + 8 * _NARROW)
+            columns[0].append(np.frombuffer(data, np.int64, n * (1 + _NARROW)).reshape(n, -1))
+            for k in (1, 2):
+                columns[k].append(np.frombuffer(data, np.uint32, n, data.size - 4 * n * (3 - k)))
+        about, key, size = (np.concatenate(c) for c in columns)
         del columns
         # Most grams are in one line only; these go by one sort of 64-bit words: gram, place.
         both = np.sort(key.astype(np.uint64) << np.uint64(32) | np.arange(len(key), dtype=np.uint64))
@@ -379,8 +380,9 @@ def _near(docs: DataFrame, order: np.ndarray, percent: int, least_words: int) ->
         at, group = (both[some] & np.uint64(2**32 - 1)).astype(np.int64), np.cumsum(~same[:-1][some]).astype(np.uint64)
         # Within a gram by name, which is a hash: by its upper bits.
         bits = np.uint64(len(group).bit_length())
-        at = at[np.argsort(group << np.uint64(64) - bits | (name[at].view(np.uint64) ^ np.uint64(1 << 63)) >> bits)]
-        key, name, parity, size = key[at], name[at], np.stack([p[at] for p in parity], 1), size[at].astype(np.int64)
+        at = at[np.argsort(group << np.uint64(64) - bits | (about[at, 0].view(np.uint64) ^ np.uint64(1 << 63)) >> bits)]
+        key, about, size = key[at], about.take(at, 0), size[at].astype(np.int64)
+        name, parity = about[:, 0].copy(), about[:, 1:]
         del both, same, some, group, at
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
