@@ -40,6 +40,24 @@ def test_turned_meets_pixels_within_only(spark):
         assert "WHERE NOT (rx" in op.write(SPARK, "r", **how)  # those outside are no rows of the join
 
 
+@pytest.mark.parametrize("op, how", [(effects.rotate, {"degrees": 30.0}), (effects.polaroid, {"bands": 1})])
+def test_turned_places_do_not_travel(spark, op, how):
+    assert "VALUES (0, 0)" not in op.write(SPARK, "r", **how)  # the corners of places are no rows of a join
+    found = op(spark.createDataFrame(rows([(700, 2)]), SCHEMA), **how).selectExpr("spark_partition_id() AS p", "band", "x", "y").collect()
+    run, longest = 0, 0
+    for a, b in zip(found, found[1:]):
+        run = run + 1 if (a.p, a.band, a.x, a.y + 1) == (b.p, b.band, b.x, b.y) else 0
+        longest = max(longest, run + 1)
+    assert longest == effects.STRIP and max(r.y for r in found) > 2 * effects.STRIP  # y starts anew, so that files of it stay small
+
+
+@pytest.mark.parametrize("op, how", [(effects.rotate, {"degrees": 30.0}), (effects.rotate, {"degrees": -200.5}), (effects.polaroid, {}), (effects.polaroid, {"angle": 117.0, "bands": 4})])
+def test_turned_with_gaps_and_doubles(spark, op, how):
+    data = [r for r in rows([(70, 40), (33, 65), (1, 5), (2, 2)], of=4) if RNG.random() > (0.1 if r[0] == 0 else 0)]
+    ours, theirs = both(spark, op, data + data[::37], **how)
+    assert ours == theirs
+
+
 @pytest.mark.parametrize("shapes", [[(90, 4), (31, 27)], [(40, 60)]])
 def test_deskew_makes_what_is_kept(spark, shapes):
     data = rows(shapes)
